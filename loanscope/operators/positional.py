@@ -3,121 +3,175 @@
 A global order statistic (NTILE boundary, percentile) or a rank inside a huge
 group cannot be computed by one sort in one task at 100 TB.  Instead:
 
-1. sample a bounded number of rows, sort that sample and take evenly spaced
-   *cut tuples* (literals on the driver; their count is a parameter, never a
-   function of the table size);
-2. give every row the index of the bucket between two cuts with a balanced
-   tree of literal comparisons - a pure projection inside whole-stage
-   codegen, no shuffle, and deterministic when a stage is recomputed;
-3. aggregate per bucket (partial aggregation, one row per bucket leaves
-   each map task) and prefix-sum the tiny result.
+1. sample a bounded number of rows, let Spark sort that sample and take
+   evenly spaced *cut tuples* (their count is a parameter, never a function
+   of the table size);
+2. give every row the index of the bucket between two cuts: the cuts are one
+   sorted array literal and the index is found by a branch-free binary
+   search of log2(#cuts) projection steps - inside whole-stage codegen, no
+   shuffle, deterministic when a stage is recomputed, and the generated code
+   does not depend on the cut values (compiled once, cached);
+3. aggregate per bucket (partial aggregation: one row per bucket leaves each
+   map task) and prefix-sum the small result.
 
 Cuts only decide how work is split, never the result: a bad sample makes a
 bucket larger, not a rank wrong.  Cutting on (key, unique id) tuples splits a
 single hot key value (one third of all rows, say) over many buckets.
+
+Tuples are compared as Spark structs: field by field, NULL below any value,
+NaN above any number - the order of an ascending sort with NULLS FIRST.  A
+key list that is entirely descending (NULLS LAST) is handled by reversing
+the comparison.
 """
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loanscope.functions.expressions import OrderKey
+
+# Largest cut array placed in one search.  The search code is constant-size;
+# the bound keeps the driver-side sample and the literal small.
+MAX_CUTS = 4096
+
+
+def _sql_literal(v, dtype: T.DataType) -> str:
+    """Exact Spark SQL literal text for a Python value of a Spark type."""
+    if v is None:
+        return f"CAST(NULL AS {dtype.simpleString()})"
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        v = float(v)
+        if math.isnan(v):
+            txt = "'NaN'"
+        elif math.isinf(v):
+            txt = "'Infinity'" if v > 0 else "'-Infinity'"
+        else:
+            txt = f"'{v!r}'"
+        return f"CAST({txt} AS {dtype.simpleString()})"
+    if isinstance(dtype, T.LongType):
+        return f"{int(v)}L"
+    if isinstance(dtype, T.IntegerType):
+        return f"CAST({int(v)} AS INT)"
+    if isinstance(dtype, T.ShortType):
+        return f"{int(v)}S"
+    if isinstance(dtype, T.ByteType):
+        return f"{int(v)}Y"
+    if isinstance(dtype, T.BooleanType):
+        return "TRUE" if v else "FALSE"
+    if isinstance(dtype, T.StringType):
+        return f"CAST(X'{str(v).encode('utf-8').hex()}' AS STRING)"
+    if isinstance(dtype, T.DecimalType):
+        return f"CAST('{Decimal(v)}' AS {dtype.simpleString()})"
+    if isinstance(dtype, T.DateType):
+        return f"DATE '{v.isoformat()}'"
+    raise TypeError(f"no literal for {dtype}")
+
+
+class TupleOrder:
+    """A sort order over key columns, compared as one struct.
+
+    All keys ascending with NULLS FIRST, or all descending with NULLS LAST.
+    """
 
-from loanscope.functions.expressions import OrderKey, before
-
-# Largest literal cut list placed in one expression: a balanced tree of 1024
-# two-column comparisons still compiles inside the 64 KB method limit of
-# whole-stage codegen (probed); larger trees fall back to interpreted mode.
-MAX_CUTS = 1024
+    def __init__(self, df: DataFrame, keys: list[OrderKey]):
+        self.keys = keys
+        self.types = [df.schema[k.name].dataType for k in keys]
+        asc = [not k.descending and k.nulls_come_first for k in keys]
+        desc = [k.descending and not k.nulls_come_first for k in keys]
+        if all(asc):
+            self.reverse = False
+        elif all(desc):
+            self.reverse = True
+        else:
+            raise ValueError("keys must be all ASC NULLS FIRST or all DESC NULLS LAST")
 
+    def row(self) -> Column:
+        return F.struct(*[F.col(k.name).alias(f"k{i}") for i, k in enumerate(self.keys)])
 
-def _lit(v) -> Column:
-    if isinstance(v, float):
-        return F.lit(v).cast("double")
-    return F.lit(v)
+    def literal_sql(self, values: tuple) -> str:
+        parts = [f"'k{i}', {_sql_literal(v, t)}" for i, (v, t) in enumerate(zip(values, self.types))]
+        return f"named_struct({', '.join(parts)})"
 
+    def literal(self, values: tuple) -> Column:
+        return F.expr(self.literal_sql(values))
 
-def equal_to(keys: list[OrderKey], values: tuple) -> Column:
-    """Null-safe equality of the row's key tuple with a literal tuple."""
-    expr: Column = F.lit(True)
-    for key, v in zip(keys, values):
-        col = F.col(key.name)
-        expr = expr & (col.isNull() if v is None else col.eqNullSafe(_lit(v)))
-    return expr
+    def array(self, cuts: list[tuple]) -> Column:
+        if not cuts:
+            return F.expr(f"array({self.literal_sql(tuple(None for _ in self.keys))})")
+        return F.expr("array(" + ", ".join(self.literal_sql(c) for c in cuts) + ")")
 
+    def lt(self, a: Column, b: Column) -> Column:
+        """``a`` sorts strictly before ``b``."""
+        return (a > b) if self.reverse else (a < b)
 
-def bucket_index(keys: list[OrderKey], cuts: list[tuple]) -> Column:
-    """Number of cuts that sort at or before the row (0 .. len(cuts)).
+    def before(self, values: tuple) -> Column:
+        return self.lt(self.row(), self.literal(values))
 
-    ``cuts`` must be sorted in ``keys`` order.  Evaluated as a balanced tree,
-    so a row costs log2(len(cuts)) tuple comparisons.
-    """
-    if len(cuts) > MAX_CUTS:
-        raise ValueError(f"{len(cuts)} cuts exceed MAX_CUTS={MAX_CUTS}")
+    def equal(self, values: tuple) -> Column:
+        r, c = self.row(), self.literal(values)
+        return ~(r < c) & ~(r > c)
 
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(before(keys, cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
 
-    return build(0, len(cuts))
+def with_position(df: DataFrame, order: TupleOrder, cuts: list[tuple], out: str, *,
+                  split_equal: bool = False, keep_cuts: str | None = None) -> DataFrame:
+    """Add ``out`` = number of cuts that sort at or before the row (0..len(cuts)).
 
-
-def bucket_code(keys: list[OrderKey], cuts: list[tuple]) -> Column:
-    """Like ``bucket_index`` but separates rows equal to a cut.
-
-    code 2*i     : strictly between cut i-1 and cut i (i = 0: before cut 0)
-    code 2*i - 1 : equal to cut i-1
-    Codes increase with the sort order.  A heavy duplicated value that was
-    sampled becomes its own point bucket, so selection never has to narrow a
-    range consisting of one repeated tuple.
+    With ``split_equal`` the value is a *code*: 2*i for rows strictly between
+    cut i-1 and cut i, 2*i - 1 for rows equal to cut i-1, so rows equal to a
+    sampled tuple (a heavy duplicate) form their own point bucket.
     """
     if len(cuts) > MAX_CUTS:
         raise ValueError(f"{len(cuts)} cuts exceed MAX_CUTS={MAX_CUTS}")
-
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            if lo == 0:
-                return F.lit(0)
-            return F.when(equal_to(keys, cuts[lo - 1]), F.lit(2 * lo - 1)).otherwise(F.lit(2 * lo))
-        mid = (lo + hi) // 2
-        return F.when(before(keys, cuts[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return build(0, len(cuts))
-
-
-def in_range(keys: list[OrderKey], lower: tuple | None, lower_inclusive: bool,
+    n = len(cuts)
+    cuts_col = keep_cuts or f"{out}__cuts"
+    row = order.row()
+    res = df.withColumn(cuts_col, order.array(cuts)).withColumn(out, F.lit(0))
+    step = 1 << max(0, n.bit_length() - 1) if n else 0
+    while step >= 1:
+        nxt = F.col(out) + F.lit(step)
+        take = (nxt <= F.lit(n)) & ~order.lt(row, F.try_element_at(F.col(cuts_col), nxt))
+        res = res.withColumn(out, F.when(take, nxt).otherwise(F.col(out)))
+        step >>= 1
+    if split_equal:
+        at_cut = (F.col(out) >= 1) & ~order.lt(F.try_element_at(F.col(cuts_col), F.col(out)), row)
+        res = res.withColumn(out, F.col(out) * 2 - F.when(at_cut, 1).otherwise(0))
+    return res if keep_cuts else res.drop(cuts_col)
+
+
+def in_range(order: TupleOrder, lower: tuple | None, lower_inclusive: bool,
              upper: tuple | None) -> Column:
     """Row lies in [lower, upper) (or (lower, upper) when not inclusive); None is open."""
     cond: Column = F.lit(True)
+    row = order.row()
     if lower is not None:
-        cond = cond & ~before(keys, lower)
-        if not lower_inclusive:
-            cond = cond & ~equal_to(keys, lower)
+        low = order.literal(lower)
+        cond = cond & (~order.lt(row, low) if lower_inclusive else order.lt(low, row))
     if upper is not None:
-        cond = cond & before(keys, upper)
+        cond = cond & order.lt(row, order.literal(upper))
     return cond
 
 
-def sample_cuts(df: DataFrame, keys: list[OrderKey], n_rows: int, n_cuts: int, *,
-                per_cut: int = 32, seed: int = 17) -> list[tuple]:
-    """Up to ``n_cuts`` distinct cut tuples, evenly spaced in a sorted sample.
+def sample_sorted(df: DataFrame, keys: list[OrderKey], n_rows: int, target: int, *,
+                  seed: int = 17, prefix: list[str] | None = None) -> list:
+    """Bernoulli sample of about ``target`` rows, sorted by Spark in key order.
 
-    The sample is Bernoulli with expected size ``n_cuts * per_cut`` and is
-    hard-bounded by a limit, so what reaches the driver never grows with the
-    table.  Spark sorts the sample, so the tuple order is Spark's own.
+    Hard-bounded by a limit, so what reaches the driver never grows with the
+    table.  ``prefix`` columns (e.g. a group) sort first.
     """
-    n_cuts = max(0, min(n_cuts, MAX_CUTS))
-    if n_cuts == 0 or n_rows <= 0:
+    if n_rows <= 0 or target <= 0:
         return []
-    target = n_cuts * per_cut
     fraction = min(1.0, target / n_rows)
-    names = [k.name for k in keys]
-    sample = df.select(*names)
+    names = (prefix or []) + [k.name for k in keys]
+    s = df.select(*names)
     if fraction < 1.0:
-        sample = sample.sample(withReplacement=False, fraction=fraction, seed=seed)
-    rows = [tuple(r) for r in sample.orderBy(*[k.sort_col() for k in keys]).limit(4 * target).collect()]
-    return pick_cuts(rows, n_cuts)
+        s = s.sample(withReplacement=False, fraction=fraction, seed=seed)
+    order = [F.col(p).asc() for p in (prefix or [])] + [k.sort_col() for k in keys]
+    return s.orderBy(*order).limit(4 * target).collect()
 
 
 def pick_cuts(sorted_rows: list[tuple], n_cuts: int) -> list[tuple]:
@@ -125,22 +179,24 @@ def pick_cuts(sorted_rows: list[tuple], n_cuts: int) -> list[tuple]:
     m = len(sorted_rows)
     if m == 0 or n_cuts <= 0:
         return []
+    n_cuts = min(n_cuts, MAX_CUTS)
     cuts: list[tuple] = []
     for i in range(1, n_cuts + 1):
         pos = (i * m) // (n_cuts + 1)
         if pos >= m:
             break
         t = sorted_rows[pos]
-        if not cuts or not _same(cuts[-1], t):
+        if not cuts or not same_tuple(cuts[-1], t):
             cuts.append(t)
     return cuts
 
 
-def _same(a: tuple, b: tuple) -> bool:
+def same_tuple(a: tuple, b: tuple) -> bool:
+    """Equality as Spark's sort sees it: NULL = NULL, NaN = NaN."""
     for x, y in zip(a, b):
         if x is None or y is None:
             if not (x is None and y is None):
                 return False
-        elif x != y and not (x != x and y != y):  # NaN equals NaN in Spark's order
+        elif x != y and not (x != x and y != y):
             return False
     return True

@@ -25,12 +25,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanscope.functions.expressions import OrderKey
-from loanscope.operators.positional import MAX_CUTS, _lit, _same, bucket_index, pick_cuts
+from loanscope.operators.positional import (
+    MAX_CUTS,
+    TupleOrder,
+    pick_cuts,
+    same_tuple,
+    sample_sorted,
+    with_position,
+)
 
 SMALL_ROWS = 2_000_000
 
@@ -76,27 +83,25 @@ def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[s
                                  max_cuts, per_cut, rows_per_bucket, seed)
 
 
-def _group_eq(group: str, g) -> Column:
-    return F.col(group).isNull() if g is None else F.col(group).eqNullSafe(_lit(g))
-
-
 def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_prefix,
                           max_cuts, per_cut, rows_per_bucket, seed) -> DataFrame:
     spark: SparkSession = df.sparkSession
-    keys = [OrderKey(value, descending=True), OrderKey(tie)]
+    # One descending order over (group, value, -tie): equal to (value DESC NULLS
+    # LAST, tie ASC) inside a group, so one sorted cut array serves every group
+    # and a light group (no cuts of its own) lands in a single bucket.
+    neg = "__neg_tie"
+    work = df.withColumn(neg, -F.col(tie))
+    keys = [OrderKey(group, descending=True), OrderKey(value, descending=True),
+            OrderKey(neg, descending=True)]
+    order = TupleOrder(work, keys)
     max_cuts = max(1, min(max_cuts, MAX_CUTS))
 
     # 1. bounded sample -> cut tuples for heavy groups only
-    target = max_cuts * per_cut
-    fraction = min(1.0, target / max(n, 1))
-    sample = df.select(group, value, tie)
-    if fraction < 1.0:
-        sample = sample.sample(withReplacement=False, fraction=fraction, seed=seed)
-    rows = (sample.orderBy(F.col(group).asc(), *[k.sort_col() for k in keys])
-            .limit(4 * target).collect())
+    rows = sample_sorted(work, keys, n, max_cuts * per_cut, seed=seed)
+    fraction = min(1.0, max_cuts * per_cut / max(n, 1))
     by_group: dict = {}
     for r in rows:
-        by_group.setdefault(r[group], []).append((r[value], r[tie]))
+        by_group.setdefault(r[group], []).append((r[group], r[value], r[neg]))
     want = {}
     for g, srows in by_group.items():
         est = len(srows) / fraction
@@ -105,44 +110,38 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     total = sum(want.values())
     if total > max_cuts:
         want = {g: max(1, (m * max_cuts) // total) for g, m in want.items()}
-    cuts = {g: pick_cuts(by_group[g], m) for g, m in want.items() if m > 0}
-    cuts = {g: c for g, c in cuts.items() if c}
+    cuts: list[tuple] = []
+    heavy = []
+    for g in by_group:                       # sample order = key order
+        if want.get(g, 0) > 0:
+            picked = pick_cuts(by_group[g], want[g])
+            if picked:
+                heavy.append(g)
+                cuts.extend(picked)
     if not cuts:
         return ranked_peers(df, group, value, tie, tuple(lead_cols[2:]), rank_name=rank_name,
                             next_prefix=next_prefix, strategy="builtin")
 
-    # 2. bucket index and "equals the value of my bucket's upper cut" per row
-    bucket = None
-    at_upper = None
-    for g, cl in cuts.items():
-        cond = _group_eq(group, g)
-        b = bucket_index(keys, cl)
-        bucket = F.when(cond, b) if bucket is None else bucket.when(cond, b)
-    bucket = bucket.otherwise(F.lit(0))
-    bcol = F.col("__bucket")
-    for g, cl in cuts.items():
-        cond = _group_eq(group, g)
-        arr = F.array(*[_lit(c[0]) if c[0] is not None else F.lit(None).cast(df.schema[value].dataType)
-                        for c in cl])
-        up = F.when(bcol < F.lit(len(cl)), F.col(value).eqNullSafe(F.element_at(arr, bcol + 1)))
-        at_upper = F.when(cond, up) if at_upper is None else at_upper.when(cond, up)
-    at_upper = F.coalesce(at_upper.otherwise(F.lit(False)), F.lit(False))
-
-    bucketed = df.withColumn("__bucket", bucket.cast("int"))
-    heavy = list(cuts.keys())
+    # 2. bucket = position among the cuts; flag rows equal (group, value) to
+    #    the cut just above their bucket (the value that may straddle it)
+    bucketed = with_position(work, order, cuts, "__bucket", keep_cuts="__cuts")
+    upper = F.try_element_at(F.col("__cuts"), F.col("__bucket") + 1)
+    at_upper = F.coalesce((F.col("__bucket") < F.lit(len(cuts)))
+                          & upper["k0"].eqNullSafe(F.col(group))
+                          & upper["k1"].eqNullSafe(F.col(value)), F.lit(False))
+    bucketed = bucketed.withColumn("__at_upper", at_upper).drop("__cuts")
     heavy_cond = None
     for g in heavy:
-        c = _group_eq(group, g)
+        c = F.col(group).isNull() if g is None else F.col(group).eqNullSafe(F.lit(g))
         heavy_cond = c if heavy_cond is None else heavy_cond | c
 
     # 3. per-bucket statistics over the heavy groups (bounded by the cut budget)
     first_row = F.struct(*[F.col(c).alias(c) for c in lead_cols])
-    order_key = F.struct(F.col(value), (-F.col(tie)).alias("__neg_tie"))
     stats = (bucketed.filter(heavy_cond)
              .groupBy(group, "__bucket")
              .agg(F.count(F.lit(1)).alias("cnt"),
-                  F.sum(F.when(at_upper, 1).otherwise(0)).alias("n_at_upper"),
-                  F.max_by(first_row, order_key).alias("first_row"))
+                  F.sum(F.when(F.col("__at_upper"), 1).otherwise(0)).alias("n_at_upper"),
+                  F.max_by(first_row, F.struct(F.col(value), F.col(neg))).alias("first_row"))
              .collect())
     per_group: dict = {}
     for r in stats:
@@ -150,17 +149,16 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     stat_rows = []
     for g, lst in per_group.items():
         lst.sort(key=lambda r: r["__bucket"])
-        cl = cuts[g]
         offset = 0
         for i, r in enumerate(lst):
             b = r["__bucket"]
-            has_cv = b >= 1
-            cv = cl[b - 1][0] if has_cv else None
+            has_cv = b >= 1 and same_tuple((cuts[b - 1][0],), (g,))
+            cv = cuts[b - 1][1] if has_cv else None
             carry_n = 0
             if has_cv:
                 for prev in lst[:i]:
                     pb = prev["__bucket"]
-                    if pb < len(cl) and _same((cl[pb][0],), (cv,)):
+                    if pb < len(cuts) and same_tuple((cuts[pb][1],), (cv,)):
                         carry_n += prev["n_at_upper"]
             nxt = lst[i + 1]["first_row"] if i + 1 < len(lst) else None
             stat_rows.append((g, b, offset, carry_n, has_cv, cv,
@@ -178,10 +176,10 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     ])
     stats_df = spark.createDataFrame(stat_rows, stats_schema)
 
-    # 4. bucket-local window + broadcast offsets (stats rows <= cuts + heavy groups)
-    w = Window.partitionBy(group, "__bucket").orderBy(*[k.sort_col() for k in keys])
+    # 4. bucket-local window + broadcast offsets (rows <= cuts + heavy groups)
+    w = Window.partitionBy(group, "__bucket").orderBy(F.col(value).desc(), F.col(tie).asc())
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = (bucketed
+    local = (bucketed.drop("__at_upper")
              .withColumn("__rn", F.row_number().over(w))
              .withColumn("__prev", F.lag(value).over(w))
              .withColumn("__lead", F.lead(first_row).over(w)))
@@ -189,7 +187,7 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
         "__start", F.when((F.col("__rn") == 1) | ~F.col(value).eqNullSafe(F.col("__prev")), F.col("__rn")))
     local = local.withColumn("__run", F.max("__start").over(w_run))
     joined = local.join(F.broadcast(stats_df), on=[group, "__bucket"], how="left")
-    carry_applies = (F.col("__has_cv") & (F.col("__run") == 1)
+    carry_applies = (F.coalesce(F.col("__has_cv"), F.lit(False)) & (F.col("__run") == 1)
                      & F.col(value).eqNullSafe(F.col("__cv")))
     rank = (F.coalesce(F.col("__offset"), F.lit(0)) + F.col("__run")
             - F.when(carry_applies, F.col("__carry")).otherwise(F.lit(0)))
@@ -198,5 +196,4 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     for c in lead_cols:
         out = out.withColumn(f"{next_prefix}{c}", nxt[c])
     out = out.withColumn(rank_name, rank.cast("bigint"))
-    return out.drop("__bucket", "__rn", "__prev", "__lead", "__start", "__run", "__offset",
-                    "__carry", "__has_cv", "__cv", "__next_first")
+    return out.select(*df.columns, *[f"{next_prefix}{c}" for c in lead_cols], rank_name)

@@ -2,16 +2,17 @@
 
 ``select_positions`` returns the key tuples found at given 0-based positions
 of a total order without sorting the table.  Each round samples cut tuples
-inside the ranges that still hold a wanted position, counts rows per bucket
-in one aggregation job and keeps only the buckets holding a target; a range
-whose rows all equal a sampled tuple resolves at once (point bucket).  When a
-range is small enough (``max_candidates`` rows, a parameter), one window job
-numbers its rows, partitioned by range, and only the wanted rows reach the
-driver.
-
-Cost: one count, then per round one sample job (bounded) and one
-aggregation over the key columns; each round divides the candidate range by
-about ``fanout``.  Nothing of size proportional to the table is collected.
+inside the ranges that still hold a wanted position (one stratified sample),
+numbers the buckets between them with one binary search over a sorted cut
+array, counts rows per bucket in one aggregation and keeps only the buckets
+holding a target.  Rows equal to a sampled tuple form a point bucket, so a
+range made of one repeated tuple resolves at once.  When a range is small
+enough (``max_candidates`` rows, a parameter) one window job numbers its
+rows, partitioned by range, and only the wanted rows reach the driver.
+
+Cost: one count, then per round one bounded sample and one aggregation over
+the key columns; each round divides a candidate range by about ``fanout``.
+Nothing proportional to the table is collected.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanscope.functions.expressions import OrderKey
-from loanscope.operators.positional import MAX_CUTS, bucket_code, in_range, pick_cuts
+from loanscope.operators.positional import MAX_CUTS, TupleOrder, in_range, pick_cuts, with_position
 
 
 @dataclass
@@ -36,25 +37,23 @@ class _Range:
     targets: list[int] = field(default_factory=list)
     point: bool = False              # every row equals ``lower``: already resolved
 
-    def cond(self, keys: list[OrderKey]) -> Column:
-        return in_range(keys, self.lower, self.lower_inclusive, self.upper)
 
-
-def _range_id(keys: list[OrderKey], ranges: list[_Range]) -> Column:
+def _range_id(order: TupleOrder, ranges: list[_Range]) -> Column:
     expr = None
     for i, r in enumerate(ranges):
-        c = r.cond(keys)
+        c = in_range(order, r.lower, r.lower_inclusive, r.upper)
         expr = F.when(c, F.lit(i)) if expr is None else expr.when(c, F.lit(i))
     return expr  # NULL outside every range
 
 
 def select_positions(df: DataFrame, keys: list[OrderKey], positions: list[int], *,
                      n: int | None = None, fanout: int = 256,
-                     max_candidates: int = 500_000, per_cut: int = 32,
+                     max_candidates: int = 500_000, per_cut: int = 16,
                      seed: int = 29, max_rounds: int = 24) -> dict[int, tuple]:
     """Map each wanted position to the key tuple at that position."""
     names = [k.name for k in keys]
     base = df.select(*names)
+    order = TupleOrder(base, keys)
     if n is None:
         n = base.count()
     wanted = sorted(set(int(p) for p in positions))
@@ -68,43 +67,45 @@ def select_positions(df: DataFrame, keys: list[OrderKey], positions: list[int],
         big = [r for r in active if not r.point and r.count > max_candidates]
         small = [r for r in active if r.point or r.count <= max_candidates]
         if small:
-            results.update(_finish(base, keys, small))
+            results.update(_finish(base, order, small))
         if not big:
             break
         rounds += 1
         if rounds > max_rounds:
             # Still exact, only slower: number the remaining ranges directly.
-            results.update(_finish(base, keys, big))
+            results.update(_finish(base, order, big))
             break
-        active = _narrow(base, keys, big, fanout, per_cut, seed + rounds)
+        active = _narrow(base, order, big, fanout, per_cut, seed + rounds)
     return results
 
 
-def _narrow(base: DataFrame, keys: list[OrderKey], ranges: list[_Range],
+def _narrow(base: DataFrame, order: TupleOrder, ranges: list[_Range],
             fanout: int, per_cut: int, seed: int) -> list[_Range]:
-    rid = _range_id(keys, ranges)
-    tagged = base.withColumn("__rid", rid).filter(F.col("__rid").isNotNull())
-    # One stratified sample for all ranges, bounded per range.
+    names = [k.name for k in order.keys]
+    tagged = base.withColumn("__rid", _range_id(order, ranges)).filter(F.col("__rid").isNotNull())
+    # One stratified sample for all ranges, expected fanout*per_cut rows each.
     fractions = {i: min(1.0, fanout * per_cut / max(r.count, 1)) for i, r in enumerate(ranges)}
-    sorted_sample = (tagged.sampleBy("__rid", fractions, seed)
-                     .orderBy(F.col("__rid"), *[k.sort_col() for k in keys])
-                     .limit(4 * fanout * per_cut * len(ranges))
-                     .collect())
+    sample = (tagged.sampleBy("__rid", fractions, seed)
+              .orderBy(F.col("__rid"), *[k.sort_col() for k in order.keys])
+              .limit(4 * fanout * per_cut * len(ranges))
+              .collect())
     per_range: dict[int, list[tuple]] = {i: [] for i in range(len(ranges))}
-    for row in sorted_sample:
-        per_range[row["__rid"]].append(tuple(row[nm] for nm in [k.name for k in keys]))
+    for row in sample:
+        per_range[row["__rid"]].append(tuple(row[nm] for nm in names))
     cuts = {i: pick_cuts(per_range[i], fanout) for i in per_range}
-
-    code = None
+    # Ranges are disjoint and ordered, so their cut lists concatenate into one
+    # sorted array; a row's code is then shifted by the cuts of earlier ranges.
+    all_cuts: list[tuple] = []
+    first_cut: dict[int, int] = {}
     for i in range(len(ranges)):
-        c = bucket_code(keys, cuts[i])
-        cond = F.col("__rid") == F.lit(i)
-        code = F.when(cond, c) if code is None else code.when(cond, c)
-    hist = (tagged.select(F.col("__rid"), code.alias("__code"))
-            .groupBy("__rid", "__code").count().collect())
+        first_cut[i] = len(all_cuts)
+        all_cuts.extend(cuts[i])
+    coded = with_position(tagged, order, all_cuts, "__code", split_equal=True)
+    hist = coded.groupBy("__rid", "__code").count().collect()
     by_range: dict[int, list[tuple[int, int]]] = {i: [] for i in range(len(ranges))}
     for row in hist:
-        by_range[row["__rid"]].append((row["__code"], row["count"]))
+        i = row["__rid"]
+        by_range[i].append((row["__code"] - 2 * first_cut[i], row["count"]))
 
     nxt: list[_Range] = []
     for i, r in enumerate(ranges):
@@ -126,7 +127,7 @@ def _narrow(base: DataFrame, keys: list[OrderKey], ranges: list[_Range],
     return nxt
 
 
-def _finish(base: DataFrame, keys: list[OrderKey], ranges: list[_Range]) -> dict[int, tuple]:
+def _finish(base: DataFrame, order: TupleOrder, ranges: list[_Range]) -> dict[int, tuple]:
     out: dict[int, tuple] = {}
     todo = []
     for r in ranges:
@@ -137,18 +138,17 @@ def _finish(base: DataFrame, keys: list[OrderKey], ranges: list[_Range]) -> dict
             todo.append(r)
     if not todo:
         return out
-    rid = _range_id(keys, todo)
     offset = None
     for i, r in enumerate(todo):
         cond = F.col("__rid") == F.lit(i)
         offset = F.when(cond, F.lit(r.offset)) if offset is None else offset.when(cond, F.lit(r.offset))
     wanted = sorted(t for r in todo for t in r.targets)
-    w = Window.partitionBy("__rid").orderBy(*[k.sort_col() for k in keys])
-    rows = (base.withColumn("__rid", rid).filter(F.col("__rid").isNotNull())
+    w = Window.partitionBy("__rid").orderBy(*[k.sort_col() for k in order.keys])
+    rows = (base.withColumn("__rid", _range_id(order, todo)).filter(F.col("__rid").isNotNull())
             .withColumn("__pos", offset.cast("bigint") + F.row_number().over(w) - 1)
             .filter(F.col("__pos").isin(wanted))
             .collect())
-    names = [k.name for k in keys]
+    names = [k.name for k in order.keys]
     for row in rows:
         out[row["__pos"]] = tuple(row[nm] for nm in names)
     return out

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanscope.functions.expressions import OrderKey, cap, pct
-from loanscope.operators.positional import bucket_index
+from loanscope.operators.positional import TupleOrder, with_position
 from loanscope.operators.selection import select_positions
 
 # Row count up to which the built-in single-task window is used under "auto".
@@ -57,7 +57,8 @@ def assign_tiers(df: DataFrame, keys: list[OrderKey], k: int, *, out: str = "tie
     starts = ntile_starts(n, k)
     found = select_positions(df, keys, starts, n=n, **select_kw)
     cuts = [found[s] for s in starts]
-    return df.withColumn(out, (bucket_index(keys, cuts) + F.lit(1)).cast("bigint"))
+    tiered = with_position(df, TupleOrder(df, keys), cuts, out)
+    return tiered.withColumn(out, (F.col(out) + F.lit(1)).cast("bigint"))
 
 
 def tier(df: DataFrame, column: str = "utilization", k: int = 5, *, cap_at: float | None = 2.0,
