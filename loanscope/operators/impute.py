@@ -1,15 +1,24 @@
 """Impute-and-stage: median and mode fill-in, invalid rows dropped.
 
 The fill values come from the **raw** rows (before the row filter), as in the
-original process.  Built-in path: one-row statistics frames (``median`` and
-the mode) attached with a broadcast cross join - a one-row side has a proven
-size.  Scale path: the median by exact selection (``exact_percentile``), so no
-task ever holds a map of all distinct values; the mode is always a grouped
-count (map-side combined) reduced by ``min_by`` to one row.
+original process.  They are computed once - a median per column and a mode
+per column, in one small job - and attached as literals, so the clean frame
+is a pure projection + filter of the raw scan and every later job over it
+reads the table once, without re-running the statistics (the same split as
+Spark ML's ``Imputer``: fit values, then transform).  ``attach="join"``
+instead keeps the statistics lazy as a one-row frame joined with a broadcast
+cross join (a one-row side has a proven size).
+
+Median: built-in ``median`` while the input is small; above that exact
+selection (``exact_percentile``), so no task ever holds a map of all distinct
+values.  Mode: a grouped count (map-side combined) reduced by ``min_by`` to
+one row - always one row, NULL when the column is all NULL.
 """
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,51 +28,66 @@ SMALL_ROWS = 2_000_000
 
 
 def mode_frame(df: DataFrame, column: str, alias: str) -> DataFrame:
-    """One row: most frequent non-NULL value; ties go to the lowest value.
-
-    A global aggregate always yields one row (NULL when the column is all
-    NULL), so attaching it never drops rows the way an empty TOP 1 would.
-    """
+    """One row: most frequent non-NULL value; ties go to the lowest value."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).count()
     return counts.agg(F.min_by(F.col(column), F.struct(-F.col("count"), F.col(column))).alias(alias))
 
 
+def stats_frame(df: DataFrame, median_cols: list[str], mode_cols: list[str]) -> DataFrame | None:
+    """One-row frame with ``__median_<c>`` (built-in median) and ``__mode_<c>``."""
+    stats = None
+    if median_cols:
+        stats = df.agg(*[F.median(F.col(c).cast("double")).alias(f"__median_{c}") for c in median_cols])
+    for c in mode_cols:
+        m = mode_frame(df, c, f"__mode_{c}")
+        stats = m if stats is None else stats.crossJoin(m)
+    return stats
+
+
 def fill_values(df: DataFrame, median_cols: list[str], mode_cols: list[str], *,
-                strategy: str = "auto", small_rows: int = SMALL_ROWS, **select_kw) -> DataFrame:
-    """One-row frame with ``__median_<c>`` and ``__mode_<c>`` columns."""
+                strategy: str = "auto", small_rows: int = SMALL_ROWS, **select_kw) -> dict[str, Any]:
+    """``{"__median_<c>": float | None, "__mode_<c>": value | None}``."""
     if strategy not in ("auto", "builtin", "select"):
         raise ValueError(f"unknown strategy {strategy}")
-    if strategy == "auto":
+    if strategy == "auto" and median_cols:
         strategy = "builtin" if df.count() <= small_rows else "select"
-    if strategy == "builtin" or not median_cols:
-        stats = df.agg(*[F.median(F.col(c).cast("double")).alias(f"__median_{c}") for c in median_cols]) \
-            if median_cols else None
+    if strategy == "select":
+        values = {f"__median_{c}": exact_percentile(df, c, 0.5, **select_kw) for c in median_cols}
+        rest = stats_frame(df, [], mode_cols)
     else:
-        vals = {c: exact_percentile(df, c, 0.5, **select_kw) for c in median_cols}
-        stats = df.sparkSession.range(1).select(
-            *[F.lit(vals[c]).cast("double").alias(f"__median_{c}") for c in median_cols])
-    for c in mode_cols:
-        m = mode_frame(df, c, f"__mode_{c}")
-        stats = m if stats is None else stats.crossJoin(m)
-    return stats
+        values = {}
+        rest = stats_frame(df, median_cols, mode_cols)
+    if rest is not None:
+        values.update(rest.first().asDict())
+    return values
 
 
 def impute(df: DataFrame, median_cols: list[str], mode_cols: list[str], *,
            keep: Column | None = None, columns: list[str] | None = None,
-           strategy: str = "auto", **kw) -> DataFrame:
+           strategy: str = "auto", attach: str = "literal", **kw) -> DataFrame:
     """Clean frame: NULLs in ``median_cols`` -> median (as DOUBLE), in ``mode_cols``
     -> mode, rows failing ``keep`` dropped (NULL counts as failing), ``columns`` kept."""
     columns = columns or df.columns
-    stats = fill_values(df, median_cols, mode_cols, strategy=strategy, **kw)
-    joined = df.crossJoin(F.broadcast(stats)) if stats is not None else df
+    if attach == "join":
+        stats = stats_frame(df, median_cols, mode_cols)
+        src = df.crossJoin(F.broadcast(stats)) if stats is not None else df
+        fill = {c: F.col(f"__median_{c}") for c in median_cols}
+        fill.update({c: F.col(f"__mode_{c}") for c in mode_cols})
+    elif attach == "literal":
+        values = fill_values(df, median_cols, mode_cols, strategy=strategy, **kw)
+        src = df
+        fill = {c: F.lit(values[f"__median_{c}"]).cast("double") for c in median_cols}
+        fill.update({c: F.lit(values[f"__mode_{c}"]).cast(df.schema[c].dataType) for c in mode_cols})
+    else:
+        raise ValueError(f"unknown attach {attach}")
     if keep is not None:
-        joined = joined.filter(keep)
+        src = src.filter(keep)
     out = []
     for c in columns:
         if c in median_cols:
-            out.append(F.coalesce(F.col(c).cast("double"), F.col(f"__median_{c}")).alias(c))
+            out.append(F.coalesce(F.col(c).cast("double"), fill[c]).alias(c))
         elif c in mode_cols:
-            out.append(F.coalesce(F.col(c), F.col(f"__mode_{c}")).alias(c))
+            out.append(F.coalesce(F.col(c), fill[c]).alias(c))
         else:
             out.append(F.col(c))
-    return joined.select(*out)
+    return src.select(*out)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loanscope.functions.expressions import pct
 from loanscope.functions.segments import Segmentation
+from loanscope.operators.common import sort_small
 
 
 def segment_counts(df: DataFrame, seg: Segmentation, flag: str = "default_flag") -> DataFrame:
@@ -29,4 +30,4 @@ def segment_rates(df: DataFrame, seg: Segmentation, flag: str = "default_flag")
     counts = segment_counts(df, seg, flag)
     return (counts.select(seg.name, seg.order_name, "borrowers", "defaults",
                           pct("defaults", "borrowers").cast("double").alias("default_rate_pct"))
-            .orderBy(seg.order_name))
+            .transform(lambda d: sort_small(d, seg.order_name)))

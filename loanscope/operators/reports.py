@@ -21,6 +21,7 @@ from loanscope.functions.expressions import (
     trend_label,
 )
 from loanscope.functions.segments import Segmentation
+from loanscope.operators.common import sort_small
 from loanscope.operators.rates import segment_counts
 
 
@@ -39,7 +40,7 @@ def trend(df: DataFrame, seg: Segmentation, flag: str = "default_flag") -> DataF
         (F.col("defaults") - F.col("prev_defaults")).alias("defaults_change"),
         F.round(F.col("__rate") - F.col("__prev_rate"), 2).cast("double").alias("rate_change"),
         trend_label(F.col("defaults") - F.col("prev_defaults"), "prev_defaults").alias("trend"),
-    ).orderBy(seg.order_name))
+    ).transform(lambda d: sort_small(d, seg.order_name)))
 
 
 def concentration(df: DataFrame, seg: Segmentation, flag: str = "default_flag", *,
@@ -66,7 +67,7 @@ def concentration(df: DataFrame, seg: Segmentation, flag: str = "default_flag",
         F.lit(100.0).alias("default_share_pct"),
         F.lit(FLAG_TOTAL).alias("concentration_flag"),
     )
-    return bands.unionByName(total).orderBy(seg.order_name)
+    return sort_small(bands.unionByName(total), seg.order_name)
 
 
 def concentration_gap(df: DataFrame, seg: Segmentation, flag: str = "default_flag") -> DataFrame:
@@ -76,7 +77,8 @@ def concentration_gap(df: DataFrame, seg: Segmentation, flag: str = "default_fla
     b = pct(F.col("borrowers"), F.sum("borrowers").over(everything))
     d = pct(F.col("defaults"), F.sum("defaults").over(everything))
     return counts.select(seg.name, seg.order_name,
-                         (d - b).cast("double").alias("gap_points")).orderBy(seg.order_name)
+                         (d - b).cast("double").alias("gap_points")).transform(
+        lambda f: sort_small(f, seg.order_name))
 
 
 def gap_audit(df: DataFrame, column: str, edges) -> DataFrame:
@@ -115,7 +117,7 @@ def bucket_extremes(df: DataFrame, seg: Segmentation) -> DataFrame:
                  F.min("__x").alias(f"min_{seg.source}"),
                  F.max("__x").alias(f"max_{seg.source}"))
             .withColumn(seg.order_name, seg.order())
-            .orderBy(seg.order_name))
+            .transform(lambda d: sort_small(d, seg.order_name)))
 
 
 def segment_spread(rates: DataFrame, label: str, order: str, name: str) -> DataFrame:

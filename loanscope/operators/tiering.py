@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanscope.functions.expressions import OrderKey, cap, pct
+from loanscope.operators.common import sort_small
 from loanscope.operators.positional import TupleOrder, with_position
 from loanscope.operators.selection import select_positions
 
@@ -84,4 +85,4 @@ def tier_summary(df: DataFrame, column: str = "utilization", k: int = 5, *,
         F.sum(F.col(flag).cast("int")).cast("bigint").alias("defaults"),
     )
     return (agg.withColumn("default_rate_pct", pct("defaults", "borrowers").cast("double"))
-            .orderBy(out))
+            .transform(lambda d: sort_small(d, out)))

@@ -14,6 +14,7 @@ from loanscope.functions.expressions import TREND_BASELINE, pct, trend_label
 from loanscope.functions.segments import AGE_BANDS, LEGACY_RATIO_EDGES, RATIO_BUCKETS
 from loanscope.operators import impute as _impute
 from loanscope.operators import quality, ranking, reports, tiering
+from loanscope.operators.common import sort_small
 from loanscope.operators.rates import segment_rates
 from loanscope.operators.selection import exact_percentile
 from loanscope.sources.loanbook import CLEAN_COLUMNS
@@ -70,7 +71,7 @@ def tier_top(clean: DataFrame, *, strategy: str = "auto", **kw) -> DataFrame:
     top = ranking.top_per_group(t, "risk_tier", "utilization", TOP_PER_TIER, out="util_rank")
     return (top.select("risk_tier", "loan_id", F.col("utilization").alias("raw_utilization"),
                        "utilization_capped", "default_flag", "util_rank")
-            .orderBy("risk_tier", "util_rank", "loan_id"))
+            .transform(lambda d: sort_small(d, "risk_tier", "util_rank", "loan_id")))
 
 
 def cohort_trend(clean: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def volume_rate_split(clean: DataFrame) -> DataFrame:
             .withColumn("diverges", F.when(
                 (F.col("volume_direction") != F.lit(TREND_BASELINE))
                 & (F.col("volume_direction") != F.col("rate_direction")), 1).otherwise(0).cast("bigint"))
-            .orderBy("age_band_order"))
+            .transform(lambda d: sort_small(d, "age_band_order")))
 
 
 def exact_median_income(raw: DataFrame, **kw) -> DataFrame:

@@ -83,12 +83,23 @@ def test_mode_ties_go_to_lowest_value(spark):
     assert impute.mode_frame(df, "dependents", "m").first().m == 1
 
 
-def test_mode_of_all_null_keeps_rows(spark):
+@pytest.mark.parametrize("attach", ["literal", "join"])
+def test_mode_of_all_null_keeps_rows(spark, attach):
     df = spark.createDataFrame([(1, None), (2, None)], "loan_id bigint, dependents bigint")
-    out = impute.impute(df, [], ["dependents"], strategy="builtin")
+    out = impute.impute(df, [], ["dependents"], strategy="builtin", attach=attach)
     assert out.count() == 2 and out.filter(F.col("dependents").isNull()).count() == 2
 
 
+def test_join_and_literal_attach_agree(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i * 10, None if i % 4 == 0 else i % 3, 30 + i)
+                                for i in range(40)], "loan_id bigint, inc bigint, dep bigint, age bigint")
+    a = impute.impute(df, ["inc"], ["dep"], keep=F.col("age") != 35, attach="join", strategy="builtin")
+    b = impute.impute(df, ["inc"], ["dep"], keep=F.col("age") != 35, attach="literal", strategy="builtin")
+    assert a.count() == 39 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+
+
 @pytest.mark.parametrize("strategy", ["builtin", "select"])
 def test_even_count_median_and_imputation(spark, strategy):
     rows = [(1, 0, 10, 0, 30, 0.1, 0.1, 0), (2, 0, 20, 1, 30, 0.1, 0.1, 0),

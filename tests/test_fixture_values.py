@@ -65,7 +65,7 @@ def test_profile(books, sf):
 def test_median_from_raw_rows(books, sf, strategy):
     raw, _ = books[sf]
     stats = fill_values(raw, ["monthly_income"], ["dependents"], strategy=strategy,
-                        fanout=16, max_candidates=200).first()
+                        fanout=16, max_candidates=200)
     assert stats["__median_monthly_income"] == MEDIAN[sf]
     assert stats["__mode_dependents"] == 0
 
