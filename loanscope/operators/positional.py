@@ -18,10 +18,9 @@ Cuts only decide how work is split, never the result: a bad sample makes a
 bucket larger, not a rank wrong.  Cutting on (key, unique id) tuples splits a
 single hot key value (one third of all rows, say) over many buckets.
 
-Tuples are compared as Spark structs: field by field, NULL below any value,
-NaN above any number - the order of an ascending sort with NULLS FIRST.  A
-key list that is entirely descending (NULLS LAST) is handled by reversing
-the comparison.
+Tuples are compared column by column against one primitive array literal per
+key column, with each key's direction and NULL placement; NaN sorts above
+every number and equals itself, as in Spark's sort.
 """
 
 from __future__ import annotations
@@ -73,48 +72,47 @@ def _sql_literal(v, dtype: T.DataType) -> str:
 
 
 class TupleOrder:
-    """A sort order over key columns, compared as one struct.
-
-    All keys ascending with NULLS FIRST, or all descending with NULLS LAST.
-    """
+    """A sort order over key columns (each with its own direction and NULL
+    placement), compared column by column on primitive values."""
 
     def __init__(self, df: DataFrame, keys: list[OrderKey]):
         self.keys = keys
         self.types = [df.schema[k.name].dataType for k in keys]
-        asc = [not k.descending and k.nulls_come_first for k in keys]
-        desc = [k.descending and not k.nulls_come_first for k in keys]
-        if all(asc):
-            self.reverse = False
-        elif all(desc):
-            self.reverse = True
-        else:
-            raise ValueError("keys must be all ASC NULLS FIRST or all DESC NULLS LAST")
-
-    def row(self) -> Column:
-        return F.struct(*[F.col(k.name).alias(f"k{i}") for i, k in enumerate(self.keys)])
-
-    def literal_sql(self, values: tuple) -> str:
-        parts = [f"'k{i}', {_sql_literal(v, t)}" for i, (v, t) in enumerate(zip(values, self.types))]
-        return f"named_struct({', '.join(parts)})"
 
-    def literal(self, values: tuple) -> Column:
-        return F.expr(self.literal_sql(values))
-
-    def array(self, cuts: list[tuple]) -> Column:
-        if not cuts:
-            return F.expr(f"array({self.literal_sql(tuple(None for _ in self.keys))})")
-        return F.expr("array(" + ", ".join(self.literal_sql(c) for c in cuts) + ")")
-
-    def lt(self, a: Column, b: Column) -> Column:
-        """``a`` sorts strictly before ``b``."""
-        return (a > b) if self.reverse else (a < b)
+    def row(self) -> list[Column]:
+        return [F.col(k.name) for k in self.keys]
+
+    def literal(self, values: tuple) -> list[Column]:
+        return [F.expr(_sql_literal(v, t)) for v, t in zip(values, self.types)]
+
+    def arrays(self, cuts: list[tuple]) -> list[Column]:
+        """One array literal per key column (cut tuples transposed)."""
+        cols = []
+        for i, t in enumerate(self.types):
+            vals = [c[i] for c in cuts] or [None]
+            cols.append(F.expr("array(" + ", ".join(_sql_literal(v, t) for v in vals) + ")"))
+        return cols
+
+    def lt(self, a: list[Column], b: list[Column]) -> Column:
+        """Tuple ``a`` sorts strictly before tuple ``b``; never NULL."""
+        expr: Column = F.lit(False)
+        for key, x, y in reversed(list(zip(self.keys, a, b))):
+            strict = F.coalesce((x > y) if key.descending else (x < y), F.lit(False))
+            if key.nulls_come_first:
+                less = (x.isNull() & y.isNotNull()) | strict
+            else:
+                less = (x.isNotNull() & y.isNull()) | strict
+            expr = less | (x.eqNullSafe(y) & expr)
+        return expr
 
     def before(self, values: tuple) -> Column:
         return self.lt(self.row(), self.literal(values))
 
     def equal(self, values: tuple) -> Column:
-        r, c = self.row(), self.literal(values)
-        return ~(r < c) & ~(r > c)
+        expr: Column = F.lit(True)
+        for x, y in zip(self.row(), self.literal(values)):
+            expr = expr & x.eqNullSafe(y)
+        return expr
 
 
 def with_position(df: DataFrame, order: TupleOrder, cuts: list[tuple], out: str, *,
@@ -124,23 +122,33 @@ def with_position(df: DataFrame, order: TupleOrder, cuts: list[tuple], out: str,
     With ``split_equal`` the value is a *code*: 2*i for rows strictly between
     cut i-1 and cut i, 2*i - 1 for rows equal to cut i-1, so rows equal to a
     sampled tuple (a heavy duplicate) form their own point bucket.
+    ``keep_cuts`` keeps the per-key cut arrays as columns ``<keep_cuts><i>``.
     """
     if len(cuts) > MAX_CUTS:
         raise ValueError(f"{len(cuts)} cuts exceed MAX_CUTS={MAX_CUTS}")
     n = len(cuts)
-    cuts_col = keep_cuts or f"{out}__cuts"
+    prefix = keep_cuts or f"{out}__cut"
+    names = [f"{prefix}{i}" for i in range(len(order.keys))]
+    res = df
+    for name, arr in zip(names, order.arrays(cuts)):
+        res = res.withColumn(name, arr)
+    res = res.withColumn(out, F.lit(0))
     row = order.row()
-    res = df.withColumn(cuts_col, order.array(cuts)).withColumn(out, F.lit(0))
+
+    def cut_at(idx: Column) -> list[Column]:
+        return [F.try_element_at(F.col(nm), idx) for nm in names]
+
     step = 1 << max(0, n.bit_length() - 1) if n else 0
     while step >= 1:
         nxt = F.col(out) + F.lit(step)
-        take = (nxt <= F.lit(n)) & ~order.lt(row, F.try_element_at(F.col(cuts_col), nxt))
+        take = (nxt <= F.lit(n)) & ~order.lt(row, cut_at(nxt))
         res = res.withColumn(out, F.when(take, nxt).otherwise(F.col(out)))
         step >>= 1
     if split_equal:
-        at_cut = (F.col(out) >= 1) & ~order.lt(F.try_element_at(F.col(cuts_col), F.col(out)), row)
+        # index clamped to 1: the guard alone does not stop eager evaluation
+        at_cut = (F.col(out) >= 1) & ~order.lt(cut_at(F.greatest(F.col(out), F.lit(1))), row)
         res = res.withColumn(out, F.col(out) * 2 - F.when(at_cut, 1).otherwise(0))
-    return res if keep_cuts else res.drop(cuts_col)
+    return res if keep_cuts else res.drop(*names)
 
 
 def in_range(order: TupleOrder, lower: tuple | None, lower_inclusive: bool,

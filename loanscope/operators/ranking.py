@@ -17,21 +17,24 @@ the bucket and adds per-bucket offsets:
 * lead  = local lead, else the first row of the next non-empty bucket.
 
 The per-bucket statistics are one aggregation (count, rows equal to the
-upper cut's value, first row) over the heavy groups; they are bounded by the
-cut budget and broadcast back.  A single hot value is split by id, too.
+upper cut's value, first row) over the heavy groups, bounded by the cut
+budget; they return to the rows as literal arrays indexed by bucket, so the
+plan is projections plus one bucket-local window - no join.  A single hot
+value is split by id, too.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanscope.functions.expressions import OrderKey
 from loanscope.operators.positional import (
     MAX_CUTS,
+    _sql_literal,
     TupleOrder,
     pick_cuts,
     same_tuple,
@@ -85,10 +88,9 @@ def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[s
 
 def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_prefix,
                           max_cuts, per_cut, rows_per_bucket, seed) -> DataFrame:
-    spark: SparkSession = df.sparkSession
     # One descending order over (group, value, -tie): equal to (value DESC NULLS
     # LAST, tie ASC) inside a group, so one sorted cut array serves every group
-    # and a light group (no cuts of its own) lands in a single bucket.
+    # and a light group (no cuts of its own) stays one bucket.
     neg = "__neg_tie"
     work = df.withColumn(neg, -F.col(tie))
     keys = [OrderKey(group, descending=True), OrderKey(value, descending=True),
@@ -111,72 +113,85 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     if total > max_cuts:
         want = {g: max(1, (m * max_cuts) // total) for g, m in want.items()}
     cuts: list[tuple] = []
-    heavy = []
+    heavy: list = []
+    first_cut: dict = {}
     for g in by_group:                       # sample order = key order
         if want.get(g, 0) > 0:
             picked = pick_cuts(by_group[g], want[g])
             if picked:
+                first_cut[g] = len(cuts)
                 heavy.append(g)
                 cuts.extend(picked)
     if not cuts:
         return ranked_peers(df, group, value, tie, tuple(lead_cols[2:]), rank_name=rank_name,
                             next_prefix=next_prefix, strategy="builtin")
-
-    # 2. bucket = position among the cuts; flag rows equal (group, value) to
-    #    the cut just above their bucket (the value that may straddle it)
-    bucketed = with_position(work, order, cuts, "__bucket", keep_cuts="__cuts")
-    upper = F.try_element_at(F.col("__cuts"), F.col("__bucket") + 1)
-    at_upper = F.coalesce((F.col("__bucket") < F.lit(len(cuts)))
-                          & upper["k0"].eqNullSafe(F.col(group))
-                          & upper["k1"].eqNullSafe(F.col(value)), F.lit(False))
-    bucketed = bucketed.withColumn("__at_upper", at_upper).drop("__cuts")
-    heavy_cond = None
-    for g in heavy:
-        c = F.col(group).isNull() if g is None else F.col(group).eqNullSafe(F.lit(g))
-        heavy_cond = c if heavy_cond is None else heavy_cond | c
-
-    # 3. per-bucket statistics over the heavy groups (bounded by the cut budget)
+    n_cuts = len(cuts)
+
+    # 2. per row: bucket = position among all cuts; for heavy groups also the
+    #    global statistics slot = bucket + (rank of the group among heavy groups) - 1
+    pos = with_position(work, order, cuts, "__bucket", keep_cuts="__cut")
+    g_order = TupleOrder(work, [OrderKey(group, descending=True)])
+    pos = with_position(pos, g_order, [(g,) for g in heavy], "__hr", keep_cuts="__hcut")
+    is_heavy = F.coalesce((F.col("__hr") >= 1) & F.try_element_at(
+        F.col("__hcut0"), F.greatest(F.col("__hr"), F.lit(1))).eqNullSafe(F.col(group)), F.lit(False))
+    upper = F.col("__bucket") + 1
+    at_upper = F.coalesce((F.col("__bucket") < F.lit(n_cuts))
+                          & F.try_element_at(F.col("__cut0"), upper).eqNullSafe(F.col(group))
+                          & F.try_element_at(F.col("__cut1"), upper).eqNullSafe(F.col(value)), F.lit(False))
+    bucketed = (pos.withColumn("__heavy", is_heavy)
+                .withColumn("__slot", F.when(F.col("__heavy"), F.col("__bucket") + F.col("__hr") - 1))
+                .withColumn("__at_upper", at_upper)
+                .drop("__cut0", "__cut1", "__cut2", "__hcut0", "__hr"))
+
+    # 3. per-slot statistics over the heavy groups (bounded by the cut budget)
     first_row = F.struct(*[F.col(c).alias(c) for c in lead_cols])
-    stats = (bucketed.filter(heavy_cond)
-             .groupBy(group, "__bucket")
-             .agg(F.count(F.lit(1)).alias("cnt"),
-                  F.sum(F.when(F.col("__at_upper"), 1).otherwise(0)).alias("n_at_upper"),
-                  F.max_by(first_row, F.struct(F.col(value), F.col(neg))).alias("first_row"))
-             .collect())
-    per_group: dict = {}
-    for r in stats:
-        per_group.setdefault(r[group], []).append(r)
-    stat_rows = []
-    for g, lst in per_group.items():
-        lst.sort(key=lambda r: r["__bucket"])
-        offset = 0
-        for i, r in enumerate(lst):
-            b = r["__bucket"]
-            has_cv = b >= 1 and same_tuple((cuts[b - 1][0],), (g,))
-            cv = cuts[b - 1][1] if has_cv else None
-            carry_n = 0
-            if has_cv:
-                for prev in lst[:i]:
-                    pb = prev["__bucket"]
-                    if pb < len(cuts) and same_tuple((cuts[pb][1],), (cv,)):
-                        carry_n += prev["n_at_upper"]
-            nxt = lst[i + 1]["first_row"] if i + 1 < len(lst) else None
-            stat_rows.append((g, b, offset, carry_n, has_cv, cv,
-                              tuple(nxt) if nxt is not None else None))
-            offset += r["cnt"]
-    lead_struct_type = T.StructType([T.StructField(c, df.schema[c].dataType, True) for c in lead_cols])
-    stats_schema = T.StructType([
-        T.StructField(group, df.schema[group].dataType, True),
-        T.StructField("__bucket", T.IntegerType(), False),
-        T.StructField("__offset", T.LongType(), False),
-        T.StructField("__carry", T.LongType(), False),
-        T.StructField("__has_cv", T.BooleanType(), False),
-        T.StructField("__cv", df.schema[value].dataType, True),
-        T.StructField("__next_first", lead_struct_type, True),
-    ])
-    stats_df = spark.createDataFrame(stat_rows, stats_schema)
-
-    # 4. bucket-local window + broadcast offsets (rows <= cuts + heavy groups)
+    hist = (bucketed.filter(F.col("__heavy"))
+            .groupBy("__slot")
+            .agg(F.count(F.lit(1)).alias("cnt"),
+                 F.sum(F.when(F.col("__at_upper"), 1).otherwise(0)).alias("n_at_upper"),
+                 F.max_by(first_row, F.struct(F.col(value), F.col(neg))).alias("first_row"))
+            .collect())
+    by_slot = {r["__slot"]: r for r in hist}
+    n_slots = n_cuts + len(heavy)
+    offset = [0] * n_slots
+    carry = [0] * n_slots
+    nxt_first: list = [None] * n_slots
+    for hr, g in enumerate(heavy):
+        base_slot = first_cut[g] + hr          # slot of the group's local bucket 0
+        m = (first_cut[heavy[hr + 1]] if hr + 1 < len(heavy) else n_cuts) - first_cut[g]
+        present = [b for b in range(m + 1) if base_slot + b in by_slot]
+        run = 0
+        for i, b in enumerate(present):
+            slot = base_slot + b
+            offset[slot] = run
+            if b >= 1:                         # rows of earlier buckets equal to my lower cut's value
+                cv = cuts[first_cut[g] + b - 1][1]
+                carry[slot] = sum(by_slot[base_slot + pb]["n_at_upper"] for pb in present[:i]
+                                  if same_tuple((cuts[first_cut[g] + pb][1],), (cv,)))
+            if i + 1 < len(present):
+                nxt_first[slot] = by_slot[base_slot + present[i + 1]]["first_row"]
+            run += by_slot[slot]["cnt"]
+
+    def arr(values, dtype) -> Column:
+        return F.expr("array(" + ", ".join(_sql_literal(v, dtype) for v in values) + ")")
+
+    slot_idx = F.coalesce(F.col("__slot"), F.lit(0)) + 1
+    heavy_col = F.col("__heavy")
+    off_c = F.when(heavy_col, F.element_at(arr(offset, T.LongType()), slot_idx)).otherwise(F.lit(0))
+    carry_c = F.when(heavy_col, F.element_at(arr(carry, T.LongType()), slot_idx)).otherwise(F.lit(0))
+    has_next = F.when(heavy_col, F.element_at(
+        arr([v is not None for v in nxt_first], T.BooleanType()), slot_idx)).otherwise(F.lit(False))
+    next_vals = {c: F.element_at(arr([v[c] if v is not None else None for v in nxt_first],
+                                     df.schema[c].dataType), slot_idx) for c in lead_cols}
+    # lower cut of the row's bucket, when it belongs to the row's group
+    cut_groups = arr([c[0] for c in cuts], df.schema[group].dataType)
+    cut_values = arr([c[1] for c in cuts], df.schema[value].dataType)
+    low = F.greatest(F.col("__bucket"), F.lit(1))
+    has_cv = heavy_col & (F.col("__bucket") >= 1) & F.coalesce(
+        F.element_at(cut_groups, low).eqNullSafe(F.col(group)), F.lit(False))
+    cv = F.element_at(cut_values, low)
+
+    # 4. bucket-local window, then offsets and next rows from the literal slots
     w = Window.partitionBy(group, "__bucket").orderBy(F.col(value).desc(), F.col(tie).asc())
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = (bucketed.drop("__at_upper")
@@ -186,14 +201,12 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     local = local.withColumn(
         "__start", F.when((F.col("__rn") == 1) | ~F.col(value).eqNullSafe(F.col("__prev")), F.col("__rn")))
     local = local.withColumn("__run", F.max("__start").over(w_run))
-    joined = local.join(F.broadcast(stats_df), on=[group, "__bucket"], how="left")
-    carry_applies = (F.coalesce(F.col("__has_cv"), F.lit(False)) & (F.col("__run") == 1)
-                     & F.col(value).eqNullSafe(F.col("__cv")))
-    rank = (F.coalesce(F.col("__offset"), F.lit(0)) + F.col("__run")
-            - F.when(carry_applies, F.col("__carry")).otherwise(F.lit(0)))
-    nxt = F.coalesce(F.col("__lead"), F.col("__next_first"))
-    out = joined
+    carry_applies = has_cv & (F.col("__run") == 1) & F.col(value).eqNullSafe(cv)
+    rank = off_c + F.col("__run") - F.when(carry_applies, carry_c).otherwise(F.lit(0))
+    nxt_struct = F.when(has_next, F.struct(*[next_vals[c].alias(c) for c in lead_cols]))
+    nxt = F.coalesce(F.col("__lead"), nxt_struct)
+    out = local.withColumn("__next", nxt)
     for c in lead_cols:
-        out = out.withColumn(f"{next_prefix}{c}", nxt[c])
+        out = out.withColumn(f"{next_prefix}{c}", F.col("__next")[c])
     out = out.withColumn(rank_name, rank.cast("bigint"))
     return out.select(*df.columns, *[f"{next_prefix}{c}" for c in lead_cols], rank_name)

@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loanscope.plans import marts as M
 from loanscope.plans import portfolio as P
@@ -41,39 +42,56 @@ def _on_clean(fn) -> Query:
     return lambda spark, sf_dir: fn(_clean(spark, sf_dir))
 
 
-def queries() -> dict[str, Query]:
+def queries(mode: str = "auto") -> dict[str, Query]:
+    """``mode="auto"``: the library as shipped (scale paths above a size, and
+    forced for the three scale-path keys).  ``mode="builtin"``: every query
+    in plain built-in form (single-task windows, built-in median), the
+    baseline the scale paths are measured against."""
+    if mode not in ("auto", "builtin"):
+        raise ValueError(f"unknown mode {mode}")
+    b = mode == "builtin"
+    st = "builtin" if b else "auto"
+    sel = {"strategy": "builtin"} if b else {"strategy": "select", **SELECT_KNOBS}
+    peer = {"strategy": "builtin"} if b else {"strategy": "buckets", **PEER_KNOBS}
+
+    def median(s, d):
+        raw = _raw(s, d)
+        if b:
+            return raw.agg(F.median(F.col("monthly_income").cast("double")).alias("median_income"),
+                           F.count("monthly_income").alias("income_values"))
+        return P.exact_median_income(raw, **SELECT_KNOBS)
+
     return {
         # the seven scripts
         "profile": lambda s, d: P.raw_profile(_raw(s, d)),
-        "clean_table": lambda s, d: P.clean_table(_raw(s, d)),
+        "clean_table": lambda s, d: P.clean_table(_raw(s, d), strategy=st),
         "clean_verify": _on_clean(P.clean_verify),
         "ratio_buckets": _on_clean(P.ratio_buckets),
-        "tier_summary": _on_clean(P.tier_summary),
-        "tier_top": _on_clean(P.tier_top),
+        "tier_summary": _on_clean(lambda c: P.tier_summary(c, strategy=st)),
+        "tier_top": _on_clean(lambda c: P.tier_top(c, strategy=st)),
         "cohort_trend": _on_clean(P.cohort_trend),
-        "watchlist": _on_clean(P.watchlist),
+        "watchlist": _on_clean(lambda c: P.watchlist(c, strategy=st)),
         "concentration": _on_clean(P.concentration),
         # published figures
         "headline_rate": _on_clean(P.headline_rate),
         "gap_audit": _on_clean(P.gap_audit),
         "bucket_extremes": _on_clean(P.bucket_extremes),
-        "segment_spread": _on_clean(P.segment_spread),
+        "segment_spread": _on_clean(lambda c: P.segment_spread(c, strategy=st)),
         "concentration_gap": _on_clean(P.concentration_gap),
         "impute_effect": lambda s, d: P.impute_effect(_raw(s, d), _clean(s, d)),
         "tie_audit": _on_clean(P.tie_audit),
-        "cap_effect": _on_clean(P.cap_effect),
+        "cap_effect": _on_clean(lambda c: P.cap_effect(c, strategy=st)),
         "top_nondefault": _on_clean(P.top_nondefault),
         "volume_rate_split": _on_clean(P.volume_rate_split),
         # marts
         "mart_executive": _on_clean(M.mart_executive),
-        "mart_risk": _on_clean(M.mart_risk),
-        "mart_borrower": _on_clean(M.mart_borrower),
+        "mart_risk": _on_clean(lambda c: M.mart_risk(c, strategy=st)),
+        "mart_borrower": _on_clean(lambda c: M.mart_borrower(c, strategy=st)),
         # scale paths, forced
-        "global_ntile": _on_clean(lambda c: P.tiered(
-            c.select("loan_id", "utilization"), strategy="select", **SELECT_KNOBS)
-            .select("loan_id", "utilization_capped", "risk_tier")),
-        "ranked_peers": _on_clean(lambda c: P.watchlist(c, strategy="buckets", **PEER_KNOBS)),
-        "exact_percentile": lambda s, d: P.exact_median_income(_raw(s, d), **SELECT_KNOBS),
+        "global_ntile": _on_clean(lambda c: P.tiered(c.select("loan_id", "utilization"), **sel)
+                                  .select("loan_id", "utilization_capped", "risk_tier")),
+        "ranked_peers": _on_clean(lambda c: P.watchlist(c, **peer)),
+        "exact_percentile": median,
     }
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loanscope.functions.expressions import TREND_BASELINE, pct, trend_label
 from loanscope.functions.segments import AGE_BANDS, LEGACY_RATIO_EDGES, RATIO_BUCKETS
-from loanscope.operators import impute as _impute
+from loanscope.operators.imputation import impute as impute_frame
 from loanscope.operators import quality, ranking, reports, tiering
 from loanscope.operators.common import sort_small
 from loanscope.operators.rates import segment_rates
@@ -42,7 +42,7 @@ def raw_profile(raw: DataFrame) -> DataFrame:
 
 def clean_table(raw: DataFrame, *, strategy: str = "auto", **kw) -> DataFrame:
     """Median-filled income, mode-filled dependents, age 0 (and NULL age) dropped."""
-    return _impute.impute(raw, ["monthly_income"], ["dependents"], keep=F.col("age") != 0,
+    return impute_frame(raw, ["monthly_income"], ["dependents"], keep=F.col("age") != 0,
                           columns=CLEAN_COLUMNS, strategy=strategy, **kw)
 
 

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The portfolio process is batch-only - one loan book in, report tables out,
+with no event time, watermark, late data or state across batches - so there
+is no streaming operator to rebuild.  A new loan-book file is handled by
+re-running the batch staging (``plans.staging``) and the reports.
+"""

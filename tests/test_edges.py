@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loanscope.functions.expressions import concentration_flag, pct, trend_label
 from loanscope.functions.segments import AGE_BANDS, RATIO_BUCKETS
-from loanscope.operators import impute, quality, reports
+from loanscope.operators import imputation as impute
+from loanscope.operators import quality, reports
 from loanscope.operators.rates import segment_rates
 from loanscope.plans import portfolio as P
 from loanscope.sources.loanbook import RAW_SCHEMA

@@ -4,7 +4,7 @@ import pytest
 from conftest import have, sf_dir
 from pyspark.sql import functions as F
 
-from loanscope.operators.impute import fill_values
+from loanscope.operators.imputation import fill_values
 from loanscope.plans import portfolio as P
 from loanscope.sources.fixture import read_loan_book
 
