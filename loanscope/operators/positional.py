@@ -165,16 +165,19 @@ def in_range(order: TupleOrder, lower: tuple | None, lower_inclusive: bool,
 
 
 def sample_sorted(df: DataFrame, keys: list[OrderKey], n_rows: int, target: int, *,
-                  seed: int = 17, prefix: list[str] | None = None) -> list:
+                  seed: int = 17, prefix: list[str] | None = None,
+                  extra: list[str] | None = None) -> list:
     """Bernoulli sample of about ``target`` rows, sorted by Spark in key order.
 
     Hard-bounded by a limit, so what reaches the driver never grows with the
-    table.  ``prefix`` columns (e.g. a group) sort first.
+    table.  ``prefix`` columns (e.g. a group) sort first; ``extra`` columns
+    ride along unsorted.
     """
     if n_rows <= 0 or target <= 0:
         return []
     fraction = min(1.0, target / n_rows)
     names = (prefix or []) + [k.name for k in keys]
+    names += [c for c in (extra or []) if c not in names]
     s = df.select(*names)
     if fraction < 1.0:
         s = s.sample(withReplacement=False, fraction=fraction, seed=seed)

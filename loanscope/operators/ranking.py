@@ -19,8 +19,10 @@ the bucket and adds per-bucket offsets:
 The per-bucket statistics are one aggregation (count, rows equal to the
 upper cut's value, first row) over the heavy groups, bounded by the cut
 budget; they return to the rows as literal arrays indexed by bucket, so the
-plan is projections plus one bucket-local window - no join.  A single hot
-value is split by id, too.
+plan is projections plus one bucket-local window - no join.  The first row
+of a bucket is its lower cut, itself a sampled row (checked by count; a
+missing one falls back to the exact built-in path).  A single hot value is
+split by id, too.
 """
 
 from __future__ import annotations
@@ -98,12 +100,13 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     order = TupleOrder(work, keys)
     max_cuts = max(1, min(max_cuts, MAX_CUTS))
 
-    # 1. bounded sample -> cut tuples for heavy groups only
-    rows = sample_sorted(work, keys, n, max_cuts * per_cut, seed=seed)
+    # 1. bounded sample -> cut tuples for heavy groups only; each cut is a
+    #    sampled row, so its lead columns come along
+    rows = sample_sorted(work, keys, n, max_cuts * per_cut, seed=seed, extra=lead_cols)
     fraction = min(1.0, max_cuts * per_cut / max(n, 1))
     by_group: dict = {}
     for r in rows:
-        by_group.setdefault(r[group], []).append((r[group], r[value], r[neg]))
+        by_group.setdefault(r[group], []).append((r[group], r[value], r[neg]) + tuple(r[c] for c in lead_cols))
     want = {}
     for g, srows in by_group.items():
         est = len(srows) / fraction
@@ -112,23 +115,24 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     total = sum(want.values())
     if total > max_cuts:
         want = {g: max(1, (m * max_cuts) // total) for g, m in want.items()}
-    cuts: list[tuple] = []
+    cut_rows: list[tuple] = []
     heavy: list = []
     first_cut: dict = {}
     for g in by_group:                       # sample order = key order
         if want.get(g, 0) > 0:
             picked = pick_cuts(by_group[g], want[g])
             if picked:
-                first_cut[g] = len(cuts)
+                first_cut[g] = len(cut_rows)
                 heavy.append(g)
-                cuts.extend(picked)
-    if not cuts:
+                cut_rows.extend(picked)
+    if not cut_rows:
         return ranked_peers(df, group, value, tie, tuple(lead_cols[2:]), rank_name=rank_name,
                             next_prefix=next_prefix, strategy="builtin")
+    cuts = [c[:3] for c in cut_rows]
     n_cuts = len(cuts)
 
     # 2. per row: bucket = position among all cuts; for heavy groups also the
-    #    global statistics slot = bucket + (rank of the group among heavy groups) - 1
+    #    global slot = bucket + (rank of the group among heavy groups) - 1
     pos = with_position(work, order, cuts, "__bucket", keep_cuts="__cut")
     g_order = TupleOrder(work, [OrderKey(group, descending=True)])
     pos = with_position(pos, g_order, [(g,) for g in heavy], "__hr", keep_cuts="__hcut")
@@ -138,18 +142,28 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     at_upper = F.coalesce((F.col("__bucket") < F.lit(n_cuts))
                           & F.try_element_at(F.col("__cut0"), upper).eqNullSafe(F.col(group))
                           & F.try_element_at(F.col("__cut1"), upper).eqNullSafe(F.col(value)), F.lit(False))
+    lower = F.greatest(F.col("__bucket"), F.lit(1))
+    at_lower = F.coalesce((F.col("__bucket") >= 1)
+                          & F.try_element_at(F.col("__cut0"), lower).eqNullSafe(F.col(group))
+                          & F.try_element_at(F.col("__cut1"), lower).eqNullSafe(F.col(value))
+                          & F.try_element_at(F.col("__cut2"), lower).eqNullSafe(F.col(neg)), F.lit(False))
     bucketed = (pos.withColumn("__heavy", is_heavy)
                 .withColumn("__slot", F.when(F.col("__heavy"), F.col("__bucket") + F.col("__hr") - 1))
                 .withColumn("__at_upper", at_upper)
+                .withColumn("__at_lower", at_lower)
                 .drop("__cut0", "__cut1", "__cut2", "__hcut0", "__hr"))
 
-    # 3. per-slot statistics over the heavy groups (bounded by the cut budget)
-    first_row = F.struct(*[F.col(c).alias(c) for c in lead_cols])
-    hist = (bucketed.filter(F.col("__heavy"))
+    # 3. per-slot counts over the heavy groups (bounded by the cut budget); the
+    #    filter reads the group column only, so it never drags the search along
+    heavy_rows = None
+    for g in heavy:
+        c = F.col(group).isNull() if g is None else F.col(group).eqNullSafe(F.lit(g))
+        heavy_rows = c if heavy_rows is None else heavy_rows | c
+    hist = (bucketed.filter(heavy_rows)
             .groupBy("__slot")
             .agg(F.count(F.lit(1)).alias("cnt"),
                  F.sum(F.when(F.col("__at_upper"), 1).otherwise(0)).alias("n_at_upper"),
-                 F.max_by(first_row, F.struct(F.col(value), F.col(neg))).alias("first_row"))
+                 F.sum(F.when(F.col("__at_lower"), 1).otherwise(0)).alias("n_at_lower"))
             .collect())
     by_slot = {r["__slot"]: r for r in hist}
     n_slots = n_cuts + len(heavy)
@@ -159,18 +173,24 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     for hr, g in enumerate(heavy):
         base_slot = first_cut[g] + hr          # slot of the group's local bucket 0
         m = (first_cut[heavy[hr + 1]] if hr + 1 < len(heavy) else n_cuts) - first_cut[g]
-        present = [b for b in range(m + 1) if base_slot + b in by_slot]
+        for b in range(1, m + 1):
+            got = by_slot.get(base_slot + b)
+            if got is None or got["n_at_lower"] < 1:
+                # a sampled cut row is gone (source changed under us): exact fallback
+                return ranked_peers(df, group, value, tie, tuple(lead_cols[2:]), rank_name=rank_name,
+                                    next_prefix=next_prefix, strategy="builtin")
         run = 0
-        for i, b in enumerate(present):
+        for b in range(m + 1):
             slot = base_slot + b
             offset[slot] = run
             if b >= 1:                         # rows of earlier buckets equal to my lower cut's value
                 cv = cuts[first_cut[g] + b - 1][1]
-                carry[slot] = sum(by_slot[base_slot + pb]["n_at_upper"] for pb in present[:i]
-                                  if same_tuple((cuts[first_cut[g] + pb][1],), (cv,)))
-            if i + 1 < len(present):
-                nxt_first[slot] = by_slot[base_slot + present[i + 1]]["first_row"]
-            run += by_slot[slot]["cnt"]
+                carry[slot] = sum(by_slot[base_slot + pb]["n_at_upper"] for pb in range(b)
+                                  if base_slot + pb in by_slot
+                                  and same_tuple((cuts[first_cut[g] + pb][1],), (cv,)))
+            if b < m:                          # next bucket starts with its lower cut's row
+                nxt_first[slot] = dict(zip(lead_cols, cut_rows[first_cut[g] + b][3:]))
+            run += by_slot[slot]["cnt"] if slot in by_slot else 0
 
     def arr(values, dtype) -> Column:
         return F.expr("array(" + ", ".join(_sql_literal(v, dtype) for v in values) + ")")
@@ -192,9 +212,10 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     cv = F.element_at(cut_values, low)
 
     # 4. bucket-local window, then offsets and next rows from the literal slots
+    first_row = F.struct(*[F.col(c).alias(c) for c in lead_cols])
     w = Window.partitionBy(group, "__bucket").orderBy(F.col(value).desc(), F.col(tie).asc())
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = (bucketed.drop("__at_upper")
+    local = (bucketed.drop("__at_upper", "__at_lower")
              .withColumn("__rn", F.row_number().over(w))
              .withColumn("__prev", F.lag(value).over(w))
              .withColumn("__lead", F.lead(first_row).over(w)))
