@@ -25,8 +25,11 @@ from loanscope.sources.fixture import read_loan_book
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Scale-path knobs for the forced keys: buckets of about 1/50 of the input.
-SELECT_KNOBS = {"fanout": 32, "max_candidates": 300, "per_cut": 8}
+# Scale-path knobs for the forced keys.  Selection: 64 buckets per round and
+# at most 5000 candidate rows per target, so sf0.01 and sf0.1 both run one
+# sampled narrowing round and the final numbering.  Ranking: buckets of about
+# 40 rows inside each heavy band (at most 64 cuts).
+SELECT_KNOBS = {"fanout": 64, "max_candidates": 5000, "per_cut": 8}
 PEER_KNOBS = {"max_cuts": 64, "rows_per_bucket": 40, "per_cut": 8}
 
 

@@ -9,7 +9,8 @@ real Parquet columns - filters and column pruning reach the files - and
 never re-run the imputation statistics, and lineage is cut at the table.
 
 The folder name is derived from the source path, its size and modification
-time and the library version, so a changed source is staged afresh.
+time, and a digest of the modules that define the clean table, so a changed
+source or changed cleaning code is staged afresh.
 """
 
 from __future__ import annotations
@@ -29,6 +30,20 @@ from loanscope.sources.sinks import write_table
 
 _LOCK = threading.Lock()
 _STAGED: dict[tuple[str, str], str] = {}
+_DEFINING = ("sources/fixture.py", "sources/loanbook.py", "operators/imputation.py",
+             "operators/selection.py", "operators/positional.py", "plans/portfolio.py")
+
+
+def _code_digest() -> str:
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1(loanscope.__version__.encode())
+    for rel in _DEFINING:
+        with open(os.path.join(root, rel), "rb") as fh:
+            h.update(fh.read())
+    return h.hexdigest()
+
+
+_CODE = _code_digest()
 
 
 def _source_key(spark: SparkSession, source: str) -> str:
@@ -37,7 +52,7 @@ def _source_key(spark: SparkSession, source: str) -> str:
         ident = f"{os.path.abspath(source)}|{st.st_size}|{st.st_mtime_ns}"
     except OSError:                     # not a local path: valid for this application only
         ident = f"{source}|{spark.sparkContext.applicationId}"
-    return hashlib.sha1(f"{ident}|{loanscope.__version__}".encode()).hexdigest()[:16]
+    return hashlib.sha1(f"{ident}|{_CODE}".encode()).hexdigest()[:16]
 
 
 def staged_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
