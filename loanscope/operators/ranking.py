@@ -62,7 +62,7 @@ def top_per_group(df: DataFrame, group: str, order: str, n: int = 3, *,
 
 def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[str, ...] = (), *,
                  rank_name: str = "rank", next_prefix: str = "next_", strategy: str = "auto",
-                 small_rows: int = SMALL_ROWS, max_cuts: int = 512, per_cut: int = 32,
+                 small_rows: int = SMALL_ROWS, max_cuts: int = MAX_CUTS, per_cut: int = 16,
                  rows_per_bucket: int = 1_000_000, seed: int = 41) -> DataFrame:
     """RANK by ``value`` desc within ``group`` plus the next row's tie/value/carry columns.
 

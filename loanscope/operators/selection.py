@@ -11,7 +11,8 @@ enough (``max_candidates`` rows, a parameter) one window job numbers its
 rows, partitioned by range, and only the wanted rows reach the driver.
 
 Cost: one count, then per round one bounded sample and one aggregation over
-the key columns; each round divides a candidate range by about ``fanout``.
+the key columns; each round divides a candidate range by its fanout (up to
+4096), chosen per range to reach ``max_candidates`` in the fewest rounds.
 Nothing proportional to the table is collected.
 """
 
@@ -47,10 +48,15 @@ def _range_id(order: TupleOrder, ranges: list[_Range]) -> Column:
 
 
 def select_positions(df: DataFrame, keys: list[OrderKey], positions: list[int], *,
-                     n: int | None = None, fanout: int = 256,
+                     n: int | None = None, fanout: int = MAX_CUTS,
                      max_candidates: int = 500_000, per_cut: int = 16,
                      seed: int = 29, max_rounds: int = 24) -> dict[int, tuple]:
-    """Map each wanted position to the key tuple at that position."""
+    """Map each wanted position to the key tuple at that position.
+
+    ``fanout`` caps the buckets per round; a round uses only as many as it
+    takes to bring its range under ``max_candidates`` (with 2x slack for
+    uneven buckets), so 15M rows need one round and 10^12 rows two.
+    """
     names = [k.name for k in keys]
     base = df.select(*names)
     order = TupleOrder(base, keys)
@@ -75,24 +81,26 @@ def select_positions(df: DataFrame, keys: list[OrderKey], positions: list[int],
             # Still exact, only slower: number the remaining ranges directly.
             results.update(_finish(base, order, big))
             break
-        active = _narrow(base, order, big, fanout, per_cut, seed + rounds)
+        active = _narrow(base, order, big, fanout, per_cut, seed + rounds, max_candidates)
     return results
 
 
 def _narrow(base: DataFrame, order: TupleOrder, ranges: list[_Range],
-            fanout: int, per_cut: int, seed: int) -> list[_Range]:
+            fanout: int, per_cut: int, seed: int, max_candidates: int) -> list[_Range]:
     names = [k.name for k in order.keys]
     tagged = base.withColumn("__rid", _range_id(order, ranges)).filter(F.col("__rid").isNotNull())
-    # One stratified sample for all ranges, expected fanout*per_cut rows each.
-    fractions = {i: min(1.0, fanout * per_cut / max(r.count, 1)) for i, r in enumerate(ranges)}
+    # Buckets per range: just enough to get under max_candidates (2x slack).
+    fan = {i: max(2, min(fanout, -(-2 * r.count // max(max_candidates, 1)))) for i, r in enumerate(ranges)}
+    # One stratified sample for all ranges, expected fan*per_cut rows each.
+    fractions = {i: min(1.0, fan[i] * per_cut / max(r.count, 1)) for i, r in enumerate(ranges)}
     sample = (tagged.sampleBy("__rid", fractions, seed)
               .orderBy(F.col("__rid"), *[k.sort_col() for k in order.keys])
-              .limit(4 * fanout * per_cut * len(ranges))
+              .limit(4 * per_cut * sum(fan.values()))
               .collect())
     per_range: dict[int, list[tuple]] = {i: [] for i in range(len(ranges))}
     for row in sample:
         per_range[row["__rid"]].append(tuple(row[nm] for nm in names))
-    cuts = {i: pick_cuts(per_range[i], fanout) for i in per_range}
+    cuts = {i: pick_cuts(per_range[i], fan[i]) for i in per_range}
     # Ranges are disjoint and ordered, so their cut lists concatenate into one
     # sorted array; a row's code is then shifted by the cuts of earlier ranges.
     all_cuts: list[tuple] = []
