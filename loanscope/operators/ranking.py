@@ -47,17 +47,46 @@ from loanscope.operators.positional import (
 SMALL_ROWS = 2_000_000
 
 
+# Largest top-values table broadcast to the rows (rows: n x groups at most).
+BROADCAST_ROWS = 1_000_000
+
+
 def top_per_group(df: DataFrame, group: str, order: str, n: int = 3, *,
-                  out: str = "rank", dense: bool = True) -> DataFrame:
+                  out: str = "rank", dense: bool = True, strategy: str = "auto",
+                  small_rows: int = SMALL_ROWS) -> DataFrame:
     """Rows whose (dense) rank by ``order`` descending within ``group`` is <= n.
 
-    Ties share a rank, so more than n rows per group can qualify.
+    Ties share a rank, so more than n rows per group can qualify - all of them
+    are returned.  ``builtin``: window + filter, which Spark plans with a partial
+    ``WindowGroupLimit`` before the shuffle.  That still ships every tied row
+    of a group to one task, so ``values`` ranks the distinct (group, value)
+    pairs instead - counted map-side, top n kept per group - and attaches the
+    ranks to the rows with a broadcast join (at most n x groups rows, checked),
+    so the rows themselves never move.
     """
+    if strategy not in ("auto", "builtin", "values"):
+        raise ValueError(f"unknown strategy {strategy}")
+    if strategy == "auto":
+        strategy = "builtin" if df.count() <= small_rows else "values"
     w = Window.partitionBy(group).orderBy(F.col(order).desc())
-    fn = F.dense_rank() if dense else F.rank()
-    # Filter on the raw window output so Catalyst inserts WindowGroupLimit.
-    return (df.withColumn(out, fn.over(w)).filter(F.col(out) <= n)
-            .withColumn(out, F.col(out).cast("bigint")))
+    if strategy == "builtin":
+        fn = F.dense_rank() if dense else F.rank()
+        # Filter on the raw window output so Catalyst inserts WindowGroupLimit.
+        return (df.withColumn(out, fn.over(w)).filter(F.col(out) <= n)
+                .withColumn(out, F.col(out).cast("bigint")))
+    pairs = df.groupBy(group, order).agg(F.count(F.lit(1)).alias("__cnt"))
+    top = pairs.withColumn("__dr", F.dense_rank().over(w)).filter(F.col("__dr") <= n)
+    if dense:
+        top = top.withColumn(out, F.col("__dr"))
+    else:
+        # RANK = 1 + rows with a greater value; all of those are among the top-n values
+        before = F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        top = top.withColumn(out, F.coalesce(before, F.lit(0)) + 1).filter(F.col(out) <= n)
+    top = top.select(F.col(group).alias("__g"), F.col(order).alias("__v"), F.col(out).cast("bigint").alias(out))
+    size = top.count()
+    side = F.broadcast(top) if size <= BROADCAST_ROWS else top
+    cond = F.col(group).eqNullSafe(F.col("__g")) & F.col(order).eqNullSafe(F.col("__v"))
+    return df.join(side, cond, "inner").select(*df.columns, out)
 
 
 def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[str, ...] = (), *,

@@ -68,10 +68,12 @@ def tiered(clean: DataFrame, *, strategy: str = "auto", cap_at: float | None = U
 
 def tier_top(clean: DataFrame, *, strategy: str = "auto", **kw) -> DataFrame:
     t = tiered(clean.select("loan_id", "utilization", "default_flag"), strategy=strategy, **kw)
-    top = ranking.top_per_group(t, "risk_tier", "utilization", TOP_PER_TIER, out="util_rank")
+    top_strategy = {"auto": "auto", "builtin": "builtin", "select": "values"}[strategy]
+    top = ranking.top_per_group(t, "risk_tier", "utilization", TOP_PER_TIER, out="util_rank",
+                                strategy=top_strategy)
     return (top.select("risk_tier", "loan_id", F.col("utilization").alias("raw_utilization"),
                        "utilization_capped", "default_flag", "util_rank")
-            .transform(lambda d: sort_small(d, "risk_tier", "util_rank", "loan_id")))
+            .orderBy("risk_tier", "util_rank", "loan_id"))   # ties make this row-sized: distributed sort
 
 
 def cohort_trend(clean: DataFrame) -> DataFrame:
@@ -158,10 +160,10 @@ def cap_effect(clean: DataFrame, *, strategy: str = "auto", **kw) -> DataFrame:
                  F.count(F.when(F.col("tier_capped") != F.col("tier_raw"), 1)).alias("tier_changes"))
 
 
-def top_nondefault(clean: DataFrame, n: int = TOP_PER_TIER) -> DataFrame:
+def top_nondefault(clean: DataFrame, n: int = TOP_PER_TIER, *, strategy: str = "auto") -> DataFrame:
     """Per band, the top-n watch-list ranks by debt ratio: how many never defaulted."""
     top = ranking.top_per_group(watch_population(clean), "age_band", "debt_ratio", n,
-                                out="debt_rank", dense=False)
+                                out="debt_rank", dense=False, strategy=strategy)
     return (top.groupBy("age_band")
             .agg(F.count(F.lit(1)).alias("top_rows"),
                  F.count(F.when(F.col("default_flag") == 0, 1)).alias("non_default_rows"))

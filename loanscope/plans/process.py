@@ -3,9 +3,10 @@ verify it, then write every report and the three marts.
 
 Each step is one Spark job over the staged clean table (read back from its
 files, so later steps scan Parquet columns with pushdown and never re-run the
-imputation).  Small report tables are written as single files; the
-borrower-sized watch list and borrower mart are written partitioned by age
-band.
+imputation).  Report tables with one row per segment are written as single
+files; the top-per-tier and tie tables (sized by ties in the data) keep
+their partitions; the borrower-sized watch list and borrower mart are
+written partitioned by age band.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ SMALL_REPORTS = {
 }
 
 
+TIE_SIZED = {"tier_top", "tie_audit"}
+
+
 def run_process(spark: SparkSession, raw: DataFrame, folder: str, *, mode: str = "overwrite",
                 strategy: str = "auto") -> dict[str, str]:
     """Run every step on ``raw`` and write the results below ``folder``."""
@@ -46,7 +50,9 @@ def run_process(spark: SparkSession, raw: DataFrame, folder: str, *, mode: str =
     for name, fn in SMALL_REPORTS.items():
         df = fn(clean, strategy=strategy) if name in ("tier_summary", "tier_top", "segment_spread",
                                                       "cap_effect") else fn(clean)
-        out[name] = write_table(df.coalesce(1), f"{folder}/{name}", mode=mode)
+        # one file for tables bounded by the number of segments; tables whose
+        # size follows ties in the data keep their partitions
+        out[name] = write_table(df if name in TIE_SIZED else df.coalesce(1), f"{folder}/{name}", mode=mode)
     out["impute_effect"] = write_table(P.impute_effect(raw, clean).coalesce(1), f"{folder}/impute_effect",
                                        mode=mode)
     out["watchlist"] = write_table(P.watchlist(clean, strategy=strategy, ordered=False),

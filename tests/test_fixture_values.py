@@ -83,6 +83,12 @@ def test_utilization_nulls_and_top_rows(books, sf):
     raw, clean = books[sf]
     assert raw.filter(F.col("utilization").isNull()).count() == UTIL_NULLS[sf]
     assert P.tier_top(clean).count() == TOP_ROWS[sf]
+    a = P.tier_top(clean, strategy="builtin")
+    b = P.tier_top(clean, strategy="select", fanout=16, max_candidates=300)
+    assert b.count() == TOP_ROWS[sf] and a.exceptAll(b).count() == 0
+    t1 = P.top_nondefault(clean, strategy="builtin").collect()
+    t2 = P.top_nondefault(clean, strategy="values").collect()
+    assert sorted(map(tuple, t1)) == sorted(map(tuple, t2))
 
 
 @pytest.mark.parametrize("sf", SCALES)

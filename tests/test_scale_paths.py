@@ -127,3 +127,27 @@ def test_top_per_group_uses_window_group_limit(spark):
     exp = (df.withColumn("r", F.dense_rank().over(Window.partitionBy("grp").orderBy(F.col("v").desc())))
            .filter("r <= 3"))
     assert exp.select("id", "r").exceptAll(top.select("id", "r")).count() == 0
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_top_per_group_values_path_with_massive_ties(spark, dense):
+    # 60 % of every group shares the top value; NULL and NaN values too
+    rows = [(i, f"g{i % 3}", 9.0 if i % 10 < 6 else (None if i % 10 == 6 else
+                                                      (float("nan") if i % 10 == 7 else float(i % 13))))
+            for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, grp string, v double")
+    a = ranking.top_per_group(df, "grp", "v", 3, out="r", dense=dense, strategy="builtin")
+    b = ranking.top_per_group(df, "grp", "v", 3, out="r", dense=dense, strategy="values")
+    assert a.count() == b.count()
+    assert a.select("id", "r").exceptAll(b.select("id", "r")).count() == 0
+    plan = b._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "BroadcastNestedLoopJoin" in plan
+
+
+def test_top_per_group_values_path_null_group_and_small_groups(spark):
+    rows = [(i, None if i % 4 == 0 else f"g{i % 2}", float(i % 2)) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, grp string, v double")
+    for dense in (True, False):
+        a = ranking.top_per_group(df, "grp", "v", 3, out="r", dense=dense, strategy="builtin")
+        b = ranking.top_per_group(df, "grp", "v", 3, out="r", dense=dense, strategy="values")
+        assert a.select("id", "r").exceptAll(b.select("id", "r")).count() == 0 and a.count() == b.count()
