@@ -212,11 +212,12 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
         for b in range(m + 1):
             slot = base_slot + b
             offset[slot] = run
-            if b >= 1:                         # rows of earlier buckets equal to my lower cut's value
-                cv = cuts[first_cut[g] + b - 1][1]
-                carry[slot] = sum(by_slot[base_slot + pb]["n_at_upper"] for pb in range(b)
-                                  if base_slot + pb in by_slot
-                                  and same_tuple((cuts[first_cut[g] + pb][1],), (cv,)))
+            if b >= 1:
+                # rows of earlier buckets equal to my lower cut's value: cut values
+                # do not increase, so they sit in the buckets just before mine
+                prev_up = by_slot[slot - 1]["n_at_upper"] if slot - 1 in by_slot else 0
+                same = b >= 2 and same_tuple((cuts[first_cut[g] + b - 2][1],), (cuts[first_cut[g] + b - 1][1],))
+                carry[slot] = (carry[slot - 1] if same else 0) + prev_up
             if b < m:                          # next bucket starts with its lower cut's row
                 nxt_first[slot] = dict(zip(lead_cols, cut_rows[first_cut[g] + b][3:]))
             run += by_slot[slot]["cnt"] if slot in by_slot else 0
