@@ -11,7 +11,7 @@ cross join (a one-row side has a proven size).
 
 Median: built-in ``median`` while the input is small; above that exact
 selection (``exact_percentile``), so no task ever holds a map of all distinct
-values.  Mode: a grouped count (map-side combined) reduced by ``min_by`` to
+values; ``strategy="approx"`` opts into ``percentile_approx`` (one pass).  Mode: a grouped count (map-side combined) reduced by ``min_by`` to
 one row - always one row, NULL when the column is all NULL.
 """
 
@@ -47,11 +47,18 @@ def stats_frame(df: DataFrame, median_cols: list[str], mode_cols: list[str]) ->
 def fill_values(df: DataFrame, median_cols: list[str], mode_cols: list[str], *,
                 strategy: str = "auto", small_rows: int = SMALL_ROWS, **select_kw) -> dict[str, Any]:
     """``{"__median_<c>": float | None, "__mode_<c>": value | None}``."""
-    if strategy not in ("auto", "builtin", "select"):
+    if strategy not in ("auto", "builtin", "select", "approx"):
         raise ValueError(f"unknown strategy {strategy}")
     if strategy == "auto" and median_cols:
         strategy = "builtin" if df.count() <= small_rows else "select"
-    if strategy == "select":
+    if strategy == "approx":
+        # opt-in: one pass, bounded sketch per task; a data value close to the
+        # median (relative rank error 1/accuracy), not the interpolated one
+        accuracy = int(select_kw.get("accuracy", 10_000))
+        values = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(f"__median_{c}")
+                          for c in median_cols]).first().asDict() if median_cols else {}
+        rest = stats_frame(df, [], mode_cols)
+    elif strategy == "select":
         values = {f"__median_{c}": exact_percentile(df, c, 0.5, **select_kw) for c in median_cols}
         rest = stats_frame(df, [], mode_cols)
     else:

@@ -150,3 +150,10 @@ def test_segment_rates_skips_empty_segments(spark):
     rows = [(i, i % 2, 100, 0, 40, 0.5, 0.5, 0) for i in range(10)]
     got = segment_rates(_book(spark, rows), RATIO_BUCKETS).collect()
     assert [(r.debt_bucket, r.borrowers, r.defaults, r.default_rate_pct) for r in got] == [("Medium", 10, 5, 50.0)]
+
+
+def test_approx_median_is_opt_in_and_close(spark):
+    df = spark.range(1, 10_001).select(F.col("id").alias("inc"), F.lit(None).cast("bigint").alias("dep"))
+    exact = impute.fill_values(df, ["inc"], [], strategy="builtin")["__median_inc"]
+    approx = impute.fill_values(df, ["inc"], [], strategy="approx")["__median_inc"]
+    assert exact == 5000.5 and abs(approx - exact) <= 10_000 / 10_000 + 1

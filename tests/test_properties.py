@@ -89,5 +89,7 @@ def test_plans_of_reports(spark):
     conc = P.concentration(clean)
     plan = conc._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan.lower()              # sort_small: no sampling job
+    conc.collect()
+    assert "ReusedExchange" in conc._jdf.queryExecution().executedPlan().toString()  # Total row
     assert "PushedFilters" in P.watch_population(clean)._jdf.queryExecution().executedPlan().toString()
     assert clean.filter(F.col("late_90") >= 1).count() > 0
