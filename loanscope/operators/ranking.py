@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanscope.functions.expressions import OrderKey
+from loanscope.session import ensure_checkpoint_dir
 from loanscope.operators.positional import (
     MAX_CUTS,
     _sql_literal,
@@ -92,10 +93,16 @@ def top_per_group(df: DataFrame, group: str, order: str, n: int = 3, *,
 def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[str, ...] = (), *,
                  rank_name: str = "rank", next_prefix: str = "next_", strategy: str = "auto",
                  small_rows: int = SMALL_ROWS, max_cuts: int = MAX_CUTS, per_cut: int = 16,
-                 rows_per_bucket: int = 1_000_000, seed: int = 41) -> DataFrame:
+                 rows_per_bucket: int = 1_000_000, seed: int = 41,
+                 materialize: bool = True) -> DataFrame:
     """RANK by ``value`` desc within ``group`` plus the next row's tie/value/carry columns.
 
-    Adds ``rank_name`` and ``next_<c>`` for c in (tie, value, *carry).
+    Adds ``rank_name`` and ``next_<c>`` for c in (tie, value, *carry).  ``tie``
+    must be a numeric unique id (the bucket order uses its negation).  The
+    bucketed path reads its input four times (count, sample, bucket counts,
+    window); with ``materialize`` the input - typically a filtered, narrow
+    slice of a wide table - is checkpointed once into the shared
+    ``spark.checkpoint.dir`` and the later passes read that.
     """
     if strategy not in ("auto", "builtin", "buckets"):
         raise ValueError(f"unknown strategy {strategy}")
@@ -111,6 +118,10 @@ def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[s
         for c in lead_cols:
             out = out.withColumn(f"{next_prefix}{c}", F.lead(c).over(w_lead))
         return out.withColumn(rank_name, F.rank().over(w_rank).cast("bigint"))
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
+        n = None
     if n is None:
         n = df.count()
     return _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_prefix,
