@@ -18,6 +18,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # checkpoints written by the multi-pass operators go when no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -25,8 +27,10 @@ def get_session(master: str = "local[8]", app: str = "loanscope",
                 shuffle_partitions: int | None = 8) -> SparkSession:
     """Build (or reuse) a session for local runs and tests."""
     builder = SparkSession.builder.master(master).appName(app)
+    active = SparkSession.getActiveSession()
     for key, value in _DEFAULTS.items():
-        builder = builder.config(key, value)
+        if active is None or active.conf.get(key, None) is None:
+            builder = builder.config(key, value)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("LOANSCOPE_DRIVER_MEMORY", "8g"))
