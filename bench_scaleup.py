@@ -3,8 +3,8 @@
 Replicates the sf0.1 loan book R times (orders cross-joined with range(R),
 order keys shifted so loan ids stay unique; every copy keeps the fixture's
 NULLs, ties and hot values), stages it once as Parquet in a scratch folder
-(``$SCALEUP_DIR`` or a fresh temp folder; on a cluster use the shared
-checkpoint folder), then times on the staged table:
+(``$SCALEUP_DIR``, else a fresh folder below the session's shared
+``spark.checkpoint.dir``), then times on the staged table:
 
   tiers    : tier_summary, built-in NTILE over one window vs G1
   watch    : watch list rank/lead, built-in per-band windows vs G2
@@ -18,8 +18,8 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from loanscope.operators.selection import exact_percentile  # noqa: E402
 from loanscope.plans import portfolio as P  # noqa: E402
-from loanscope.session import get_session  # noqa: E402
+from loanscope.session import ensure_checkpoint_dir, get_session  # noqa: E402
 from loanscope.sources.fixture import loan_book_from_orders  # noqa: E402
 
 
@@ -41,9 +41,10 @@ def main() -> None:
     reps = [int(a) for a in sys.argv[1:]] or [20]
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    scratch = os.environ.get("SCALEUP_DIR") or tempfile.mkdtemp(prefix="loanscope-scaleup-")
     spark = get_session(master=f"local[{cpus}]", app="loanscope-scaleup",
                         shuffle_partitions=4 * int(cpus))
+    scratch = (os.environ.get("SCALEUP_DIR")
+               or f"{ensure_checkpoint_dir(spark).rstrip('/')}/loanscope-scaleup-{uuid.uuid4().hex[:8]}")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     span = orders.agg(F.max("o_orderkey")).first()[0] + 1
     for r in reps:
