@@ -37,6 +37,12 @@ from loanscope.functions.expressions import OrderKey
 # Largest cut array placed in one search.  The search code is constant-size;
 # the bound keeps the driver-side sample and the literal small.
 MAX_CUTS = 4096
+# Up to this many cuts (e.g. NTILE boundaries) the position is one flat CASE
+# instead of a chain of search steps.  A chain is a sequence of aliases that
+# each refer to the previous step several times; a filter or join on its
+# result would be expanded by predicate pushdown, so chains stay internal
+# (grouping and window keys only) and user-facing columns use the flat form.
+FLAT_CUTS = 32
 
 
 def _sql_literal(v, dtype: T.DataType) -> str:
@@ -127,6 +133,16 @@ def with_position(df: DataFrame, order: TupleOrder, cuts: list[tuple], out: str,
     if len(cuts) > MAX_CUTS:
         raise ValueError(f"{len(cuts)} cuts exceed MAX_CUTS={MAX_CUTS}")
     n = len(cuts)
+    if n <= FLAT_CUTS and not split_equal and not keep_cuts:
+        # One flat CASE (first cut the row sorts before): a single expression, so
+        # filters and joins on the result can be pushed down without re-expanding
+        # a chain of search steps.
+        row = order.row()
+        expr = None
+        for i, c in enumerate(cuts):
+            cond = order.lt(row, order.literal(c))
+            expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+        return df.withColumn(out, F.lit(0) if expr is None else expr.otherwise(F.lit(n)))
     prefix = keep_cuts or f"{out}__cut"
     names = [f"{prefix}{i}" for i in range(len(order.keys))]
     res = df

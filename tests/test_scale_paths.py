@@ -151,3 +151,16 @@ def test_top_per_group_values_path_null_group_and_small_groups(spark):
         a = ranking.top_per_group(df, "grp", "v", 3, out="r", dense=dense, strategy="builtin")
         b = ranking.top_per_group(df, "grp", "v", 3, out="r", dense=dense, strategy="values")
         assert a.select("id", "r").exceptAll(b.select("id", "r")).count() == 0 and a.count() == b.count()
+
+
+def test_filter_on_tier_stays_small(spark):
+    # a user filter on the tier is pushed down through the tier expression:
+    # it must not expand (flat CASE, not a chain of search steps)
+    df = _frame(spark, 400, 61)
+    keys = [OrderKey("v"), OrderKey("id")]
+    t = tiering.assign_tiers(df, keys, 20, out="t", strategy="select", **KNOBS)
+    q = t.filter(F.col("t") == 20)
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 60_000
+    exp = tiering.assign_tiers(df, keys, 20, out="t", strategy="builtin").filter(F.col("t") == 20)
+    assert q.select("id").exceptAll(exp.select("id")).count() == 0 and q.count() == exp.count()
