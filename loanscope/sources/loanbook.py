@@ -76,28 +76,36 @@ def read_loan_csv(spark: SparkSession, path: str | list[str], *,
                   null_value: str = "NA") -> DataFrame:
     """Read raw loan-book CSV files into ``RAW_SCHEMA``.
 
-    Columns are matched by header name, not position, and read as strings
-    (no inference pass over the data), then cast once.  Malformed numbers
-    raise under ANSI mode instead of turning silently into NULL.
+    Columns are matched by header name, not position: the header line is read
+    once (one line, one tiny job), a typed schema is laid out in the file's
+    column order, and the CSV reader parses straight into it - no inference
+    pass and no string columns to cast afterwards.  Malformed values fail the
+    job (FAILFAST) instead of turning silently into NULL.
     """
-    raw = (spark.read.option("header", True)
+    paths = [path] if isinstance(path, str) else list(path)
+    first = spark.read.text(paths).first()
+    if first is None:
+        return spark.createDataFrame([], RAW_SCHEMA)
+    header = [h.strip().strip('"') for h in first[0].split(",")]
+    by_name = {f.name: f.dataType for f in RAW_SCHEMA.fields}
+    fields, chosen = [], {}
+    for i, h in enumerate(header):
+        target = _BY_NORM.get(_norm(h))
+        if target is not None and target not in chosen:
+            chosen[target] = f"c{i}"
+            fields.append(T.StructField(f"c{i}", by_name[target], True))
+        else:
+            fields.append(T.StructField(f"c{i}", T.StringType(), True))
+    missing = [f.name for f in RAW_SCHEMA.fields if f.name not in chosen]
+    if missing:
+        raise ValueError(f"loan-book CSV lacks columns for {missing}; header was {header}")
+    raw = (spark.read.schema(T.StructType(fields))
+           .option("header", True)
+           .option("enforceSchema", True)
            .option("nullValue", null_value)
-           .option("inferSchema", False)
            .option("mode", "FAILFAST")
-           .csv(path))
-    renamed = {}
-    for c in raw.columns:
-        target = _BY_NORM.get(_norm(c))
-        if target is not None and target not in renamed.values():
-            renamed[c] = target
-    missing = [f.name for f in RAW_SCHEMA.fields if f.name not in renamed.values()]
-    if missing:
-        raise ValueError(f"loan-book CSV lacks columns for {missing}; header was {raw.columns}")
-    by_target = {v: k for k, v in renamed.items()}
-    return raw.select([
-        F.col(f"`{by_target[f.name]}`").cast(f.dataType).alias(f.name)
-        for f in RAW_SCHEMA.fields
-    ])
+           .csv(paths))
+    return raw.select([F.col(chosen[f.name]).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields])
 
 
 def read_table(spark: SparkSession, source: str, *, fmt: str = "parquet") -> DataFrame:

@@ -83,3 +83,22 @@ def test_write_marts(spark):
     young = b.filter(F.col("age_band") == "Young")
     assert young.count() == 12
     assert "PartitionFilters: [isnotnull(age_band" in young._jdf.queryExecution().executedPlan().toString()
+
+
+def test_read_loan_csv_other_header_spelling_and_extra_column(spark):
+    d = _scratch()
+    header = HEADER.replace("-", "_").replace(",SeriousDlqin2yrs", "column1,SeriousDlqin2yrs") + ",note"
+    with open(f"{d}/cs.csv", "w") as fh:
+        fh.write(header + "\n")
+        fh.write("7,0,0.5,33,0,0.25,4000,5,1,1,0,NA,hello\n")
+    r = read_loan_csv(spark, f"{d}/cs.csv").first()
+    assert (r.loan_id, r.age, r.monthly_income, r.dependents, r.late_90) == (7, 33, 4000, None, 1)
+
+
+def test_read_loan_csv_fails_on_malformed_number(spark):
+    d = _scratch()
+    with open(f"{d}/cs.csv", "w") as fh:
+        fh.write(HEADER + "\n")
+        fh.write("1,1,0.7,forty,2,0.8,9120,13,0,6,0,2\n")
+    with pytest.raises(Exception):
+        read_loan_csv(spark, f"{d}/cs.csv").collect()
