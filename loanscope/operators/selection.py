@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from loanscope.functions.expressions import OrderKey
 from loanscope.operators.positional import MAX_CUTS, TupleOrder, in_range, pick_cuts, with_position
+from loanscope.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -50,15 +51,23 @@ def _range_id(order: TupleOrder, ranges: list[_Range]) -> Column:
 def select_positions(df: DataFrame, keys: list[OrderKey], positions: list[int], *,
                      n: int | None = None, fanout: int = MAX_CUTS,
                      max_candidates: int = 500_000, per_cut: int = 16,
-                     seed: int = 29, max_rounds: int = 24) -> dict[int, tuple]:
+                     seed: int = 29, max_rounds: int = 24,
+                     materialize: bool = False) -> dict[int, tuple]:
     """Map each wanted position to the key tuple at that position.
 
     ``fanout`` caps the buckets per round; a round uses only as many as it
     takes to bring its range under ``max_candidates`` (with 2x slack for
     uneven buckets), so 15M rows need one round and 10^12 rows two.
+    ``materialize`` checkpoints the key columns once into the shared
+    ``spark.checkpoint.dir`` - worth it when ``df`` is an expensive derived
+    frame; a Parquet scan of two pruned columns is cheaper to re-read.
     """
     names = [k.name for k in keys]
     base = df.select(*names)
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        base = base.checkpoint(eager=True)
+        n = None
     order = TupleOrder(base, keys)
     if n is None:
         n = base.count()

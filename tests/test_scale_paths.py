@@ -164,3 +164,11 @@ def test_filter_on_tier_stays_small(spark):
     assert len(plan) < 60_000
     exp = tiering.assign_tiers(df, keys, 20, out="t", strategy="builtin").filter(F.col("t") == 20)
     assert q.select("id").exceptAll(exp.select("id")).count() == 0 and q.count() == exp.count()
+
+
+def test_select_positions_materialized_input(spark):
+    df = _frame(spark, 300, 71).withColumn("v2", F.col("v") * 2)     # a derived frame
+    keys = [OrderKey("v2"), OrderKey("id")]
+    a = select_positions(df, keys, [0, 150, 299], **KNOBS)
+    b = select_positions(df, keys, [0, 150, 299], materialize=True, **KNOBS)
+    assert {p: a[p][1] for p in a} == {p: b[p][1] for p in b}
