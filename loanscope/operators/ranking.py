@@ -94,10 +94,11 @@ def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[s
                  rank_name: str = "rank", next_prefix: str = "next_", strategy: str = "auto",
                  small_rows: int = SMALL_ROWS, max_cuts: int = MAX_CUTS, per_cut: int = 16,
                  rows_per_bucket: int = 1_000_000, seed: int = 41,
-                 materialize: bool = True) -> DataFrame:
+                 materialize: bool = True, dense_name: str | None = None) -> DataFrame:
     """RANK by ``value`` desc within ``group`` plus the next row's tie/value/carry columns.
 
-    Adds ``rank_name`` and ``next_<c>`` for c in (tie, value, *carry).  ``tie``
+    Adds ``rank_name`` and ``next_<c>`` for c in (tie, value, *carry), and the
+    DENSE_RANK as ``dense_name`` when given.  ``tie``
     must be a numeric unique id (the bucket order uses its negation).  The
     bucketed path reads its input four times (count, sample, bucket counts,
     window); with ``materialize`` the input - typically a filtered, narrow
@@ -117,6 +118,8 @@ def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[s
         out = df
         for c in lead_cols:
             out = out.withColumn(f"{next_prefix}{c}", F.lead(c).over(w_lead))
+        if dense_name:
+            out = out.withColumn(dense_name, F.dense_rank().over(w_rank).cast("bigint"))
         return out.withColumn(rank_name, F.rank().over(w_rank).cast("bigint"))
     if materialize:
         ensure_checkpoint_dir(df.sparkSession)
@@ -125,11 +128,11 @@ def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[s
     if n is None:
         n = df.count()
     return _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_prefix,
-                                 max_cuts, per_cut, rows_per_bucket, seed)
+                                 max_cuts, per_cut, rows_per_bucket, seed, dense_name)
 
 
 def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_prefix,
-                          max_cuts, per_cut, rows_per_bucket, seed) -> DataFrame:
+                          max_cuts, per_cut, rows_per_bucket, seed, dense_name=None) -> DataFrame:
     # One descending order over (group, value, -tie): equal to (value DESC NULLS
     # LAST, tie ASC) inside a group, so one sorted cut array serves every group
     # and a light group (no cuts of its own) stays one bucket.
@@ -167,7 +170,7 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
                 cut_rows.extend(picked)
     if not cut_rows:
         return ranked_peers(df, group, value, tie, tuple(lead_cols[2:]), rank_name=rank_name,
-                            next_prefix=next_prefix, strategy="builtin")
+                            next_prefix=next_prefix, strategy="builtin", dense_name=dense_name)
     cuts = [c[:3] for c in cut_rows]
     n_cuts = len(cuts)
 
@@ -199,16 +202,20 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     for g in heavy:
         c = F.col(group).isNull() if g is None else F.col(group).eqNullSafe(F.lit(g))
         heavy_rows = c if heavy_rows is None else heavy_rows | c
-    hist = (bucketed.filter(heavy_rows)
-            .groupBy("__slot")
-            .agg(F.count(F.lit(1)).alias("cnt"),
-                 F.sum(F.when(F.col("__at_upper"), 1).otherwise(0)).alias("n_at_upper"),
-                 F.sum(F.when(F.col("__at_lower"), 1).otherwise(0)).alias("n_at_lower"))
-            .collect())
+    aggs = [F.count(F.lit(1)).alias("cnt"),
+            F.sum(F.when(F.col("__at_upper"), 1).otherwise(0)).alias("n_at_upper"),
+            F.sum(F.when(F.col("__at_lower"), 1).otherwise(0)).alias("n_at_lower")]
+    if dense_name:
+        # distinct values per bucket (NULL counts as one value, as in DENSE_RANK)
+        aggs.append((F.count_distinct(F.col(value))
+                     + F.max(F.when(F.col(value).isNull(), 1).otherwise(0))).alias("n_distinct"))
+    hist = bucketed.filter(heavy_rows).groupBy("__slot").agg(*aggs).collect()
     by_slot = {r["__slot"]: r for r in hist}
     n_slots = n_cuts + len(heavy)
     offset = [0] * n_slots
     carry = [0] * n_slots
+    dense_before = [0] * n_slots                 # distinct values of the group before the bucket
+    shared = [0] * n_slots                       # 1 when the bucket's first value continues the previous one
     nxt_first: list = [None] * n_slots
     for hr, g in enumerate(heavy):
         base_slot = first_cut[g] + hr          # slot of the group's local bucket 0
@@ -218,11 +225,17 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
             if got is None or got["n_at_lower"] < 1:
                 # a sampled cut row is gone (source changed under us): exact fallback
                 return ranked_peers(df, group, value, tie, tuple(lead_cols[2:]), rank_name=rank_name,
-                                    next_prefix=next_prefix, strategy="builtin")
+                                    next_prefix=next_prefix, strategy="builtin", dense_name=dense_name)
         run = 0
+        distinct_run = 0
         for b in range(m + 1):
             slot = base_slot + b
             offset[slot] = run
+            if dense_name:
+                shared[slot] = 1 if b >= 1 and slot - 1 in by_slot and by_slot[slot - 1]["n_at_upper"] > 0 else 0
+                dense_before[slot] = distinct_run
+                if slot in by_slot:
+                    distinct_run += by_slot[slot]["n_distinct"] - shared[slot]
             if b >= 1:
                 # rows of earlier buckets equal to my lower cut's value: cut values
                 # do not increase, so they sit in the buckets just before mine
@@ -263,6 +276,8 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     local = local.withColumn(
         "__start", F.when((F.col("__rn") == 1) | ~F.col(value).eqNullSafe(F.col("__prev")), F.col("__rn")))
     local = local.withColumn("__run", F.max("__start").over(w_run))
+    if dense_name:
+        local = local.withColumn("__dense_local", F.count("__start").over(w_run))
     carry_applies = has_cv & (F.col("__run") == 1) & F.col(value).eqNullSafe(cv)
     rank = off_c + F.col("__run") - F.when(carry_applies, carry_c).otherwise(F.lit(0))
     nxt_struct = F.when(has_next, F.struct(*[next_vals[c].alias(c) for c in lead_cols]))
@@ -271,4 +286,10 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     for c in lead_cols:
         out = out.withColumn(f"{next_prefix}{c}", F.col("__next")[c])
     out = out.withColumn(rank_name, rank.cast("bigint"))
-    return out.select(*df.columns, *[f"{next_prefix}{c}" for c in lead_cols], rank_name)
+    extra = []
+    if dense_name:
+        before = F.when(heavy_col, F.element_at(arr(dense_before, T.LongType()), slot_idx)).otherwise(F.lit(0))
+        cont = F.when(heavy_col, F.element_at(arr(shared, T.LongType()), slot_idx)).otherwise(F.lit(0))
+        out = out.withColumn(dense_name, (before + F.col("__dense_local") - cont).cast("bigint"))
+        extra = [dense_name]
+    return out.select(*df.columns, *[f"{next_prefix}{c}" for c in lead_cols], rank_name, *extra)

@@ -172,3 +172,14 @@ def test_select_positions_materialized_input(spark):
     a = select_positions(df, keys, [0, 150, 299], **KNOBS)
     b = select_positions(df, keys, [0, 150, 299], materialize=True, **KNOBS)
     assert {p: a[p][1] for p in a} == {p: b[p][1] for p in b}
+
+
+@pytest.mark.parametrize("seed,hot_share", [(81, 0.35), (82, 0.6)])
+def test_ranked_peers_dense_rank(spark, seed, hot_share):
+    df = _frame(spark, 1200, seed, hot_share=hot_share, groups=3, hot_group_share=0.5)
+    cols = ["id", "rk", "drk", "next_id"]
+    a = ranking.ranked_peers(df, "grp", "v", "id", ("flag",), rank_name="rk", dense_name="drk",
+                             strategy="builtin").select(*cols)
+    b = ranking.ranked_peers(df, "grp", "v", "id", ("flag",), rank_name="rk", dense_name="drk",
+                             strategy="buckets", rows_per_bucket=25, max_cuts=64, per_cut=4).select(*cols)
+    assert b.count() == 1200 and a.exceptAll(b).count() == 0
