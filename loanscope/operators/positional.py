@@ -26,6 +26,7 @@ every number and equals itself, as in Spark's sort.
 from __future__ import annotations
 
 import math
+from datetime import datetime, timezone
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -74,6 +75,13 @@ def _sql_literal(v, dtype: T.DataType) -> str:
         return f"CAST('{Decimal(v)}' AS {dtype.simpleString()})"
     if isinstance(dtype, T.DateType):
         return f"DATE '{v.isoformat()}'"
+    if isinstance(dtype, T.TimestampNTZType):
+        return f"TIMESTAMP_NTZ '{v.isoformat(sep=' ')}'"
+    if isinstance(dtype, T.TimestampType):
+        # collected timestamps are naive local datetimes; integer epoch microseconds are exact
+        delta = v.astimezone(timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)
+        micros = (delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds
+        return f"timestamp_micros({micros}L)"
     raise TypeError(f"no literal for {dtype}")
 
 

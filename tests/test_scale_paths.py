@@ -183,3 +183,19 @@ def test_ranked_peers_dense_rank(spark, seed, hot_share):
     b = ranking.ranked_peers(df, "grp", "v", "id", ("flag",), rank_name="rk", dense_name="drk",
                              strategy="buckets", rows_per_bucket=25, max_cuts=64, per_cut=4).select(*cols)
     assert b.count() == 1200 and a.exceptAll(b).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "string"])
+def test_global_ntile_on_other_key_types(spark, kind):
+    base = spark.range(500).select(F.col("id"), (F.col("id") * 7919 % 997).alias("k"))
+    if kind == "string":
+        keyed = base.withColumn("key", F.format_string("s%05d", F.col("k")))
+    elif kind == "date":
+        keyed = base.withColumn("key", F.date_add(F.lit("2020-01-01").cast("date"), F.col("k").cast("int")))
+    else:
+        ts = F.timestamp_seconds(F.col("k") * 3600 + F.lit(1_600_000_000))
+        keyed = base.withColumn("key", ts if kind == "timestamp" else ts.cast("timestamp_ntz"))
+    keys = [OrderKey("key"), OrderKey("id")]
+    a = tiering.assign_tiers(keyed, keys, 7, out="t", strategy="builtin")
+    b = tiering.assign_tiers(keyed, keys, 7, out="t", strategy="select", **KNOBS)
+    assert a.select("id", "t").exceptAll(b.select("id", "t")).count() == 0
