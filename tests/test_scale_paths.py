@@ -199,3 +199,14 @@ def test_global_ntile_on_other_key_types(spark, kind):
     a = tiering.assign_tiers(keyed, keys, 7, out="t", strategy="builtin")
     b = tiering.assign_tiers(keyed, keys, 7, out="t", strategy="select", **KNOBS)
     assert a.select("id", "t").exceptAll(b.select("id", "t")).count() == 0
+
+
+def test_ranked_peers_null_group_is_a_group(spark):
+    df = _frame(spark, 900, 91, groups=3).withColumn(
+        "grp", F.when(F.col("id") % 7 < 4, F.lit(None).cast("string")).otherwise(F.col("grp")))
+    cols = ["grp", "id", "rk", "drk", "next_id", "next_v"]
+    a = ranking.ranked_peers(df, "grp", "v", "id", ("flag",), rank_name="rk", dense_name="drk",
+                             strategy="builtin").select(*cols)
+    b = ranking.ranked_peers(df, "grp", "v", "id", ("flag",), rank_name="rk", dense_name="drk",
+                             strategy="buckets", rows_per_bucket=20, max_cuts=64, per_cut=4).select(*cols)
+    assert b.count() == 900 and a.exceptAll(b).count() == 0
