@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loanscope.plans import marts as M
 from loanscope.plans import portfolio as P
-from loanscope.plans.staging import staged_clean
+from loanscope.plans.staging import staged_clean, staged_rows
 from loanscope.sources.fixture import read_loan_book
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,20 @@ def _on_clean(fn) -> Query:
     return lambda spark, sf_dir: fn(_clean(spark, sf_dir))
 
 
+def _sized(fn, mode: str) -> Query:
+    """Report over the staged table with one size decision per query: the
+    staged row count (known from the Parquet footers, counted once) picks the
+    built-in or the scale path for every operator of the report, instead of
+    each operator scanning its input to decide."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if mode == "builtin":
+            st = "builtin"
+        else:
+            st = "builtin" if staged_rows(spark, sf_dir) <= P.SMALL_ROWS else "scale"
+        return fn(_clean(spark, sf_dir), st)
+    return run
+
+
 def queries(mode: str = "auto") -> dict[str, Query]:
     """``mode="auto"``: the library as shipped (scale paths above a size, and
     forced for the three scale-path keys).  ``mode="builtin"``: every query
@@ -70,26 +84,26 @@ def queries(mode: str = "auto") -> dict[str, Query]:
         "clean_table": lambda s, d: P.clean_table(_raw(s, d), strategy=st),
         "clean_verify": _on_clean(P.clean_verify),
         "ratio_buckets": _on_clean(P.ratio_buckets),
-        "tier_summary": _on_clean(lambda c: P.tier_summary(c, strategy=st)),
-        "tier_top": _on_clean(lambda c: P.tier_top(c, strategy=st)),
+        "tier_summary": _sized(lambda c, st: P.tier_summary(c, strategy=st), mode),
+        "tier_top": _sized(lambda c, st: P.tier_top(c, strategy=st), mode),
         "cohort_trend": _on_clean(P.cohort_trend),
-        "watchlist": _on_clean(lambda c: P.watchlist(c, strategy=st)),
+        "watchlist": _sized(lambda c, st: P.watchlist(c, strategy=st), mode),
         "concentration": _on_clean(P.concentration),
         # published figures
         "headline_rate": _on_clean(P.headline_rate),
         "gap_audit": _on_clean(P.gap_audit),
         "bucket_extremes": _on_clean(P.bucket_extremes),
-        "segment_spread": _on_clean(lambda c: P.segment_spread(c, strategy=st)),
+        "segment_spread": _sized(lambda c, st: P.segment_spread(c, strategy=st), mode),
         "concentration_gap": _on_clean(P.concentration_gap),
         "impute_effect": lambda s, d: P.impute_effect(_raw(s, d), _clean(s, d)),
         "tie_audit": _on_clean(P.tie_audit),
-        "cap_effect": _on_clean(lambda c: P.cap_effect(c, strategy=st)),
-        "top_nondefault": _on_clean(P.top_nondefault),
+        "cap_effect": _sized(lambda c, st: P.cap_effect(c, strategy=st), mode),
+        "top_nondefault": _sized(lambda c, st: P.top_nondefault(c, strategy=st), mode),
         "volume_rate_split": _on_clean(P.volume_rate_split),
         # marts
         "mart_executive": _on_clean(M.mart_executive),
-        "mart_risk": _on_clean(lambda c: M.mart_risk(c, strategy=st)),
-        "mart_borrower": _on_clean(lambda c: M.mart_borrower(c, strategy=st)),
+        "mart_risk": _sized(lambda c, st: M.mart_risk(c, strategy=st), mode),
+        "mart_borrower": _sized(lambda c, st: M.mart_borrower(c, strategy=st), mode),
         # scale paths, forced
         "global_ntile": _on_clean(lambda c: P.tiered(c.select("loan_id", "utilization"), **sel)
                                   .select("loan_id", "utilization_capped", "risk_tier")),

@@ -1,8 +1,10 @@
 """Portfolio reports with the loan-book defaults (column names, thresholds).
 
 ``raw`` is the loan book as read (``RAW_SCHEMA``), ``clean`` the staged table
-after ``clean_table``.  ``strategy`` selects built-in windows or the scale
-paths ("auto": built-in up to a row count, scale path above it).
+after ``clean_table``.  ``strategy``: "auto" (each operator checks its input
+size: built-in up to a row count, scale path above), "builtin", "scale"
+(every operator on its scale path, no size checks), or an operator-level
+name ("select", "buckets", "values") passed through.
 """
 
 from __future__ import annotations
@@ -28,6 +30,25 @@ WATCH_MIN_LATE = 1
 WATCH_MAX_RATIO = 5.0
 
 NULL_COLS = ["monthly_income", "dependents"]
+# Rows up to which a single task handles the built-in windows (the operators' "auto" threshold).
+SMALL_ROWS = 2_000_000
+
+# The scale path of each operator family, for strategy="scale".
+SCALE_PATHS = {"tier": "select", "peers": "buckets", "top": "values", "median": "select"}
+OPERATOR_PATHS = {"tier": ("select",), "peers": ("buckets",), "top": ("values",), "median": ("select", "approx")}
+
+
+def pick(strategy: str, kind: str) -> str:
+    """Operator-level strategy for a plan-level one."""
+    if strategy in ("auto", "builtin"):
+        return strategy
+    if strategy == "scale":
+        return SCALE_PATHS[kind]
+    if strategy in OPERATOR_PATHS[kind]:
+        return strategy
+    if strategy in SCALE_PATHS.values():      # another family's scale name: its own scale path
+        return SCALE_PATHS[kind]
+    raise ValueError(f"unknown strategy {strategy}")
 
 
 def bad_age():
@@ -43,7 +64,7 @@ def raw_profile(raw: DataFrame) -> DataFrame:
 def clean_table(raw: DataFrame, *, strategy: str = "auto", **kw) -> DataFrame:
     """Median-filled income, mode-filled dependents, age 0 (and NULL age) dropped."""
     return impute_frame(raw, ["monthly_income"], ["dependents"], keep=F.col("age") != 0,
-                          columns=CLEAN_COLUMNS, strategy=strategy, **kw)
+                        columns=CLEAN_COLUMNS, strategy=pick(strategy, "median"), **kw)
 
 
 def clean_verify(clean: DataFrame) -> DataFrame:
@@ -58,19 +79,19 @@ def ratio_buckets(clean: DataFrame) -> DataFrame:
 
 def tier_summary(clean: DataFrame, *, strategy: str = "auto", **kw) -> DataFrame:
     return tiering.tier_summary(clean, "utilization", TIERS, cap_at=UTILIZATION_CAP,
-                                strategy=strategy, **kw)
+                                strategy=pick(strategy, "tier"), **kw)
 
 
 def tiered(clean: DataFrame, *, strategy: str = "auto", cap_at: float | None = UTILIZATION_CAP,
            out: str = "risk_tier", **kw) -> DataFrame:
-    return tiering.tier(clean, "utilization", TIERS, cap_at=cap_at, out=out, strategy=strategy, **kw)
+    return tiering.tier(clean, "utilization", TIERS, cap_at=cap_at, out=out,
+                        strategy=pick(strategy, "tier"), **kw)
 
 
 def tier_top(clean: DataFrame, *, strategy: str = "auto", **kw) -> DataFrame:
     t = tiered(clean.select("loan_id", "utilization", "default_flag"), strategy=strategy, **kw)
-    top_strategy = {"auto": "auto", "builtin": "builtin", "select": "values"}[strategy]
     top = ranking.top_per_group(t, "risk_tier", "utilization", TOP_PER_TIER, out="util_rank",
-                                strategy=top_strategy)
+                                strategy=pick(strategy, "top"))
     return (top.select("risk_tier", "loan_id", F.col("utilization").alias("raw_utilization"),
                        "utilization_capped", "default_flag", "util_rank")
             .orderBy("risk_tier", "util_rank", "loan_id"))   # ties make this row-sized: distributed sort
@@ -94,7 +115,8 @@ WATCH_COLUMNS = ["age_band", "loan_id", "debt_ratio", "default_flag", "debt_rank
 def watchlist(clean: DataFrame, *, strategy: str = "auto", ordered: bool = True,
               extra: tuple[str, ...] = (), **kw) -> DataFrame:
     ranked = ranking.ranked_peers(watch_population(clean, extra), "age_band", "debt_ratio", "loan_id",
-                                  ("default_flag",), rank_name="debt_rank", strategy=strategy, **kw)
+                                  ("default_flag",), rank_name="debt_rank",
+                                  strategy=pick(strategy, "peers"), **kw)
     out = ranked.select(*WATCH_COLUMNS, *extra)
     return out.orderBy("age_band", "debt_rank", "loan_id") if ordered else out
 
@@ -155,7 +177,7 @@ def cap_effect(clean: DataFrame, *, strategy: str = "auto", **kw) -> DataFrame:
     base = clean.select("loan_id", "utilization")
     a = tiered(base, strategy=strategy, out="tier_capped", **kw)
     b = tiering.tier(a, "utilization", TIERS, cap_at=None, capped="__raw_key", out="tier_raw",
-                     strategy=strategy, **kw)
+                     strategy=pick(strategy, "tier"), **kw)
     return b.agg(F.count(F.lit(1)).alias("borrowers"),
                  F.count(F.when(F.col("tier_capped") != F.col("tier_raw"), 1)).alias("tier_changes"))
 
@@ -163,7 +185,7 @@ def cap_effect(clean: DataFrame, *, strategy: str = "auto", **kw) -> DataFrame:
 def top_nondefault(clean: DataFrame, n: int = TOP_PER_TIER, *, strategy: str = "auto") -> DataFrame:
     """Per band, the top-n watch-list ranks by debt ratio: how many never defaulted."""
     top = ranking.top_per_group(watch_population(clean), "age_band", "debt_ratio", n,
-                                out="debt_rank", dense=False, strategy=strategy)
+                                out="debt_rank", dense=False, strategy=pick(strategy, "top"))
     return (top.groupBy("age_band")
             .agg(F.count(F.lit(1)).alias("top_rows"),
                  F.count(F.when(F.col("default_flag") == 0, 1)).alias("non_default_rows"))

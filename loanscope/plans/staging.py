@@ -30,6 +30,7 @@ from loanscope.sources.sinks import write_table
 
 _LOCK = threading.Lock()
 _STAGED: dict[tuple[str, str], str] = {}
+_ROWS: dict[str, int] = {}
 _DEFINING = ("sources/fixture.py", "sources/loanbook.py", "operators/imputation.py",
              "operators/selection.py", "operators/positional.py", "plans/portfolio.py")
 
@@ -55,8 +56,7 @@ def _source_key(spark: SparkSession, source: str) -> str:
     return hashlib.sha1(f"{ident}|{_CODE}".encode()).hexdigest()[:16]
 
 
-def staged_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean loan book for a driver folder, written once and read back."""
+def _staged_path(spark: SparkSession, sf_dir: str) -> str:
     source = f"{sf_dir}/orders.parquet"
     folder = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{folder}/loanscope-staging/clean-{_source_key(spark, source)}"
@@ -67,4 +67,18 @@ def staged_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
             except AnalysisException:
                 write_table(P.clean_table(read_loan_book(spark, sf_dir)), path, mode="overwrite")
             _STAGED[(folder, path)] = path
-    return spark.read.parquet(path)
+    return path
+
+
+def staged_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean loan book for a driver folder, written once and read back."""
+    return spark.read.parquet(_staged_path(spark, sf_dir))
+
+
+def staged_rows(spark: SparkSession, sf_dir: str) -> int:
+    """Row count of the staged clean table (Parquet footers; counted once)."""
+    path = _staged_path(spark, sf_dir)
+    with _LOCK:
+        if path not in _ROWS:
+            _ROWS[path] = spark.read.parquet(path).count()
+        return _ROWS[path]

@@ -54,3 +54,19 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert [r.age_band for r in rows] == ["Young", "Mid-Career", "Senior", "Retired", "Total"]
+
+
+SIZED = ["tier_summary", "tier_top", "watchlist", "segment_spread", "cap_effect", "top_nondefault",
+         "mart_risk", "mart_borrower"]
+
+
+@pytest.mark.skipif(not have(SF), reason="no sf0.001")
+def test_sized_queries_on_their_scale_paths(spark, con, monkeypatch):
+    from loanscope.plans import portfolio as P
+
+    monkeypatch.setattr(P, "SMALL_ROWS", 100)          # the staged table is "large": every operator scales
+    for name in SIZED:
+        df = E.queries()[name](spark, sf_dir(SF))
+        res = con.execute(E.oracle_sql()[name])
+        ocols = [d[0] for d in res.description]
+        assert _canon([tuple(r) for r in df.collect()], df.columns) == _canon(res.fetchall(), ocols), name
