@@ -1,10 +1,9 @@
 """Column expressions shared by the operators: segment definitions, the
 decimal-exact percentage, caps, trend and concentration labels, and the
-lexicographic order tests the scale paths build their literal cut trees from."""
+sort-key description (``OrderKey``) the scale paths compare tuples with."""
 
 from loanscope.functions.expressions import (
     OrderKey,
-    before,
     cap,
     concentration_flag,
     pct,
@@ -17,7 +16,6 @@ __all__ = [
     "RATIO_BUCKETS",
     "OrderKey",
     "Segmentation",
-    "before",
     "cap",
     "concentration_flag",
     "pct",

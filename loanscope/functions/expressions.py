@@ -78,32 +78,3 @@ class OrderKey:
         if self.descending:
             return c.desc_nulls_first() if self.nulls_come_first else c.desc_nulls_last()
         return c.asc_nulls_first() if self.nulls_come_first else c.asc_nulls_last()
-
-
-def _lit(v):
-    if isinstance(v, float):
-        return F.lit(v).cast("double")
-    return F.lit(v)
-
-
-def before(keys: list[OrderKey], values: tuple) -> Column:
-    """Boolean column: the row sorts strictly before the literal tuple ``values``.
-
-    Lexicographic over ``keys`` with each key's direction and NULL placement;
-    NaN compares above every number, as in Spark's sort.  Never NULL.
-    """
-    expr: Column = F.lit(False)
-    for key, v in reversed(list(zip(keys, values))):
-        col = F.col(key.name)
-        if v is None:
-            less = col.isNotNull() if key.nulls_come_first is False else F.lit(False)
-            equal = col.isNull()
-        else:
-            strictly = (col > _lit(v)) if key.descending else (col < _lit(v))
-            if key.nulls_come_first:
-                less = col.isNull() | F.coalesce(strictly, F.lit(False))
-            else:
-                less = F.coalesce(strictly, F.lit(False))
-            equal = F.coalesce(col == _lit(v), F.lit(False))
-        expr = less | (equal & expr)
-    return expr

@@ -119,15 +119,6 @@ class TupleOrder:
             expr = less | (x.eqNullSafe(y) & expr)
         return expr
 
-    def before(self, values: tuple) -> Column:
-        return self.lt(self.row(), self.literal(values))
-
-    def equal(self, values: tuple) -> Column:
-        expr: Column = F.lit(True)
-        for x, y in zip(self.row(), self.literal(values)):
-            expr = expr & x.eqNullSafe(y)
-        return expr
-
 
 def with_position(df: DataFrame, order: TupleOrder, cuts: list[tuple], out: str, *,
                   split_equal: bool = False, keep_cuts: str | None = None) -> DataFrame:
