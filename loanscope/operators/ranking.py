@@ -52,6 +52,11 @@ SMALL_ROWS = 2_000_000
 BROADCAST_ROWS = 1_000_000
 
 
+# Up to this many ranks the top values are found by repeated max() passes
+# (tiny shuffles); beyond it by ranking all distinct (group, value) pairs.
+MAX_PASSES = 8
+
+
 def top_per_group(df: DataFrame, group: str, order: str, n: int = 3, *,
                   out: str = "rank", dense: bool = True, strategy: str = "auto",
                   small_rows: int = SMALL_ROWS) -> DataFrame:
@@ -60,10 +65,11 @@ def top_per_group(df: DataFrame, group: str, order: str, n: int = 3, *,
     Ties share a rank, so more than n rows per group can qualify - all of them
     are returned.  ``builtin``: window + filter, which Spark plans with a partial
     ``WindowGroupLimit`` before the shuffle.  That still ships every tied row
-    of a group to one task, so ``values`` ranks the distinct (group, value)
-    pairs instead - counted map-side, top n kept per group - and attaches the
-    ranks to the rows with a broadcast join (at most n x groups rows, checked),
-    so the rows themselves never move.
+    of a group to one task, so ``values`` first finds each group's top n
+    distinct values - n passes of a grouped ``max`` that skip the values
+    already found (partial aggregation, one row per group and task; large n:
+    rank the distinct pairs) - and attaches the ranks to the rows with a
+    broadcast join (at most n x groups rows, checked), so the rows never move.
     """
     if strategy not in ("auto", "builtin", "values"):
         raise ValueError(f"unknown strategy {strategy}")
@@ -75,19 +81,65 @@ def top_per_group(df: DataFrame, group: str, order: str, n: int = 3, *,
         # Filter on the raw window output so Catalyst inserts WindowGroupLimit.
         return (df.withColumn(out, fn.over(w)).filter(F.col(out) <= n)
                 .withColumn(out, F.col(out).cast("bigint")))
-    pairs = df.groupBy(group, order).agg(F.count(F.lit(1)).alias("__cnt"))
-    top = pairs.withColumn("__dr", F.dense_rank().over(w)).filter(F.col("__dr") <= n)
-    if dense:
-        top = top.withColumn(out, F.col("__dr"))
-    else:
-        # RANK = 1 + rows with a greater value; all of those are among the top-n values
-        before = F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        top = top.withColumn(out, F.coalesce(before, F.lit(0)) + 1).filter(F.col(out) <= n)
-    top = top.select(F.col(group).alias("__g"), F.col(order).alias("__v"), F.col(out).cast("bigint").alias(out))
-    size = top.count()
-    side = F.broadcast(top) if size <= BROADCAST_ROWS else top
+    top = _top_values(df, group, order, n)                  # (__g, __v, __dr)
     cond = F.col(group).eqNullSafe(F.col("__g")) & F.col(order).eqNullSafe(F.col("__v"))
-    return df.join(side, cond, "inner").select(*df.columns, out)
+    size = top.count()
+    joined = df.join(F.broadcast(top) if size <= BROADCAST_ROWS else top, cond, "inner")
+    if dense:
+        return joined.withColumn(out, F.col("__dr").cast("bigint")).select(*df.columns, out)
+    # RANK = 1 + rows with a greater value; all of those carry a smaller dense rank
+    counts = joined.groupBy("__g", "__dr").agg(F.count(F.lit(1)).alias("__cnt"))
+    wc = Window.partitionBy("__g").orderBy("__dr")
+    ranks = (counts.withColumn(out, F.coalesce(F.sum("__cnt").over(
+        wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
+        .filter(F.col(out) <= n).select(F.col("__g").alias("__g2"), F.col("__dr").alias("__dr2"), out))
+    cond2 = F.col("__g").eqNullSafe(F.col("__g2")) & (F.col("__dr") == F.col("__dr2"))
+    return (joined.join(F.broadcast(ranks), cond2, "inner")
+            .withColumn(out, F.col(out).cast("bigint")).select(*df.columns, out))
+
+
+def _top_values(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """Each group's top-n distinct values of ``order`` (descending, NULL last)
+    with their dense rank, as (__g, __v, __dr)."""
+    spark = df.sparkSession
+    base = df.select(F.col(group).alias("__g"), F.col(order).alias("__v"))
+    if n > MAX_PASSES:
+        pairs = base.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__cnt"))
+        w = Window.partitionBy("__g").orderBy(F.col("__v").desc())
+        return (pairs.withColumn("__dr", F.dense_rank().over(w)).filter(F.col("__dr") <= n)
+                .select("__g", "__v", F.col("__dr").cast("bigint").alias("__dr")))
+    # pass 1: the largest value and whether NULLs occur, per group
+    first_df = base.groupBy("__g").agg(F.max("__v").alias("__m"),
+                                       F.max(F.col("__v").isNull().cast("int")).alias("__has_null"))
+    if first_df.count() > BROADCAST_ROWS:        # too many groups to carry on the driver
+        return _top_values(df, group, order, MAX_PASSES + 1).filter(F.col("__dr") <= n)
+    first = first_df.collect()
+    found = {r["__g"]: [r["__m"]] if r["__m"] is not None else [] for r in first}
+    has_null = {r["__g"]: bool(r["__has_null"]) for r in first}
+    vtype = df.schema[order].dataType
+    gtype = df.schema[group].dataType
+    schema = T.StructType([T.StructField("__g2", gtype, True), T.StructField("__last", vtype, True)])
+    for i in range(1, n):
+        # groups that found a value in every pass so far: look below their last one
+        live = [(g, vals[-1]) for g, vals in found.items() if len(vals) == i]
+        if not live:
+            break
+        last = spark.createDataFrame(live, schema)
+        nxt = (base.join(F.broadcast(last), F.col("__g").eqNullSafe(F.col("__g2")), "inner")
+               .filter(F.col("__v") < F.col("__last"))
+               .groupBy("__g").agg(F.max("__v").alias("__m")).collect())
+        for r in nxt:
+            if r["__m"] is not None:
+                found[r["__g"]].append(r["__m"])
+    rows = []
+    for g, vals in found.items():
+        for i, v in enumerate(vals):
+            rows.append((g, v, i + 1))
+        if has_null[g] and len(vals) < n:
+            rows.append((g, None, len(vals) + 1))
+    out_schema = T.StructType([T.StructField("__g", gtype, True), T.StructField("__v", vtype, True),
+                               T.StructField("__dr", T.LongType(), False)])
+    return spark.createDataFrame(rows, out_schema)
 
 
 def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[str, ...] = (), *,

@@ -210,3 +210,14 @@ def test_ranked_peers_null_group_is_a_group(spark):
     b = ranking.ranked_peers(df, "grp", "v", "id", ("flag",), rank_name="rk", dense_name="drk",
                              strategy="buckets", rows_per_bucket=20, max_cuts=64, per_cut=4).select(*cols)
     assert b.count() == 900 and a.exceptAll(b).count() == 0
+
+
+@pytest.mark.parametrize("n,limit", [(10, None), (3, 2)])
+def test_top_per_group_values_large_n_and_many_groups(spark, monkeypatch, n, limit):
+    if limit is not None:
+        monkeypatch.setattr(ranking, "BROADCAST_ROWS", limit)   # too many groups: pair path, shuffle join
+    df = _frame(spark, 800, 95, groups=5)
+    for dense in (True, False):
+        a = ranking.top_per_group(df, "grp", "v", n, out="r", dense=dense, strategy="builtin")
+        b = ranking.top_per_group(df, "grp", "v", n, out="r", dense=dense, strategy="values")
+        assert a.count() == b.count() and a.select("id", "r").exceptAll(b.select("id", "r")).count() == 0
