@@ -76,7 +76,9 @@ def test_plans_of_reports(spark):
     clean = staged_clean(spark, sf_dir("0.001"))
     top = P.tier_top(clean, strategy="select")
     plan = top._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "SinglePartition" not in plan
+    assert "SinglePartition" not in plan and "BroadcastHashJoin" in plan and "Window " not in plan
+    plan = P.tier_top(clean, strategy="builtin")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
     summary = P.tier_summary(clean, strategy="select")
     plan = summary._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
