@@ -7,6 +7,7 @@ NULLs, ties and hot values), stages it once as Parquet in a scratch folder
 ``spark.checkpoint.dir``), then times on the staged table:
 
   tiers    : tier_summary, built-in NTILE over one window vs G1
+  tier_top : top 3 per tier, built-in NTILE + window group limit vs G1 + top values
   watch    : watch list rank/lead, built-in per-band windows vs G2
   median   : built-in median aggregate vs G3 exact selection
 
@@ -59,6 +60,8 @@ def main() -> None:
         res = {"copies": r, "rows": n}
         res["tiers_builtin"] = _timed(lambda: P.tier_summary(clean, strategy="builtin").collect())
         res["tiers_G1"] = _timed(lambda: P.tier_summary(clean, strategy="select").collect())
+        res["tier_top_builtin"] = _timed(lambda: P.tier_top(clean, strategy="builtin").collect())
+        res["tier_top_scale"] = _timed(lambda: P.tier_top(clean, strategy="scale").collect())
         res["watch_builtin"] = _timed(lambda: noop(P.watchlist(clean, strategy="builtin", ordered=False)))
         res["watch_G2"] = _timed(lambda: noop(P.watchlist(clean, strategy="buckets", ordered=False,
                                                           rows_per_bucket=max(1, n // 400))))
