@@ -111,9 +111,9 @@ def _top_values(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     # pass 1: the largest value and whether NULLs occur, per group
     first_df = base.groupBy("__g").agg(F.max("__v").alias("__m"),
                                        F.max(F.col("__v").isNull().cast("int")).alias("__has_null"))
-    if first_df.count() > BROADCAST_ROWS:        # too many groups to carry on the driver
+    first = first_df.limit(BROADCAST_ROWS + 1).collect()   # one job: values and the size check
+    if len(first) > BROADCAST_ROWS:              # too many groups to carry on the driver
         return _top_values(df, group, order, MAX_PASSES + 1).filter(F.col("__dr") <= n)
-    first = first_df.collect()
     found = {r["__g"]: [r["__m"]] if r["__m"] is not None else [] for r in first}
     has_null = {r["__g"]: bool(r["__has_null"]) for r in first}
     vtype = df.schema[order].dataType
