@@ -81,10 +81,12 @@ def top_per_group(df: DataFrame, group: str, order: str, n: int = 3, *,
         # Filter on the raw window output so Catalyst inserts WindowGroupLimit.
         return (df.withColumn(out, fn.over(w)).filter(F.col(out) <= n)
                 .withColumn(out, F.col(out).cast("bigint")))
-    top = _top_values(df, group, order, n)                  # (__g, __v, __dr)
+    top, size = _top_values(df, group, order, n)            # (__g, __v, __dr), rows if known
     cond = F.col(group).eqNullSafe(F.col("__g")) & F.col(order).eqNullSafe(F.col("__v"))
-    size = top.count()
-    joined = df.join(F.broadcast(top) if size <= BROADCAST_ROWS else top, cond, "inner")
+    # broadcast only a table of known size; otherwise a plain join (AQE may still
+    # broadcast it from the measured size at run time)
+    joined = df.join(F.broadcast(top) if size is not None and size <= BROADCAST_ROWS else top,
+                     cond, "inner")
     if dense:
         return joined.withColumn(out, F.col("__dr").cast("bigint")).select(*df.columns, out)
     # RANK = 1 + rows with a greater value; all of those carry a smaller dense rank
@@ -98,22 +100,23 @@ def top_per_group(df: DataFrame, group: str, order: str, n: int = 3, *,
             .withColumn(out, F.col(out).cast("bigint")).select(*df.columns, out))
 
 
-def _top_values(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
+def _top_values(df: DataFrame, group: str, order: str, n: int) -> tuple[DataFrame, int | None]:
     """Each group's top-n distinct values of ``order`` (descending, NULL last)
-    with their dense rank, as (__g, __v, __dr)."""
+    with their dense rank, as (__g, __v, __dr), and its row count when known."""
     spark = df.sparkSession
     base = df.select(F.col(group).alias("__g"), F.col(order).alias("__v"))
     if n > MAX_PASSES:
         pairs = base.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__cnt"))
         w = Window.partitionBy("__g").orderBy(F.col("__v").desc())
         return (pairs.withColumn("__dr", F.dense_rank().over(w)).filter(F.col("__dr") <= n)
-                .select("__g", "__v", F.col("__dr").cast("bigint").alias("__dr")))
+                .select("__g", "__v", F.col("__dr").cast("bigint").alias("__dr"))), None
     # pass 1: the largest value and whether NULLs occur, per group
     first_df = base.groupBy("__g").agg(F.max("__v").alias("__m"),
                                        F.max(F.col("__v").isNull().cast("int")).alias("__has_null"))
     first = first_df.limit(BROADCAST_ROWS + 1).collect()   # one job: values and the size check
     if len(first) > BROADCAST_ROWS:              # too many groups to carry on the driver
-        return _top_values(df, group, order, MAX_PASSES + 1).filter(F.col("__dr") <= n)
+        pairs, _ = _top_values(df, group, order, MAX_PASSES + 1)
+        return pairs.filter(F.col("__dr") <= n), None
     found = {r["__g"]: [r["__m"]] if r["__m"] is not None else [] for r in first}
     has_null = {r["__g"]: bool(r["__has_null"]) for r in first}
     vtype = df.schema[order].dataType
@@ -139,7 +142,7 @@ def _top_values(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
             rows.append((g, None, len(vals) + 1))
     out_schema = T.StructType([T.StructField("__g", gtype, True), T.StructField("__v", vtype, True),
                                T.StructField("__dr", T.LongType(), False)])
-    return spark.createDataFrame(rows, out_schema)
+    return spark.createDataFrame(rows, out_schema), len(rows)
 
 
 def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[str, ...] = (), *,
