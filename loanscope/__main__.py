@@ -21,8 +21,8 @@ def main(argv: list[str] | None = None) -> None:
     src.add_argument("--parquet", help="raw loan book already in Parquet (our column names)")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--mode", default="overwrite", help="write mode for every table")
-    ap.add_argument("--strategy", default="auto", choices=["auto", "builtin"],
-                    help="auto: scale paths above the size threshold")
+    ap.add_argument("--strategy", default="auto", choices=["auto", "builtin", "scale"],
+                    help="auto: scale paths above the size threshold; scale: always")
     ap.add_argument("--master", default=None, help="Spark master for local runs, e.g. local[8]")
     args = ap.parse_args(argv)
     spark = get_session(master=args.master or "local[*]", shuffle_partitions=None) \

@@ -36,6 +36,7 @@ SMALL_REPORTS = {
 
 
 TIE_SIZED = {"tier_top", "tie_audit"}
+STRATEGY_AWARE = {"tier_summary", "tier_top", "segment_spread", "cap_effect", "top_nondefault"}
 
 
 def run_process(spark: SparkSession, raw: DataFrame, folder: str, *, mode: str = "overwrite",
@@ -52,8 +53,7 @@ def run_process(spark: SparkSession, raw: DataFrame, folder: str, *, mode: str =
     clean = spark.read.parquet(out["clean"])
     out["clean_verify"] = write_table(P.clean_verify(clean).coalesce(1), f"{folder}/clean_verify", mode=mode)
     for name, fn in SMALL_REPORTS.items():
-        df = fn(clean, strategy=strategy) if name in ("tier_summary", "tier_top", "segment_spread",
-                                                      "cap_effect") else fn(clean)
+        df = fn(clean, strategy=strategy) if name in STRATEGY_AWARE else fn(clean)
         # one file for tables bounded by the number of segments; tables whose
         # size follows ties in the data keep their partitions
         out[name] = write_table(df if name in TIE_SIZED else df.coalesce(1), f"{folder}/{name}", mode=mode)
