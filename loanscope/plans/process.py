@@ -59,8 +59,11 @@ def run_process(spark: SparkSession, raw: DataFrame, folder: str, *, mode: str =
         out[name] = write_table(df if name in TIE_SIZED else df.coalesce(1), f"{folder}/{name}", mode=mode)
     out["impute_effect"] = write_table(P.impute_effect(raw, clean).coalesce(1), f"{folder}/impute_effect",
                                        mode=mode)
-    out["watchlist"] = write_table(P.watchlist(clean, strategy=strategy, ordered=False),
-                                   f"{folder}/watchlist", mode=mode, partition_by=["age_band"])
+    # no global sort: rows are ordered by rank inside each task before the
+    # band-partitioned write, so every file reads in priority order
+    watch = P.watchlist(clean, strategy=strategy, ordered=False).sortWithinPartitions(
+        "age_band", "debt_rank", "loan_id")
+    out["watchlist"] = write_table(watch, f"{folder}/watchlist", mode=mode, partition_by=["age_band"])
     for name, path in M.write_marts(clean, f"{folder}/marts", mode=mode, strategy=strategy).items():
         out[f"mart_{name}"] = path
     return out
