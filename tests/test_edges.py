@@ -157,3 +157,18 @@ def test_approx_median_is_opt_in_and_close(spark):
     exact = impute.fill_values(df, ["inc"], [], strategy="builtin")["__median_inc"]
     approx = impute.fill_values(df, ["inc"], [], strategy="approx")["__median_inc"]
     assert exact == 5000.5 and abs(approx - exact) <= 10_000 / 10_000 + 1
+
+
+def test_custom_segmentation_through_generic_reports(spark):
+    from loanscope.functions.segments import Segmentation
+
+    rows = [(i, 1 if i % 4 == 0 else 0, 1000 * (i % 10), 0, 40, 0.5, 0.5, 0) for i in range(40)]
+    clean = P.clean_table(_book(spark, rows), strategy="builtin")
+    income = Segmentation("income_band", "monthly_income",
+                          rules=(("Low", lambda x: x < 3000), ("Middle", lambda x: x < 8000)),
+                          default="High")
+    got = [(r.income_band, r.borrowers, r.defaults) for r in segment_rates(clean, income).collect()]
+    assert got == [("Low", 12, 4), ("Middle", 20, 4), ("High", 8, 2)]
+    conc = reports.concentration(clean, income).collect()
+    assert [r.income_band for r in conc] == ["Low", "Middle", "High", "Total"]
+    assert conc[-1].borrowers == 40 and conc[-1].defaults == 10
