@@ -51,8 +51,8 @@ def _sized(fn, mode: str) -> Query:
     built-in or the scale path for every operator of the report, instead of
     each operator scanning its input to decide."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if mode == "builtin":
-            st = "builtin"
+        if mode in ("builtin", "scale"):
+            st = mode
         else:
             st = "builtin" if staged_rows(spark, sf_dir) <= P.SMALL_ROWS else "scale"
         return fn(_clean(spark, sf_dir), st)
@@ -63,11 +63,12 @@ def queries(mode: str = "auto") -> dict[str, Query]:
     """``mode="auto"``: the library as shipped (scale paths above a size, and
     forced for the three scale-path keys).  ``mode="builtin"``: every query
     in plain built-in form (single-task windows, built-in median), the
-    baseline the scale paths are measured against."""
-    if mode not in ("auto", "builtin"):
+    baseline the scale paths are measured against.  ``mode="scale"``: every
+    query on its scale path whatever the size (what a 100 TB run executes)."""
+    if mode not in ("auto", "builtin", "scale"):
         raise ValueError(f"unknown mode {mode}")
     b = mode == "builtin"
-    st = "builtin" if b else "auto"
+    st = {"builtin": "builtin", "auto": "auto", "scale": "scale"}[mode]
     sel = {"strategy": "builtin"} if b else {"strategy": "select", **SELECT_KNOBS}
     peer = {"strategy": "builtin"} if b else {"strategy": "buckets", **PEER_KNOBS}
 

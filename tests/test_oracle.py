@@ -70,3 +70,14 @@ def test_sized_queries_on_their_scale_paths(spark, con, monkeypatch):
         res = con.execute(E.oracle_sql()[name])
         ocols = [d[0] for d in res.description]
         assert _canon([tuple(r) for r in df.collect()], df.columns) == _canon(res.fetchall(), ocols), name
+
+
+@pytest.mark.skipif(not have(SF), reason="no sf0.001")
+def test_every_query_on_scale_paths_matches_oracle(spark, con):
+    from loanscope.plans import catalog
+
+    for name, fn in catalog.queries("scale").items():
+        df = fn(spark, sf_dir(SF))
+        res = con.execute(E.oracle_sql()[name])
+        ocols = [d[0] for d in res.description]
+        assert _canon([tuple(r) for r in df.collect()], df.columns) == _canon(res.fetchall(), ocols), name
