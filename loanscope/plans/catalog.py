@@ -4,11 +4,12 @@ Every query reads the driver's ``orders`` table through the loan-book
 fixture, so its work grows with the table.  As in the process itself, the
 clean table is built once per source and written (``staging``); report
 queries read the written table, ``clean_table`` itself returns the freshly
-derived frame.  Report queries use the "auto"
-strategy (built-in windows while a single task can hold the rows, scale
-paths above).  The three scale-path keys force their path and size the
-buckets relative to the data, so even the small fixtures run through
-several buckets and narrowing rounds; they stay exact at any setting.
+derived frame.  Report queries decide once, from the staged row count,
+between built-in windows (while a single task can hold the rows) and the
+scale paths; ``queries("builtin")`` / ``queries("scale")`` force one side.
+The three scale-path keys always take their path, with buckets small enough
+that the fixtures run through several buckets and a narrowing round; they
+stay exact at any setting.
 """
 
 from __future__ import annotations
