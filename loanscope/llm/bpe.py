@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from loanscope.llm.shared import chunks
 
 # Units of text whose ids one task remembers before it clears its memory.
-CACHE = 500_000
+CACHE = 1_000_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -92,46 +92,56 @@ def serialise_model(pieces: list[bytes]) -> bytes:
 class Codec:
     """Encodes and decodes inside a task; built from a serialised model and a pre-token pattern.
 
-    ``space_starts`` says that in the pattern a single space between two other
-    characters always starts a pre-token.  A text without two spaces in a row
-    is then cut at its spaces first, and the ids of each such unit are
-    remembered, packed as 32-bit integers.
+    ``spaced_words`` says that in the pattern a single space between two other
+    characters always starts a pre-token, and that a run of letters with one
+    space or none before it is one.  A text without two spaces in a row is then
+    cut at its spaces first, and the ids of each such unit are remembered,
+    packed as 32-bit integers.
     """
 
-    def __init__(self, model: bytes, pattern: str, *, space_starts: bool = False, cache: int = CACHE):
+    def __init__(self, model: bytes, pattern: str, *, spaced_words: bool = False, cache: int = CACHE):
         import regex
         import sentencepiece
 
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.unknown = self.processor.unk_id()
         self.split = regex.compile(pattern).findall
-        self.space_starts = space_starts
+        self.spaced_words = spaced_words
         letters = byte_letters()
         self.to_letters = dict(enumerate(letters))
         back = {c: b for b, c in enumerate(letters)}
         size = self.processor.get_piece_size()
+        self.space = letters[ord(" ")]
         self.piece_bytes = [bytes(map(back.__getitem__, self.processor.id_to_piece(i))) if i != self.unknown else b""
                             for i in range(size)]
+        self.whole = {p: i for i, p in enumerate(self.piece_bytes) if p}
         self.known: dict[str, bytes] = {}
         self.cache = cache
 
     def units(self, text: str) -> list[str]:
         """Pieces of the text that can be cut into pre-tokens one by one."""
-        if not self.space_starts or "  " in text:
+        if not self.spaced_words or "  " in text:
             return self.split(text)
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + r for r in rest]
 
+    def _tokens(self, unit: str) -> list[str]:
+        return [unit] if self.spaced_words and unit[1:].isalpha() and unit[0] == " " else self.split(unit)
+
+    def _mapped(self, token: str) -> str:
+        if token.isascii() and token[1:].isalpha() and token[0] == " ":
+            return self.space + token[1:]
+        return token.encode().decode("latin-1").translate(self.to_letters)
+
     def _learn(self, units: list[str]) -> None:
-        tokens = [self.split(u) for u in units]
-        new = list(dict.fromkeys(itertools.chain.from_iterable(tokens)))
-        mapped = [t.encode().decode("latin-1").translate(self.to_letters) for t in new]
-        whole = self.processor.piece_to_id(mapped)
-        merged = iter(self.processor.encode([m for m, i in zip(mapped, whole) if i == self.unknown],
-                                            out_type=int, num_threads=1))
-        ids = {t: next(merged) if i == self.unknown else [i] for t, i in zip(new, whole)}
+        tokens = [self._tokens(u) for u in units]
+        ids = {t: self.whole.get(t.encode()) for t in itertools.chain.from_iterable(tokens)}
+        merge = [t for t, i in ids.items() if i is None]
+        merged = self.processor.encode([self._mapped(t) for t in merge], out_type=int, num_threads=1)
+        packed = {t: struct.pack("=i", i) for t, i in ids.items() if i is not None}
+        packed |= {t: array("i", i).tobytes() for t, i in zip(merge, merged)}
         for unit, parts in zip(units, tokens):
-            self.known[unit] = array("i", itertools.chain.from_iterable(map(ids.__getitem__, parts))).tobytes()
+            self.known[unit] = packed[parts[0]] if len(parts) == 1 else b"".join(map(packed.__getitem__, parts))
 
     def encode(self, texts: list[str]) -> list[array]:
         """Ids of each text."""
@@ -147,7 +157,7 @@ class Codec:
         return b"".join(map(self.piece_bytes.__getitem__, ids))
 
 
-def encode_decode(docs: DataFrame, *, vocabulary: str, pattern: str, space_starts: bool = False,
+def encode_decode(docs: DataFrame, *, vocabulary: str, pattern: str, spaced_words: bool = False,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded binary): every whole text encoded, and its ids decoded again."""
     model = docs.sparkSession.sparkContext.broadcast(serialise_model(read_ranks(vocabulary)))
@@ -156,7 +166,7 @@ def encode_decode(docs: DataFrame, *, vocabulary: str, pattern: str, space_start
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in chunks(batches, "text"):
-            codec = codec or Codec(model.value, pattern, space_starts=space_starts)
+            codec = codec or Codec(model.value, pattern, spaced_words=spaced_words)
             ids = codec.encode(batch.column(1).to_pylist())
             offsets = pa.array(np.cumsum([0, *map(len, ids)], dtype=np.int32))
             flat = pa.array(np.frombuffer(b"".join(ids), dtype=np.int32))

@@ -16,7 +16,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from loanscope.llm import bpe
 
-    encoded = bpe.encode_decode(_table(spark, sf_dir, "documents"), pattern=public_tokenizers.PATTERN, space_starts=True,
+    encoded = bpe.encode_decode(_table(spark, sf_dir, "documents"), pattern=public_tokenizers.PATTERN, spaced_words=True,
                                 vocabulary=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.digests(encoded)
 
