@@ -5,12 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loanscope.llm import url_filter
+    from loanscope.llm.url_filter import Rule
+
+    rules = [Rule("org", "/", True), Rule("example.org", "/es/", False), Rule("example.org", "/en/1", False),
+             Rule("com", "/fr/", True), Rule("com", "/de/", False)]
+    return (url_filter.judge(_table(spark, sf_dir, "pages"), rules)
+            .select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loanscope.llm import decontaminate
+
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "first_word")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,7 +39,54 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loanscope.llm import toxicity
+
+    graded = toxicity.grade_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return graded.select(F.col("id").alias("doc_id"), "severity", "expected_grade", "p_toxic", "toxic")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loanscope.llm import line_dedup
+
+    found = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), min_chars=10)
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loanscope.llm import warc
+
+    return warc.round_trip(_table(spark, sf_dir, "pages"), least_bytes=100)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loanscope.llm import simhash
+
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint("fp").alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loanscope.llm import sketch
+
+    made = sketch.fingerprints(_table(spark, sf_dir, "documents"))
+    own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return made.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        sketch.as_text(own).alias("fingerprint"), sketch.as_text(edited).alias("edited_fingerprint"),
+        sketch.resemblance(own, edited).alias("near_edited"), sketch.resemblance(own, following).alias("near_next"),
+        sketch.containment(own, edited).alias("contained_in_edited"), sketch.containment(own, following).alias("contained_in_next"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_decontaminate": op2_decontaminate,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_toxicity": op4_toxicity,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_warc_revisit": op7_warc_revisit,
+    "op8_simhash": op8_simhash,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {}
