@@ -218,10 +218,10 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, most: int
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(id, severity, expected_grade, p_toxic, toxic) of every document (id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds, model.cut))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model(*shared.value))
         for batch in chunks(batches, "text"):
             s = np.array([scorer.severity(t) for t in batch.column("text").to_pylist()])
             tail = _sigmoid(s[:, None] - np.array(scorer.model.thresholds)[None, :])
