@@ -53,6 +53,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loanscope.llm import substring_dedup
+
+    found = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loanscope.llm import warc
 
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_warc_revisit": op7_warc_revisit,
     "op8_simhash": op8_simhash,
     "op9_html_extract": op9_html_extract,
