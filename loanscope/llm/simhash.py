@@ -12,7 +12,8 @@ of fingerprints with one key is linked inside a task by verified Hamming
 distances and leaves as a spanning forest, not as all pairs.  A bucket of more
 than ``bucket`` members is not gathered: each member emits itself with up to
 half of ``distance`` free bits flipped; two members link exactly if they meet
-in such a variant, and all that meet in one link to its smallest.
+in such a variant, and all that meet in one link to its smallest.  Buckets that
+a sample shows to hold a large part of all rows never travel to one task.
 
 Defined cases: a text with fewer words than a shingle is one shingle; null and
 empty texts have fingerprint zero and link like any other; equal rows have
@@ -28,7 +29,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanscope.llm.graph import components
@@ -36,7 +37,10 @@ from loanscope.llm.shared import chunks, stored
 
 SEED = 42
 # Members of a bucket that one task links directly; larger ones go by variants.
-BUCKET = 2048
+BUCKET = 32768
+# Buckets with a large part of all fingerprints are known beforehand from a sample of this many (at least SEEN members in it).
+SAMPLE = 65536
+SEEN = 32
 SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -90,49 +94,118 @@ def _flips(mask: int, most: int) -> list[int]:
 
 def _forest(members: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
     """Tree edges of the components of one bucket."""
-    a, b = [], []
-    rest = members
-    queue: list[int] = []
+    a, b, queue, rest = [], [], [], members
     while len(rest):
         if not queue:
             queue, rest = [rest[0]], rest[1:]
         one = queue.pop()
-        near = np.bitwise_count(rest ^ one) <= distance
-        found = rest[near].tolist()
-        a += [int(one)] * len(found)
-        b += found
-        queue += [np.int64(f) for f in found]
+        near = _apart(rest, one) <= distance
+        a += [int(one)] * int(near.sum())
+        b += rest[near].tolist()
+        queue += list(rest[near])
         rest = rest[~near]
     return a, b
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits; numpy counts the bits of a signed number's magnitude, so as unsigned ones."""
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
+def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """(c, k, fp): each fingerprint once for every choice ``c`` of blocks, ``k`` its bits in those blocks."""
+    each = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("c"))
+    return each.withColumn("k", F.col("fp").bitwiseAND(F.get(F.array(*map(F.lit, masks)), F.col("c"))))
+
+
+class _Buckets:
+    """Cuts sorted rows into buckets, across batches, and links each; an oversized one is only named."""
+
+    def __init__(self, distance: int, most: int):
+        self.distance, self.most = distance, most
+        self.key, self.held, self.size = None, [], 0
+        self.a, self.b, self.c = [], [], []
+
+    def _link(self, key: tuple[int, int], members: np.ndarray | None) -> None:
+        if members is None:
+            self.a.append(key[1])
+            self.b.append(None)
+            self.c.append(key[0])
+        elif len(members) > 1:
+            a, b = _forest(members, self.distance)
+            self.a += a
+            self.b += b
+            self.c += [None] * len(a)
+
+    def _close(self) -> None:
+        if self.key is not None:
+            self._link(self.key, None if self.size > self.most else np.concatenate(self.held))
+        self.key, self.held, self.size = None, [], 0
+
+    def _hold(self, key: tuple[int, int], part: np.ndarray) -> None:
+        if key != self.key:
+            self._close()
+            self.key = key
+        self.size += len(part)
+        self.held = [] if self.size > self.most else [*self.held, part]
+
+    def add(self, c: np.ndarray, k: np.ndarray, fp: np.ndarray) -> None:
+        """Rows that follow those added before in the order of (c, k)."""
+        turn = np.flatnonzero((np.diff(c) != 0) | (np.diff(k) != 0)) + 1
+        starts, ends = np.append(0, turn), np.append(turn, len(fp))
+        self._hold((int(c[0]), int(k[0])), fp[:ends[0]])
+        if len(starts) == 1:
+            return
+        inner = slice(1, -1)
+        size = ends[inner] - starts[inner]
+        two = starts[inner][size == 2]
+        two = two[_apart(fp[two], fp[two + 1]) <= self.distance]
+        self.a += fp[two].tolist()
+        self.b += fp[two + 1].tolist()
+        self.c += [None] * len(two)
+        for i in np.flatnonzero(size > 2).tolist():
+            at = int(starts[inner][i])
+            members = fp[at:at + int(size[i])]
+            self._link((int(c[at]), int(k[at])), members if len(members) <= self.most else None)
+        self._hold((int(c[-1]), int(k[-1])), fp[starts[-1]:])
+
+    def take(self, all_: bool = False) -> pa.RecordBatch:
+        if all_:
+            self._close()
+        out = pa.record_batch([pa.array(self.a, pa.int64()), pa.array(self.b, pa.int64()), pa.array(self.c, pa.int32())], ["a", "b", "c"])
+        self.a, self.b, self.c = [], [], []
+        return out
+
+
 def links(fps: DataFrame, *, distance: int, blocks: int | None = None, bucket: int = BUCKET) -> DataFrame:
     """(a, b) between distinct fingerprints ``fp``: enough verified links to connect what all links connect."""
-    blocks = blocks or distance + 3
+    blocks = blocks or distance + 2
     if distance % 2 or blocks <= distance:
         raise ValueError("distance must be even and smaller than blocks")
     masks = block_masks(blocks, blocks - distance)
-    keyed = fps.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for c, m in enumerate(masks)])).alias("key")
-        ).select("fp", "key.c", "key.k")
-    buckets = stored(keyed.groupBy("c", "k").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-                     .filter("n > 1"), "buckets")
-    pairs = (buckets.filter("n = 2").filter(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= distance)
-             .select(F.col("lo").alias("a"), F.col("hi").alias("b")))
-    members = keyed.join(buckets.filter("n > 2").select("c", "k", "n"), ["c", "k"])
+    keyed = _keyed(fps, masks)
+    n = fps.count()
+    some = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE)
+    hot = (_keyed(some, masks).groupBy("c", "k").agg(F.count("*").alias("seen"))
+           .filter((F.col("seen") >= SEEN) & (F.col("seen") * (n / SAMPLE if n > SAMPLE else 1.0) > bucket)).select("c", "k"))
+    # At most len(masks) * SAMPLE / SEEN rows of two numbers.
+    rest = keyed.join(F.broadcast(hot), ["c", "k"], "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Buckets(distance, bucket)
         for batch in batches:
-            a, b = [], []
-            for group in batch.column(0):
-                more = _forest(np.asarray(group.values), distance)
-                a += more[0]
-                b += more[1]
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            if batch.num_rows:
+                found.add(*(batch.column(i).to_numpy() for i in range(3)))
+                yield found.take()
+        yield found.take(all_=True)
 
-    near = (members.filter(F.col("n") <= bucket).groupBy("c", "k").agg(F.collect_list("fp").alias("fps")).select("fps")
-            .mapInArrow(run, "a long, b long"))
-    return pairs.unionByName(near).unionByName(_variant_links(members.filter(F.col("n") > bucket), masks, distance // 2)).distinct()
+    ordered = rest.select("c", "k", "fp").repartition("c", "k").sortWithinPartitions("c", "k")
+    found = stored(ordered.mapInArrow(run, "a long, b long, c int"), "links")
+    large = found.filter("c is not null").select("c", F.col("a").alias("k")).unionByName(hot)
+    pairs = found.filter("c is null").select("a", "b")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(_variant_links(keyed.join(large, ["c", "k"]), masks, distance // 2))
+    return pairs.distinct()
 
 
 def _variant_links(members: DataFrame, masks: list[int], most: int) -> DataFrame:
@@ -159,6 +232,23 @@ def near_duplicates(docs: DataFrame, *, shingle: int, distance: int, blocks: int
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
+def one_of_each(docs: DataFrame, *, shingle: int, distance: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component: the smallest id's, without an id last.
+
+    Rows are told apart by id and text; of rows equal in both one stays.
+    """
+    columns = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    text = F.coalesce(F.col("row").getField(text_col), F.lit(""))
+    rows = (docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+            .withColumn("key", F.struct(F.col("row").getField(id_col).isNull().alias("no_id"), F.col("row").getField(id_col).alias("id"),
+                                        F.xxhash64(text).alias("version"))))
+    groups = near_duplicates(rows.select("key", text.alias("text")), shingle=shingle, distance=distance, id_col="key", text_col="text")
+    chosen = groups.filter("id = component").select(F.col("id").alias("chosen")).distinct()
+    kept = rows.join(chosen, F.col("key") == F.col("chosen"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    return kept.withColumn("first", first).filter("first = 1").select(*columns)
+
+
 def hex_fingerprint(col):
     """16 lower-case hexadecimal digits of a fingerprint."""
     return F.lower(F.lpad(F.hex(col), 16, "0"))
