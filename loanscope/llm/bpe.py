@@ -178,10 +178,10 @@ def encode_decode(docs: DataFrame, *, vocabulary: str, pattern: str, spaced_word
             .withColumnRenamed("id", id_col))
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document: number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of the decoded bytes."""
+def digests(encoded: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of the decoded bytes."""
     return encoded.select(
-        id_col,
+        *columns,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,6 +173,36 @@ def _item_blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
         yield ids, texts
 
 
+def _queries(items: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    return items.select(F.col(item_col).alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS,
+                         similarity: float = SIMILARITY, text_col: str = "text", item_col: str = "item_id",
+                         item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item is found; only the text goes through Python."""
+    for _, texts in _item_blocks(_queries(items, item_col, item_text_col)):
+        found = _found(docs.sparkSession.sparkContext.broadcast(texts), shingle, radius, similarity)
+        docs = docs.filter(~found(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs
+
+
+def _found(shared, shingle: int, radius: int, similarity: float):
+    """Function of a text column: whether any item of the broadcast block is in it."""
+    @F.pandas_udf("boolean")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = Finder(shared.value, shingle=shingle, radius=radius, similarity=similarity)
+        for column in batches:
+            hit, at = np.zeros(len(column), bool), 0
+            for part in chunks(iter([pa.record_batch([pa.array(column, pa.string())], ["text"])]), "text", 1 << 20):
+                for text, *_ in finder.texts(part.column(0).to_pylist()):
+                    hit[at + text] = True
+                at += part.num_rows
+            yield pd.Series(hit)
+
+    return found
+
+
 def contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS,
                  similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -180,7 +211,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = SHINGLE, r
     if radius >= 16 * BLOCKS or not 0 < similarity <= 1:
         raise ValueError("radius below 64 and similarity above 0 to 1")
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    queries = items.select(F.col(item_col).alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    queries = _queries(items, item_col, item_text_col)
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("item", queries.schema["id"].dataType),
                            T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType())])
 

@@ -36,7 +36,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     encoded = bpe.encode_decode(_table(spark, sf_dir, "documents"), pattern=public_tokenizers.PATTERN, spaced_words=True,
                                 vocabulary=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.digests(encoded)
+    return bpe.digests(encoded, "doc_id")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -233,6 +234,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, severity double, expected_grade double, p_toxic double, toxic boolean")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not judged toxic; only the text goes through Python."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    model = train(docs.select(F.col(id_col).alias("id"), text.alias("text")), labels)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds, model.cut))
+
+    @F.pandas_udf("boolean")
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(Model(*shared.value))
+        for texts in batches:
+            p = [scorer.model.at_least(scorer.severity(t))[:1] or [0.0] for t in texts]
+            yield pd.Series([x[0] > scorer.model.cut for x in p], dtype=bool)
+
+    return docs.filter(~toxic(text))
+
+
 def grade_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train on the labelled sample and score every document."""
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
