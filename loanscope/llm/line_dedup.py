@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanscope.llm import mph
 from loanscope.llm.shared import SPACES, ascii_lower, stored
@@ -97,7 +98,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = head + 1
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(texts: pd.Series, drops: pd.Series) -> pd.Series:
     """Texts without the lines at the given positions; null stays null."""
     out = []

@@ -35,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loanscope.llm import suffix_array
 from loanscope.llm.shared import chunks, stored
@@ -227,7 +228,8 @@ def repeated_ranges(docs: DataFrame, *, length: int, gram: int = GRAM, most: int
     return whole.unionByName(sorted_).unionByName(_crowded(parts.filter("crowded"), length))
 
 
-@F.pandas_udf("kept binary, n_removed long, n_spans long")
+@F.pandas_udf(T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()),
+                            T.StructField("n_spans", T.LongType())]))
 def _cut(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame:
     """Text bytes without the ranges."""
     out = []
