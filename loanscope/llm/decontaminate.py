@@ -3,9 +3,9 @@
 Words are runs of letters and digits, A-Z lower-cased; five of them make a
 shingle (an item of fewer words is one shingle).  Window sizes are a few per
 factor of two; an item takes the largest that fits it and the largest that fits
-half of it, and has the SimHash of each of its windows of these sizes.  Every
-document is passed over with windows of the same sizes, one starting at each
-word.  The 64 bits are four blocks of 16; two fingerprints within ``radius`` bits
+half of it, and has the SimHash of its first, middle and last window of each: a
+copy with one word changed keeps one of them whole.  Every document is passed
+over with windows of the same sizes, one starting at each word.  The 64 bits are four blocks of 16; two fingerprints within ``radius`` bits
 agree in some block up to ``radius // 4`` bits, so a table per block that holds
 every 16-bit value within that distance of an item's block finds all of them.
 A hit places the item in the document, and the exact similarity of the item and
@@ -41,9 +41,10 @@ SHINGLE = 5
 RADIUS = 7
 SIMILARITY = 0.8
 BLOCK_BYTES = 8 << 20
-# Window starts handled at once: 64 counters each.
-AT_ONCE = 1 << 15
+# Window starts handled at once: 64 counters each, for all window sizes.
+AT_ONCE = 1 << 13
 BLOCKS = 4
+_BLOCK_BITS = np.array([1, 2, 4, 8], np.uint8)
 
 
 def window_size(shingles: int) -> int:
@@ -52,15 +53,17 @@ def window_size(shingles: int) -> int:
     return power + power // 2 if power > 1 and shingles >= power + power // 2 else power
 
 
-def simhashes(hashes: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of every run of ``size`` shingle hashes (a bit is set if over half have it)."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(hashes) + 1, 64), np.uint16)       # wraps, differences stay right below 65536
-    np.cumsum(bits, axis=0, dtype=np.uint16, out=sums[1:])
-    return np.packbits(sums[size:] - sums[:-size] > size // 2, axis=1).view(np.uint64).ravel()
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set before each place; counts wrap, their differences do not."""
+    sums = np.zeros((len(hashes) + 1, 64), np.uint16)
+    np.cumsum(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.uint16, out=sums[1:])
+    return sums
+
+
+def simhashes(sums: np.ndarray, size: int, most: int) -> np.ndarray:
+    """SimHash of the first ``most`` runs of ``size`` shingle hashes (a bit is set if over half have it)."""
+    n = max(0, min(most, len(sums) - size))
+    return np.packbits(sums[size:size + n] - sums[:n] > size // 2, axis=1).view(np.uint64).ravel()
 
 
 class Queries:
@@ -77,17 +80,23 @@ class Queries:
             order = np.argsort(values, kind="stable")
             counts = np.bincount(values, minlength=1 << 16)
             self.tables.append((counts, np.cumsum(counts) - counts, owner[order]))
-        self.any = [counts > 0 for counts, _, _ in self.tables]
+        self.marks = np.zeros(1 << 16, np.uint8)            # bit b: block b of some item has a value near this one
+        for b, (counts, _, _) in enumerate(self.tables):
+            self.marks[counts > 0] |= 1 << b
 
     def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, query) of all pairs within the radius; a pair may occur more than once."""
-        parts = prints.view(np.uint16).reshape(-1, BLOCKS)
+        values = prints.view(np.uint16)
+        marks = self.marks.take(values).reshape(-1, BLOCKS) & _BLOCK_BITS
+        some = np.flatnonzero(marks.view(np.uint32))
+        parts, marks = values.reshape(-1, BLOCKS)[some], marks[some]
         places, queries = [], []
         for b, (counts, starts, owners) in enumerate(self.tables):
-            at = np.flatnonzero(self.any[b][parts[:, b]])
-            n = counts[parts[at, b]]
-            place = np.repeat(at, n)
-            query = owners[np.repeat(starts[parts[at, b]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            hit = np.flatnonzero(marks[:, b])
+            value = parts[hit, b]
+            n = counts[value]
+            place = np.repeat(some[hit], n)
+            query = owners[np.repeat(starts[value] - np.cumsum(n) + n, n) + np.arange(n.sum())]
             near = np.bitwise_count(prints[place] ^ self.prints[query]) <= self.radius
             places.append(place[near])
             queries.append(query[near])
@@ -110,8 +119,9 @@ class Finder:
             if (half := (len(hashes) - shingle) // 2) >= 4:
                 sizes.add(window_size(half))
             for size in sizes:
-                for offset, p in enumerate(simhashes(hashes, size).tolist()):
-                    found.setdefault((k, size), []).append((p, i, offset))
+                prints, last = simhashes(bit_sums(hashes), size, len(hashes)), len(hashes) - size
+                for offset in {0, last // 2, last}:
+                    found.setdefault((k, size), []).append((int(prints[offset]), i, offset))
         self.queries = {key: Queries(*(np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int64))), radius)
                         for key, rows in found.items()}
 
@@ -141,16 +151,18 @@ class Finder:
         first = np.searchsorted(starts, limits)                          # first word of each text
         best: dict[tuple[int, int], tuple[float, int]] = {}
         seen = set()
-        for (k, size), queries in self.queries.items():
+        for k in {k for k, _ in self.queries}:
             rolled = tokens.shingles(hashes, k)
-            span = size + k - 1                                          # words of a window
-            for at in range(0, len(rolled) - size + 1, AT_ONCE):
-                prints = simhashes(rolled[at:at + AT_ONCE + size - 1], size)
-                place, query = queries.find(prints)
-                place += at
-                same = owner[place] == owner[place + span - 1]           # not across two texts
-                for p, q in zip(place[same].tolist(), query[same].tolist()):
-                    seen.add((int(owner[p]), int(queries.items[q]), p - int(queries.offsets[q])))
+            sizes = sorted(size for of, size in self.queries if of == k)
+            for at in range(0, len(rolled), AT_ONCE):
+                sums = bit_sums(rolled[at:at + AT_ONCE + sizes[-1] - 1])
+                for size in sizes:
+                    queries = self.queries[k, size]
+                    place, query = queries.find(simhashes(sums, size, AT_ONCE))
+                    place += at
+                    same = owner[place] == owner[place + size + k - 2]       # not across two texts
+                    for p, q in zip(place[same].tolist(), query[same].tolist()):
+                        seen.add((int(owner[p]), int(queries.items[q]), p - int(queries.offsets[q])))
         for text, item, at in sorted(seen):
             lo, hi = max(at, int(first[text])), min(at + len(self.items[item]), int(first[text + 1]))
             similarity = self._similar(item, [joined[starts[i]:ends[i]] for i in range(lo, hi)])

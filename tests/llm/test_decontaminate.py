@@ -95,7 +95,8 @@ def test_tables_find_all_within_the_radius():
 def test_window_simhash_matches_counting():
     hashes = np.random.default_rng(1).integers(0, 1 << 63, 40, dtype=np.uint64)
     for size in (1, 2, 3, 7, 12):
-        got = decontaminate.simhashes(hashes, size)
+        got = decontaminate.simhashes(decontaminate.bit_sums(hashes), size, 100)
+        assert len(got) == len(hashes) - size + 1 and len(decontaminate.simhashes(decontaminate.bit_sums(hashes), size, 9)) == 9
         for i in range(len(hashes) - size + 1):
             bits = np.unpackbits(hashes[i:i + size].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
             assert got[i] == np.packbits(bits * 2 > size).view(np.uint64)[0]
