@@ -21,14 +21,11 @@ def main(argv: list[str] | None = None) -> None:
     src.add_argument("--parquet", help="raw loan book already in Parquet (our column names)")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--mode", default="overwrite", help="write mode for every table")
-    ap.add_argument("--strategy", default="auto", choices=["auto", "builtin", "scale"],
-                    help="auto: scale paths above the size threshold; scale: always")
-    ap.add_argument("--master", default=None, help="Spark master for local runs, e.g. local[8]")
+    ap.add_argument("--master", default=None, help="Spark master, e.g. local[8]; else what spark-submit or the defaults say")
     args = ap.parse_args(argv)
-    spark = get_session(master=args.master or "local[*]", shuffle_partitions=None) \
-        if args.master else get_session(shuffle_partitions=None)
+    spark = get_session(master=args.master)
     raw = read_loan_csv(spark, args.csv) if args.csv else read_table(spark, args.parquet)
-    print(json.dumps(run_process(spark, raw, args.out, mode=args.mode, strategy=args.strategy), indent=1))
+    print(json.dumps(run_process(spark, raw, args.out, mode=args.mode), indent=1))
 
 
 if __name__ == "__main__":

@@ -36,6 +36,15 @@ def pct(numerator: Column | str, denominator: Column | str, scale: int = 2) -> C
     return F.round(F.try_divide(_c(numerator) * F.lit(Decimal("100.0")), _c(denominator)), scale)
 
 
+def exact_mean(x: Column | str, scale: int) -> Column:
+    """Mean rounded to ``scale`` places, summed in DECIMAL: the same whatever the order of the rows.
+
+    Values enter with ten decimal places; an aggregate expression.
+    """
+    value = _c(x).cast("decimal(28,10)")
+    return F.round(F.try_divide(F.sum(value), F.count(value)), scale).cast("double")
+
+
 def cap(x: Column | str, limit: float) -> Column:
     """Values above ``limit`` become ``limit``; NULL stays NULL (``least`` would not)."""
     col = _c(x)

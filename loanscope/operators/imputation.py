@@ -9,9 +9,10 @@ Spark ML's ``Imputer``: fit values, then transform).  ``attach="join"``
 instead keeps the statistics lazy as a one-row frame joined with a broadcast
 cross join (a one-row side has a proven size).
 
-Median: built-in ``median`` while the input is small; above that exact
-selection (``exact_percentile``), so no task ever holds a map of all distinct
-values; ``strategy="approx"`` opts into ``percentile_approx`` (one pass).  Mode: a grouped count (map-side combined) reduced by ``min_by`` to
+Median: exact selection (``exact_percentile``) at every size, so no task ever
+holds a map of all distinct values; ``strategy="approx"`` opts into
+``percentile_approx`` (one pass), ``"builtin"`` into Spark's ``median`` (the form
+tests and the bench compare with).  Mode: a grouped count (map-side combined) reduced by ``min_by`` to
 one row - always one row, NULL when the column is all NULL.
 """
 
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 
 from loanscope.operators.selection import exact_percentile
 
-SMALL_ROWS = 2_000_000
-
 
 def mode_frame(df: DataFrame, column: str, alias: str) -> DataFrame:
     """One row: most frequent non-NULL value; ties go to the lowest value."""
@@ -45,12 +44,10 @@ def stats_frame(df: DataFrame, median_cols: list[str], mode_cols: list[str]) ->
 
 
 def fill_values(df: DataFrame, median_cols: list[str], mode_cols: list[str], *,
-                strategy: str = "auto", small_rows: int = SMALL_ROWS, **select_kw) -> dict[str, Any]:
+                strategy: str = "select", **select_kw) -> dict[str, Any]:
     """``{"__median_<c>": float | None, "__mode_<c>": value | None}``."""
-    if strategy not in ("auto", "builtin", "select", "approx"):
+    if strategy not in ("builtin", "select", "approx"):
         raise ValueError(f"unknown strategy {strategy}")
-    if strategy == "auto" and median_cols:
-        strategy = "builtin" if df.count() <= small_rows else "select"
     if strategy == "approx":
         # opt-in: one pass, bounded sketch per task; a data value close to the
         # median (relative rank error 1/accuracy), not the interpolated one
@@ -71,7 +68,7 @@ def fill_values(df: DataFrame, median_cols: list[str], mode_cols: list[str], *,
 
 def impute(df: DataFrame, median_cols: list[str], mode_cols: list[str], *,
            keep: Column | None = None, columns: list[str] | None = None,
-           strategy: str = "auto", attach: str = "literal", **kw) -> DataFrame:
+           strategy: str = "select", attach: str = "literal", **kw) -> DataFrame:
     """Clean frame: NULLs in ``median_cols`` -> median (as DOUBLE), in ``mode_cols``
     -> mode, rows failing ``keep`` dropped (NULL counts as failing), ``columns`` kept."""
     columns = columns or df.columns

@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 
 from loanscope.functions.expressions import OrderKey
 
-# Largest cut array placed in one search.  The search code is constant-size;
-# the bound keeps the driver-side sample and the literal small.
+# Cuts that one pass of an operator asks for at most: a budget its ranges or
+# groups share, which keeps the driver-side sample and the literal small.
 MAX_CUTS = 4096
 # Up to this many cuts (e.g. NTILE boundaries) the position is one flat CASE
 # instead of a chain of search steps.  A chain is a sequence of aliases that
@@ -129,8 +129,6 @@ def with_position(df: DataFrame, order: TupleOrder, cuts: list[tuple], out: str,
     sampled tuple (a heavy duplicate) form their own point bucket.
     ``keep_cuts`` keeps the per-key cut arrays as columns ``<keep_cuts><i>``.
     """
-    if len(cuts) > MAX_CUTS:
-        raise ValueError(f"{len(cuts)} cuts exceed MAX_CUTS={MAX_CUTS}")
     n = len(cuts)
     if n <= FLAT_CUTS and not split_equal and not keep_cuts:
         # One flat CASE (first cut the row sorts before): a single expression, so
@@ -205,7 +203,6 @@ def pick_cuts(sorted_rows: list[tuple], n_cuts: int) -> list[tuple]:
     m = len(sorted_rows)
     if m == 0 or n_cuts <= 0:
         return []
-    n_cuts = min(n_cuts, MAX_CUTS)
     cuts: list[tuple] = []
     for i in range(1, n_cuts + 1):
         pos = (i * m) // (n_cuts + 1)

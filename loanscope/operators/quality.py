@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanscope.functions.expressions import pct
+from loanscope.functions.expressions import exact_mean, pct
 
 
 def profile(df: DataFrame, null_cols: list[str], invalid: dict[str, Column] | None = None) -> DataFrame:
@@ -34,7 +34,7 @@ def verify(df: DataFrame, null_cols: list[str], invalid: dict[str, Column] | Non
     aggs += [(F.count(F.lit(1)) - F.count(c)).alias(f"{c}_nulls") for c in null_cols]
     aggs += [F.count(F.when(pred, 1)).alias(name) for name, pred in (invalid or {}).items()]
     s = F.col(stat_col).cast("double")
-    aggs += [F.round(F.avg(s), 2).alias(f"avg_{stat_name}"),
+    aggs += [exact_mean(s, 2).alias(f"avg_{stat_name}"),
              F.min(s).alias(f"min_{stat_name}"),
              F.max(s).alias(f"max_{stat_name}")]
     return df.agg(*aggs)

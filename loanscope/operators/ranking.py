@@ -1,28 +1,32 @@
 """Ranking inside groups: top-k per group and the ranked peer list.
 
-``top_per_group``: dense rank filtered to <= k.  Spark plans this with a
-partial ``WindowGroupLimit`` before the shuffle, so each map task ships at
-most k ranks per group however large the group is.
+``top_values`` finds each group's top n distinct values with their ranks: a
+bounded sample gives every group a cutoff that its n-th value cannot lie below,
+the (group, value) pairs above it are counted (combined before the shuffle),
+and a window over those pairs ranks them; Spark's ``WindowGroupLimit`` lets at
+most n pairs a group and task travel.  ``top_per_group`` joins them back to the
+rows above the cutoffs.
 
 ``ranked_peers`` (watch list): every row of every group gets its RANK by a
 value (descending) and the id/columns of the next row in (value desc, id)
-order.  The built-in window sends a whole group to one task; with four age
-bands one task holds a third of the rows.  The scale path (G2) splits every
-heavy group into buckets by sampled literal (value, id) cuts, ranks inside
-the bucket and adds per-bucket offsets:
+order.  A window alone would send a whole group to one task; here every group
+with more than its share of rows is split into buckets by sampled literal
+(value, id) cuts, ranked inside the bucket, and per-bucket offsets are added:
 
 * rank  = rows of the group in earlier buckets + local start of the value's
           run - (rows of that value already counted in earlier buckets, only
           for the bucket's first run, whose value may straddle the cut);
 * lead  = local lead, else the first row of the next non-empty bucket.
 
-The per-bucket statistics are one aggregation (count, rows equal to the
-upper cut's value, first row) over the heavy groups, bounded by the cut
-budget; they return to the rows as literal arrays indexed by bucket, so the
-plan is projections plus one bucket-local window - no join.  The first row
-of a bucket is its lower cut, itself a sampled row (checked by count; a
-missing one falls back to the exact built-in path).  A single hot value is
-split by id, too.
+The groups share a budget of cuts in proportion to their rows; a group too
+small for a cut is one bucket, of no more rows than a split group's buckets.
+The per-bucket statistics are one aggregation (count, rows equal to the upper
+cut's value, first row) over the split groups, bounded by the budget; they
+return to the rows as literal arrays indexed by bucket, so the plan is
+projections plus one bucket-local window - no join.  The first row of a bucket
+is its lower cut, itself a row of the spooled input.  A single hot value is
+split by id, too.  One path runs at every size; ``strategy="builtin"`` is the
+plain window that tests and the bench compare with.
 """
 
 from __future__ import annotations
@@ -34,7 +38,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanscope.functions.expressions import OrderKey
-from loanscope.session import ensure_checkpoint_dir
 from loanscope.operators.positional import (
     MAX_CUTS,
     _sql_literal,
@@ -44,129 +47,87 @@ from loanscope.operators.positional import (
     sample_sorted,
     with_position,
 )
+from loanscope.session import spool
 
-SMALL_ROWS = 2_000_000
+# Rows sampled for the cutoffs of top_values; also bounds the table of cutoffs that is broadcast.
+CUTOFF_SAMPLE = 65_536
+# No group is split into buckets smaller than this many rows.
+LEAST_BUCKET = 64
 
 
-# Largest top-values table broadcast to the rows (rows: n x groups at most).
-BROADCAST_ROWS = 1_000_000
+def _cutoffs(base: DataFrame, n: int, seed: int) -> DataFrame:
+    """(__cg, __cut): the n-th largest distinct value of each group in a bounded sample; none if it has fewer."""
+    rows = base.count()
+    sample = base.filter(F.col("__v").isNotNull())
+    if rows > CUTOFF_SAMPLE:
+        sample = sample.sample(withReplacement=False, fraction=CUTOFF_SAMPLE / rows, seed=seed).limit(2 * CUTOFF_SAMPLE)
+    values = F.sort_array(F.collect_list("__v"), asc=False)   # grouping counts all NaN as one value, a set of them does not
+    return (sample.distinct().groupBy(F.col("__g").alias("__cg")).agg(F.get(values, F.lit(n - 1)).alias("__cut"))
+            .filter(F.col("__cut").isNotNull()))
 
 
-# Up to this many ranks the top values are found by repeated max() passes
-# (tiny shuffles); beyond it by ranking all distinct (group, value) pairs.
-MAX_PASSES = 8
+def _above_cutoffs(df: DataFrame, group: str, order: str, n: int, seed: int) -> DataFrame:
+    """Rows of ``df`` that can hold one of their group's top n values."""
+    base = df.select(F.col(group).alias("__g"), F.col(order).alias("__v"))
+    cutoffs = F.broadcast(_cutoffs(base, n, seed))           # at most 2 * CUTOFF_SAMPLE rows
+    kept = df.join(cutoffs, F.col(group).eqNullSafe(F.col("__cg")), "left")
+    return kept.filter(F.col("__cut").isNull() | (F.col(order) >= F.col("__cut"))).select(*df.columns)
+
+
+def top_values(df: DataFrame, group: str, order: str, n: int, aggs: list[Column] | None = None, *,
+               seed: int = 23) -> DataFrame:
+    """(group, value, dense_rank, rank, rows, *aggs) for each group's top n distinct values, NULL last."""
+    names = [f"__a{i}" for i in range(len(aggs or []))]
+    pairs = df.groupBy(group, order).agg(F.count(F.lit(1)).alias("__rows"), *[a.alias(nm) for a, nm in zip(aggs or [], names)])
+    w = Window.partitionBy(group).orderBy(F.col(order).desc())
+    top = pairs.withColumn("__dense", F.dense_rank().over(w)).filter(F.col("__dense") <= n)
+    before = F.coalesce(F.sum("__rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return top.withColumn("__rank", before + 1).withColumn("__dense", F.col("__dense").cast("bigint"))
 
 
-def top_per_group(df: DataFrame, group: str, order: str, n: int = 3, *,
-                  out: str = "rank", dense: bool = True, strategy: str = "auto",
-                  small_rows: int = SMALL_ROWS) -> DataFrame:
+def top_per_group(df: DataFrame, group: str, order: str, n: int = 3, *, out: str = "rank", dense: bool = True,
+                  strategy: str = "values", seed: int = 23) -> DataFrame:
     """Rows whose (dense) rank by ``order`` descending within ``group`` is <= n.
 
     Ties share a rank, so more than n rows per group can qualify - all of them
-    are returned.  ``builtin``: window + filter, which Spark plans with a partial
-    ``WindowGroupLimit`` before the shuffle.  That still ships every tied row
-    of a group to one task, so ``values`` first finds each group's top n
-    distinct values - n passes of a grouped ``max`` that skip the values
-    already found (partial aggregation, one row per group and task; large n:
-    rank the distinct pairs) - and attaches the ranks to the rows with a
-    broadcast join (at most n x groups rows, checked), so the rows never move.
+    are returned, and tied rows never meet in one task.
     """
-    if strategy not in ("auto", "builtin", "values"):
-        raise ValueError(f"unknown strategy {strategy}")
-    if strategy == "auto":
-        strategy = "builtin" if df.count() <= small_rows else "values"
-    w = Window.partitionBy(group).orderBy(F.col(order).desc())
     if strategy == "builtin":
+        w = Window.partitionBy(group).orderBy(F.col(order).desc())
         fn = F.dense_rank() if dense else F.rank()
         # Filter on the raw window output so Catalyst inserts WindowGroupLimit.
         return (df.withColumn(out, fn.over(w)).filter(F.col(out) <= n)
                 .withColumn(out, F.col(out).cast("bigint")))
-    top, size = _top_values(df, group, order, n)            # (__g, __v, __dr), rows if known
-    cond = F.col(group).eqNullSafe(F.col("__g")) & F.col(order).eqNullSafe(F.col("__v"))
-    # broadcast only a table of known size; otherwise a plain join (AQE may still
-    # broadcast it from the measured size at run time)
-    joined = df.join(F.broadcast(top) if size is not None and size <= BROADCAST_ROWS else top,
-                     cond, "inner")
-    if dense:
-        return joined.withColumn(out, F.col("__dr").cast("bigint")).select(*df.columns, out)
-    # RANK = 1 + rows with a greater value; all of those carry a smaller dense rank
-    counts = joined.groupBy("__g", "__dr").agg(F.count(F.lit(1)).alias("__cnt"))
-    wc = Window.partitionBy("__g").orderBy("__dr")
-    ranks = (counts.withColumn(out, F.coalesce(F.sum("__cnt").over(
-        wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
-        .filter(F.col(out) <= n).select(F.col("__g").alias("__g2"), F.col("__dr").alias("__dr2"), out))
-    cond2 = F.col("__g").eqNullSafe(F.col("__g2")) & (F.col("__dr") == F.col("__dr2"))
-    return (joined.join(F.broadcast(ranks), cond2, "inner")
-            .withColumn(out, F.col(out).cast("bigint")).select(*df.columns, out))
-
-
-def _top_values(df: DataFrame, group: str, order: str, n: int) -> tuple[DataFrame, int | None]:
-    """Each group's top-n distinct values of ``order`` (descending, NULL last)
-    with their dense rank, as (__g, __v, __dr), and its row count when known."""
-    spark = df.sparkSession
-    base = df.select(F.col(group).alias("__g"), F.col(order).alias("__v"))
-    if n > MAX_PASSES:
-        pairs = base.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__cnt"))
-        w = Window.partitionBy("__g").orderBy(F.col("__v").desc())
-        return (pairs.withColumn("__dr", F.dense_rank().over(w)).filter(F.col("__dr") <= n)
-                .select("__g", "__v", F.col("__dr").cast("bigint").alias("__dr"))), None
-    # pass 1: the largest value and whether NULLs occur, per group
-    first_df = base.groupBy("__g").agg(F.max("__v").alias("__m"),
-                                       F.max(F.col("__v").isNull().cast("int")).alias("__has_null"))
-    first = first_df.limit(BROADCAST_ROWS + 1).collect()   # one job: values and the size check
-    if len(first) > BROADCAST_ROWS:              # too many groups to carry on the driver
-        pairs, _ = _top_values(df, group, order, MAX_PASSES + 1)
-        return pairs.filter(F.col("__dr") <= n), None
-    found = {r["__g"]: [r["__m"]] if r["__m"] is not None else [] for r in first}
-    has_null = {r["__g"]: bool(r["__has_null"]) for r in first}
-    vtype = df.schema[order].dataType
-    gtype = df.schema[group].dataType
-    schema = T.StructType([T.StructField("__g2", gtype, True), T.StructField("__last", vtype, True)])
-    for i in range(1, n):
-        # groups that found a value in every pass so far: look below their last one
-        live = [(g, vals[-1]) for g, vals in found.items() if len(vals) == i]
-        if not live:
-            break
-        last = spark.createDataFrame(live, schema)
-        nxt = (base.join(F.broadcast(last), F.col("__g").eqNullSafe(F.col("__g2")), "inner")
-               .filter(F.col("__v") < F.col("__last"))
-               .groupBy("__g").agg(F.max("__v").alias("__m")).collect())
-        for r in nxt:
-            if r["__m"] is not None:
-                found[r["__g"]].append(r["__m"])
-    rows = []
-    for g, vals in found.items():
-        for i, v in enumerate(vals):
-            rows.append((g, v, i + 1))
-        if has_null[g] and len(vals) < n:
-            rows.append((g, None, len(vals) + 1))
-    out_schema = T.StructType([T.StructField("__g", gtype, True), T.StructField("__v", vtype, True),
-                               T.StructField("__dr", T.LongType(), False)])
-    return spark.createDataFrame(rows, out_schema), len(rows)
+    if strategy != "values":
+        raise ValueError(f"unknown strategy {strategy}")
+    rows = _above_cutoffs(df, group, order, n, seed)
+    top = (top_values(rows, group, order, n).select(F.col(group).alias("__g"), F.col(order).alias("__v"),
+                                                    F.col("__dense" if dense else "__rank").alias(out))
+           .filter(F.col(out) <= n))
+    same = F.col(group).eqNullSafe(F.col("__g")) & F.col(order).eqNullSafe(F.col("__v"))
+    return rows.join(top, same).select(*df.columns, F.col(out).cast("bigint").alias(out))
+
+
+def top_counts(df: DataFrame, group: str, order: str, n: int, aggs: list[Column], *, seed: int = 23) -> DataFrame:
+    """Rows of ``top_values`` with RANK <= n: counts of the top rows without the rows themselves."""
+    return top_values(_above_cutoffs(df, group, order, n, seed), group, order, n, aggs).filter(F.col("__rank") <= n)
 
 
 def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[str, ...] = (), *,
-                 rank_name: str = "rank", next_prefix: str = "next_", strategy: str = "auto",
-                 small_rows: int = SMALL_ROWS, max_cuts: int = MAX_CUTS, per_cut: int = 16,
-                 rows_per_bucket: int = 1_000_000, seed: int = 41,
+                 rank_name: str = "rank", next_prefix: str = "next_", strategy: str = "buckets",
+                 max_cuts: int = MAX_CUTS, per_cut: int = 16, rows_per_bucket: int | None = None, seed: int = 41,
                  materialize: bool = True, dense_name: str | None = None) -> DataFrame:
     """RANK by ``value`` desc within ``group`` plus the next row's tie/value/carry columns.
 
     Adds ``rank_name`` and ``next_<c>`` for c in (tie, value, *carry), and the
-    DENSE_RANK as ``dense_name`` when given.  ``tie``
-    must be a numeric unique id (the bucket order uses its negation).  The
-    bucketed path reads its input four times (count, sample, bucket counts,
-    window); with ``materialize`` the input - typically a filtered, narrow
-    slice of a wide table - is checkpointed once into the shared
-    ``spark.checkpoint.dir`` and the later passes read that.
+    DENSE_RANK as ``dense_name`` when given.  ``tie`` must be a numeric unique id
+    (the bucket order uses its negation).  Buckets hold about ``rows_per_bucket``
+    rows; by default one part in ``max_cuts`` of all rows, and LEAST_BUCKET at
+    least.  The input is read four times (count, sample, bucket counts, window);
+    with ``materialize`` the input - typically a filtered, narrow slice of a wide
+    table - is spooled once as Parquet and the later passes read that.
     """
-    if strategy not in ("auto", "builtin", "buckets"):
-        raise ValueError(f"unknown strategy {strategy}")
     lead_cols = [tie, value] + [c for c in carry if c not in (tie, value)]
-    n = None
-    if strategy == "auto":
-        n = df.count()
-        strategy = "builtin" if n <= small_rows else "buckets"
     if strategy == "builtin":
         w_rank = Window.partitionBy(group).orderBy(F.col(value).desc())
         w_lead = Window.partitionBy(group).orderBy(F.col(value).desc(), F.col(tie).asc())
@@ -176,14 +137,20 @@ def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[s
         if dense_name:
             out = out.withColumn(dense_name, F.dense_rank().over(w_rank).cast("bigint"))
         return out.withColumn(rank_name, F.rank().over(w_rank).cast("bigint"))
+    if strategy != "buckets":
+        raise ValueError(f"unknown strategy {strategy}")
     if materialize:
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
-        n = None
-    if n is None:
-        n = df.count()
+        df = spool(df, "ranked-slice")
+    n = df.count()
+    max_cuts = max(1, min(max_cuts, MAX_CUTS))
+    size = rows_per_bucket or max(LEAST_BUCKET, -(-n // max_cuts))
     return _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_prefix,
-                                 max_cuts, per_cut, rows_per_bucket, seed, dense_name)
+                                 max_cuts, per_cut, size, seed, dense_name)
+
+
+def _group_key(g):
+    """A value that equals itself: NaN does not, and Spark groups all NaN together."""
+    return "nan" if isinstance(g, float) and g != g else (g,)
 
 
 def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_prefix,
@@ -196,7 +163,6 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     keys = [OrderKey(group, descending=True), OrderKey(value, descending=True),
             OrderKey(neg, descending=True)]
     order = TupleOrder(work, keys)
-    max_cuts = max(1, min(max_cuts, MAX_CUTS))
 
     # 1. bounded sample -> cut tuples for heavy groups only; each cut is a
     #    sampled row, so its lead columns come along
@@ -204,15 +170,15 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     fraction = min(1.0, max_cuts * per_cut / max(n, 1))
     by_group: dict = {}
     for r in rows:
-        by_group.setdefault(r[group], []).append((r[group], r[value], r[neg]) + tuple(r[c] for c in lead_cols))
+        by_group.setdefault(_group_key(r[group]), []).append((r[group], r[value], r[neg]) + tuple(r[c] for c in lead_cols))
     want = {}
     for g, srows in by_group.items():
         est = len(srows) / fraction
         if est > rows_per_bucket:
             want[g] = min(math.ceil(est / rows_per_bucket) - 1, len(srows) - 1)
     total = sum(want.values())
-    if total > max_cuts:
-        want = {g: max(1, (m * max_cuts) // total) for g, m in want.items()}
+    if total > max_cuts:                     # a group left without a cut holds less than a full share of rows
+        want = {g: (m * max_cuts) // total for g, m in want.items()}
     cut_rows: list[tuple] = []
     heavy: list = []
     first_cut: dict = {}
@@ -220,12 +186,9 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
         if want.get(g, 0) > 0:
             picked = pick_cuts(by_group[g], want[g])
             if picked:
-                first_cut[g] = len(cut_rows)
-                heavy.append(g)
+                first_cut[len(heavy)] = len(cut_rows)
+                heavy.append(by_group[g][0][0])
                 cut_rows.extend(picked)
-    if not cut_rows:
-        return ranked_peers(df, group, value, tie, tuple(lead_cols[2:]), rank_name=rank_name,
-                            next_prefix=next_prefix, strategy="builtin", dense_name=dense_name)
     cuts = [c[:3] for c in cut_rows]
     n_cuts = len(cuts)
 
@@ -253,10 +216,10 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
 
     # 3. per-slot counts over the heavy groups (bounded by the cut budget); the
     #    filter reads the group column only, so it never drags the search along
-    heavy_rows = None
+    heavy_rows = F.lit(False)
     for g in heavy:
         c = F.col(group).isNull() if g is None else F.col(group).eqNullSafe(F.lit(g))
-        heavy_rows = c if heavy_rows is None else heavy_rows | c
+        heavy_rows = heavy_rows | c
     aggs = [F.count(F.lit(1)).alias("cnt"),
             F.sum(F.when(F.col("__at_upper"), 1).otherwise(0)).alias("n_at_upper"),
             F.sum(F.when(F.col("__at_lower"), 1).otherwise(0)).alias("n_at_lower")]
@@ -266,21 +229,19 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
                      + F.max(F.when(F.col(value).isNull(), 1).otherwise(0))).alias("n_distinct"))
     hist = bucketed.filter(heavy_rows).groupBy("__slot").agg(*aggs).collect()
     by_slot = {r["__slot"]: r for r in hist}
-    n_slots = n_cuts + len(heavy)
+    n_slots = max(1, n_cuts + len(heavy))
     offset = [0] * n_slots
     carry = [0] * n_slots
     dense_before = [0] * n_slots                 # distinct values of the group before the bucket
     shared = [0] * n_slots                       # 1 when the bucket's first value continues the previous one
     nxt_first: list = [None] * n_slots
-    for hr, g in enumerate(heavy):
-        base_slot = first_cut[g] + hr          # slot of the group's local bucket 0
-        m = (first_cut[heavy[hr + 1]] if hr + 1 < len(heavy) else n_cuts) - first_cut[g]
+    for hr in range(len(heavy)):
+        base_slot = first_cut[hr] + hr         # slot of the group's local bucket 0
+        m = (first_cut[hr + 1] if hr + 1 < len(heavy) else n_cuts) - first_cut[hr]
         for b in range(1, m + 1):
             got = by_slot.get(base_slot + b)
             if got is None or got["n_at_lower"] < 1:
-                # a sampled cut row is gone (source changed under us): exact fallback
-                return ranked_peers(df, group, value, tie, tuple(lead_cols[2:]), rank_name=rank_name,
-                                    next_prefix=next_prefix, strategy="builtin", dense_name=dense_name)
+                raise RuntimeError("the rows changed while they were ranked; rank a stored table or use materialize")
         run = 0
         distinct_run = 0
         for b in range(m + 1):
@@ -295,14 +256,14 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
                 # rows of earlier buckets equal to my lower cut's value: cut values
                 # do not increase, so they sit in the buckets just before mine
                 prev_up = by_slot[slot - 1]["n_at_upper"] if slot - 1 in by_slot else 0
-                same = b >= 2 and same_tuple((cuts[first_cut[g] + b - 2][1],), (cuts[first_cut[g] + b - 1][1],))
+                same = b >= 2 and same_tuple((cuts[first_cut[hr] + b - 2][1],), (cuts[first_cut[hr] + b - 1][1],))
                 carry[slot] = (carry[slot - 1] if same else 0) + prev_up
             if b < m:                          # next bucket starts with its lower cut's row
-                nxt_first[slot] = dict(zip(lead_cols, cut_rows[first_cut[g] + b][3:]))
+                nxt_first[slot] = dict(zip(lead_cols, cut_rows[first_cut[hr] + b][3:]))
             run += by_slot[slot]["cnt"] if slot in by_slot else 0
 
     def arr(values, dtype) -> Column:
-        return F.expr("array(" + ", ".join(_sql_literal(v, dtype) for v in values) + ")")
+        return F.expr("array(" + ", ".join(_sql_literal(v, dtype) for v in values or [None]) + ")")
 
     slot_idx = F.coalesce(F.col("__slot"), F.lit(0)) + 1
     heavy_col = F.col("__heavy")
@@ -315,7 +276,7 @@ def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_p
     # lower cut of the row's bucket, when it belongs to the row's group
     cut_groups = arr([c[0] for c in cuts], df.schema[group].dataType)
     cut_values = arr([c[1] for c in cuts], df.schema[value].dataType)
-    low = F.greatest(F.col("__bucket"), F.lit(1))
+    low = F.greatest(F.least(F.col("__bucket"), F.lit(max(n_cuts, 1))), F.lit(1))
     has_cv = heavy_col & (F.col("__bucket") >= 1) & F.coalesce(
         F.element_at(cut_groups, low).eqNullSafe(F.col(group)), F.lit(False))
     cv = F.element_at(cut_values, low)

@@ -11,9 +11,10 @@ enough (``max_candidates`` rows, a parameter) one window job numbers its
 rows, partitioned by range, and only the wanted rows reach the driver.
 
 Cost: one count, then per round one bounded sample and one aggregation over
-the key columns; each round divides a candidate range by its fanout (up to
-4096), chosen per range to reach ``max_candidates`` in the fewest rounds.
-Nothing proportional to the table is collected.
+the key columns; the open ranges of a round share one budget of ``fanout`` cuts
+(many ranges take several passes), each asking for as many as it needs to reach
+``max_candidates``.  A sampled cut always splits its range, so rounds end; how
+many there are is not limited.  Nothing proportional to the table is collected.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 
 from loanscope.functions.expressions import OrderKey
 from loanscope.operators.positional import MAX_CUTS, TupleOrder, in_range, pick_cuts, with_position
-from loanscope.session import ensure_checkpoint_dir
+from loanscope.session import spool
+
+# Open ranges narrowed by one pass over the table.
+RANGES_AT_ONCE = 64
 
 
 @dataclass
@@ -51,22 +55,20 @@ def _range_id(order: TupleOrder, ranges: list[_Range]) -> Column:
 def select_positions(df: DataFrame, keys: list[OrderKey], positions: list[int], *,
                      n: int | None = None, fanout: int = MAX_CUTS,
                      max_candidates: int = 500_000, per_cut: int = 16,
-                     seed: int = 29, max_rounds: int = 24,
-                     materialize: bool = False) -> dict[int, tuple]:
+                     seed: int = 29, materialize: bool = False) -> dict[int, tuple]:
     """Map each wanted position to the key tuple at that position.
 
-    ``fanout`` caps the buckets per round; a round uses only as many as it
-    takes to bring its range under ``max_candidates`` (with 2x slack for
+    ``fanout`` caps the buckets of a pass; it uses only as many as it
+    takes to bring its ranges under ``max_candidates`` (with 2x slack for
     uneven buckets), so 15M rows need one round and 10^12 rows two.
-    ``materialize`` checkpoints the key columns once into the shared
-    ``spark.checkpoint.dir`` - worth it when ``df`` is an expensive derived
-    frame; a Parquet scan of two pruned columns is cheaper to re-read.
+    ``materialize`` spools the key columns once below the shared folder -
+    worth it when ``df`` is an expensive derived frame; a Parquet scan of two
+    pruned columns is cheaper to re-read.
     """
     names = [k.name for k in keys]
     base = df.select(*names)
     if materialize:
-        ensure_checkpoint_dir(df.sparkSession)
-        base = base.checkpoint(eager=True)
+        base = spool(base, "order-keys")
         n = None
     order = TupleOrder(base, keys)
     if n is None:
@@ -81,16 +83,13 @@ def select_positions(df: DataFrame, keys: list[OrderKey], positions: list[int],
     while active:
         big = [r for r in active if not r.point and r.count > max_candidates]
         small = [r for r in active if r.point or r.count <= max_candidates]
-        if small:
-            results.update(_finish(base, order, small))
-        if not big:
-            break
+        for i in range(0, len(small), RANGES_AT_ONCE):
+            results.update(_finish(base, order, small[i:i + RANGES_AT_ONCE]))
         rounds += 1
-        if rounds > max_rounds:
-            # Still exact, only slower: number the remaining ranges directly.
-            results.update(_finish(base, order, big))
-            break
-        active = _narrow(base, order, big, fanout, per_cut, seed + rounds, max_candidates)
+        at_once = min(RANGES_AT_ONCE, fanout // 2)           # each range of a pass gets two cuts or more
+        active = []
+        for i in range(0, len(big), at_once):
+            active += _narrow(base, order, big[i:i + at_once], fanout, per_cut, seed + rounds, max_candidates)
     return results
 
 
@@ -98,8 +97,9 @@ def _narrow(base: DataFrame, order: TupleOrder, ranges: list[_Range],
             fanout: int, per_cut: int, seed: int, max_candidates: int) -> list[_Range]:
     names = [k.name for k in order.keys]
     tagged = base.withColumn("__rid", _range_id(order, ranges)).filter(F.col("__rid").isNotNull())
-    # Buckets per range: just enough to get under max_candidates (2x slack).
-    fan = {i: max(2, min(fanout, -(-2 * r.count // max(max_candidates, 1)))) for i, r in enumerate(ranges)}
+    # Buckets per range: just enough to get under max_candidates (2x slack), within an equal share of the budget.
+    share = max(2, fanout // len(ranges))
+    fan = {i: max(2, min(share, -(-2 * r.count // max(max_candidates, 1)))) for i, r in enumerate(ranges)}
     # One stratified sample for all ranges, expected fan*per_cut rows each.
     fractions = {i: min(1.0, fan[i] * per_cut / max(r.count, 1)) for i, r in enumerate(ranges)}
     sample = (tagged.sampleBy("__rid", fractions, seed)

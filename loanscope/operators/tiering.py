@@ -1,13 +1,15 @@
 """Equal-population tiers (NTILE) and the tier summary.
 
-Built-in path: ``ntile(k)`` over a window with no partition - correct, but
-Spark moves every row into one task.  Scale path (G1): an NTILE is fully
-described by its k-1 boundary rows, at positions fixed by n and k.  They are
-found by exact selection (``select_positions``), then every row gets its tier
-from k-1 literal tuple comparisons - a projection with no shuffle at all, so
-the tier summary is a plain partial/final aggregation.
-
-Ties are broken by a unique id (loan id), so tiers are deterministic.
+An NTILE is fully described by its k-1 boundary rows, at positions fixed by n
+and k.  They are found by exact selection (``select_positions``), then every
+row gets its tier from k-1 literal tuple comparisons - a projection with no
+shuffle at all, so the tier summary is a plain partial/final aggregation.  The
+same path runs at every size.  ``tier_cuts`` finds the boundaries once; reports
+over one table pass them on instead of looking for them again.
+
+``strategy="builtin"`` is ``ntile(k)`` over a window with no partition, where
+Spark moves every row into one task: the form that tests and the bench compare
+with.  Ties are broken by a unique id (loan id), so tiers are deterministic.
 """
 
 from __future__ import annotations
@@ -15,14 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanscope.functions.expressions import OrderKey, cap, pct
+from loanscope.functions.expressions import OrderKey, cap, exact_mean, pct
 from loanscope.operators.common import sort_small
 from loanscope.operators.positional import TupleOrder, with_position
 from loanscope.operators.selection import select_positions
 
-# Row count up to which the built-in single-task window is used under "auto".
-SMALL_ROWS = 2_000_000
-
 
 def ntile_starts(n: int, k: int) -> list[int]:
     """0-based first positions of tiers 2..k for NTILE(k) over n rows.
@@ -41,47 +40,53 @@ def ntile_starts(n: int, k: int) -> list[int]:
     return starts
 
 
-def assign_tiers(df: DataFrame, keys: list[OrderKey], k: int, *, out: str = "tier",
-                 strategy: str = "auto", small_rows: int = SMALL_ROWS, **select_kw) -> DataFrame:
+def boundaries(df: DataFrame, keys: list[OrderKey], k: int, **select_kw) -> list[tuple]:
+    """Key tuples of the first rows of tiers 2..k (fewer if there are fewer rows than tiers)."""
+    n = df.count()
+    starts = ntile_starts(n, k)
+    found = select_positions(df, keys, starts, n=n, **select_kw)
+    return [found[s] for s in starts]
+
+
+def assign_tiers(df: DataFrame, keys: list[OrderKey], k: int, *, out: str = "tier", strategy: str = "select",
+                 cuts: list[tuple] | None = None, **select_kw) -> DataFrame:
     """Add ``out`` = NTILE(k) over the order ``keys`` (last key should be unique)."""
-    if strategy not in ("auto", "builtin", "select"):
-        raise ValueError(f"unknown strategy {strategy}")
-    n = None
-    if strategy == "auto":
-        n = df.count()
-        strategy = "builtin" if n <= small_rows else "select"
     if strategy == "builtin":
         w = Window.orderBy(*[key.sort_col() for key in keys])
         return df.withColumn(out, F.ntile(k).over(w).cast("bigint"))
-    if n is None:
-        n = df.count()
-    starts = ntile_starts(n, k)
-    found = select_positions(df, keys, starts, n=n, **select_kw)
-    cuts = [found[s] for s in starts]
+    if strategy != "select":
+        raise ValueError(f"unknown strategy {strategy}")
+    if cuts is None:
+        cuts = boundaries(df, keys, k, **select_kw)
     tiered = with_position(df, TupleOrder(df, keys), cuts, out)
     return tiered.withColumn(out, (F.col(out) + F.lit(1)).cast("bigint"))
 
 
+def _capped(df: DataFrame, column: str, cap_at: float | None, capped: str) -> DataFrame:
+    return df.withColumn(capped, cap(column, cap_at) if cap_at is not None else F.col(column))
+
+
+def tier_cuts(df: DataFrame, column: str = "utilization", k: int = 5, *, cap_at: float | None = 2.0,
+              tie: str = "loan_id", **select_kw) -> list[tuple]:
+    """Boundary rows (capped value, tie) of the k tiers; pass them to ``tier`` and ``tier_summary``."""
+    keys = [OrderKey("__capped"), OrderKey(tie)]
+    return boundaries(_capped(df.select(column, tie), column, cap_at, "__capped"), keys, k, **select_kw)
+
+
 def tier(df: DataFrame, column: str = "utilization", k: int = 5, *, cap_at: float | None = 2.0,
-         tie: str = "loan_id", capped: str = "utilization_capped", out: str = "risk_tier",
-         strategy: str = "auto", **kw) -> DataFrame:
+         tie: str = "loan_id", capped: str = "utilization_capped", out: str = "risk_tier", **kw) -> DataFrame:
     """Cap the column (NULL stays NULL), then NTILE(k) on (capped, tie)."""
-    source = cap(column, cap_at) if cap_at is not None else F.col(column)
-    with_cap = df.withColumn(capped, source)
-    return assign_tiers(with_cap, [OrderKey(capped), OrderKey(tie)], k, out=out,
-                        strategy=strategy, **kw)
+    return assign_tiers(_capped(df, column, cap_at, capped), [OrderKey(capped), OrderKey(tie)], k, out=out, **kw)
 
 
 def tier_summary(df: DataFrame, column: str = "utilization", k: int = 5, *,
                  flag: str = "default_flag", cap_at: float | None = 2.0, tie: str = "loan_id",
-                 capped: str = "utilization_capped", out: str = "risk_tier",
-                 strategy: str = "auto", **kw) -> DataFrame:
+                 capped: str = "utilization_capped", out: str = "risk_tier", **kw) -> DataFrame:
     """Per tier: borrowers, average capped value (4 dp), defaults, default rate %."""
-    tiered = tier(df.select(column, tie, flag), column, k, cap_at=cap_at, tie=tie,
-                  capped=capped, out=out, strategy=strategy, **kw)
+    tiered = tier(df.select(column, tie, flag), column, k, cap_at=cap_at, tie=tie, capped=capped, out=out, **kw)
     agg = tiered.groupBy(out).agg(
         F.count(F.lit(1)).alias("borrowers"),
-        F.round(F.avg(capped), 4).alias("avg_utilization"),
+        exact_mean(capped, 4).alias("avg_utilization"),
         F.sum(F.col(flag).cast("int")).cast("bigint").alias("defaults"),
     )
     return (agg.withColumn("default_rate_pct", pct("defaults", "borrowers").cast("double"))

@@ -1,15 +1,12 @@
 """Query catalog: name -> (spark, sf_dir) -> DataFrame.
 
-Every query reads the driver's ``orders`` table through the loan-book
-fixture, so its work grows with the table.  As in the process itself, the
-clean table is built once per source and written (``staging``); report
-queries read the written table, ``clean_table`` itself returns the freshly
-derived frame.  Report queries decide once, from the staged row count,
-between built-in windows (while a single task can hold the rows) and the
-scale paths; ``queries("builtin")`` / ``queries("scale")`` force one side.
-The three scale-path keys always take their path, with buckets small enough
-that the fixtures run through several buckets and a narrowing round; they
-stay exact at any setting.
+Every query reads the driver's ``orders`` table through the loan-book fixture,
+so its work grows with the table.  As in the process itself, the clean table is
+built once per source and written (``staging``); report queries read the
+written table and its tier boundaries, ``clean_table`` itself returns the
+freshly derived frame.  All run the shipped operators with shipped settings,
+one path at every size.  ``queries(builtin=True)`` gives the same reports on
+plain windows and Spark's ``median``, for the bench.
 """
 
 from __future__ import annotations
@@ -21,96 +18,69 @@ from pyspark.sql import functions as F
 
 from loanscope.plans import marts as M
 from loanscope.plans import portfolio as P
-from loanscope.plans.staging import staged_clean, staged_rows
+from loanscope.plans.staging import staged_clean, staged_with_cuts
 from loanscope.sources.fixture import read_loan_book
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Scale-path knobs for the forced keys.  Selection: 64 buckets per round and
-# at most 5000 candidate rows per target, so sf0.01 and sf0.1 both run one
-# sampled narrowing round and the final numbering.  Ranking: buckets of about
-# 40 rows inside each heavy band (at most 64 cuts).
-SELECT_KNOBS = {"fanout": 64, "max_candidates": 5000, "per_cut": 8}
-PEER_KNOBS = {"max_cuts": 64, "rows_per_bucket": 40, "per_cut": 8}
 
+def _on_clean(fn, **kw) -> Query:
+    return lambda spark, sf_dir: fn(staged_clean(spark, sf_dir), **kw)
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_loan_book(spark, sf_dir)
-
-
-def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged_clean(spark, sf_dir)
 
+def _by_tier(fn, builtin: bool) -> Query:
+    """Report that needs the tiers of the staged table: with its boundaries, or the plain window."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if builtin:
+            return fn(staged_clean(spark, sf_dir), builtin=True)
+        clean, cuts = staged_with_cuts(spark, sf_dir)
+        return fn(clean, cuts=cuts)
+    return run
 
-def _on_clean(fn) -> Query:
-    return lambda spark, sf_dir: fn(_clean(spark, sf_dir))
 
+def _global_ntile(clean: DataFrame, **kw) -> DataFrame:
+    return P.tiered(clean.select("loan_id", "utilization"), **kw).select("loan_id", "utilization_capped", "risk_tier")
 
-def _sized(fn, mode: str) -> Query:
-    """Report over the staged table with one size decision per query: the
-    staged row count (known from the Parquet footers, counted once) picks the
-    built-in or the scale path for every operator of the report, instead of
-    each operator scanning its input to decide."""
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if mode in ("builtin", "scale"):
-            st = mode
-        else:
-            st = "builtin" if staged_rows(spark, sf_dir) <= P.SMALL_ROWS else "scale"
-        return fn(_clean(spark, sf_dir), st)
-    return run
 
+def _median(raw: DataFrame, builtin: bool) -> DataFrame:
+    if builtin:
+        return raw.agg(F.median(F.col("monthly_income").cast("double")).alias("median_income"),
+                       F.count("monthly_income").alias("income_values"))
+    return P.exact_median_income(raw)
 
-def queries(mode: str = "auto") -> dict[str, Query]:
-    """``mode="auto"``: the library as shipped (scale paths above a size, and
-    forced for the three scale-path keys).  ``mode="builtin"``: every query
-    in plain built-in form (single-task windows, built-in median), the
-    baseline the scale paths are measured against.  ``mode="scale"``: every
-    query on its scale path whatever the size (what a 100 TB run executes)."""
-    if mode not in ("auto", "builtin", "scale"):
-        raise ValueError(f"unknown mode {mode}")
-    b = mode == "builtin"
-    st = {"builtin": "builtin", "auto": "auto", "scale": "scale"}[mode]
-    sel = {"strategy": "builtin"} if b else {"strategy": "select", **SELECT_KNOBS}
-    peer = {"strategy": "builtin"} if b else {"strategy": "buckets", **PEER_KNOBS}
-
-    def median(s, d):
-        raw = _raw(s, d)
-        if b:
-            return raw.agg(F.median(F.col("monthly_income").cast("double")).alias("median_income"),
-                           F.count("monthly_income").alias("income_values"))
-        return P.exact_median_income(raw, **SELECT_KNOBS)
 
+def queries(builtin: bool = False) -> dict[str, Query]:
+    form = {"builtin": builtin}
     return {
         # the seven scripts
-        "profile": lambda s, d: P.raw_profile(_raw(s, d)),
-        "clean_table": lambda s, d: P.clean_table(_raw(s, d), strategy=st),
+        "profile": lambda s, d: P.raw_profile(read_loan_book(s, d)),
+        "clean_table": lambda s, d: P.clean_table(read_loan_book(s, d), **form),
         "clean_verify": _on_clean(P.clean_verify),
         "ratio_buckets": _on_clean(P.ratio_buckets),
-        "tier_summary": _sized(lambda c, st: P.tier_summary(c, strategy=st), mode),
-        "tier_top": _sized(lambda c, st: P.tier_top(c, strategy=st), mode),
+        "tier_summary": _by_tier(P.tier_summary, builtin),
+        "tier_top": _by_tier(P.tier_top, builtin),
         "cohort_trend": _on_clean(P.cohort_trend),
-        "watchlist": _sized(lambda c, st: P.watchlist(c, strategy=st), mode),
+        "watchlist": _on_clean(P.watchlist, **form),
         "concentration": _on_clean(P.concentration),
         # published figures
         "headline_rate": _on_clean(P.headline_rate),
         "gap_audit": _on_clean(P.gap_audit),
         "bucket_extremes": _on_clean(P.bucket_extremes),
-        "segment_spread": _sized(lambda c, st: P.segment_spread(c, strategy=st), mode),
+        "segment_spread": _by_tier(P.segment_spread, builtin),
         "concentration_gap": _on_clean(P.concentration_gap),
-        "impute_effect": lambda s, d: P.impute_effect(_raw(s, d), _clean(s, d)),
+        "impute_effect": lambda s, d: P.impute_effect(read_loan_book(s, d), staged_clean(s, d)),
         "tie_audit": _on_clean(P.tie_audit),
-        "cap_effect": _sized(lambda c, st: P.cap_effect(c, strategy=st), mode),
-        "top_nondefault": _sized(lambda c, st: P.top_nondefault(c, strategy=st), mode),
+        "cap_effect": _by_tier(P.cap_effect, builtin),
+        "top_nondefault": _on_clean(P.top_nondefault, **form),
         "volume_rate_split": _on_clean(P.volume_rate_split),
         # marts
         "mart_executive": _on_clean(M.mart_executive),
-        "mart_risk": _sized(lambda c, st: M.mart_risk(c, strategy=st), mode),
-        "mart_borrower": _sized(lambda c, st: M.mart_borrower(c, strategy=st), mode),
-        # scale paths, forced
-        "global_ntile": _on_clean(lambda c: P.tiered(c.select("loan_id", "utilization"), **sel)
-                                  .select("loan_id", "utilization_capped", "risk_tier")),
-        "ranked_peers": _on_clean(lambda c: P.watchlist(c, **peer)),
-        "exact_percentile": median,
+        "mart_risk": _by_tier(M.mart_risk, builtin),
+        "mart_borrower": _by_tier(M.mart_borrower, builtin),
+        # the scale operators by themselves: boundaries looked for, all rows ranked, median selected
+        "global_ntile": _on_clean(_global_ntile, **form),
+        "ranked_peers": _on_clean(P.watchlist, **form),
+        "exact_percentile": lambda s, d: _median(read_loan_book(s, d), builtin),
     }
 
 

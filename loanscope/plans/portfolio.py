@@ -1,10 +1,10 @@
 """Portfolio reports with the loan-book defaults (column names, thresholds).
 
 ``raw`` is the loan book as read (``RAW_SCHEMA``), ``clean`` the staged table
-after ``clean_table``.  ``strategy``: "auto" (each operator checks its input
-size: built-in up to a row count, scale path above), "builtin", "scale"
-(every operator on its scale path, no size checks), or an operator-level
-name ("select", "buckets", "values") passed through.
+after ``clean_table``.  Every report runs one way at every size; with
+``builtin=True`` it runs on plain windows and Spark's ``median``, the form that
+tests and the bench compare with.  ``cuts`` are the tier boundaries of the
+table (``tiering.tier_cuts``), found anew where they are not given.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanscope.functions.expressions import TREND_BASELINE, pct, trend_label
+from loanscope.functions.expressions import TREND_BASELINE, exact_mean, pct, trend_label
 from loanscope.functions.segments import AGE_BANDS, LEGACY_RATIO_EDGES, RATIO_BUCKETS
 from loanscope.operators.imputation import impute as impute_frame
 from loanscope.operators import quality, ranking, reports, tiering
@@ -30,26 +30,6 @@ WATCH_MIN_LATE = 1
 WATCH_MAX_RATIO = 5.0
 
 NULL_COLS = ["monthly_income", "dependents"]
-# Rows up to which a single task handles the built-in windows (the operators' "auto" threshold).
-SMALL_ROWS = 2_000_000
-
-# The scale path of each operator family, for strategy="scale".
-SCALE_PATHS = {"tier": "select", "peers": "buckets", "top": "values", "median": "select"}
-OPERATOR_PATHS = {"tier": ("select",), "peers": ("buckets",), "top": ("values",), "median": ("select", "approx")}
-
-
-def pick(strategy: str, kind: str) -> str:
-    """Operator-level strategy for a plan-level one."""
-    if strategy in ("auto", "builtin"):
-        return strategy
-    if strategy == "scale":
-        return SCALE_PATHS[kind]
-    if strategy in OPERATOR_PATHS[kind]:
-        return strategy
-    if strategy in SCALE_PATHS.values():      # another family's scale name: its own scale path
-        return SCALE_PATHS[kind]
-    raise ValueError(f"unknown strategy {strategy}")
-
 
 def bad_age():
     return {"bad_age_rows": F.col("age") == 0}
@@ -61,10 +41,10 @@ def raw_profile(raw: DataFrame) -> DataFrame:
     return quality.profile(raw, NULL_COLS, bad_age())
 
 
-def clean_table(raw: DataFrame, *, strategy: str = "auto", **kw) -> DataFrame:
+def clean_table(raw: DataFrame, *, builtin: bool = False, **kw) -> DataFrame:
     """Median-filled income, mode-filled dependents, age 0 (and NULL age) dropped."""
     return impute_frame(raw, ["monthly_income"], ["dependents"], keep=F.col("age") != 0,
-                        columns=CLEAN_COLUMNS, strategy=pick(strategy, "median"), **kw)
+                        columns=CLEAN_COLUMNS, **({"strategy": "builtin"} if builtin else {}), **kw)
 
 
 def clean_verify(clean: DataFrame) -> DataFrame:
@@ -77,21 +57,23 @@ def ratio_buckets(clean: DataFrame) -> DataFrame:
 
 # -- phase 2 -------------------------------------------------------------------
 
-def tier_summary(clean: DataFrame, *, strategy: str = "auto", **kw) -> DataFrame:
-    return tiering.tier_summary(clean, "utilization", TIERS, cap_at=UTILIZATION_CAP,
-                                strategy=pick(strategy, "tier"), **kw)
+def _tier_form(builtin: bool, cuts: list[tuple] | None) -> dict:
+    return {"strategy": "builtin"} if builtin else {"cuts": cuts}
+
+
+def tier_summary(clean: DataFrame, *, builtin: bool = False, cuts: list[tuple] | None = None, **kw) -> DataFrame:
+    return tiering.tier_summary(clean, "utilization", TIERS, cap_at=UTILIZATION_CAP, **_tier_form(builtin, cuts), **kw)
 
 
-def tiered(clean: DataFrame, *, strategy: str = "auto", cap_at: float | None = UTILIZATION_CAP,
-           out: str = "risk_tier", **kw) -> DataFrame:
-    return tiering.tier(clean, "utilization", TIERS, cap_at=cap_at, out=out,
-                        strategy=pick(strategy, "tier"), **kw)
+def tiered(clean: DataFrame, *, builtin: bool = False, cuts: list[tuple] | None = None, out: str = "risk_tier",
+           **kw) -> DataFrame:
+    return tiering.tier(clean, "utilization", TIERS, cap_at=UTILIZATION_CAP, out=out, **_tier_form(builtin, cuts), **kw)
 
 
-def tier_top(clean: DataFrame, *, strategy: str = "auto", **kw) -> DataFrame:
-    t = tiered(clean.select("loan_id", "utilization", "default_flag"), strategy=strategy, **kw)
+def tier_top(clean: DataFrame, *, builtin: bool = False, cuts: list[tuple] | None = None, **kw) -> DataFrame:
+    t = tiered(clean.select("loan_id", "utilization", "default_flag"), builtin=builtin, cuts=cuts, **kw)
     top = ranking.top_per_group(t, "risk_tier", "utilization", TOP_PER_TIER, out="util_rank",
-                                strategy=pick(strategy, "top"))
+                                strategy="builtin" if builtin else "values")
     return (top.select("risk_tier", "loan_id", F.col("utilization").alias("raw_utilization"),
                        "utilization_capped", "default_flag", "util_rank")
             .orderBy("risk_tier", "util_rank", "loan_id"))   # ties make this row-sized: distributed sort
@@ -112,11 +94,11 @@ WATCH_COLUMNS = ["age_band", "loan_id", "debt_ratio", "default_flag", "debt_rank
                  "next_loan_id", "next_debt_ratio", "next_default_flag"]
 
 
-def watchlist(clean: DataFrame, *, strategy: str = "auto", ordered: bool = True,
+def watchlist(clean: DataFrame, *, builtin: bool = False, ordered: bool = True,
               extra: tuple[str, ...] = (), **kw) -> DataFrame:
     ranked = ranking.ranked_peers(watch_population(clean, extra), "age_band", "debt_ratio", "loan_id",
                                   ("default_flag",), rank_name="debt_rank",
-                                  strategy=pick(strategy, "peers"), **kw)
+                                  strategy="builtin" if builtin else "buckets", **kw)
     out = ranked.select(*WATCH_COLUMNS, *extra)
     return out.orderBy("age_band", "debt_rank", "loan_id") if ordered else out
 
@@ -142,8 +124,8 @@ def bucket_extremes(clean: DataFrame) -> DataFrame:
     return reports.bucket_extremes(clean, RATIO_BUCKETS)
 
 
-def segment_spread(clean: DataFrame, *, strategy: str = "auto", **kw) -> DataFrame:
-    tiers = tier_summary(clean, strategy=strategy, **kw).withColumn("__o", F.col("risk_tier"))
+def segment_spread(clean: DataFrame, *, builtin: bool = False, cuts: list[tuple] | None = None, **kw) -> DataFrame:
+    tiers = tier_summary(clean, builtin=builtin, cuts=cuts, **kw).withColumn("__o", F.col("risk_tier"))
     ages = segment_rates(clean, AGE_BANDS)
     return (reports.segment_spread(tiers, "risk_tier", "__o", "risk_tier")
             .unionByName(reports.segment_spread(ages, "age_band", "age_band_order", "age_band")))
@@ -155,10 +137,10 @@ def concentration_gap(clean: DataFrame) -> DataFrame:
 
 def impute_effect(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """Mean income before (non-NULL raw values) and after imputation, rows filled."""
-    before = raw.agg(F.round(F.avg(F.col("monthly_income").cast("double")), 2).alias("raw_avg_income"),
+    before = raw.agg(exact_mean("monthly_income", 2).alias("raw_avg_income"),
                      F.count(F.when(F.col("monthly_income").isNull() & (F.col("age") != 0), 1))
                      .alias("filled_rows"))
-    after = clean.agg(F.round(F.avg("monthly_income"), 2).alias("clean_avg_income"))
+    after = clean.agg(exact_mean("monthly_income", 2).alias("clean_avg_income"))
     both = before.crossJoin(after)
     return both.select("raw_avg_income", "clean_avg_income",
                        F.round(F.col("clean_avg_income") - F.col("raw_avg_income"), 2).alias("avg_shift"),
@@ -172,24 +154,26 @@ def tie_audit(clean: DataFrame) -> DataFrame:
             .filter(F.col("tied_rows") > 1))
 
 
-def cap_effect(clean: DataFrame, *, strategy: str = "auto", **kw) -> DataFrame:
+def cap_effect(clean: DataFrame, *, builtin: bool = False, cuts: list[tuple] | None = None, **kw) -> DataFrame:
     """Rows whose tier changes when the cap is dropped (ties broken by id)."""
     base = clean.select("loan_id", "utilization")
-    a = tiered(base, strategy=strategy, out="tier_capped", **kw)
-    b = tiering.tier(a, "utilization", TIERS, cap_at=None, capped="__raw_key", out="tier_raw",
-                     strategy=pick(strategy, "tier"), **kw)
+    a = tiered(base, builtin=builtin, cuts=cuts, out="tier_capped", **kw)
+    raw_cuts = None if builtin else tiering.tier_cuts(base, "utilization", TIERS, cap_at=None, **kw)
+    b = tiering.tier(a, "utilization", TIERS, cap_at=None, capped="__raw_key", out="tier_raw", **_tier_form(builtin, raw_cuts))
     return b.agg(F.count(F.lit(1)).alias("borrowers"),
                  F.count(F.when(F.col("tier_capped") != F.col("tier_raw"), 1)).alias("tier_changes"))
 
 
-def top_nondefault(clean: DataFrame, n: int = TOP_PER_TIER, *, strategy: str = "auto") -> DataFrame:
+def top_nondefault(clean: DataFrame, n: int = TOP_PER_TIER, *, builtin: bool = False) -> DataFrame:
     """Per band, the top-n watch-list ranks by debt ratio: how many never defaulted."""
-    top = ranking.top_per_group(watch_population(clean), "age_band", "debt_ratio", n,
-                                out="debt_rank", dense=False, strategy=pick(strategy, "top"))
-    return (top.groupBy("age_band")
-            .agg(F.count(F.lit(1)).alias("top_rows"),
-                 F.count(F.when(F.col("default_flag") == 0, 1)).alias("non_default_rows"))
-            .withColumn("non_default_pct", pct("non_default_rows", "top_rows").cast("double")))
+    people, good = watch_population(clean), F.count(F.when(F.col("default_flag") == 0, 1))
+    if builtin:
+        top = ranking.top_per_group(people, "age_band", "debt_ratio", n, out="debt_rank", dense=False, strategy="builtin")
+        found = top.groupBy("age_band").agg(F.count(F.lit(1)).alias("top_rows"), good.alias("non_default_rows"))
+    else:                                    # counts per top value are enough: the rows are not needed
+        top = ranking.top_counts(people, "age_band", "debt_ratio", n, [good])
+        found = top.groupBy("age_band").agg(F.sum("__rows").alias("top_rows"), F.sum("__a0").alias("non_default_rows"))
+    return found.withColumn("non_default_pct", pct("non_default_rows", "top_rows").cast("double"))
 
 
 def volume_rate_split(clean: DataFrame) -> DataFrame:

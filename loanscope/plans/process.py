@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loanscope.operators.tiering import tier_cuts
 from loanscope.plans import marts as M
 from loanscope.plans import portfolio as P
 from loanscope.sources.sinks import write_table
@@ -36,11 +37,10 @@ SMALL_REPORTS = {
 
 
 TIE_SIZED = {"tier_top", "tie_audit"}
-STRATEGY_AWARE = {"tier_summary", "tier_top", "segment_spread", "cap_effect", "top_nondefault"}
+BY_TIER = {"tier_summary", "tier_top", "segment_spread", "cap_effect"}
 
 
-def run_process(spark: SparkSession, raw: DataFrame, folder: str, *, mode: str = "overwrite",
-                strategy: str = "auto") -> dict[str, str]:
+def run_process(spark: SparkSession, raw: DataFrame, folder: str, *, mode: str = "overwrite") -> dict[str, str]:
     """Run every step on ``raw`` and write the results below ``folder``."""
     out: dict[str, str] = {}
     folder = folder.rstrip("/")
@@ -49,11 +49,12 @@ def run_process(spark: SparkSession, raw: DataFrame, folder: str, *, mode: str =
     out["raw"] = write_table(raw, f"{folder}/raw", mode=mode)
     raw = spark.read.parquet(out["raw"])
     out["profile"] = write_table(P.raw_profile(raw).coalesce(1), f"{folder}/profile", mode=mode)
-    out["clean"] = write_table(P.clean_table(raw, strategy=strategy), f"{folder}/clean", mode=mode)
+    out["clean"] = write_table(P.clean_table(raw), f"{folder}/clean", mode=mode)
     clean = spark.read.parquet(out["clean"])
+    cuts = tier_cuts(clean, "utilization", P.TIERS, cap_at=P.UTILIZATION_CAP)    # once for all reports
     out["clean_verify"] = write_table(P.clean_verify(clean).coalesce(1), f"{folder}/clean_verify", mode=mode)
     for name, fn in SMALL_REPORTS.items():
-        df = fn(clean, strategy=strategy) if name in STRATEGY_AWARE else fn(clean)
+        df = fn(clean, cuts=cuts) if name in BY_TIER else fn(clean)
         # one file for tables bounded by the number of segments; tables whose
         # size follows ties in the data keep their partitions
         out[name] = write_table(df if name in TIE_SIZED else df.coalesce(1), f"{folder}/{name}", mode=mode)
@@ -61,9 +62,9 @@ def run_process(spark: SparkSession, raw: DataFrame, folder: str, *, mode: str =
                                        mode=mode)
     # no global sort: rows are ordered by rank inside each task before the
     # band-partitioned write, so every file reads in priority order
-    watch = P.watchlist(clean, strategy=strategy, ordered=False).sortWithinPartitions(
+    watch = P.watchlist(clean, ordered=False).sortWithinPartitions(
         "age_band", "debt_rank", "loan_id")
     out["watchlist"] = write_table(watch, f"{folder}/watchlist", mode=mode, partition_by=["age_band"])
-    for name, path in M.write_marts(clean, f"{folder}/marts", mode=mode, strategy=strategy).items():
+    for name, path in M.write_marts(clean, f"{folder}/marts", mode=mode, cuts=cuts).items():
         out[f"mart_{name}"] = path
     return out

@@ -1,16 +1,13 @@
 """Staging: write the clean table once, let every report read it.
 
-The process builds its clean table once (create-table-as) and all reports
-read that table.  ``staged_clean`` does the same: the first call for a source
-writes the clean frame as Parquet below the session's shared checkpoint
-folder (``spark.checkpoint.dir``, set by the cluster; only filled in when
-unset, as in tests), later calls read the written table.  Reports then scan
-real Parquet columns - filters and column pruning reach the files - and
-never re-run the imputation statistics, and lineage is cut at the table.
-
-The folder name is derived from the source path, its size and modification
-time, and a digest of the modules that define the clean table, so a changed
-source or changed cleaning code is staged afresh.
+The process builds its clean table once (create-table-as) and all reports read
+that table.  ``stage_clean`` writes it to a path the caller names.
+``staged_clean`` does the same for a driver folder below the session's shared
+folder, under a name made of the source's file list (paths, sizes, modification
+times, read through Spark, so any store it can read will do) and a digest of
+the modules that define the table: a changed, added or replaced source file is
+staged afresh, within one application too.  A staged folder counts only once
+its ``_SUCCESS`` marker is there; a write that was cut off is written again.
 """
 
 from __future__ import annotations
@@ -20,19 +17,19 @@ import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 import loanscope
+from loanscope.operators.tiering import tier_cuts
 from loanscope.plans import portfolio as P
-from loanscope.session import ensure_checkpoint_dir
+from loanscope.session import shared_folder
 from loanscope.sources.fixture import read_loan_book
 from loanscope.sources.sinks import write_table
 
 _LOCK = threading.Lock()
-_STAGED: dict[tuple[str, str], str] = {}
-_ROWS: dict[str, int] = {}
-_DEFINING = ("sources/fixture.py", "sources/loanbook.py", "operators/imputation.py",
-             "operators/selection.py", "operators/positional.py", "plans/portfolio.py")
+_CUTS: dict[str, list[tuple]] = {}
+_DEFINING = ("sources/fixture.py", "sources/loanbook.py", "sources/sinks.py", "functions/expressions.py",
+             "operators/imputation.py", "operators/selection.py", "operators/positional.py", "plans/portfolio.py")
 
 
 def _code_digest() -> str:
@@ -47,38 +44,46 @@ def _code_digest() -> str:
 _CODE = _code_digest()
 
 
-def _source_key(spark: SparkSession, source: str) -> str:
-    try:
-        st = os.stat(source)
-        ident = f"{os.path.abspath(source)}|{st.st_size}|{st.st_mtime_ns}"
-    except OSError:                     # not a local path: valid for this application only
-        ident = f"{source}|{spark.sparkContext.applicationId}"
-    return hashlib.sha1(f"{ident}|{_CODE}".encode()).hexdigest()[:16]
+def source_key(spark: SparkSession, source: str) -> str:
+    """Digest of the files below ``source``: their paths, sizes and modification times."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
+    listed = F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")
+    count, total = files.agg(F.count("*"), F.sum(listed)).first()
+    return hashlib.sha1(f"{source}|{count}|{total}|{_CODE}".encode()).hexdigest()[:20]
 
 
-def _staged_path(spark: SparkSession, sf_dir: str) -> str:
-    source = f"{sf_dir}/orders.parquet"
-    folder = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{folder}/loanscope-staging/clean-{_source_key(spark, source)}"
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has been committed."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
+def stage_clean(spark: SparkSession, raw: DataFrame, path: str, *, mode: str = "overwrite") -> DataFrame:
+    """Write the clean table of ``raw`` to ``path`` (a folder or catalog table) and read it back."""
+    write_table(P.clean_table(raw), path, mode=mode)
+    return spark.read.parquet(path) if "/" in path else spark.table(path)
+
+
+def staged_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the complete staged clean table of a driver folder, written if it is not there."""
+    key = source_key(spark, f"{sf_dir}/orders.parquet")
+    path = f"{shared_folder(spark)}/loanscope-staging/clean-{key}"
     with _LOCK:
-        if (folder, path) not in _STAGED:
-            try:
-                spark.read.parquet(path).schema      # written by an earlier session
-            except AnalysisException:
-                write_table(P.clean_table(read_loan_book(spark, sf_dir)), path, mode="overwrite")
-            _STAGED[(folder, path)] = path
+        if not is_complete(spark, path):
+            stage_clean(spark, read_loan_book(spark, sf_dir), path)
     return path
 
 
 def staged_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean loan book for a driver folder, written once and read back."""
-    return spark.read.parquet(_staged_path(spark, sf_dir))
+    return spark.read.parquet(staged_path(spark, sf_dir))
 
 
-def staged_rows(spark: SparkSession, sf_dir: str) -> int:
-    """Row count of the staged clean table (Parquet footers; counted once)."""
-    path = _staged_path(spark, sf_dir)
+def staged_with_cuts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple]]:
+    """The staged table and its tier boundaries (four rows), found once for each staged table."""
+    path = staged_path(spark, sf_dir)
+    clean = spark.read.parquet(path)
     with _LOCK:
-        if path not in _ROWS:
-            _ROWS[path] = spark.read.parquet(path).count()
-        return _ROWS[path]
+        if path not in _CUTS:
+            _CUTS[path] = tier_cuts(clean, "utilization", P.TIERS, cap_at=P.UTILIZATION_CAP)
+        return clean, _CUTS[path]

@@ -1,57 +1,53 @@
 """Session helpers.
 
-The library never hard-codes cluster settings: it reads what the session has
-and only fills in values that are unset (as in tests and the bench).
+The library sets nothing on a session: master, time zone, adaptive execution
+and memory are whatever the application or spark-submit chose.  Work tables go
+below the folder that the session names in ``spark.checkpoint.dir`` (or that
+the application gave to ``setCheckpointDir``), which driver and executors share.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
-
-# Settings the reports rely on; applied only where the session leaves them unset.
-_DEFAULTS = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    "spark.ui.enabled": "false",
-    # checkpoints written by the multi-pass operators go when no longer referenced
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-}
-
-
-def get_session(master: str = "local[8]", app: str = "loanscope",
-                shuffle_partitions: int | None = 8) -> SparkSession:
-    """Build (or reuse) a session for local runs and tests."""
-    builder = SparkSession.builder.master(master).appName(app)
-    active = SparkSession.getActiveSession()
-    for key, value in _DEFAULTS.items():
-        if active is None or active.conf.get(key, None) is None:
-            builder = builder.config(key, value)
-    if shuffle_partitions is not None:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("LOANSCOPE_DRIVER_MEMORY", "8g"))
-    spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
-    return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this setting names a shared file system folder and is left
-    alone.  Only when it is unset (local tests) a fresh scratch folder is taken.
+from pyspark.sql import DataFrame, SparkSession
+
+_LOCAL: list[str] = []
+
+
+def get_session(app: str = "loanscope", *, master: str | None = None,
+                conf: dict[str, str] | None = None) -> SparkSession:
+    """Build (or reuse) a session; ``master`` and ``conf`` only if the caller gives them."""
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for work tables that every executor can read.
+
+    A local session that names none gets one temporary folder per process; any
+    other session is refused, because executors could not see such a folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="loanscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    try:
-        spark.sparkContext.setCheckpointDir(current)
-    except Exception:  # sessions without a local SparkContext (Spark Connect) use the conf
-        pass
-    return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="loanscope-work-"))
+    return _LOCAL[0]
+
+
+def spool(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as a Parquet work table and read it back: later passes scan columns and
+    cut lineage, and a lost executor costs no recomputation."""
+    path = f"{shared_folder(df.sparkSession)}/loanscope-work/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,9 @@ per column (the raw export names its row id column with an empty header).
 
 from __future__ import annotations
 
+import csv
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,21 +74,19 @@ def _norm(name: str) -> str:
 _BY_NORM = {_norm(k): v for k, v in CSV_HEADER_NAMES.items()}
 
 
-def read_loan_csv(spark: SparkSession, path: str | list[str], *,
-                  null_value: str = "NA") -> DataFrame:
-    """Read raw loan-book CSV files into ``RAW_SCHEMA``.
+def _csv_files(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files that the paths (files, folders, patterns) stand for, listed through Spark."""
+    listed = spark.read.format("binaryFile").load(paths).select("path").distinct()
+    return sorted(r["path"] for r in listed.collect())
 
-    Columns are matched by header name, not position: the header line is read
-    once (one line, one tiny job), a typed schema is laid out in the file's
-    column order, and the CSV reader parses straight into it - no inference
-    pass and no string columns to cast afterwards.  Malformed values fail the
-    job (FAILFAST) instead of turning silently into NULL.
-    """
-    paths = [path] if isinstance(path, str) else list(path)
-    first = spark.read.text(paths).first()
-    if first is None:
-        return spark.createDataFrame([], RAW_SCHEMA)
-    header = [h.strip().strip('"') for h in first[0].split(",")]
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...] | None:
+    """Column names in a file's first line, quoted or not; None for an empty file."""
+    first = spark.read.text(file).first()
+    return None if first is None else tuple(h.strip() for h in next(csv.reader([first[0]]), []))
+
+
+def _read_with_header(spark: SparkSession, files: list[str], header: tuple[str, ...], null_value: str) -> DataFrame:
     by_name = {f.name: f.dataType for f in RAW_SCHEMA.fields}
     fields, chosen = [], {}
     for i, h in enumerate(header):
@@ -98,16 +98,37 @@ def read_loan_csv(spark: SparkSession, path: str | list[str], *,
             fields.append(T.StructField(f"c{i}", T.StringType(), True))
     missing = [f.name for f in RAW_SCHEMA.fields if f.name not in chosen]
     if missing:
-        raise ValueError(f"loan-book CSV lacks columns for {missing}; header was {header}")
+        raise ValueError(f"loan-book CSV {files[0]} lacks columns for {missing}; header was {list(header)}")
     raw = (spark.read.schema(T.StructType(fields))
            .option("header", True)
            .option("enforceSchema", True)
            .option("nullValue", null_value)
            .option("mode", "FAILFAST")
-           .csv(paths))
+           .csv(files))
     return raw.select([F.col(chosen[f.name]).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields])
 
 
+def read_loan_csv(spark: SparkSession, path: str | list[str], *,
+                  null_value: str = "NA") -> DataFrame:
+    """Read raw loan-book CSV files into ``RAW_SCHEMA``.
+
+    Columns are matched by header name, not position, for every file: each
+    file's header line is read (one line, one tiny job), files with the same
+    header are read together by a typed schema laid out in their column order,
+    and the parts are put together by name - no inference pass and no string
+    columns to cast afterwards.  Malformed values fail the job (FAILFAST)
+    instead of turning silently into NULL; empty files are skipped.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in _csv_files(spark, paths):
+        header = _header(spark, file)
+        if header is not None:
+            by_header.setdefault(header, []).append(file)
+    parts = [_read_with_header(spark, files, header, null_value) for header, files in by_header.items()]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], RAW_SCHEMA)
+
+
 def read_table(spark: SparkSession, source: str, *, fmt: str = "parquet") -> DataFrame:
     """Scan a loan-book table: a catalog table name or a Parquet/ORC path."""
     if "/" in source or source.endswith(".parquet"):

@@ -14,17 +14,15 @@ TESTDATA = "/root/testdata"
 def spark():
     from pyspark.sql import SparkSession
 
-    from loanscope.session import ensure_checkpoint_dir
-
     s = (SparkSession.builder.master("local[*]")
          .appName("loanscope-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="loanscope-wh-"))
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="loanscope-work-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(s)
     yield s
     s.stop()
 

@@ -101,13 +101,13 @@ def test_join_and_literal_attach_agree(spark):
     assert "Join" not in plan and "Aggregate" not in plan
 
 
-@pytest.mark.parametrize("strategy", ["builtin", "select"])
-def test_even_count_median_and_imputation(spark, strategy):
+@pytest.mark.parametrize("builtin", [True, False])
+def test_even_count_median_and_imputation(spark, builtin):
     rows = [(1, 0, 10, 0, 30, 0.1, 0.1, 0), (2, 0, 20, 1, 30, 0.1, 0.1, 0),
             (3, 1, 40, None, 30, 0.1, 0.1, 0), (4, 0, 35, 1, 30, 0.1, 0.1, 0),
             (5, 0, None, 1, 30, 0.1, 0.1, 0), (6, 0, None, 0, 0, 0.1, 0.1, 0),
             (7, 0, 5, 1, None, 0.1, 0.1, 0)]
-    clean = P.clean_table(_book(spark, rows), strategy=strategy, max_candidates=2, fanout=2)
+    clean = P.clean_table(_book(spark, rows), builtin=builtin, max_candidates=2, fanout=2)
     got = {r.loan_id: (r.monthly_income, r.dependents) for r in clean.collect()}
     # median of 10,20,40,35,5 (raw rows incl. age 0 / NULL age) = 20; mode of deps = 1
     assert got == {1: (10.0, 0), 2: (20.0, 1), 3: (40.0, 1), 4: (35.0, 1), 5: (20.0, 1)}
@@ -116,12 +116,12 @@ def test_even_count_median_and_imputation(spark, strategy):
 def test_empty_input(spark):
     empty = _book(spark, [])
     assert tuple(P.raw_profile(empty).first()) == (0, 0, None, 0, None, 0)
-    clean = P.clean_table(empty, strategy="builtin")
+    clean = P.clean_table(empty, builtin=True)
     assert clean.count() == 0
     assert P.ratio_buckets(clean).count() == 0
     assert P.concentration(clean).collect()[-1].age_band == "Total"
-    assert P.tier_summary(clean, strategy="select").count() == 0
-    assert P.watchlist(clean, strategy="buckets").count() == 0
+    assert P.tier_summary(clean).count() == 0
+    assert P.watchlist(clean).count() == 0
 
 
 def test_zero_defaults_give_null_share(spark):
@@ -163,7 +163,7 @@ def test_custom_segmentation_through_generic_reports(spark):
     from loanscope.functions.segments import Segmentation
 
     rows = [(i, 1 if i % 4 == 0 else 0, 1000 * (i % 10), 0, 40, 0.5, 0.5, 0) for i in range(40)]
-    clean = P.clean_table(_book(spark, rows), strategy="builtin")
+    clean = P.clean_table(_book(spark, rows), builtin=True)
     income = Segmentation("income_band", "monthly_income",
                           rules=(("Low", lambda x: x < 3000), ("Middle", lambda x: x < 8000)),
                           default="High")

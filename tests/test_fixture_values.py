@@ -83,11 +83,11 @@ def test_utilization_nulls_and_top_rows(books, sf):
     raw, clean = books[sf]
     assert raw.filter(F.col("utilization").isNull()).count() == UTIL_NULLS[sf]
     assert P.tier_top(clean).count() == TOP_ROWS[sf]
-    a = P.tier_top(clean, strategy="builtin")
-    b = P.tier_top(clean, strategy="select", fanout=16, max_candidates=300)
+    a = P.tier_top(clean, builtin=True)
+    b = P.tier_top(clean, fanout=16, max_candidates=300)
     assert b.count() == TOP_ROWS[sf] and a.exceptAll(b).count() == 0
-    t1 = P.top_nondefault(clean, strategy="builtin").collect()
-    t2 = P.top_nondefault(clean, strategy="values").collect()
+    t1 = P.top_nondefault(clean, builtin=True).collect()
+    t2 = P.top_nondefault(clean).collect()
     assert sorted(map(tuple, t1)) == sorted(map(tuple, t2))
 
 
@@ -96,7 +96,7 @@ def test_gap_audit_and_cap_effect(books, sf):
     _, clean = books[sf]
     assert P.gap_audit(clean).first().rows_in_gap == GAP[sf]
     assert P.cap_effect(clean).first().tier_changes == 0
-    assert P.cap_effect(clean, strategy="select", fanout=16, max_candidates=300).first().tier_changes == 0
+    assert P.cap_effect(clean, fanout=16, max_candidates=300).first().tier_changes == 0
 
 
 @pytest.mark.parametrize("sf", SCALES)
@@ -109,10 +109,10 @@ def test_ratio_buckets(books, sf):
 
 
 @pytest.mark.parametrize("sf", SCALES)
-@pytest.mark.parametrize("strategy", ["builtin", "select"])
-def test_tier_summary(books, sf, strategy):
+@pytest.mark.parametrize("builtin", [True, False])
+def test_tier_summary(books, sf, builtin):
     _, clean = books[sf]
-    rows = P.tier_summary(clean, strategy=strategy, fanout=32, max_candidates=500).collect()
+    rows = P.tier_summary(clean, builtin=builtin, fanout=32, max_candidates=500).collect()
     assert [r.risk_tier for r in rows] == [1, 2, 3, 4, 5]
     assert [(r.borrowers, r.avg_utilization, r.defaults, r.default_rate_pct) for r in rows] == TIERS[sf]
 
@@ -140,10 +140,10 @@ def test_trend_and_concentration_sf001(books):
 
 
 @pytest.mark.parametrize("sf", SCALES)
-@pytest.mark.parametrize("strategy", ["builtin", "buckets"])
-def test_watchlist_per_band(books, sf, strategy):
+@pytest.mark.parametrize("builtin", [True, False])
+def test_watchlist_per_band(books, sf, builtin):
     _, clean = books[sf]
-    w = P.watchlist(clean, strategy=strategy, ordered=False, rows_per_bucket=25, max_cuts=64, per_cut=8)
+    w = P.watchlist(clean, builtin=builtin, ordered=False, rows_per_bucket=25, max_cuts=64, per_cut=8)
     agg = (w.groupBy("age_band")
            .agg(F.count(F.lit(1)), F.sum("debt_rank"), F.sum("next_loan_id"),
                 F.count(F.when(F.col("next_loan_id").isNull(), 1)), F.countDistinct("debt_rank"),

@@ -8,6 +8,7 @@ import pytest
 from conftest import have, sf_dir
 
 import __spark_entry__ as E
+from loanscope.plans import catalog
 
 SF = "0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -32,12 +33,12 @@ def con():
     return c
 
 
-def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+def test_every_report_has_an_oracle():
+    assert set(catalog.queries()) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.skipif(not have(SF), reason="no sf0.001")
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, sf_dir(SF))
     srows = [tuple(r) for r in df.collect()]
@@ -56,28 +57,21 @@ def test_entry_smoke(spark):
     assert [r.age_band for r in rows] == ["Young", "Mid-Career", "Senior", "Retired", "Total"]
 
 
-SIZED = ["tier_summary", "tier_top", "watchlist", "segment_spread", "cap_effect", "top_nondefault",
-         "mart_risk", "mart_borrower"]
-
-
 @pytest.mark.skipif(not have(SF), reason="no sf0.001")
-def test_sized_queries_on_their_scale_paths(spark, con, monkeypatch):
-    from loanscope.plans import portfolio as P
-
-    monkeypatch.setattr(P, "SMALL_ROWS", 100)          # the staged table is "large": every operator scales
-    for name in SIZED:
-        df = E.queries()[name](spark, sf_dir(SF))
+def test_builtin_forms_match_too(spark, con):
+    for name, fn in catalog.queries(builtin=True).items():
+        df = fn(spark, sf_dir(SF))
         res = con.execute(E.oracle_sql()[name])
         ocols = [d[0] for d in res.description]
         assert _canon([tuple(r) for r in df.collect()], df.columns) == _canon(res.fetchall(), ocols), name
 
 
-@pytest.mark.skipif(not have(SF), reason="no sf0.001")
-def test_every_query_on_scale_paths_matches_oracle(spark, con):
-    from loanscope.plans import catalog
-
-    for name, fn in catalog.queries("scale").items():
-        df = fn(spark, sf_dir(SF))
-        res = con.execute(E.oracle_sql()[name])
-        ocols = [d[0] for d in res.description]
-        assert _canon([tuple(r) for r in df.collect()], df.columns) == _canon(res.fetchall(), ocols), name
+@pytest.mark.skipif(not have("0.01"), reason="no sf0.01")
+def test_registered_reports_run_the_scale_plan(spark):
+    plans = {n: catalog.queries()[n](spark, sf_dir("0.01"))._jdf.queryExecution().optimizedPlan().toString()
+             for n in ("watchlist", "mart_borrower", "ranked_peers", "tier_summary", "tier_top", "mart_risk")}
+    for name in ("watchlist", "mart_borrower", "ranked_peers"):
+        assert "__bucket" in plans[name] and "__slot" in plans[name], name
+    for name in ("tier_summary", "tier_top", "mart_risk", "mart_borrower"):
+        assert "ntile" not in plans[name].lower() and "CASE WHEN" in plans[name], name
+    assert "__cut" in plans["tier_top"]

@@ -43,7 +43,7 @@ def test_cli_on_csv(spark):
     main(["--csv", f"{d}/cs.csv", "--out", f"{d}/out"])
     assert spark.read.parquet(f"{d}/out/clean").count() == 40
     assert spark.read.parquet(f"{d}/out/concentration").count() >= 2
-    main(["--parquet", f"{d}/out/raw", "--out", f"{d}/out_scale", "--strategy", "scale"])
+    main(["--parquet", f"{d}/out/raw", "--out", f"{d}/out_scale"])
     a = spark.read.parquet(f"{d}/out/tier_top")
     b = spark.read.parquet(f"{d}/out_scale/tier_top")
     assert a.count() == b.count() and a.exceptAll(b).count() == 0

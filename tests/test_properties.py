@@ -33,7 +33,7 @@ def _book(spark, rows):
 @given(st.lists(row, min_size=1, max_size=60))
 def test_report_properties(spark, rows):
     raw = _book(spark, rows)
-    clean = P.clean_table(raw, strategy="builtin")
+    clean = P.clean_table(raw, builtin=True)
     kept = [r for r in rows if r[3] != 0]
     assert clean.count() == len(kept)
     # imputation leaves non-NULL values untouched
@@ -47,8 +47,8 @@ def test_report_properties(spark, rows):
     if not kept:
         return
     # tier sizes differ by at most one, larger tiers first; both paths agree
-    a = P.tier_summary(clean, strategy="builtin").collect()
-    b = P.tier_summary(clean, strategy="select", fanout=4, max_candidates=3, per_cut=2).collect()
+    a = P.tier_summary(clean, builtin=True).collect()
+    b = P.tier_summary(clean, fanout=4, max_candidates=3, per_cut=2).collect()
     assert [tuple(x) for x in a] == [tuple(x) for x in b]
     sizes = [x.borrowers for x in a]
     assert max(sizes) - min(sizes) <= 1 and sizes == sorted(sizes, reverse=True)
@@ -64,8 +64,8 @@ def test_report_properties(spark, rows):
         gaps = P.concentration_gap(clean).collect()
         assert abs(sum(x.gap_points for x in gaps)) <= 0.01 * len(gaps) + 1e-9
     # watch list: both paths agree
-    w1 = P.watchlist(clean, strategy="builtin", ordered=False)
-    w2 = P.watchlist(clean, strategy="buckets", ordered=False, rows_per_bucket=2, max_cuts=16, per_cut=4)
+    w1 = P.watchlist(clean, builtin=True, ordered=False)
+    w2 = P.watchlist(clean, ordered=False, rows_per_bucket=2, max_cuts=16, per_cut=4)
     assert w1.exceptAll(w2).count() == 0 and w2.exceptAll(w1).count() == 0
 
 
@@ -74,15 +74,15 @@ def test_plans_of_reports(spark):
     from loanscope.plans.staging import staged_clean
 
     clean = staged_clean(spark, sf_dir("0.001"))
-    top = P.tier_top(clean, strategy="select")
+    top = P.tier_top(clean)
     plan = top._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan and "BroadcastHashJoin" in plan and "Window " not in plan
-    plan = P.tier_top(clean, strategy="builtin")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "WindowGroupLimit" in plan     # the window is over counted (tier, value) pairs
+    plan = P.tier_top(clean, builtin=True)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
-    summary = P.tier_summary(clean, strategy="select")
+    summary = P.tier_summary(clean)
     plan = summary._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
-    watch = P.watchlist(clean, strategy="buckets", ordered=False, rows_per_bucket=5, max_cuts=16)
+    watch = P.watchlist(clean, ordered=False, rows_per_bucket=5, max_cuts=16)
     plan = watch._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "Join" not in plan
     clean_fresh = P.clean_table(read_loan_book(spark, sf_dir("0.001")))

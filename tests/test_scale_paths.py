@@ -120,7 +120,7 @@ def test_ranked_peers_hot_value_is_split(spark):
 
 def test_top_per_group_uses_window_group_limit(spark):
     df = _frame(spark, 300, 51)
-    top = ranking.top_per_group(df, "grp", "v", 3, out="r")
+    top = ranking.top_per_group(df, "grp", "v", 3, out="r", strategy="builtin")
     top.count()
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
@@ -212,12 +212,50 @@ def test_ranked_peers_null_group_is_a_group(spark):
     assert b.count() == 900 and a.exceptAll(b).count() == 0
 
 
-@pytest.mark.parametrize("n,limit", [(10, None), (3, 2)])
-def test_top_per_group_values_large_n_and_many_groups(spark, monkeypatch, n, limit):
-    if limit is not None:
-        monkeypatch.setattr(ranking, "BROADCAST_ROWS", limit)   # too many groups: pair path, shuffle join
+@pytest.mark.parametrize("n,sample", [(10, None), (3, 20), (3, 4)])
+def test_top_per_group_values_with_small_samples(spark, monkeypatch, n, sample):
+    if sample is not None:
+        monkeypatch.setattr(ranking, "CUTOFF_SAMPLE", sample)
     df = _frame(spark, 800, 95, groups=5)
     for dense in (True, False):
         a = ranking.top_per_group(df, "grp", "v", n, out="r", dense=dense, strategy="builtin")
-        b = ranking.top_per_group(df, "grp", "v", n, out="r", dense=dense, strategy="values")
+        b = ranking.top_per_group(df, "grp", "v", n, out="r", dense=dense)
         assert a.count() == b.count() and a.select("id", "r").exceptAll(b.select("id", "r")).count() == 0
+
+
+def test_top_values_of_many_groups_have_no_hinted_broadcast(spark):
+    df = spark.range(6000).selectExpr("id", "if(id % 3 = 0, double('NaN'), double(id % 1999)) as grp", "cast(id % 7 as double) as v")
+    a = ranking.top_per_group(df, "grp", "v", 2, out="r", strategy="builtin")
+    b = ranking.top_per_group(df, "grp", "v", 2, out="r")
+    assert a.select("id", "r").exceptAll(b.select("id", "r")).count() == 0 and a.count() == b.count()
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    # only the cutoffs, whose number a sample bounds, are hinted
+    assert plan.count("rightHint=(strategy=broadcast)") + plan.count("leftHint=(strategy=broadcast)") <= 2
+    assert "collect_list" in plan
+
+
+def test_more_tiers_than_one_budget_of_cuts(spark):
+    df = spark.range(20_000).selectExpr("id", "cast(id * 7919 % 5003 as double) as v")
+    keys = [OrderKey("v"), OrderKey("id")]
+    a = tiering.assign_tiers(df, keys, 100, out="t", strategy="builtin")
+    b = tiering.assign_tiers(df, keys, 100, out="t", max_candidates=1, fanout=256)
+    assert a.select("id", "t").exceptAll(b.select("id", "t")).count() == 0
+
+
+def test_more_heavy_groups_than_cuts(spark):
+    df = spark.range(6000).selectExpr("id", "if(id % 3 = 0, double('NaN'), double(id % 300)) as grp", "cast(id % 11 as double) as v", "1 as flag")
+    a = _peers(df, "builtin")
+    b = _peers(df, "buckets", rows_per_bucket=5, max_cuts=40)
+    c = _peers(df, "buckets", rows_per_bucket=100_000)                   # no group needs a cut: the same plan, one bucket a group
+    cols = ["id", "rk", "next_id"]
+    for other in (b, c):
+        assert a.select(*cols).exceptAll(other.select(*cols)).count() == 0 and other.count() == 6000
+    assert "__bucket" in c._jdf.queryExecution().analyzed().toString()
+
+
+def test_means_do_not_depend_on_partitions(spark):
+    from loanscope.functions.expressions import exact_mean
+
+    df = spark.range(50_000).selectExpr("1e9 * sin(id) + id / 7 as x")
+    one, many = (df.repartition(n).agg(exact_mean("x", 10).alias("m")).first().m for n in (1, 64))
+    assert one == many

@@ -35,7 +35,7 @@ def test_read_loan_csv(spark):
     assert rows[2].monthly_income is None and rows[2].dependents is None
     prof = P.raw_profile(raw).first()
     assert (prof.total_rows, prof.monthly_income_nulls, prof.dependents_nulls, prof.bad_age_rows) == (3, 1, 1, 1)
-    clean = P.clean_table(raw, strategy="builtin")
+    clean = P.clean_table(raw, builtin=True)
     assert clean.count() == 2
 
 
@@ -102,3 +102,23 @@ def test_read_loan_csv_fails_on_malformed_number(spark):
         fh.write("1,1,0.7,forty,2,0.8,9120,13,0,6,0,2\n")
     with pytest.raises(Exception):
         read_loan_csv(spark, f"{d}/cs.csv").collect()
+
+
+def test_read_loan_csv_maps_each_file_by_its_own_header(spark):
+    d = _scratch()
+    names = HEADER.split(",")
+    values = dict(zip(names, ["1", "1", "0.7", "40", "2", "0.8", "9120", "13", "0", "6", "0", "2"]))
+    moved = names[:]
+    a, b = moved.index("age"), moved.index("NumberOfDependents")
+    moved[a], moved[b] = moved[b], moved[a]
+    for file, order in (("a", names), ("b", moved)):
+        with open(f"{d}/{file}.csv", "w") as fh:
+            fh.write(",".join(f'"{n}"' for n in order) + "\n" + ",".join(values[n] for n in order) + "\n")
+    open(f"{d}/c.csv", "w").close()
+    for source in ([f"{d}/a.csv", f"{d}/b.csv", f"{d}/c.csv"], f"{d}/*.csv", d):
+        rows = read_loan_csv(spark, source).collect()
+        assert [(r.age, r.dependents, r.monthly_income) for r in rows] == [(40, 2, 9120)] * 2
+    with open(f"{d}/d.csv", "w") as fh:
+        fh.write("id,age\n1,2\n")
+    with pytest.raises(ValueError):
+        read_loan_csv(spark, d)
