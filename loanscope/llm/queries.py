@@ -105,4 +105,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extract": op9_html_extract,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Queries that SQL can express; the others are held against brute-force versions in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents),
+keys AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+  FROM lines),
+owners AS (
+  SELECT line_key, min(doc_id) AS owner, max(doc_id) AS latest FROM keys WHERE length(line_key) >= 10 GROUP BY line_key),
+judged AS (
+  SELECT k.doc_id, k.line, k.place, coalesce(o.owner < o.latest AND o.owner <> k.doc_id, false) AS gone
+  FROM keys k LEFT JOIN owners o ON k.line_key = o.line_key)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id""",
+    "op7_warc_revisit": """
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, sha256(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS original FROM payloads)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN size >= 100 AND original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN size >= 100 AND original <> page_id THEN original END AS refers_to
+FROM firsts""",
+}

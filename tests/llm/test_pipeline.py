@@ -61,3 +61,17 @@ def test_every_query_runs_on_its_whole_table(spark, name):
         assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
     else:
         assert df.columns == ["doc_id", "item_id", "similarity", "first_word"] and df.count() >= 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
+    df = queries.QUERIES[name](spark, SF)
+    result = con.execute(queries.ORACLE_SQL[name])
+    columns = [d[0] for d in result.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(map(str, map(tuple, df.select(*columns).collect()))) == sorted(map(str, result.fetchall()))
