@@ -11,6 +11,7 @@ plain windows and Spark's ``median``, for the bench.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from loanscope.plans import marts as M
 from loanscope.plans import portfolio as P
 from loanscope.plans.staging import staged_clean, staged_with_cuts
+from loanscope.session import shared_folder
 from loanscope.sources.fixture import read_loan_book
+from loanscope.sources.loanbook import CSV_HEADER_NAMES, read_loan_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,12 +52,28 @@ def _median(raw: DataFrame, builtin: bool) -> DataFrame:
     return P.exact_median_income(raw)
 
 
+def _csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw book written as CSV in two parts whose columns stand in different orders, and imported again."""
+    raw = read_loan_book(spark, sf_dir)
+    header = {ours: theirs for theirs, ours in CSV_HEADER_NAMES.items() if theirs not in ("", "_c0", "column1")}
+    folder = f"{shared_folder(spark)}/loanscope-work/csv-{uuid.uuid4().hex}"
+    parts = []
+    for half, columns in enumerate((raw.columns, raw.columns[::-1])):
+        part = raw.filter(F.pmod("loan_id", F.lit(2)) == half).select([F.col(c).alias(header[c]) for c in columns])
+        part.write.option("header", True).option("nullValue", "NA").csv(f"{folder}/{half}")
+        parts.append(f"{folder}/{half}")
+    return read_loan_csv(spark, parts)
+
+
 def queries(builtin: bool = False) -> dict[str, Query]:
     form = {"builtin": builtin}
     return {
         # the seven scripts
         "profile": lambda s, d: P.raw_profile(read_loan_book(s, d)),
         "clean_table": lambda s, d: P.clean_table(read_loan_book(s, d), **form),
+        # the CSV import, and the same table with the statistics joined as one row
+        "csv_import": _csv_import,
+        "clean_table_joined": lambda s, d: P.clean_table(read_loan_book(s, d), attach="join"),
         "clean_verify": _on_clean(P.clean_verify),
         "ratio_buckets": _on_clean(P.ratio_buckets),
         "tier_summary": _by_tier(P.tier_summary, builtin),

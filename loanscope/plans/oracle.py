@@ -25,6 +25,8 @@ def _pct(n: str, d: str) -> str:
     return f"CAST({_h(n, d)} AS DOUBLE) / 100"
 
 
+# The report labels and edges of the two segmentations, their report
+# order, and the utilization cap, as SQL text.
 AGE_BAND = ("CASE WHEN age < 30 THEN 'Young' WHEN age BETWEEN 30 AND 49 THEN 'Mid-Career' "
             "WHEN age BETWEEN 50 AND 69 THEN 'Senior' ELSE 'Retired' END")
 AGE_ORDER = ("CAST(CASE age_band WHEN 'Young' THEN 1 WHEN 'Mid-Career' THEN 2 WHEN 'Senior' THEN 3 "
@@ -166,6 +168,8 @@ def oracle_sql() -> dict[str, str]:
        CAST(count(CASE WHEN age = 0 THEN 1 END) AS BIGINT) AS bad_age_rows
 FROM loans_raw"""
     q["clean_table"] = _with(CLEAN) + "SELECT * FROM clean"
+    q["csv_import"] = _with() + "SELECT * FROM loans_raw"
+    q["clean_table_joined"] = q["clean_table"]
     q["clean_verify"] = _with(CLEAN) + """SELECT CAST(count(*) AS BIGINT) AS total_rows,
        CAST(count(*) - count(monthly_income) AS BIGINT) AS monthly_income_nulls,
        CAST(count(*) - count(dependents) AS BIGINT) AS dependents_nulls,
