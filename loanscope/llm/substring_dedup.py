@@ -200,7 +200,8 @@ def _crowded(parts: DataFrame, length: int) -> DataFrame:
     strings = parts.select("id", "version", "anchor", "n", "own", "offset", "start", "bytes").mapInArrow(
         run, f"id {kind}, version int, anchor long, n long, place long, h1 long, h2 long, start long")
     key = ["anchor", "place", "h1", "h2"]
-    again = strings.groupBy(*key).agg(F.count("*").alias("times")).filter("times > 1").select(*key)
+    # A table of its own, so that the join's sides are plain exchanges and a string that very many rows hold can be split.
+    again = stored(strings.groupBy(*key).agg(F.count("*").alias("times")).filter("times > 1").select(*key), "repeated-strings")
     return strings.filter("n = 1").join(again, key, "left_semi").select("id", "version", F.col("start").alias("low"), (F.col("start") + 1).alias("high"))
 
 
