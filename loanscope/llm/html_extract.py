@@ -150,12 +150,22 @@ def train(pages: list[str], *, layouts: int = LAYOUTS, seed: int = SEED) -> Mode
     return Model(known, *tree_model.train(trees, state, len(known)))
 
 
+def sampled(source: DataFrame, most: int) -> list[str]:
+    """The pages with the smallest hashes, each text once: hashes are ranked first, so only the chosen pages travel."""
+    marked = source.select("html", F.xxhash64("html").alias("mark"))
+    marks = [r["mark"] for r in marked.select("mark").distinct().orderBy("mark").limit(most).collect()] if most else []
+    if not marks:
+        return []
+    chosen = marked.filter(F.col("mark") <= marks[-1]).groupBy("mark").agg(F.min("html").alias("html"))
+    return [r["html"] for r in chosen.orderBy("mark").collect()]
+
+
 def extract(pages: DataFrame, *, sample: int = SAMPLE, layouts: int = LAYOUTS, id_col: str = "page_id",
             url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every page."""
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    some = source.orderBy(F.xxhash64("html"), "html").select("html").limit(sample).collect() if sample else []
-    model = train([r["html"] for r in some], layouts=layouts)
+    some = sampled(source, sample)
+    model = train(some, layouts=layouts)
     shared = pages.sparkSession.sparkContext.broadcast((model.known, model.unary, model.edge))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
