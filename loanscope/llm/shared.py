@@ -45,6 +45,17 @@ def ascii_lower(col):
     return F.translate(col, UPPER, UPPER.lower())
 
 
+def hash_share(rows: DataFrame, key: str, wanted: int) -> DataFrame:
+    """About ``wanted`` of the rows, those whose key hashes lowest; all if there are not many more.
+
+    A filter: no task ranks or gathers rows, and the same rows are chosen again if a stage is recomputed.
+    """
+    n = rows.count()
+    if n <= wanted:
+        return rows
+    return rows.filter(F.xxhash64(key) < F.lit(-(1 << 63) + (wanted << 64) // n))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches holding about ``most`` bytes of column ``text`` each; a longer value stays whole."""
     for batch in batches:

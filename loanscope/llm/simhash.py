@@ -33,12 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanscope.llm.graph import components
-from loanscope.llm.shared import chunks, stored
+from loanscope.llm.shared import chunks, hash_share, stored
 
 SEED = 42
 # Members of a bucket that one task links directly; larger ones go by variants.
 BUCKET = 32768
-# Buckets with a large part of all fingerprints are known beforehand from a sample of this many (at least SEEN members in it).
+# Buckets with a large part of all fingerprints are known beforehand from a sample of about this many (at least SEEN
+# members in it).
 SAMPLE = 65536
 SEEN = 32
 SHINGLES_AT_ONCE = 1 << 16
@@ -185,10 +186,11 @@ def links(fps: DataFrame, *, distance: int, blocks: int | None = None, bucket: i
     masks = block_masks(blocks, blocks - distance)
     keyed = _keyed(fps, masks)
     n = fps.count()
-    some = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE)
+    some = hash_share(fps, "fp", SAMPLE)
     hot = (_keyed(some, masks).groupBy("c", "k").agg(F.count("*").alias("seen"))
            .filter((F.col("seen") >= SEEN) & (F.col("seen") * (n / SAMPLE if n > SAMPLE else 1.0) > bucket)).select("c", "k"))
-    # At most len(masks) * SAMPLE / SEEN rows of two numbers.
+    # Any bucket not listed is found to be oversized where it is cut, so the list may have a bound.
+    hot = stored(hot.limit(2 * len(masks) * SAMPLE // SEEN), "hot-buckets")
     rest = keyed.join(F.broadcast(hot), ["c", "k"], "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanscope.llm.shared import chunks
+from loanscope.llm.shared import chunks, hash_share
 
 SAMPLE = 12_000
 FEATURES = 4096
@@ -97,7 +97,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(id, text, toxic) of the documents in the bounded sample of labels."""
     known = (labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
              .filter("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic")))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = hash_share(known, "id", sample + sample // 4).orderBy(F.xxhash64("id"), "id").limit(sample)
     return docs.join(F.broadcast(chosen), "id")            # at most `sample` rows of two numbers
 
 
