@@ -53,9 +53,10 @@ def clusters():
     return sorted(out)
 
 
-@pytest.mark.parametrize("bucket, seen", [(32768, 32), (4, 32), (4, 2)])
-def test_links_connect_what_all_links_connect(spark, monkeypatch, bucket, seen):
+@pytest.mark.parametrize("bucket, seen, sample", [(32768, 32, 65536), (4, 32, 65536), (4, 2, 65536), (4, 2, 60)])
+def test_links_connect_what_all_links_connect(spark, monkeypatch, bucket, seen, sample):
     monkeypatch.setattr(simhash, "SEEN", seen)
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
     prints = clusters()
     apart = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
     links = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), distance=4, bucket=bucket)
