@@ -3,13 +3,18 @@
 Words are runs of letters and digits, A-Z lower-cased; five of them make a
 shingle (an item of fewer words is one shingle).  Window sizes are a few per
 factor of two; an item takes the largest that fits it and the largest that fits
-half of it, and has the SimHash of its first, middle and last window of each: a
-copy with one word changed keeps one of them whole.  Every document is passed
-over with windows of the same sizes, one starting at each word.  The 64 bits are four blocks of 16; two fingerprints within ``radius`` bits
+half of it, and has the SimHash of its first, middle and last window of each.
+Every document is passed over with windows of the same sizes, one starting at
+each word.  The 64 bits are four blocks of 16; two fingerprints within ``radius`` bits
 agree in some block up to ``radius // 4`` bits, so a table per block that holds
 every 16-bit value within that distance of an item's block finds all of them.
-A hit places the item in the document, and the exact similarity of the item and
-the item-sized window there, shingles weighted by how often they occur, decides.
+
+What makes the search complete are windows of one shingle, whose SimHash is the
+shingle's hash (radius 0).  A place that reaches ``similarity`` has at least that
+share of the item's shingles, so of one shingle more than may be missing one is
+there, whatever the edits and the item's length (``telling``; those that fewest
+items share are taken).  Every place whose window holds a hit is compared with
+the item exactly, shingles weighted by how often they occur.
 
 The benchmark is the query set; it meets the documents in blocks of at most
 ``BLOCK_BYTES`` of its text, each broadcast.  Documents never meet each other.
@@ -23,6 +28,7 @@ Extra columns are left out by selecting the named ones.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -74,7 +80,7 @@ class Queries:
         flips = [f for f in range(1 << 16) if f.bit_count() <= radius // BLOCKS]
         self.tables = []
         parts = prints.view(np.uint16).reshape(-1, BLOCKS)
-        for b in range(BLOCKS):
+        for b in range(min(BLOCKS, radius + 1)):            # radius + 1 blocks: one of them is equal
             values = (parts[:, b][:, None] ^ np.array(flips, np.uint16)).ravel()
             owner = np.repeat(np.arange(len(prints)), len(flips))
             order = np.argsort(values, kind="stable")
@@ -103,6 +109,13 @@ class Queries:
         return np.concatenate(places), np.concatenate(queries)
 
 
+def telling(hashes: np.ndarray, shared: Counter, similarity: float) -> list[int]:
+    """Offsets of shingles of an item of which every place that reaches ``similarity`` has one; rare ones first."""
+    spare = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9)
+    order = sorted(range(len(hashes)), key=lambda i: (shared[int(hashes[i])], int(hashes[i])))
+    return order[:spare + 1]
+
+
 class Finder:
     """Finds the items of one block in texts."""
 
@@ -110,19 +123,24 @@ class Finder:
         self.words, self.shingle, self.similarity = tokens.Words(), shingle, similarity
         self.items = [self._split(t) for t in items]
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for i, words in enumerate(self.items):
-            if not words:
+        sizes_of = [max(1, min(shingle, len(words))) for words in self.items]
+        self.hashes = [tokens.shingles(self._hashes(b" ".join(words))[0], k) for words, k in zip(self.items, sizes_of)]
+        self.counts = [Counter(tuple(words[i:i + k]) for i in range(len(words) - k + 1)) for words, k in zip(self.items, sizes_of)]
+        shared = Counter(h for hashes in self.hashes for h in set(hashes.tolist()))
+        for i, (k, hashes) in enumerate(zip(sizes_of, self.hashes)):
+            if not len(hashes):
                 continue
-            k = min(shingle, len(words))
-            hashes = tokens.shingles(self._hashes(b" ".join(words))[0], k)
+            for offset in telling(hashes, shared, similarity):
+                found.setdefault((k, 1), []).append((int(hashes[offset]), i, offset))
             sizes = {window_size(len(hashes))}
             if (half := (len(hashes) - shingle) // 2) >= 4:
                 sizes.add(window_size(half))
-            for size in sizes:
+            for size in sizes - {1}:
                 prints, last = simhashes(bit_sums(hashes), size, len(hashes)), len(hashes) - size
                 for offset in {0, last // 2, last}:
                     found.setdefault((k, size), []).append((int(prints[offset]), i, offset))
-        self.queries = {key: Queries(*(np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int64))), radius)
+        self.queries = {key: Queries(*(np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int64))),
+                                     radius if key[1] > 1 else 0)
                         for key, rows in found.items()}
 
     def _split(self, text: str) -> list[bytes]:
@@ -135,11 +153,30 @@ class Finder:
         starts, ends = self.words.bounds(flat)
         return self.words.hashes(flat, starts, ends), starts, ends
 
-    def _similar(self, item: int, words: list[bytes]) -> float:
-        k = min(self.shingle, len(self.items[item]))
-        a, b = (Counter(tuple(w[i:i + k]) for i in range(len(w) - k + 1)) for w in (self.items[item], words))
-        union = (a | b).total()
-        return (a & b).total() / union if union else 0.0
+    def _best(self, item: int, at: int, to: int, shingles: dict[int, tuple[bytes, ...]], lo: int, hi: int) -> tuple[float, int]:
+        """(similarity, place) of the first best of the places ``at`` to ``to`` - 1 in a text.
+
+        A place's window is as many shingles from it as the item has, of those from ``lo`` to ``hi`` - 1 in the text;
+        ``shingles`` has at least those of the windows that are in the item.
+        """
+        wanted, n, have = self.counts[item], len(self.hashes[item]), Counter()
+        common, best = 0, (0.0, at)
+        for i in range(at, to + n - 1):
+            new = shingles.get(i)
+            if new in wanted:
+                have[new] += 1
+                common += have[new] <= wanted[new]
+            place = i - n + 1
+            if place < at:
+                continue
+            size = min(hi, i + 1) - max(lo, place)
+            if size > 0 and (similarity := common / (n + size - common)) > best[0]:
+                best = similarity, place
+            old = shingles.get(place)
+            if old in wanted:
+                common -= have[old] <= wanted[old]
+                have[old] -= 1
+        return best
 
     def texts(self, texts: list[str]) -> Iterator[tuple[int, int, float, int]]:
         """(text, item, similarity, first word) of the best place of each item found in a text."""
@@ -150,24 +187,36 @@ class Finder:
         owner = np.searchsorted(limits, starts, side="right") - 1        # text of each word
         first = np.searchsorted(starts, limits)                          # first word of each text
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        seen = set()
         for k in {k for k, _ in self.queries}:
             rolled = tokens.shingles(hashes, k)
             sizes = sorted(size for of, size in self.queries if of == k)
+            seen = []
             for at in range(0, len(rolled), AT_ONCE):
-                sums = bit_sums(rolled[at:at + AT_ONCE + sizes[-1] - 1])
+                sums = bit_sums(rolled[at:at + AT_ONCE + sizes[-1] - 1]) if sizes[-1] > 1 else None
                 for size in sizes:
                     queries = self.queries[k, size]
-                    place, query = queries.find(simhashes(sums, size, AT_ONCE))
+                    place, query = queries.find(simhashes(sums, size, AT_ONCE) if size > 1 else rolled[at:at + AT_ONCE])
                     place += at
                     same = owner[place] == owner[place + size + k - 2]       # not across two texts
-                    for p, q in zip(place[same].tolist(), query[same].tolist()):
-                        seen.add((int(owner[p]), int(queries.items[q]), p - int(queries.offsets[q])))
-        for text, item, at in sorted(seen):
-            lo, hi = max(at, int(first[text])), min(at + len(self.items[item]), int(first[text + 1]))
-            similarity = self._similar(item, [joined[starts[i]:ends[i]] for i in range(lo, hi)])
-            if similarity >= self.similarity and similarity > best.get((text, item), (0.0, 0))[0]:
-                best[text, item] = similarity, lo - int(first[text])
+                    seen.append(np.stack([owner[place[same]], queries.items[query[same]], place[same]], axis=1))
+            if not seen or not len(hits := np.unique(np.concatenate(seen), axis=0)):
+                continue
+            # Places whose windows hold a hit, in runs: hits of a text and item no further apart than the item is long.
+            reach = np.array([len(h) for h in self.hashes])[hits[1:, 1]]
+            joint = (np.diff(hits[:, :2], axis=0) == 0).all(axis=1) & (np.diff(hits[:, 2]) <= reach)
+            cuts = (np.flatnonzero(~joint) + 1).tolist()
+            for i, j in zip([0, *cuts], [*cuts, len(hits)]):
+                text, item, start = hits[i].tolist()
+                n, lo, hi = len(self.hashes[item]), int(first[text]), int(first[text + 1]) - k + 1
+                start, to = start - n + 1, int(hits[j - 1, 2]) + 1
+                left = max(start, lo)
+                held = np.flatnonzero(np.isin(rolled[left:min(to + n - 1, hi)], self.hashes[item])) + left
+                if len(held) < self.similarity * n - 1e-9:
+                    continue
+                shingles = {p: tuple(joined[starts[w]:ends[w]] for w in range(p, p + k)) for p in held.tolist()}
+                similarity, at = self._best(item, start, to, shingles, lo, hi)
+                if similarity >= self.similarity and similarity > best.get((text, item), (0.0, 0))[0]:
+                    best[text, item] = similarity, max(at, lo) - lo
         for (text, item), (similarity, at) in best.items():
             yield text, item, similarity, at
 

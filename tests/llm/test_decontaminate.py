@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from helpers import CLASH, LONG, documents
 
 from loanscope.llm import decontaminate, tokens
@@ -109,3 +110,54 @@ def test_word_hashes_do_not_depend_on_place():
     h = one.hashes(data, starts, ends)
     assert [bytes(data[s:e]) for s, e in zip(starts, ends)] == [b"ab", b"cd", "abé".encode(), b"ab"]
     assert h[0] == h[3] and len(set(h.tolist())) == 3
+
+
+def best_place(item, text):
+    """(similarity, first word) of the first best window, by trying all."""
+    return max(((similar(item, text[max(s, 0):s + len(item)]), -s) for s in range(-len(item), len(text))), default=(0, 0))
+
+
+def edits(item, rng):
+    """The item with one word changed, left out or put in at each place, its halves swapped, its ends cut off, and with
+    more and more words changed that lie far apart."""
+    n = len(item)
+    for i in range(n):
+        yield item[:i] + ["new"] + item[i + 1:]
+        if n < 20 or i % 7 == 0:
+            yield item[:i] + item[i + 1:]
+            yield item[:i] + ["new"] + item[i:]
+    yield item[n // 2:] + item[:n // 2]
+    for cut in {1, 2, n // 9, n // 5}:
+        yield item[cut:]
+        yield item[:n - cut]
+    for count in range(2, n // 40 + 3):
+        for at in (np.linspace(0, n - 1, count).astype(int), sorted(rng.sample(range(n), min(count, n)))):
+            yield [f"new{i}" if i in set(map(int, at)) else w for i, w in enumerate(item)]
+
+
+@pytest.mark.parametrize("lengths", [range(1, 12), range(12, 20), range(20, 48, 4), (60, 131)])
+def test_edits_at_every_place_and_length(lengths):
+    rng, number = random.Random(len(lengths)), 0
+    for n in lengths:
+        item = [f"{rng.choice(VOCABULARY)}{i % 50}" for i in range(n)]
+        copies = list(edits(item, rng))
+        texts = [["left"] * (i % 3) + copy + ["right"] * (i % 2 * 9) for i, copy in enumerate(copies)]
+        finder = decontaminate.Finder([" ".join(item)], shingle=5, radius=7, similarity=0.8)
+        got = {text: (similarity, at) for text, _, similarity, at in finder.texts([" ".join(t) for t in texts])}
+        for i, text in enumerate(texts):
+            similarity, place = best_place(item, text)
+            assert got.get(i) == ((similarity, max(-place, 0)) if similarity >= 0.8 else None), (n, i)
+            number += similarity >= 0.8
+    assert number > len(lengths)
+
+
+def test_shared_and_repeated_shingles():
+    rng = random.Random(4)
+    for _ in range(60):
+        items = [[rng.choice("abc") for _ in range(rng.randrange(1, 30))] for _ in range(4)]
+        texts = [[rng.choice("abc") for _ in range(rng.randrange(40))] + rng.choice(items) + [rng.choice("abc")] * 3 for _ in range(4)]
+        finder = decontaminate.Finder([" ".join(i) for i in items], shingle=5, radius=7, similarity=0.8)
+        got = {(t, i): (similarity, at) for t, i, similarity, at in finder.texts([" ".join(t) for t in texts])}
+        want = {(t, i): (s, max(-p, 0)) for t, text in enumerate(texts) for i, item in enumerate(items)
+                for s, p in [best_place(item, text)] if s >= 0.8}
+        assert got == want
