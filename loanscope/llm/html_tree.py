@@ -5,7 +5,9 @@ block tags: character references decoded, inline tags removed, white space
 turned into single spaces and trimmed; empty leaves are left out.  Scripts,
 styles and other elements that never show text are skipped whole.  Missing end
 tags are implied where HTML implies them; a tag cut off by the end of the page
-is dropped.
+is dropped.  A quote opens a string only where an attribute's value begins and
+if it is closed.  Without its end tag a script, style, title or text area goes
+on to the end of the page; of other skipped elements only the start tag is.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from dataclasses import dataclass, field
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike "
              "strong sub sup time tt u var wbr".split())
 HIDDEN = set("script style title template iframe noscript textarea svg noembed noframes xmp object".split())
+TO_THE_END = set("script style title textarea".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
              "hr main menu nav ol p pre section table ul".split())
@@ -30,8 +33,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-    r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|"
-    r"<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)", re.S)
+    r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)"
+    r"(?P<rest>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)(?:>|\Z)", re.S)
 _HINT = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -126,6 +129,7 @@ class _Builder:
 def parse(page: str) -> list[Node]:
     """Nodes in page order, parents first; only leaves and elements with a leaf below them."""
     build, at, n = _Builder(), 0, len(page)
+    unclosed = set()                                        # names without an end tag from here on
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -133,20 +137,24 @@ def parse(page: str) -> list[Node]:
             break
         build.text(page[at:m.start()])
         at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
+        name = (m["name"] or "").lower()
         if not name:
             if m[0].startswith("<![CDATA["):
                 build.text(html.escape(m[0][9:].removesuffix("]]>")))
             continue
-        rest = m["rest"] if m["name"] else m["rest2"]
-        if m["end"] or m["end2"]:
+        if m["end"]:
             build.end(name)
         elif name in HIDDEN:
-            if not rest.rstrip().endswith("/") or name in ("script", "style", "title", "textarea"):
+            if name not in unclosed and (not m["rest"].rstrip().endswith("/") or name in TO_THE_END):
                 close = re.compile(rf"</{re.escape(name)}(?![^\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else n
+                if close:
+                    at = close.end()
+                elif name in TO_THE_END:
+                    at = n
+                else:
+                    unclosed.add(name)
         else:
-            build.start(name, rest)
+            build.start(name, m["rest"])
     build.flush()
     return _pruned(build.nodes)
 

@@ -28,6 +28,20 @@ def test_parser():
     assert leaves("<![CDATA[a<b]]><?php x ?>c") == ["a<bc"]
 
 
+def test_malformed_markup_keeps_its_text():
+    assert leaves("<p title=it's>It's one paragraph.</p><p>two</p>") == ["It's one paragraph.", "two"]
+    assert leaves('<p class="a"">one "quoted" word</p><p title = "x > y" id=b>two</p>') == ['one "quoted" word', "two"]
+    assert leaves('<a href=/x?q="b>one "word"</a><p a==">two "more"</p>') == ['one "word"', 'two "more"']
+    assert leaves('<p title="not closed>one</p><p>two</p>') == ["one", "two"]
+    assert leaves("<p title='x'id='>'>one</p><p a= >two</p>") == ["one", "two"]
+    for name in ("svg", "object", "noscript", "iframe", "template", "noembed", "noframes", "xmp"):
+        assert leaves(f"<p>a</p><{name} width=1><p>b</p><{name}><p>c</p>") == ["a", "b", "c"]
+        assert leaves(f"<p>a</p><{name}><p>b</p></{name}><{name}><p>c</p>") == ["a", "c"]
+    for name in ("script", "style", "title", "textarea"):
+        assert leaves(f"<p>a</p><{name}>b<p>c</p>") == ["a"]
+    assert len(leaves("<p>x<svg>" * 20_000)) == 20_000
+
+
 def random_forest(rng, sizes, features):
     parent, depth, leaf, node, feature = [], [], [], [], []
     for n in sizes:
