@@ -28,7 +28,7 @@ from loanscope.operators.positional import TupleOrder, with_position
 
 SHINGLE = 5
 # One shingle hash in DENSITY is retained.
-DENSITY = 8
+DENSITY = 2
 # Ranges of ids; a bound on the list of cuts, not on their rows.
 RANGES = 2048
 
@@ -115,11 +115,11 @@ def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, density: int = DENS
     replaced by the first as many of the next document's text, or all of it.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    made = base.withColumns({"sketch": sketch(F.col("text"), shingle=shingle, density=density),
-                             "n_chars": F.char_length("text").cast("long"), "tie": F.xxhash64("text")})
-    paired = with_next(made, ["text", "sketch"], id_col="id", ranges=ranges)
+    made = base.withColumns({"n_chars": F.char_length("text").cast("long"), "tie": F.xxhash64("text")})
+    paired = with_next(made, ["text"], id_col="id", ranges=ranges)            # sketches are made where the texts have met
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substr(F.col("next.text"), F.lit(1), cut))
-    return (paired.withColumn("edited", edited)
-            .withColumn("edited_sketch", sketch(F.col("edited"), shingle=shingle, density=density))
-            .select("id", "text", "sketch", "n_chars", "edited", "edited_sketch", F.col("next.sketch").alias("next_sketch")))
+    paired = paired.withColumns({"edited": edited, "next_text": F.col("next.text")})
+    return paired.select("id", "text", sketch(F.col("text"), shingle=shingle, density=density).alias("sketch"), "n_chars", "edited",
+                         sketch(F.col("edited"), shingle=shingle, density=density).alias("edited_sketch"),
+                         sketch(F.col("next_text"), shingle=shingle, density=density).alias("next_sketch"))

@@ -64,6 +64,15 @@ def test_estimates_merge_and_stay_near_the_truth(spark):
     assert abs(r.n - 6000 / sketch.DENSITY) < 100
 
 
+def test_short_texts_have_hashes_to_compare(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(20)) for _ in range(300)]
+    edited = [" ".join(t.split()[:13] + [f"e{rng.randrange(10 ** 6)}" for _ in range(7)]) for t in texts]     # 9 of 23 shingles
+    df = spark.createDataFrame(list(zip(texts, edited)), "a string, b string")
+    got = [r.near for r in df.select(sketch.resemblance(sketch.sketch(F.col("a")), sketch.sketch(F.col("b"))).alias("near")).collect()]
+    assert sum(x == 0 for x in got) < 15 and (sum((x - 9 / 23) ** 2 for x in got) / 300) ** 0.5 < 0.18
+
+
 def test_no_python_in_the_plan(spark):
     plan = sketch.fingerprints(documents(spark).select("doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
