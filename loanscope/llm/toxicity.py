@@ -11,7 +11,7 @@ is 0; toxic documents get 1 to ``GRADES - 1`` by the rate of marker features
 
 The model is fitted on a bounded sample: the ``SAMPLE`` labels with the smallest
 id hash.  That list has a proven size, so it is broadcast and only its documents
-are read as text for fitting.  Feature counts are gathered by tasks and a
+are read as text for fitting, one row of each id (that with the smallest hash of its text).  Feature counts are gathered by tasks and a
 grouped sum; the ``FEATURES`` most telling ones are kept.  One sampled document
 in ``HELD_OUT`` sets the decision's cut.  Scoring reads every whole text.
 
@@ -94,11 +94,12 @@ class Scorer:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(id, text, toxic) of the documents in the bounded sample of labels."""
+    """(id, text, toxic) of one document of each id in the bounded sample of labels."""
     known = (labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
              .filter("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic")))
     chosen = hash_share(known, "id", sample + sample // 4).orderBy(F.xxhash64("id"), "id").limit(sample)
-    return docs.join(F.broadcast(chosen), "id")            # at most `sample` rows of two numbers
+    rows = docs.join(F.broadcast(chosen), "id")            # at most `sample` rows of two numbers
+    return rows.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
 
 
 def _feature_counts(rows: DataFrame) -> DataFrame:

@@ -66,6 +66,18 @@ def test_edges(spark, fitted):
     assert toxicity.grade_documents(odd, labels.limit(0)).count() == 5
 
 
+def test_rows_of_one_id_count_once_in_the_fit(spark, fitted):
+    rows, docs, labels = fitted
+    texts = [rows[1][1]] + [f"{w} " * 40 for w in ("loud", "gruff", "plain") * 100]
+    many = docs.select("doc_id", "text").union(spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string"))
+    source = many.selectExpr("doc_id as id", "text")
+    got = toxicity._sampled(source, labels, 600).collect()
+    assert len(got) == len({r.id for r in got}) == 600
+    once = toxicity._sampled(source.repartition(7), labels, 10_000).collect()
+    assert len(once) == 800 and next(r.text for r in once if r.id == 1) in texts
+    assert {r.id: r.text for r in once} | {r.id: r.text for r in got} == {r.id: r.text for r in once}
+
+
 def test_fit_finds_the_maximum():
     rng = np.random.default_rng(0)
     x = rng.normal(size=500)
