@@ -96,9 +96,10 @@ def queries(builtin: bool = False) -> dict[str, Query]:
         "mart_executive": _on_clean(M.mart_executive),
         "mart_risk": _by_tier(M.mart_risk, builtin),
         "mart_borrower": _by_tier(M.mart_borrower, builtin),
-        # the scale operators by themselves: boundaries looked for, all rows ranked, median selected
+        # the scale operators by themselves: boundaries looked for, rows ranked (the watch list's, and all), median selected
         "global_ntile": _on_clean(_global_ntile, **form),
         "ranked_peers": _on_clean(P.watchlist, **form),
+        "ranked_peers_all": _on_clean(P.ranked_all, **form),
         "exact_percentile": lambda s, d: _median(read_loan_book(s, d), builtin),
     }
 

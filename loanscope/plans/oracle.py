@@ -281,6 +281,15 @@ watch AS (
 FROM watch"""
     q["global_ntile"] = _with(CLEAN, TIERS) + "SELECT loan_id, utilization_capped, risk_tier FROM tiers"
     q["ranked_peers"] = q["watchlist"]
+    q["ranked_peers_all"] = _with(CLEAN, f"""banded AS (
+  SELECT {AGE_BAND} AS age_band, loan_id, debt_ratio, default_flag FROM clean
+)""") + """SELECT age_band, loan_id, debt_ratio, default_flag,
+       CAST(rank() OVER r AS BIGINT) AS debt_rank, CAST(dense_rank() OVER r AS BIGINT) AS debt_dense_rank,
+       lead(loan_id) OVER w AS next_loan_id, lead(debt_ratio) OVER w AS next_debt_ratio,
+       lead(default_flag) OVER w AS next_default_flag
+FROM banded
+WINDOW r AS (PARTITION BY age_band ORDER BY debt_ratio DESC NULLS LAST),
+       w AS (PARTITION BY age_band ORDER BY debt_ratio DESC NULLS LAST, loan_id ASC)"""
     q["exact_percentile"] = _with() + """SELECT quantile_cont(CAST(monthly_income AS DOUBLE), 0.5) AS median_income,
        CAST(count(monthly_income) AS BIGINT) AS income_values
 FROM loans_raw"""

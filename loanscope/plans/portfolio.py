@@ -103,6 +103,14 @@ def watchlist(clean: DataFrame, *, builtin: bool = False, ordered: bool = True,
     return out.orderBy("age_band", "debt_rank", "loan_id") if ordered else out
 
 
+def ranked_all(clean: DataFrame, *, builtin: bool = False, **kw) -> DataFrame:
+    """Every borrower of the clean table ranked in its age band by debt ratio: rank, dense rank and next peer."""
+    rows = clean.select(AGE_BANDS.label().alias("age_band"), "loan_id", "debt_ratio", "default_flag")
+    ranked = ranking.ranked_peers(rows, "age_band", "debt_ratio", "loan_id", ("default_flag",), rank_name="debt_rank",
+                                  dense_name="debt_dense_rank", strategy="builtin" if builtin else "buckets", **kw)
+    return ranked.select(*WATCH_COLUMNS, "debt_dense_rank")
+
+
 def concentration(clean: DataFrame) -> DataFrame:
     return reports.concentration(clean, AGE_BANDS)
 
