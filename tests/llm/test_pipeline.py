@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash_near_dedup", "decontamination", "byte_bpe"]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_run_equals_plain_steps(spark):
@@ -57,6 +57,8 @@ def test_odd_rows_pass(spark, tmp_path):
 def test_every_query_runs_on_its_whole_table(spark, name):
     df = queries.QUERIES[name](spark, SF)
     table = "pages" if name.startswith(("op1_", "op7", "op9")) else "documents"
+    if name in queries.ORACLE_SQL:
+        return                                          # rows and values are held against the SQL below
     if not name.startswith("op2_"):
         assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
     else:
@@ -68,7 +70,7 @@ def test_query_equals_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     df = queries.QUERIES[name](spark, SF)
     result = con.execute(queries.ORACLE_SQL[name])
