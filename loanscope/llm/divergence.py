@@ -1,13 +1,13 @@
 """Source divergence audit by chunk factorisation: how far each source's words stray from others of its language.
 
 Tasks count the whitespace chunks of their documents, one row for each language
-and chunk, with the occurrences by source and the numbers of the first
-``least_docs`` documents that hold it.  Rows are dealt out and sorted by chunk;
-each distinct chunk meets its tokeniser once, where its rows pass in a run, and
-its terms take over the rows' counts.  A second exchange brings the rows of a
-term together: occurrences add up, and the distinct documents among the numbers
-kept tell exactly whether a term is in ``least_docs`` documents (a chunk in more
-documents alone suffices; of one in fewer all numbers are kept).
+and chunk, with the occurrences by source and, where fewer than ``least_docs``
+documents hold it, their numbers.  Rows are dealt out and sorted by chunk; each
+distinct chunk meets its tokeniser once, where its rows pass in a run, and its
+terms take over the rows' counts.  A second exchange brings the rows of a term
+together: occurrences add up, and the numbers tell exactly whether a term is in
+``least_docs`` distinct documents (a chunk in as many alone suffices; of one in
+fewer all numbers are there).
 
 Kept terms get integer shares p = 1 + floor(SCALE * (count + 1) / (N + V)) in
 every group; f(p, q) = floor((p - q)^2 / q).  The sum of f over all kept terms of
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,9 +47,18 @@ ROWS_AT_ONCE = 400_000
 PAIRS_AT_ONCE = 2_000_000
 
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_COUNTED = pa.schema([("lang", pa.string()), ("item", pa.binary()), ("sources", pa.list_(pa.string())),
-                      ("counts", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))])
-COUNTED = "lang string, item binary, sources array<string>, counts array<bigint>, docs array<bigint>"
+_COUNTED = pa.schema([("lang", pa.string()), ("item", pa.binary()), ("sources", pa.string()), ("numbers", pa.list_(pa.int64()))])
+#: Sources are one string; ``numbers`` are the occurrences by source, then documents (none: enough of them).
+COUNTED = "lang string, item binary, sources string, numbers array<bigint>"
+_BETWEEN = "\0"
+
+
+def _packed(name: str) -> str:
+    return name.replace("\1", "\1\2").replace("\0", "\1\3")
+
+
+def _unpacked(name: str) -> str:
+    return name.replace("\1\3", "\0").replace("\1\2", "\1")
 
 
 def terms_of(chunk: bytes) -> list[bytes]:
@@ -56,16 +66,13 @@ def terms_of(chunk: bytes) -> list[bytes]:
     return _TERM.findall(chunk.lower())                    # bytes.lower changes A-Z only
 
 
-def _offsets(keys: np.ndarray, n: int) -> pa.Array:
-    return pa.array(np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=n))]).astype(np.int32))
-
-
 def _counted(langs: pa.Array, items: pa.Array, names: pa.Array, key: np.ndarray, source: np.ndarray, n: np.ndarray,
              doc_key: np.ndarray, doc: np.ndarray, least_docs: int) -> pa.RecordBatch:
-    """One row for each key (a row of langs and items): occurrences by source and its ``least_docs`` smallest documents.
+    """One row for each key (a row of langs and items): occurrences by source, and its documents if they are fewer than ``least_docs``.
 
     ``key``, ``source``, ``n`` are occurrences; ``doc_key``, ``doc`` the documents, both in any order and repeated.
     """
+    rows = len(items)
     at = np.lexsort((source, key))
     key, source, n = key[at], source[at], n[at]
     first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (source[1:] != source[:-1])][:len(key)])
@@ -75,13 +82,23 @@ def _counted(langs: pa.Array, items: pa.Array, names: pa.Array, key: np.ndarray,
     doc_key, doc = doc_key[at], doc[at]
     new = np.r_[True, (doc_key[1:] != doc_key[:-1]) | (doc[1:] != doc[:-1])][:len(doc)]
     doc_key, doc = doc_key[new], doc[new]
-    starts = np.searchsorted(doc_key, doc_key)                             # place of the key's first document
-    few = np.arange(len(doc)) - starts < least_docs
-    rows = len(items)
+    few = np.bincount(doc_key, minlength=rows)[doc_key] < least_docs
+    doc_key, doc = doc_key[few], doc[few]
+    of_source, of_doc = np.bincount(key, minlength=rows), np.bincount(doc_key, minlength=rows)
+    ends = np.cumsum(of_source + of_doc)
+    starts = ends - of_source - of_doc
+    numbers = np.empty(len(key) + len(doc_key), np.int64)
+    numbers[starts[key] + _rank(key, of_source)] = n
+    numbers[(starts + of_source)[doc_key] + _rank(doc_key, of_doc)] = doc
+    cuts = pa.array(np.concatenate([[0], np.cumsum(of_source)]).astype(np.int32))
     return pa.RecordBatch.from_arrays([
-        langs, items, pa.ListArray.from_arrays(_offsets(key, rows), names.take(pa.array(source))),
-        pa.ListArray.from_arrays(_offsets(key, rows), pa.array(n)),
-        pa.ListArray.from_arrays(_offsets(doc_key[few], rows), pa.array(doc[few]))], schema=_COUNTED)
+        langs, items, pc.binary_join(pa.ListArray.from_arrays(cuts, names.take(pa.array(source))), _BETWEEN),
+        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(numbers))], schema=_COUNTED)
+
+
+def _rank(key: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Place of each entry among those of its key; keys are sorted."""
+    return np.arange(len(key)) - (np.cumsum(sizes) - sizes)[key]
 
 
 def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -91,23 +108,33 @@ def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def _count_chunks(least_docs: int):
     """Arrow batches (text, lang, source, number) to counts of the white-space chunks."""
+    def pairs(text: pa.Array):
+        """(document, chunk, occurrences) of each distinct pair, and the chunks."""
+        words = pc.ascii_split_whitespace(text)
+        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        found = words.flatten().cast(pa.binary()).dictionary_encode()
+        names, width = found.dictionary, max(len(found.dictionary), 1)
+        pair = np.repeat(np.arange(len(sizes), dtype=np.int64) * width, sizes)
+        pair += found.indices.to_numpy(zero_copy_only=False)
+        del words, found
+        pair.sort()
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][:len(pair)])
+        doc, chunk = np.divmod(pair[first], width)
+        n = np.diff(np.r_[first, len(pair)])
+        blank = pc.equal(names, b"").to_numpy(zero_copy_only=False)
+        there = ~blank[chunk]
+        return doc[there], chunk[there], n[there], names
+
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = pc.ascii_split_whitespace(batch.column(0))
-        doc = pc.list_parent_indices(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        chunk, chunk_names = _codes(words.flatten().cast(pa.binary()))
-        lang, lang_names = _codes(batch.column(1))
-        source, source_names = _codes(batch.column(2))
+        doc, chunk, n, chunks = pairs(batch.column(0))
+        lang, langs = _codes(batch.column(1))
+        source, sources = _codes(batch.column(2))
+        sources = pa.array([_packed(name) for name in sources.to_pylist()], pa.string())
         number = batch.column(3).to_numpy(zero_copy_only=False)
-        blank = pc.equal(chunk_names, b"").to_numpy(zero_copy_only=False)
-        if blank.any():
-            there = ~blank[chunk]
-            doc, chunk = doc[there], chunk[there]
-        pair, n = np.unique(doc * max(len(chunk_names), 1) + chunk, return_counts=True)
-        doc, chunk = np.divmod(pair, max(len(chunk_names), 1))
-        keys, key = np.unique(lang[doc] * max(len(chunk_names), 1) + chunk, return_inverse=True)
-        of_lang, of_chunk = np.divmod(keys, max(len(chunk_names), 1))
-        return _counted(lang_names.take(pa.array(of_lang)), chunk_names.take(pa.array(of_chunk)), source_names,
-                        key, source[doc], n.astype(np.int64), key, number[doc], least_docs)
+        keys, key = np.unique(lang[doc] * max(len(chunks), 1) + chunk, return_inverse=True)
+        of_lang, of_chunk = np.divmod(keys, max(len(chunks), 1))
+        return _counted(langs.take(pa.array(of_lang)), chunks.take(pa.array(of_chunk)), sources, key, source[doc], n,
+                        key, number[doc], least_docs)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -161,12 +188,19 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Rec
         yield joined()
 
 
-def _parts(batch: pa.RecordBatch):
-    """(row of each occurrence count, its source, its count, row of each document, its number) of a batch of counts."""
-    sources, counts, docs = (batch.column(i) for i in (2, 3, 4))
-    return (pc.list_parent_indices(sources).to_numpy(zero_copy_only=False).astype(np.int64), sources.flatten(),
-            counts.flatten().to_numpy(zero_copy_only=False), pc.list_parent_indices(docs).to_numpy(zero_copy_only=False).astype(np.int64),
-            docs.flatten().to_numpy(zero_copy_only=False))
+def _parts(batch: pa.RecordBatch, least_docs: int):
+    """(row, source, count) of each occurrence count and (row, document) of each document of a batch of counts.
+
+    The numbers -1, -2, ... stand for the documents of a row that has enough of them.
+    """
+    sources = pc.split_pattern(batch.column(2), _BETWEEN)
+    size, both = (pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (sources, batch.column(3)))
+    row = np.repeat(np.arange(batch.num_rows), both)
+    counts = _rank(row, both) < size[row]
+    numbers = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+    enough = np.repeat(np.flatnonzero(both == size), least_docs)
+    made = -1 - np.arange(len(enough)) % least_docs
+    return row[counts], sources.flatten(), numbers[counts], np.r_[row[~counts], enough], np.r_[numbers[~counts], made]
 
 
 def _spread(owner: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
@@ -188,8 +222,8 @@ def _tokenise(least_docs: int):
             if not len(terms):
                 continue
             lang, langs = _codes(batch.column(0))
-            source, names = _codes(_parts(batch)[1])
-            row, _, n, doc_row, doc = _parts(batch)
+            row, names, n, doc_row, doc = _parts(batch, least_docs)
+            source, names = _codes(names)
             entry, slot = _spread(chunk[row], starts, sizes)
             doc_entry, doc_slot = _spread(chunk[doc_row], starts, sizes)
             code = lang[row][entry] * len(terms) + term[slot]
@@ -205,31 +239,42 @@ def _tokenise(least_docs: int):
 
 
 def _sum_terms(least_docs: int):
-    """Counts of terms, sorted by language and term, to one row (lang, term, source, n) a group that has a kept term."""
-    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64())])
+    """Counts of terms, sorted by language and term, to rows (lang, term, number, lang_n, source, n, first) for each source
+    that has a kept term: a number for the term, its occurrences in the language and in the source, whether it is the term's first row."""
+    schema = pa.schema([("lang", pa.string()), ("term", pa.string()), ("number", pa.int64()), ("lang_n", pa.int64()),
+                        ("source", pa.string()), ("n", pa.int64()), ("first", pa.bool_())])
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 40
         for batch in _runs(batches, ["lang", "item"]):
             item, items = _codes(batch.column(1))
             lang, langs = _codes(batch.column(0))
             keys, key = np.unique(lang * len(items) + item, return_inverse=True)
             of_lang, of_item = np.divmod(keys, len(items))
-            row, names, n, doc_row, doc = _parts(batch)
+            row, names, n, doc_row, doc = _parts(batch, least_docs)
             source, names = _codes(names)
             made = _counted(langs.take(pa.array(of_lang)), items.take(pa.array(of_item)), names, key[row], source, n,
                             key[doc_row], doc, least_docs)
-            kept = made.filter(pc.greater_equal(pc.list_value_length(made.column(4)), least_docs))
-            row, source, n, _, _ = _parts(kept)
+            kept = made.filter(pc.equal(pc.list_value_length(pc.split_pattern(made.column(2), _BETWEEN)), pc.list_value_length(made.column(3))))
+            row, names, n, _, _ = _parts(kept, least_docs)
+            source, names = _codes(names)
+            source = pa.array([_unpacked(name) for name in names.to_pylist()], pa.string()).take(pa.array(source))
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([kept.column(0).take(at), kept.column(1).cast(pa.string()).take(at), source,
-                                              pa.array(n, pa.int64())], schema=schema)
+            total = np.zeros(kept.num_rows, np.int64)
+            np.add.at(total, row, n)
+            yield pa.RecordBatch.from_arrays([kept.column(0).take(at), kept.column(1).cast(pa.string()).take(at), pa.array(row + number),
+                                              pa.array(total[row]), source, pa.array(n, pa.int64()),
+                                              pa.array(np.r_[True, row[1:] != row[:-1]][:len(row)])], schema=schema)
+            number += kept.num_rows
 
     return run
 
 
 def term_counts(docs: DataFrame, *, least_docs: int = 3, text_col: str = "text", lang_col: str = "lang",
                 source_col: str = "source") -> DataFrame:
-    """(lang, term, source, n): occurrences of the terms in at least ``least_docs`` documents of their language."""
+    """(lang, term, number, lang_n, source, n, first): occurrences of the terms in at least ``least_docs`` documents of their
+    language, in the language and in each source that has them; ``number`` stands for language and term, ``first`` marks one
+    row of each.  To be stored before the numbers are used."""
     def plain(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(""))
 
@@ -239,7 +284,7 @@ def term_counts(docs: DataFrame, *, least_docs: int = 3, text_col: str = "text",
     counted = stored(base.mapInArrow(_count_chunks(least_docs), COUNTED), "chunk-counts")
     terms = (counted.repartition("item").sortWithinPartitions("item").mapInArrow(_tokenise(least_docs), COUNTED))
     return (terms.repartition("lang", "item").sortWithinPartitions("lang", "item")
-            .mapInArrow(_sum_terms(least_docs), "lang string, term string, source string, n bigint"))
+            .mapInArrow(_sum_terms(least_docs), "lang string, term string, number bigint, lang_n bigint, source string, n bigint, first boolean"))
 
 
 def _share(count: Column, total: Column, vocabulary: Column, scale: int) -> Column:
@@ -255,7 +300,7 @@ def _stray(p: Column, q: Column) -> Column:
 
 
 def _shared_terms():
-    """Rows (lang, holders: list of source, p, absent) to (lang, source, item, more, held).
+    """Rows (number, lang, source, p, absent), sorted by number, to (lang, source, item, more).
 
     For two sources that hold a term, ``more`` is what comparing their shares adds to the sums that count it as
     held by one of them alone: f(p, q) - f(p, absent q) - f(absent p, q) + f(absent p, absent q).
@@ -266,16 +311,12 @@ def _shared_terms():
         return (p - q) ** 2 // q
 
     def run(batches):
-        for batch in batches:
-            holders = batch.column(1)
-            if not batch.num_rows:
-                continue
-            row = pc.list_parent_indices(holders).to_numpy(zero_copy_only=False).astype(np.int64)
-            inner = holders.flatten()
-            source, names = _codes(inner.field("source"))
-            p, absent = (inner.field(k).to_numpy(zero_copy_only=False) for k in ("p", "absent"))
-            lang, langs = _codes(batch.column(0))
-            sizes = np.bincount(row, minlength=batch.num_rows)
+        for batch in _runs(batches, ["number"]):
+            row, _ = _codes(batch.column(0))
+            source, names = _codes(batch.column(2))
+            lang, langs = _codes(batch.column(1))
+            p, absent = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            sizes = np.bincount(row)
             starts = np.cumsum(sizes) - sizes
             ends = np.cumsum(sizes[row])
             at = 0
@@ -286,7 +327,7 @@ def _shared_terms():
                 other = a != b
                 a, b = a[other], b[other]
                 more = f(p[a], p[b]) - f(p[a], absent[b]) - f(absent[a], p[b]) + f(absent[a], absent[b])
-                code = (lang[row[a]] * len(names) + source[a]) * len(names) + source[b]
+                code = (lang[a] * len(names) + source[a]) * len(names) + source[b]
                 order = np.argsort(code, kind="stable")
                 code, more = code[order], more[order]
                 first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][:len(code)])
@@ -307,19 +348,18 @@ def audit(docs: DataFrame, *, least_docs: int = 3, top: int = 200, scale: int =
     divergence, part ``term`` the ``top`` terms that the source has more of than its language."""
     counts = stored(term_counts(docs, least_docs=least_docs, text_col=text_col, lang_col=lang_col, source_col=source_col), "term-counts")
     groups = docs.select(F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source")).distinct()
-    of_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    langs = of_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("held"))
     zero = F.lit(0).cast("bigint")
+    langs = counts.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_total"))
     made = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").select(
         "lang", "source", *[F.coalesce(c, zero).alias(c) for c in ("total", "held", "v", "lang_total")])
     sources = stored(made.withColumn("absent", _share(zero, F.col("total"), F.col("v"), scale)), "source-totals")
     shares = counts.join(sources, ["lang", "source"]).select(
-        "lang", "source", "term", "n", "v", "lang_total", "absent", _share(F.col("n"), F.col("total"), F.col("v"), scale).alias("p"))
-    shares = stored(shares, "term-shares")
+        "lang", "source", "term", "number", "lang_n", "v", "lang_total", "absent",
+        _share(F.col("n"), F.col("total"), F.col("v"), scale).alias("p"))
 
     # Terms that a source has more of than its language.
-    over = shares.join(of_lang, ["lang", "term"]).withColumn("q", _share(F.col("lang_n"), F.col("lang_total"), F.col("v"), scale))
+    over = shares.withColumn("q", _share(F.col("lang_n"), F.col("lang_total"), F.col("v"), scale))
     terms = over.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
                                         _stray(F.col("p"), F.col("q")).alias("value"))
     place = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
@@ -331,14 +371,14 @@ def audit(docs: DataFrame, *, least_docs: int = 3, top: int = 200, scale: int =
     pairs = ours.join(theirs, "lang").filter("source <> item")
     neither = F.when(F.col("v") > 0, _stray(F.col("absent"), F.col("item_absent")) * (F.col("v") - F.col("held") - F.col("item_held"))).otherwise(zero)
     wide = "decimal(38,0)"
-    by_share = shares.groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("terms"))
+    by_share = (counts.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("terms")).join(sources, ["lang", "source"])
+                .select("lang", "source", "terms", _share(F.col("n"), F.col("total"), F.col("v"), scale).alias("p")))
     alone = (by_share.join(theirs, "lang").filter("source <> item")
              .groupBy("lang", "source", "item").agg(F.sum((_stray(F.col("p"), F.col("item_absent")) * F.col("terms")).cast(wide)).alias("more")))
     lacked = (by_share.withColumnRenamed("source", "item").join(ours, "lang").filter("source <> item")
               .groupBy("lang", "source", "item").agg(F.sum((_stray(F.col("absent"), F.col("p")) * F.col("terms")).cast(wide)).alias("more")))
-    holders = shares.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "absent")).alias("holders"))
-    both = holders.filter(F.size("holders") > 1).select("lang", "holders").mapInArrow(
-        _shared_terms(), "lang string, source string, item string, more bigint")
+    both = (shares.select("number", "lang", "source", "p", "absent").repartition("number").sortWithinPartitions("number")
+            .mapInArrow(_shared_terms(), "lang string, source string, item string, more bigint"))
     base = pairs.select("lang", "source", "item", neither.cast(wide).alias("more"))
     value = base
     for part in (alone, lacked, both):
