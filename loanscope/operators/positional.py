@@ -29,7 +29,7 @@ import math
 from datetime import datetime, timezone
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,13 +121,14 @@ class TupleOrder:
 
 
 def with_position(df: DataFrame, order: TupleOrder, cuts: list[tuple], out: str, *,
-                  split_equal: bool = False, keep_cuts: str | None = None) -> DataFrame:
+                  split_equal: bool = False, keep_cuts: str | None = None, one_expression: bool = False) -> DataFrame:
     """Add ``out`` = number of cuts that sort at or before the row (0..len(cuts)).
 
     With ``split_equal`` the value is a *code*: 2*i for rows strictly between
     cut i-1 and cut i, 2*i - 1 for rows equal to cut i-1, so rows equal to a
     sampled tuple (a heavy duplicate) form their own point bucket.
     ``keep_cuts`` keeps the per-key cut arrays as columns ``<keep_cuts><i>``.
+    ``one_expression`` makes the search one expression that a join key may hold.
     """
     n = len(cuts)
     if n <= FLAT_CUTS and not split_equal and not keep_cuts:
@@ -145,23 +146,41 @@ def with_position(df: DataFrame, order: TupleOrder, cuts: list[tuple], out: str,
     res = df
     for name, arr in zip(names, order.arrays(cuts)):
         res = res.withColumn(name, arr)
-    res = res.withColumn(out, F.lit(0))
-    row = order.row()
+    res = search(res, order, names, n, out, one_expression=one_expression)
+    if split_equal:
+        # index clamped to 1: the guard alone does not stop eager evaluation
+        at_cut = (F.col(out) >= 1) & ~order.lt(_cut_at(names, F.greatest(F.col(out), F.lit(1))), order.row())
+        res = res.withColumn(out, F.col(out) * 2 - F.when(at_cut, 1).otherwise(0))
+    return res if keep_cuts else res.drop(*names)
+
+
+def _cut_at(names: list[str], idx: Column) -> list[Column]:
+    return [F.try_element_at(F.col(nm), idx) for nm in names]
 
-    def cut_at(idx: Column) -> list[Column]:
-        return [F.try_element_at(F.col(nm), idx) for nm in names]
 
-    step = 1 << max(0, n.bit_length() - 1) if n else 0
+def search(df: DataFrame, order: TupleOrder, names: list[str], most: int, out: str, *, size: Column | None = None,
+           one_expression: bool = False) -> DataFrame:
+    """Add ``out`` = number of cuts that sort at or before the row: branch-free binary search.
+
+    The cuts are sorted arrays in the columns ``names``, one for each key; a row has ``size`` of them (``most`` by
+    default, which no row may exceed).
+    """
+    res, row = df.withColumn(out, F.lit(0)), order.row()
+    size = F.lit(most) if size is None else size
+    if one_expression:
+        def further(place: Column, step: Column) -> Column:
+            take = (place + step <= size) & ~order.lt(row, _cut_at(names, place + step))
+            return F.when(take, place + step).otherwise(place)
+
+        steps = [F.lit(1 << i) for i in reversed(range(most.bit_length()))]
+        return df.withColumn(out, F.aggregate(F.array(*steps), F.lit(0), further) if steps else F.lit(0))
+    step = 1 << max(0, most.bit_length() - 1) if most else 0
     while step >= 1:
         nxt = F.col(out) + F.lit(step)
-        take = (nxt <= F.lit(n)) & ~order.lt(row, cut_at(nxt))
+        take = (nxt <= size) & ~order.lt(row, _cut_at(names, nxt))
         res = res.withColumn(out, F.when(take, nxt).otherwise(F.col(out)))
         step >>= 1
-    if split_equal:
-        # index clamped to 1: the guard alone does not stop eager evaluation
-        at_cut = (F.col(out) >= 1) & ~order.lt(cut_at(F.greatest(F.col(out), F.lit(1))), row)
-        res = res.withColumn(out, F.col(out) * 2 - F.when(at_cut, 1).otherwise(0))
-    return res if keep_cuts else res.drop(*names)
+    return res
 
 
 def in_range(order: TupleOrder, lower: tuple | None, lower_inclusive: bool,
@@ -177,25 +196,17 @@ def in_range(order: TupleOrder, lower: tuple | None, lower_inclusive: bool,
     return cond
 
 
-def sample_sorted(df: DataFrame, keys: list[OrderKey], n_rows: int, target: int, *,
-                  seed: int = 17, prefix: list[str] | None = None,
-                  extra: list[str] | None = None) -> list:
-    """Bernoulli sample of about ``target`` rows, sorted by Spark in key order.
+def sample_and_count(df: DataFrame, keys: list[OrderKey], rows: int, *, by: str, seed: int = 17) -> tuple[list[tuple], int]:
+    """``rows`` sampled key tuples (all, if there are fewer) in key order, and the number of rows, from one pass.
 
-    Hard-bounded by a limit, so what reaches the driver never grows with the
-    table.  ``prefix`` columns (e.g. a group) sort first; ``extra`` columns
-    ride along unsorted.
+    The sample is the rows whose ``by``, an id, hashes lowest: a bounded heap in each task, and no need to know
+    the number of rows before.
     """
-    if n_rows <= 0 or target <= 0:
-        return []
-    fraction = min(1.0, target / n_rows)
-    names = (prefix or []) + [k.name for k in keys]
-    names += [c for c in (extra or []) if c not in names]
-    s = df.select(*names)
-    if fraction < 1.0:
-        s = s.sample(withReplacement=False, fraction=fraction, seed=seed)
-    order = [F.col(p).asc() for p in (prefix or [])] + [k.sort_col() for k in keys]
-    return s.orderBy(*order).limit(4 * target).collect()
+    counted = Observation()
+    names = [k.name for k in keys]
+    seen = df.observe(counted, F.count(F.lit(1)).alias("rows")).select(*names, F.xxhash64(F.col(by), F.lit(seed)).alias("__h"))
+    found = seen.orderBy("__h").limit(rows).orderBy(*[k.sort_col() for k in keys]).collect()
+    return [tuple(r[:-1]) for r in found], counted.get["rows"]
 
 
 def pick_cuts(sorted_rows: list[tuple], n_cuts: int) -> list[tuple]:

@@ -1,81 +1,72 @@
 """Ranking inside groups: top-k per group and the ranked peer list.
 
-``top_values`` finds each group's top n distinct values with their ranks: a
-bounded sample gives every group a cutoff that its n-th value cannot lie below,
-the (group, value) pairs above it are counted (combined before the shuffle),
-and a window over those pairs ranks them; Spark's ``WindowGroupLimit`` lets at
-most n pairs a group and task travel.  ``top_per_group`` joins them back to the
-rows above the cutoffs.
+``top_values`` finds each group's top n distinct values with their ranks in two
+passes.  The first keeps a bounded state a group: values are dealt to ``CELLS``
+cells by their hash and each cell keeps its maximum (partial maxima merge, so a
+task hands on CELLS rows a group at most).  Maxima of different cells are
+different values, so the n-th of them is a cutoff that the group's n-th value
+cannot lie below.  The second pass counts the (group, value) pairs at or above
+the cutoffs, few besides those wanted, and a window ranks the pairs.
+``top_per_group`` joins them back to the rows, so all ties are there and tied
+rows never meet in one task.
 
 ``ranked_peers`` (watch list): every row of every group gets its RANK by a
 value (descending) and the id/columns of the next row in (value desc, id)
-order.  A window alone would send a whole group to one task; here every group
-with more than its share of rows is split into buckets by sampled literal
-(value, id) cuts, ranked inside the bucket, and per-bucket offsets are added:
-
-* rank  = rows of the group in earlier buckets + local start of the value's
-          run - (rows of that value already counted in earlier buckets, only
-          for the bucket's first run, whose value may straddle the cut);
-* lead  = local lead, else the first row of the next non-empty bucket.
-
-The groups share a budget of cuts in proportion to their rows; a group too
-small for a cut is one bucket, of no more rows than a split group's buckets.
-The per-bucket statistics are one aggregation (count, rows equal to the upper
-cut's value, first row) over the split groups, bounded by the budget; they
-return to the rows as literal arrays indexed by bucket, so the plan is
-projections plus one bucket-local window - no join.  The first row of a bucket
-is its lower cut, itself a row of the spooled input.  A single hot value is
-split by id, too.  One path runs at every size; ``strategy="builtin"`` is the
-plain window that tests and the bench compare with.
+order.  A window alone would send a whole group to one task; here rows are cut
+into buckets of bounded size along (group, value desc, id), ranked inside
+(group, bucket), and what went before in the group is added:
+
+* rank  = rows of the group in earlier buckets + local start of the value's run;
+  the first run of a bucket that goes on from the bucket before starts there;
+* lead  = local lead, else the first row of the group's next bucket.
+
+The cuts form a tree: at most ``FAN`` cuts, literals of the plan, and below each
+range between two of them at most as many again, found by Spark in a sample and
+kept in a small table that joins by range.  The bucket-local ranks are written
+once; the first and last row of each (group, bucket) that a cut splits, two
+groups a bucket at most, give the offsets as prefix sums in a small table, which
+joins back to the rows.  A hot value is split by id, too.  One path runs at every
+size; ``strategy="builtin"`` is the plain window that tests and the bench compare
+with.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loanscope.functions.expressions import OrderKey
-from loanscope.operators.positional import (
-    MAX_CUTS,
-    _sql_literal,
-    TupleOrder,
-    pick_cuts,
-    same_tuple,
-    sample_sorted,
-    with_position,
-)
+from loanscope.operators.positional import TupleOrder, pick_cuts, sample_and_count, search, with_position
 from loanscope.session import spool
 
-# Rows sampled for the cutoffs of top_values; also bounds the table of cutoffs that is broadcast.
-CUTOFF_SAMPLE = 65_536
-# No group is split into buckets smaller than this many rows.
-LEAST_BUCKET = 64
+# Least number of cells for each of the top n values, and of cells in all.
+CELLS_PER_VALUE = 4
+LEAST_CELLS = 64
+# Buckets of ranked rows hold this many at least; cuts of one level of the tree, and sampled rows a cut.
+LEAST_BUCKET = 16_384
+FAN = 256
+PER_CUT = 16
+# Cuts below one range, at most: four times what is expected.
+MOST_BELOW = 1024
 
 
-def _cutoffs(base: DataFrame, n: int, seed: int) -> DataFrame:
-    """(__cg, __cut): the n-th largest distinct value of each group in a bounded sample; none if it has fewer."""
-    rows = base.count()
-    sample = base.filter(F.col("__v").isNotNull())
-    if rows > CUTOFF_SAMPLE:
-        sample = sample.sample(withReplacement=False, fraction=CUTOFF_SAMPLE / rows, seed=seed).limit(2 * CUTOFF_SAMPLE)
-    values = F.sort_array(F.collect_list("__v"), asc=False)   # grouping counts all NaN as one value, a set of them does not
-    return (sample.distinct().groupBy(F.col("__g").alias("__cg")).agg(F.get(values, F.lit(n - 1)).alias("__cut"))
-            .filter(F.col("__cut").isNotNull()))
+def _cutoffs(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """(__cg, __cut): a value of each group that its n-th largest distinct value cannot lie below; none if it has few values."""
+    cell = F.pmod(F.xxhash64(F.col(order)), F.lit(max(LEAST_CELLS, CELLS_PER_VALUE * n)))
+    highest = (df.filter(F.col(order).isNotNull()).groupBy(F.col(group).alias("__cg"), cell.alias("__cell"))
+               .agg(F.max(order).alias("__v")))
+    place = F.row_number().over(Window.partitionBy("__cg").orderBy(F.col("__v").desc()))
+    return highest.withColumn("__place", place).filter(F.col("__place") == n).select("__cg", F.col("__v").alias("__cut"))
 
 
-def _above_cutoffs(df: DataFrame, group: str, order: str, n: int, seed: int) -> DataFrame:
+def _above_cutoffs(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     """Rows of ``df`` that can hold one of their group's top n values."""
-    base = df.select(F.col(group).alias("__g"), F.col(order).alias("__v"))
-    cutoffs = F.broadcast(_cutoffs(base, n, seed))           # at most 2 * CUTOFF_SAMPLE rows
+    cutoffs = spool(_cutoffs(df, group, order, n), "cutoffs")          # its size is known: Spark decides how to join
     kept = df.join(cutoffs, F.col(group).eqNullSafe(F.col("__cg")), "left")
     return kept.filter(F.col("__cut").isNull() | (F.col(order) >= F.col("__cut"))).select(*df.columns)
 
 
-def top_values(df: DataFrame, group: str, order: str, n: int, aggs: list[Column] | None = None, *,
-               seed: int = 23) -> DataFrame:
+def top_values(df: DataFrame, group: str, order: str, n: int, aggs: list[Column] | None = None) -> DataFrame:
     """(group, value, dense_rank, rank, rows, *aggs) for each group's top n distinct values, NULL last."""
     names = [f"__a{i}" for i in range(len(aggs or []))]
     pairs = df.groupBy(group, order).agg(F.count(F.lit(1)).alias("__rows"), *[a.alias(nm) for a, nm in zip(aggs or [], names)])
@@ -86,7 +77,7 @@ def top_values(df: DataFrame, group: str, order: str, n: int, aggs: list[Column]
 
 
 def top_per_group(df: DataFrame, group: str, order: str, n: int = 3, *, out: str = "rank", dense: bool = True,
-                  strategy: str = "values", seed: int = 23) -> DataFrame:
+                  strategy: str = "values") -> DataFrame:
     """Rows whose (dense) rank by ``order`` descending within ``group`` is <= n.
 
     Ties share a rank, so more than n rows per group can qualify - all of them
@@ -100,7 +91,7 @@ def top_per_group(df: DataFrame, group: str, order: str, n: int = 3, *, out: str
                 .withColumn(out, F.col(out).cast("bigint")))
     if strategy != "values":
         raise ValueError(f"unknown strategy {strategy}")
-    rows = _above_cutoffs(df, group, order, n, seed)
+    rows = _above_cutoffs(df, group, order, n)
     top = (top_values(rows, group, order, n).select(F.col(group).alias("__g"), F.col(order).alias("__v"),
                                                     F.col("__dense" if dense else "__rank").alias(out))
            .filter(F.col(out) <= n))
@@ -108,24 +99,21 @@ def top_per_group(df: DataFrame, group: str, order: str, n: int = 3, *, out: str
     return rows.join(top, same).select(*df.columns, F.col(out).cast("bigint").alias(out))
 
 
-def top_counts(df: DataFrame, group: str, order: str, n: int, aggs: list[Column], *, seed: int = 23) -> DataFrame:
+def top_counts(df: DataFrame, group: str, order: str, n: int, aggs: list[Column]) -> DataFrame:
     """Rows of ``top_values`` with RANK <= n: counts of the top rows without the rows themselves."""
-    return top_values(_above_cutoffs(df, group, order, n, seed), group, order, n, aggs).filter(F.col("__rank") <= n)
+    return top_values(_above_cutoffs(df, group, order, n), group, order, n, aggs).filter(F.col("__rank") <= n)
 
 
 def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[str, ...] = (), *,
                  rank_name: str = "rank", next_prefix: str = "next_", strategy: str = "buckets",
-                 max_cuts: int = MAX_CUTS, per_cut: int = 16, rows_per_bucket: int | None = None, seed: int = 41,
-                 materialize: bool = True, dense_name: str | None = None) -> DataFrame:
+                 rows_per_bucket: int | None = None, fan: int = FAN, per_cut: int = PER_CUT, seed: int = 41,
+                 dense_name: str | None = None) -> DataFrame:
     """RANK by ``value`` desc within ``group`` plus the next row's tie/value/carry columns.
 
     Adds ``rank_name`` and ``next_<c>`` for c in (tie, value, *carry), and the
-    DENSE_RANK as ``dense_name`` when given.  ``tie`` must be a numeric unique id
-    (the bucket order uses its negation).  Buckets hold about ``rows_per_bucket``
-    rows; by default one part in ``max_cuts`` of all rows, and LEAST_BUCKET at
-    least.  The input is read four times (count, sample, bucket counts, window);
-    with ``materialize`` the input - typically a filtered, narrow slice of a wide
-    table - is spooled once as Parquet and the later passes read that.
+    DENSE_RANK as ``dense_name`` when given.  ``tie`` is a unique id.  Buckets hold
+    about ``rows_per_bucket`` rows: LEAST_BUCKET, or one part in ``fan`` squared of
+    all rows if that is more.  The input is read twice (count and sample, window).
     """
     lead_cols = [tie, value] + [c for c in carry if c not in (tie, value)]
     if strategy == "builtin":
@@ -139,173 +127,109 @@ def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[s
         return out.withColumn(rank_name, F.rank().over(w_rank).cast("bigint"))
     if strategy != "buckets":
         raise ValueError(f"unknown strategy {strategy}")
-    if materialize:
-        df = spool(df, "ranked-slice")
-    n = df.count()
-    max_cuts = max(1, min(max_cuts, MAX_CUTS))
-    size = rows_per_bucket or max(LEAST_BUCKET, -(-n // max_cuts))
-    return _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_prefix,
-                                 max_cuts, per_cut, size, seed, dense_name)
-
-
-def _group_key(g):
-    """A value that equals itself: NaN does not, and Spark groups all NaN together."""
-    return "nan" if isinstance(g, float) and g != g else (g,)
-
-
-def _ranked_peers_buckets(df, group, value, tie, lead_cols, n, rank_name, next_prefix,
-                          max_cuts, per_cut, rows_per_bucket, seed, dense_name=None) -> DataFrame:
-    # One descending order over (group, value, -tie): equal to (value DESC NULLS
-    # LAST, tie ASC) inside a group, so one sorted cut array serves every group
-    # and a light group (no cuts of its own) stays one bucket.
-    neg = "__neg_tie"
-    work = df.withColumn(neg, -F.col(tie))
-    keys = [OrderKey(group, descending=True), OrderKey(value, descending=True),
-            OrderKey(neg, descending=True)]
-    order = TupleOrder(work, keys)
-
-    # 1. bounded sample -> cut tuples for heavy groups only; each cut is a
-    #    sampled row, so its lead columns come along
-    rows = sample_sorted(work, keys, n, max_cuts * per_cut, seed=seed, extra=lead_cols)
-    fraction = min(1.0, max_cuts * per_cut / max(n, 1))
-    by_group: dict = {}
-    for r in rows:
-        by_group.setdefault(_group_key(r[group]), []).append((r[group], r[value], r[neg]) + tuple(r[c] for c in lead_cols))
-    want = {}
-    for g, srows in by_group.items():
-        est = len(srows) / fraction
-        if est > rows_per_bucket:
-            want[g] = min(math.ceil(est / rows_per_bucket) - 1, len(srows) - 1)
-    total = sum(want.values())
-    if total > max_cuts:                     # a group left without a cut holds less than a full share of rows
-        want = {g: (m * max_cuts) // total for g, m in want.items()}
-    cut_rows: list[tuple] = []
-    heavy: list = []
-    first_cut: dict = {}
-    for g in by_group:                       # sample order = key order
-        if want.get(g, 0) > 0:
-            picked = pick_cuts(by_group[g], want[g])
-            if picked:
-                first_cut[len(heavy)] = len(cut_rows)
-                heavy.append(by_group[g][0][0])
-                cut_rows.extend(picked)
-    cuts = [c[:3] for c in cut_rows]
-    n_cuts = len(cuts)
-
-    # 2. per row: bucket = position among all cuts; for heavy groups also the
-    #    global slot = bucket + (rank of the group among heavy groups) - 1
-    pos = with_position(work, order, cuts, "__bucket", keep_cuts="__cut")
-    g_order = TupleOrder(work, [OrderKey(group, descending=True)])
-    pos = with_position(pos, g_order, [(g,) for g in heavy], "__hr", keep_cuts="__hcut")
-    is_heavy = F.coalesce((F.col("__hr") >= 1) & F.try_element_at(
-        F.col("__hcut0"), F.greatest(F.col("__hr"), F.lit(1))).eqNullSafe(F.col(group)), F.lit(False))
-    upper = F.col("__bucket") + 1
-    at_upper = F.coalesce((F.col("__bucket") < F.lit(n_cuts))
-                          & F.try_element_at(F.col("__cut0"), upper).eqNullSafe(F.col(group))
-                          & F.try_element_at(F.col("__cut1"), upper).eqNullSafe(F.col(value)), F.lit(False))
-    lower = F.greatest(F.col("__bucket"), F.lit(1))
-    at_lower = F.coalesce((F.col("__bucket") >= 1)
-                          & F.try_element_at(F.col("__cut0"), lower).eqNullSafe(F.col(group))
-                          & F.try_element_at(F.col("__cut1"), lower).eqNullSafe(F.col(value))
-                          & F.try_element_at(F.col("__cut2"), lower).eqNullSafe(F.col(neg)), F.lit(False))
-    bucketed = (pos.withColumn("__heavy", is_heavy)
-                .withColumn("__slot", F.when(F.col("__heavy"), F.col("__bucket") + F.col("__hr") - 1))
-                .withColumn("__at_upper", at_upper)
-                .withColumn("__at_lower", at_lower)
-                .drop("__cut0", "__cut1", "__cut2", "__hcut0", "__hr"))
-
-    # 3. per-slot counts over the heavy groups (bounded by the cut budget); the
-    #    filter reads the group column only, so it never drags the search along
-    heavy_rows = F.lit(False)
-    for g in heavy:
-        c = F.col(group).isNull() if g is None else F.col(group).eqNullSafe(F.lit(g))
-        heavy_rows = heavy_rows | c
-    aggs = [F.count(F.lit(1)).alias("cnt"),
-            F.sum(F.when(F.col("__at_upper"), 1).otherwise(0)).alias("n_at_upper"),
-            F.sum(F.when(F.col("__at_lower"), 1).otherwise(0)).alias("n_at_lower")]
-    if dense_name:
-        # distinct values per bucket (NULL counts as one value, as in DENSE_RANK)
-        aggs.append((F.count_distinct(F.col(value))
-                     + F.max(F.when(F.col(value).isNull(), 1).otherwise(0))).alias("n_distinct"))
-    hist = bucketed.filter(heavy_rows).groupBy("__slot").agg(*aggs).collect()
-    by_slot = {r["__slot"]: r for r in hist}
-    n_slots = max(1, n_cuts + len(heavy))
-    offset = [0] * n_slots
-    carry = [0] * n_slots
-    dense_before = [0] * n_slots                 # distinct values of the group before the bucket
-    shared = [0] * n_slots                       # 1 when the bucket's first value continues the previous one
-    nxt_first: list = [None] * n_slots
-    for hr in range(len(heavy)):
-        base_slot = first_cut[hr] + hr         # slot of the group's local bucket 0
-        m = (first_cut[hr + 1] if hr + 1 < len(heavy) else n_cuts) - first_cut[hr]
-        for b in range(1, m + 1):
-            got = by_slot.get(base_slot + b)
-            if got is None or got["n_at_lower"] < 1:
-                raise RuntimeError("the rows changed while they were ranked; rank a stored table or use materialize")
-        run = 0
-        distinct_run = 0
-        for b in range(m + 1):
-            slot = base_slot + b
-            offset[slot] = run
-            if dense_name:
-                shared[slot] = 1 if b >= 1 and slot - 1 in by_slot and by_slot[slot - 1]["n_at_upper"] > 0 else 0
-                dense_before[slot] = distinct_run
-                if slot in by_slot:
-                    distinct_run += by_slot[slot]["n_distinct"] - shared[slot]
-            if b >= 1:
-                # rows of earlier buckets equal to my lower cut's value: cut values
-                # do not increase, so they sit in the buckets just before mine
-                prev_up = by_slot[slot - 1]["n_at_upper"] if slot - 1 in by_slot else 0
-                same = b >= 2 and same_tuple((cuts[first_cut[hr] + b - 2][1],), (cuts[first_cut[hr] + b - 1][1],))
-                carry[slot] = (carry[slot - 1] if same else 0) + prev_up
-            if b < m:                          # next bucket starts with its lower cut's row
-                nxt_first[slot] = dict(zip(lead_cols, cut_rows[first_cut[hr] + b][3:]))
-            run += by_slot[slot]["cnt"] if slot in by_slot else 0
-
-    def arr(values, dtype) -> Column:
-        return F.expr("array(" + ", ".join(_sql_literal(v, dtype) for v in values or [None]) + ")")
-
-    slot_idx = F.coalesce(F.col("__slot"), F.lit(0)) + 1
-    heavy_col = F.col("__heavy")
-    off_c = F.when(heavy_col, F.element_at(arr(offset, T.LongType()), slot_idx)).otherwise(F.lit(0))
-    carry_c = F.when(heavy_col, F.element_at(arr(carry, T.LongType()), slot_idx)).otherwise(F.lit(0))
-    has_next = F.when(heavy_col, F.element_at(
-        arr([v is not None for v in nxt_first], T.BooleanType()), slot_idx)).otherwise(F.lit(False))
-    next_vals = {c: F.element_at(arr([v[c] if v is not None else None for v in nxt_first],
-                                     df.schema[c].dataType), slot_idx) for c in lead_cols}
-    # lower cut of the row's bucket, when it belongs to the row's group
-    cut_groups = arr([c[0] for c in cuts], df.schema[group].dataType)
-    cut_values = arr([c[1] for c in cuts], df.schema[value].dataType)
-    low = F.greatest(F.least(F.col("__bucket"), F.lit(max(n_cuts, 1))), F.lit(1))
-    has_cv = heavy_col & (F.col("__bucket") >= 1) & F.coalesce(
-        F.element_at(cut_groups, low).eqNullSafe(F.col(group)), F.lit(False))
-    cv = F.element_at(cut_values, low)
-
-    # 4. bucket-local window, then offsets and next rows from the literal slots
-    first_row = F.struct(*[F.col(c).alias(c) for c in lead_cols])
+    keys = [OrderKey(group, descending=True), OrderKey(value, descending=True), OrderKey(tie)]
+    sample, n = sample_and_count(df, keys, fan * per_cut, by=tie, seed=seed)
+    size = max(rows_per_bucket or LEAST_BUCKET, -(-n // (fan * fan)))
+    placed = _placed(df, keys, sample, n, -(-n // size) - 1, fan, per_cut, seed)
+    local = _local_ranks(placed, group, value, tie, lead_cols)
+    offsets = None
+    if n > size:                                     # else there is no cut, and nothing before or behind a bucket
+        local = spool(local, "ranked")
+        offsets = F.broadcast(_offsets(local, group, value, lead_cols))      # two groups a bucket, fan squared buckets: bounded
+    return _with_offsets(local, offsets, df.columns, group, lead_cols, rank_name, next_prefix, dense_name)
+
+
+def _placed(df: DataFrame, keys: list[OrderKey], sample: list[tuple], n: int, n_cuts: int, fan: int, per_cut: int, seed: int) -> DataFrame:
+    """``df`` with ``__bucket`` (increasing along the order of ``keys``) and ``__split``: whether a cut beside the row's bucket
+    lies in the row's group (the first key)."""
+    group = F.col(keys[0].name)
+    order = TupleOrder(df, keys)
+    top = min(n_cuts, fan)
+    cuts = pick_cuts(sample, top)
+    below = (n_cuts - top) // (top + 1)
+    placed = with_position(df, order, cuts, "__range", keep_cuts="__cut", one_expression=True)
+    names, count = [f"__cut{i}" for i in range(len(keys))], F.lit(len(cuts))
+    low, high = _cut_group("__cut0", F.col("__range"), count), _cut_group("__cut0", F.col("__range") + 1, count)
+    bucket = F.col("__range").cast("bigint")
+    if below > 0:
+        target = (top + 1) * below * per_cut
+        sub = spool(_sub_cuts(placed, keys, min(1.0, target / n), per_cut, seed + 1), "cuts")   # about (fan + 1) * below tuples
+        most = sub.agg(F.max("__n")).first()[0] or 0
+        subs, size = [f"__sub{i}" for i in range(len(keys))], F.coalesce("__n", F.lit(0))
+        placed = search(placed.join(F.broadcast(sub), "__range", "left"), order, subs, most, "__place", size=size, one_expression=True)
+        place = F.col("__place")
+        low = F.when(place >= 1, _cut_group("__sub0", place, size)).otherwise(low)
+        high = F.when(place < size, _cut_group("__sub0", place + 1, size)).otherwise(high)
+        bucket, names = bucket * F.lit(MOST_BELOW) + place, [*names, *subs, "__place", "__n"]
+    # A cut outside the list is a null struct: no group, not even the null group.
+    split = (low.isNotNull() & low["g"].eqNullSafe(group)) | (high.isNotNull() & high["g"].eqNullSafe(group))
+    return placed.withColumns({"__bucket": bucket, "__split": split}).drop("__range", *names)
+
+
+def _cut_group(groups: str, place: Column, size: Column) -> Column:
+    """The group of a cut as a struct, null where there is no cut of that number."""
+    known = (place >= 1) & (place <= size)
+    return F.when(known, F.struct(F.try_element_at(F.col(groups), F.greatest(place, F.lit(1))).alias("g")))
+
+
+def _sub_cuts(placed: DataFrame, keys: list[OrderKey], fraction: float, per_cut: int, seed: int) -> DataFrame:
+    """(__range, __n, __sub0, ...): every ``per_cut``-th row of a sample of each range, as arrays by key."""
+    names = [k.name for k in keys]
+    sample = placed.select("__range", *names).sample(withReplacement=False, fraction=fraction, seed=seed)
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*[k.sort_col() for k in keys]))
+    picked = (sample.withColumn("__place", place).filter((F.col("__place") % per_cut == 0) & (F.col("__place") < MOST_BELOW * per_cut))
+              .groupBy("__range").agg(F.sort_array(F.collect_list(F.struct("__place", *names))).alias("__cuts")))
+    return picked.select("__range", F.size("__cuts").alias("__n"), *[F.col("__cuts")[nm].alias(f"__sub{i}") for i, nm in enumerate(names)])
+
+
+def _local_ranks(placed: DataFrame, group: str, value: str, tie: str, lead_cols: list[str]) -> DataFrame:
+    """Inside (group, bucket): row number, start of the value's run, number of runs so far, next row."""
     w = Window.partitionBy(group, "__bucket").orderBy(F.col(value).desc(), F.col(tie).asc())
     w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = (bucketed.drop("__at_upper", "__at_lower")
-             .withColumn("__rn", F.row_number().over(w))
+    local = (placed.withColumn("__rn", F.row_number().over(w).cast("bigint"))
              .withColumn("__prev", F.lag(value).over(w))
-             .withColumn("__lead", F.lead(first_row).over(w)))
-    local = local.withColumn(
-        "__start", F.when((F.col("__rn") == 1) | ~F.col(value).eqNullSafe(F.col("__prev")), F.col("__rn")))
-    local = local.withColumn("__run", F.max("__start").over(w_run))
-    if dense_name:
-        local = local.withColumn("__dense_local", F.count("__start").over(w_run))
-    carry_applies = has_cv & (F.col("__run") == 1) & F.col(value).eqNullSafe(cv)
-    rank = off_c + F.col("__run") - F.when(carry_applies, carry_c).otherwise(F.lit(0))
-    nxt_struct = F.when(has_next, F.struct(*[next_vals[c].alias(c) for c in lead_cols]))
-    nxt = F.coalesce(F.col("__lead"), nxt_struct)
-    out = local.withColumn("__next", nxt)
-    for c in lead_cols:
-        out = out.withColumn(f"{next_prefix}{c}", F.col("__next")[c])
-    out = out.withColumn(rank_name, rank.cast("bigint"))
-    extra = []
-    if dense_name:
-        before = F.when(heavy_col, F.element_at(arr(dense_before, T.LongType()), slot_idx)).otherwise(F.lit(0))
-        cont = F.when(heavy_col, F.element_at(arr(shared, T.LongType()), slot_idx)).otherwise(F.lit(0))
-        out = out.withColumn(dense_name, (before + F.col("__dense_local") - cont).cast("bigint"))
-        extra = [dense_name]
-    return out.select(*df.columns, *[f"{next_prefix}{c}" for c in lead_cols], rank_name, *extra)
+             .withColumn("__next", F.lead(F.struct(*lead_cols)).over(w)))
+    starts = F.when((F.col("__rn") == 1) | ~F.col(value).eqNullSafe(F.col("__prev")), F.col("__rn"))
+    return (local.withColumn("__start", starts).withColumn("__run", F.max("__start").over(w_run))
+            .withColumn("__runs", F.count("__start").over(w_run)).drop("__prev", "__start"))
+
+
+def _offsets(local: DataFrame, group: str, value: str, lead_cols: list[str]) -> DataFrame:
+    """What (group, bucket) rows need from the group's other buckets, for the groups that cuts split.
+
+    (__g, __b, before, runs_before, continued, run_start, first_of_next): rows and runs of earlier buckets, whether the
+    bucket's first run goes on from the bucket before, that run's start in the group, the first row of the next bucket.
+    """
+    ends = local.filter(F.col("__split") & ((F.col("__rn") == 1) | F.col("__next").isNull())).repartition(group)
+    first, last = F.col("__rn") == 1, F.col("__next").isNull()
+    stats = ends.groupBy(F.col(group).alias("__g"), F.col("__bucket").alias("__b")).agg(
+        F.first(F.when(first, F.struct(*lead_cols)), ignorenulls=True).alias("first"),
+        F.first(F.when(last, F.struct(F.col("__rn").alias("rows"), F.col("__run").alias("run"), F.col("__runs").alias("runs"),
+                                      F.col(value).alias("value"))), ignorenulls=True).alias("last"))
+    w = Window.partitionBy("__g").orderBy("__b")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("previous", F.lag(F.struct(F.col("last.value").alias("value"))).over(w))
+    stats = stats.withColumn("continued", F.coalesce(
+        F.col("previous").isNotNull() & F.col("previous.value").eqNullSafe(F.col(f"first.{value}")), F.lit(False)))
+    stats = stats.withColumn("before", F.coalesce(F.sum("last.rows").over(earlier), F.lit(0).cast("bigint")))
+    stats = stats.withColumn("runs_before", F.coalesce(
+        F.sum(F.col("last.runs") - F.col("continued").cast("bigint")).over(earlier), F.lit(0).cast("bigint")))
+    # A bucket of one run that goes on has no start of its own.
+    own = F.when(~(F.col("continued") & (F.col("last.run") == 1)), F.col("before") + F.col("last.run"))
+    stats = stats.withColumn("started", F.last(own, ignorenulls=True).over(so_far))
+    return stats.select("__g", "__b", "before", "runs_before", "continued", F.lag("started").over(w).alias("run_start"),
+                        F.lead("first").over(w).alias("first_of_next"))
+
+
+def _with_offsets(local: DataFrame, offsets: DataFrame | None, columns: list[str], group: str, lead_cols: list[str], rank_name: str,
+                  next_prefix: str, dense_name: str | None) -> DataFrame:
+    rows, rank, dense, following = local, F.col("__run"), F.col("__runs"), F.col("__next")
+    if offsets is not None:
+        rows = local.join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__bucket") == F.col("__b")), "left")
+        goes_on = F.coalesce(F.col("continued"), F.lit(False))
+        rank = F.when(goes_on & (rank == 1), F.col("run_start")).otherwise(F.coalesce("before", F.lit(0)) + rank)
+        dense = F.coalesce("runs_before", F.lit(0)) + dense - goes_on.cast("bigint")
+        following = F.coalesce(following, "first_of_next")
+    extra = [dense.cast("bigint").alias(dense_name)] if dense_name else []
+    return rows.select(*columns, *[following[c].alias(f"{next_prefix}{c}") for c in lead_cols], rank.cast("bigint").alias(rank_name), *extra)

@@ -143,7 +143,7 @@ def test_trend_and_concentration_sf001(books):
 @pytest.mark.parametrize("builtin", [True, False])
 def test_watchlist_per_band(books, sf, builtin):
     _, clean = books[sf]
-    w = P.watchlist(clean, builtin=builtin, ordered=False, rows_per_bucket=25, max_cuts=64, per_cut=8)
+    w = P.watchlist(clean, builtin=builtin, ordered=False, rows_per_bucket=25, fan=12, per_cut=8)
     agg = (w.groupBy("age_band")
            .agg(F.count(F.lit(1)), F.sum("debt_rank"), F.sum("next_loan_id"),
                 F.count(F.when(F.col("next_loan_id").isNull(), 1)), F.countDistinct("debt_rank"),

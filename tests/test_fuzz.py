@@ -47,5 +47,5 @@ def test_fuzz_top_k_and_peers(spark, seed):
                              strategy="builtin").select(*cols)
     b = ranking.ranked_peers(df, "grp", "v", "id", ("flag",), rank_name="rk", dense_name="drk",
                              strategy="buckets", rows_per_bucket=rnd.randint(3, 60),
-                             max_cuts=rnd.randint(2, 128), per_cut=rnd.randint(1, 8)).select(*cols)
+                             fan=rnd.randint(2, 40), per_cut=rnd.randint(1, 8)).select(*cols)
     assert a.count() == b.count() and a.exceptAll(b).count() == 0

@@ -38,7 +38,7 @@ def test_every_report_has_an_oracle():
 
 
 @pytest.mark.skipif(not have(SF), reason="no sf0.001")
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, sf_dir(SF))
     srows = [tuple(r) for r in df.collect()]
@@ -68,10 +68,11 @@ def test_builtin_forms_match_too(spark, con):
 
 @pytest.mark.skipif(not have("0.01"), reason="no sf0.01")
 def test_registered_reports_run_the_scale_plan(spark):
-    plans = {n: catalog.queries()[n](spark, sf_dir("0.01"))._jdf.queryExecution().optimizedPlan().toString()
+    # analysed, not optimised: where a table is one bucket, the bucket's number is a constant that folds away
+    plans = {n: catalog.queries()[n](spark, sf_dir("0.01"))._jdf.queryExecution().analyzed().toString()
              for n in ("watchlist", "mart_borrower", "ranked_peers", "tier_summary", "tier_top", "mart_risk")}
     for name in ("watchlist", "mart_borrower", "ranked_peers"):
-        assert "__bucket" in plans[name] and "__slot" in plans[name], name
+        assert "__bucket" in plans[name] and "__run" in plans[name], name
     for name in ("tier_summary", "tier_top", "mart_risk", "mart_borrower"):
         assert "ntile" not in plans[name].lower() and "CASE WHEN" in plans[name], name
     assert "__cut" in plans["tier_top"]

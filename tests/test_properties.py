@@ -65,7 +65,7 @@ def test_report_properties(spark, rows):
         assert abs(sum(x.gap_points for x in gaps)) <= 0.01 * len(gaps) + 1e-9
     # watch list: both paths agree
     w1 = P.watchlist(clean, builtin=True, ordered=False)
-    w2 = P.watchlist(clean, ordered=False, rows_per_bucket=2, max_cuts=16, per_cut=4)
+    w2 = P.watchlist(clean, ordered=False, rows_per_bucket=2, fan=16, per_cut=4)
     assert w1.exceptAll(w2).count() == 0 and w2.exceptAll(w1).count() == 0
 
 
@@ -82,7 +82,7 @@ def test_plans_of_reports(spark):
     summary = P.tier_summary(clean)
     plan = summary._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
-    watch = P.watchlist(clean, ordered=False, rows_per_bucket=5, max_cuts=16)
+    watch = P.watchlist(clean, ordered=False, rows_per_bucket=5, fan=16)
     plan = watch._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "Join" not in plan
     clean_fresh = P.clean_table(read_loan_book(spark, sf_dir("0.001")))
