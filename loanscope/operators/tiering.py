@@ -42,10 +42,8 @@ def ntile_starts(n: int, k: int) -> list[int]:
 
 def boundaries(df: DataFrame, keys: list[OrderKey], k: int, **select_kw) -> list[tuple]:
     """Key tuples of the first rows of tiers 2..k (fewer if there are fewer rows than tiers)."""
-    n = df.count()
-    starts = ntile_starts(n, k)
-    found = select_positions(df, keys, starts, n=n, **select_kw)
-    return [found[s] for s in starts]
+    found = select_positions(df, keys, lambda n: ntile_starts(n, k), **select_kw)
+    return [found[position] for position in sorted(found)]
 
 
 def assign_tiers(df: DataFrame, keys: list[OrderKey], k: int, *, out: str = "tier", strategy: str = "select",

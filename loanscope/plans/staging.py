@@ -6,8 +6,9 @@ that table.  ``stage_clean`` writes it to a path the caller names.
 folder, under a name made of the source's file list (paths, sizes, modification
 times, read through Spark, so any store it can read will do) and a digest of
 the modules that define the table: a changed, added or replaced source file is
-staged afresh, within one application too.  A staged folder counts only once
-its ``_SUCCESS`` marker is there; a write that was cut off is written again.
+staged afresh, within one application too.  The table is published in one step
+(``sinks.publish``): a write that was cut off does not count, and applications
+that stage one source at the same time do not disturb each other.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from loanscope.operators.tiering import tier_cuts
 from loanscope.plans import portfolio as P
 from loanscope.session import shared_folder
 from loanscope.sources.fixture import read_loan_book
-from loanscope.sources.sinks import write_table
+from loanscope.sources.sinks import publish, published, write_table
 
 _LOCK = threading.Lock()
 _CUTS: dict[str, list[tuple]] = {}
@@ -52,12 +53,6 @@ def source_key(spark: SparkSession, source: str) -> str:
     return hashlib.sha1(f"{source}|{count}|{total}|{_CODE}".encode()).hexdigest()[:20]
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether a write to ``path`` has been committed."""
-    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
-
-
 def stage_clean(spark: SparkSession, raw: DataFrame, path: str, *, mode: str = "overwrite") -> DataFrame:
     """Write the clean table of ``raw`` to ``path`` (a folder or catalog table) and read it back."""
     write_table(P.clean_table(raw), path, mode=mode)
@@ -65,13 +60,11 @@ def stage_clean(spark: SparkSession, raw: DataFrame, path: str, *, mode: str = "
 
 
 def staged_path(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of the complete staged clean table of a driver folder, written if it is not there."""
+    """Folder of the published clean table of a driver folder, written if there is none."""
     key = source_key(spark, f"{sf_dir}/orders.parquet")
-    path = f"{shared_folder(spark)}/loanscope-staging/clean-{key}"
+    table = f"{shared_folder(spark)}/loanscope-staging/clean-{key}"
     with _LOCK:
-        if not is_complete(spark, path):
-            stage_clean(spark, read_loan_book(spark, sf_dir), path)
-    return path
+        return published(spark, table) or publish(P.clean_table(read_loan_book(spark, sf_dir)), table)
 
 
 def staged_clean(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,17 +4,23 @@ and the derived loan-book fixture used by the tests, bench and oracles."""
 from loanscope.sources.loanbook import (
     CLEAN_COLUMNS,
     RAW_SCHEMA,
+    header_census,
     read_loan_csv,
     read_table,
 )
 from loanscope.sources.fixture import loan_book_from_orders, loan_book_sql
-from loanscope.sources.sinks import write_table
+from loanscope.sources.sinks import publish, published, published_versions, remove_old_versions, write_table
 
 __all__ = [
     "CLEAN_COLUMNS",
     "RAW_SCHEMA",
+    "header_census",
+    "publish",
+    "published",
+    "published_versions",
     "read_loan_csv",
     "read_table",
+    "remove_old_versions",
     "loan_book_from_orders",
     "loan_book_sql",
     "write_table",

@@ -74,16 +74,23 @@ def _norm(name: str) -> str:
 _BY_NORM = {_norm(k): v for k, v in CSV_HEADER_NAMES.items()}
 
 
-def _csv_files(spark: SparkSession, paths: list[str]) -> list[str]:
-    """Files that the paths (files, folders, patterns) stand for, listed through Spark."""
-    listed = spark.read.format("binaryFile").load(paths).select("path").distinct()
-    return sorted(r["path"] for r in listed.collect())
+def header_census(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header, from one job whatever the number of files; files without a line are left out.
 
-
-def _header(spark: SparkSession, file: str) -> tuple[str, ...] | None:
-    """Column names in a file's first line, quoted or not; None for an empty file."""
-    first = spark.read.text(file).first()
-    return None if first is None else tuple(h.strip() for h in next(csv.reader([first[0]]), []))
+    Every file's first line is the first row of its first block: a partial minimum by file, so tasks hand on one line
+    a file.  Paths may be files, folders or patterns; Spark lists and reads them.
+    """
+    lines = spark.read.text(paths).filter("_metadata.file_block_start = 0")
+    # Rows of a block are read in order by one task, so the number rises along the file.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))      # as a URI; a plus is a plus
+    numbered = lines.select(path.alias("file"), "value", F.monotonically_increasing_id().alias("row"))
+    first = numbered.groupBy("file").agg(F.min_by("value", "row").alias("line"))
+    by_line = first.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in sorted(by_line.collect(), key=lambda r: r["files"][0]):
+        header = tuple(name.strip() for name in next(csv.reader([row["line"]]), []))
+        found.setdefault(header, []).extend(row["files"])
+    return found
 
 
 def _read_with_header(spark: SparkSession, files: list[str], header: tuple[str, ...], null_value: str) -> DataFrame:
@@ -112,20 +119,15 @@ def read_loan_csv(spark: SparkSession, path: str | list[str], *,
                   null_value: str = "NA") -> DataFrame:
     """Read raw loan-book CSV files into ``RAW_SCHEMA``.
 
-    Columns are matched by header name, not position, for every file: each
-    file's header line is read (one line, one tiny job), files with the same
+    Columns are matched by header name, not position, for every file: one job
+    finds the header lines of all files (``header_census``), files with the same
     header are read together by a typed schema laid out in their column order,
     and the parts are put together by name - no inference pass and no string
     columns to cast afterwards.  Malformed values fail the job (FAILFAST)
     instead of turning silently into NULL; empty files are skipped.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for file in _csv_files(spark, paths):
-        header = _header(spark, file)
-        if header is not None:
-            by_header.setdefault(header, []).append(file)
-    parts = [_read_with_header(spark, files, header, null_value) for header, files in by_header.items()]
+    parts = [_read_with_header(spark, files, header, null_value) for header, files in header_census(spark, paths).items()]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], RAW_SCHEMA)
 
 

@@ -1,8 +1,23 @@
-"""Sinks: create-table-as / overwrite of a result frame."""
+"""Sinks: create-table-as / overwrite of a result frame, and tables that are replaced in one step.
+
+``publish`` writes each version of a table to a folder of its own and, once the
+write is committed, makes it the current one by creating an empty marker file,
+which a file system does in one step.  Readers take the version that the highest
+marker names and go on reading it while a new one is written or published; a
+write that is cut off has no marker and is never seen.  Markers are named by a
+number one above the highest there is and by the version, so two writers that
+publish at once both succeed and all readers agree on which of them came last.
+``remove_old_versions`` deletes what was replaced, when nobody reads it any more.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_VERSIONS, _MARKERS = "_versions", "_published"
 
 
 def write_table(df: DataFrame, target: str, *, mode: str = "overwrite",
@@ -21,3 +36,57 @@ def write_table(df: DataFrame, target: str, *, mode: str = "overwrite",
     else:
         writer.saveAsTable(target)
     return target
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """(name, modification time in seconds) of what is in a folder; nothing if there is none."""
+    files, folder = _file_system(spark, path)
+    if not files.exists(folder):
+        return []
+    return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in files.listStatus(folder)]
+
+
+def published_versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the published versions of a table, oldest first."""
+    return [name.split(".", 1)[1] for name in sorted(n for n, _ in _listed(spark, f"{path}/{_MARKERS}") if not n.startswith("."))]
+
+
+def publish(df: DataFrame, path: str, *, partition_by: list[str] | None = None) -> str:
+    """Write ``df`` as the new version of the table at ``path``; the folder of that version."""
+    spark = df.sparkSession
+    version = uuid.uuid4().hex
+    folder = write_table(df, f"{path}/{_VERSIONS}/{version}", mode="errorifexists", partition_by=partition_by)
+    markers = sorted(n for n, _ in _listed(spark, f"{path}/{_MARKERS}") if not n.startswith("."))
+    number = int(markers[-1].split(".", 1)[0]) + 1 if markers else 1
+    files, marker = _file_system(spark, f"{path}/{_MARKERS}/{number:012d}.{version}")
+    files.mkdirs(marker.getParent())
+    if not files.createNewFile(marker):
+        raise FileExistsError(f"{marker} is there already")
+    return folder
+
+
+def published(spark: SparkSession, path: str) -> str | None:
+    """Folder of the current version of a table; None if none was published."""
+    versions = published_versions(spark, path)
+    return f"{path}/{_VERSIONS}/{versions[-1]}" if versions else None
+
+
+def remove_old_versions(spark: SparkSession, path: str, *, keep: int = 1, unfinished_after: float = 86_400.0) -> list[str]:
+    """Delete all but the last ``keep`` published versions, and unpublished ones not touched for so many seconds."""
+    versions = published_versions(spark, path)
+    old = set(versions[:-keep] if keep else versions)
+    now = time.time()
+    left = {name for name, changed in _listed(spark, f"{path}/{_VERSIONS}") if name not in versions and now - changed > unfinished_after}
+    for name, _ in _listed(spark, f"{path}/{_MARKERS}"):
+        if "." in name and name.split(".", 1)[1] in old:
+            files, marker = _file_system(spark, f"{path}/{_MARKERS}/{name}")
+            files.delete(marker, False)
+    for version in old | left:
+        files, folder = _file_system(spark, f"{path}/{_VERSIONS}/{version}")
+        files.delete(folder, True)
+    return sorted(old | left)

@@ -172,3 +172,44 @@ def test_custom_segmentation_through_generic_reports(spark):
     conc = reports.concentration(clean, income).collect()
     assert [r.income_band for r in conc] == ["Low", "Middle", "High", "Total"]
     assert conc[-1].borrowers == 40 and conc[-1].defaults == 10
+
+
+@pytest.mark.parametrize("kind,values", [
+    ("long", [7] * 400 + list(range(1000, 1600)) + [None] * 50),
+    ("long", [7] * 300 + [3] * 300 + [9] * 299),                                   # a tie: the lowest
+    ("string", ["b"] * 200 + ["a"] * 200 + [f"x{i}" for i in range(500)]),
+    ("double", [0.0] * 150 + [-0.0] * 150 + [float("nan")] * 250 + [1.5] * 200),     # zeros are one value
+    ("double", [float("nan")] * 40 + [2.0] * 10),
+    ("long", list(range(500))),                                                     # no frequent value: all are counted
+    ("date", None), ("boolean", [True, False, False, None]), ("long", [None, None]), ("long", []),
+    ("array<long>", [[1], [1], [2]]),                                               # no summary of this type
+])
+def test_mode_value_equals_counting_all(spark, kind, values):
+    import datetime
+
+    if values is None:
+        values = [datetime.date(2020, 1, 1 + i % 9 % 5) for i in range(90)]
+    df = spark.createDataFrame([(v,) for v in values], f"x {kind}").repartition(5)
+    want = impute.mode_frame(df, "x", "m").first().m
+    for counters in (10_000, 8):
+        got = impute.mode_value(df, "x", counters=counters)
+        assert got == want or (got != got and want != want)
+
+
+def test_frequent_values_are_proven_or_counted(spark):
+    # 100 values of one frequency fill the list of candidates: the bound then is theirs, and nothing is proven
+    df = spark.range(10_000).selectExpr("id % 100 as x")
+    values, bound = impute.frequent_values(df, "x")
+    assert len(values) == impute.CANDIDATES and bound >= 100 and impute.mode_value(df, "x") == 0
+    hot = spark.range(10_000).selectExpr("case when id % 4 = 0 then 5 else id end as x")
+    values, bound = impute.frequent_values(hot, "x")
+    assert 5 in values and bound < 2500 and impute.mode_value(hot, "x") == 5
+
+
+def test_joined_statistics_are_selected(spark):
+    df = spark.range(2000).selectExpr("id", "case when id % 9 = 0 then null else id * 37 % 1009 end as inc", "id % 3 as dep", "30 as age")
+    joined = impute.impute(df, ["inc"], ["dep"], attach="join", max_candidates=50)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" in plan and "median" not in plan.lower() and "percentile" not in plan.lower()
+    plain = impute.impute(df, ["inc"], ["dep"], strategy="builtin")
+    assert joined.exceptAll(plain).count() == 0 and joined.count() == 2000

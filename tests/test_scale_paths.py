@@ -300,3 +300,27 @@ def test_cutoffs_bound_the_top_values(spark, n):
     assert all(n <= r.d <= 2 * n + 20 for r in distinct)
     top = df.withColumn("r", F.dense_rank().over(Window.partitionBy("grp").orderBy(F.col("v").desc()))).filter(F.col("r") <= n)
     assert top.drop("r").exceptAll(rows).count() == 0
+
+
+@pytest.mark.parametrize("expression", ["id * 7919 % 100003", "double(id * 7919 % 100003) / 7", "if(id % 3 = 0, 5, id)", "if(id % 5 = 0, null, id % 11)",
+                                         "if(id % 50 = 0, double('NaN'), -double(id))", "cast(id % 30000 as int)"])
+def test_selection_by_a_rank_sketch(spark, expression):
+    df = spark.range(30_000).selectExpr("id", f"{expression} as v").repartition(6)
+    keys, wanted = [OrderKey("v"), OrderKey("id")], [0, 1, 7499, 15_000, 22_222, 29_999]
+    got = select_positions(df, keys, wanted, max_candidates=1500)
+    rows = df.orderBy(F.col("v").asc_nulls_first(), "id").collect()
+    assert [got[p][1] for p in wanted] == [rows[p].id for p in wanted]
+
+
+def test_sketch_leaves_few_rows_around_a_position(spark):
+    from loanscope.functions.expressions import OrderKey as Key
+    from loanscope.operators import selection
+    from loanscope.operators.positional import TupleOrder
+
+    df = spark.range(200_000).selectExpr("double(id * 7919 % 200003) as v", "id")
+    order = TupleOrder(df, [Key("v"), Key("id")])
+    state = selection.count_and_sketch(df, "v")
+    assert state["n"] == 200_000 and state["nulls"] == 0
+    cuts = selection._sketch_cuts(df, order, state, [100_000])
+    parts = selection._between(df.withColumn("__rid", F.lit(0)), order, [selection._Range(None, True, None, 0, 200_000, [100_000])], {0: cuts})
+    assert len(parts) == 1 and parts[0].count < 0.02 * 200_000

@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from loanscope.plans import marts as M
 from loanscope.plans import portfolio as P
-from loanscope.sources import read_loan_csv, read_table, write_table
+from loanscope.sources import (
+    header_census,
+    publish,
+    published,
+    published_versions,
+    read_loan_csv,
+    read_table,
+    remove_old_versions,
+    write_table,
+)
 from loanscope.sources.fixture import read_loan_book
 
 HEADER = (",SeriousDlqin2yrs,RevolvingUtilizationOfUnsecuredLines,age,NumberOfTime30-59DaysPastDueNotWorse,"
@@ -122,3 +131,85 @@ def test_read_loan_csv_maps_each_file_by_its_own_header(spark):
         fh.write("id,age\n1,2\n")
     with pytest.raises(ValueError):
         read_loan_csv(spark, d)
+
+
+def _jobs(spark, group, work):
+    """Number of Spark jobs that ``work`` starts."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group)
+    try:
+        result = work()
+        return result, len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_header_census_takes_as_many_jobs_for_many_files(spark):
+    names = HEADER.split(",")
+    values = dict(zip(names, ["1", "1", "0.7", "40", "2", "0.8", "9120", "13", "0", "6", "0", "2"]))
+
+    def folder(n):
+        d = _scratch()
+        for i in range(n):
+            order = names if i % 3 else names[::-1]
+            with open(f"{d}/part {i}+%.csv", "w") as fh:
+                fh.write(",".join(order) + "\n" + (",".join(values[x] for x in order) + "\n") * (i + 1))
+        open(f"{d}/empty.csv", "w").close()
+        return d
+
+    counted = {}
+    for n in (3, 40):
+        d = folder(n)
+        found, counted[n] = _jobs(spark, f"census-{n}", lambda: header_census(spark, [d]))
+        assert {h: len(files) for h, files in found.items()} == {tuple(names): n - (n + 2) // 3, tuple(names[::-1]): (n + 2) // 3}
+        rows = read_loan_csv(spark, d).collect()
+        assert len(rows) == n * (n + 1) // 2 and all((r.age, r.dependents) == (40, 2) for r in rows)
+    assert counted[3] == counted[40]
+
+
+def test_header_census_of_a_file_in_many_blocks(spark):
+    d = _scratch()
+    with open(f"{d}/long.csv", "w") as fh:
+        fh.write("id,age\n" + "".join(f"{i},{i % 90}\n" for i in range(50_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        (header, files), = header_census(spark, [d]).items()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert header == ("id", "age") and len(files) == 1
+
+
+def test_published_versions_are_switched_in_one_step(spark):
+    path = f"{_scratch()}/table"
+    assert published(spark, path) is None and published_versions(spark, path) == []
+    first = publish(spark.range(5).toDF("x"), path)
+    reader = spark.read.parquet(published(spark, path))
+    second = publish(spark.range(9).toDF("x"), path, partition_by=None)
+    assert published(spark, path) == second != first
+    assert reader.count() == 5 and spark.read.parquet(published(spark, path)).count() == 9     # the reader keeps its version
+    write_table(spark.range(3).toDF("x"), f"{path}/_versions/cut-off")                            # written, never published
+    assert published(spark, path) == second
+    assert remove_old_versions(spark, path) == [first.rsplit("/", 1)[1]]
+    assert remove_old_versions(spark, path, unfinished_after=-1.0) == ["cut-off"]
+    assert spark.read.parquet(published(spark, path)).count() == 9 and len(published_versions(spark, path)) == 1
+
+
+def test_a_write_that_fails_leaves_the_old_version(spark):
+    path = f"{_scratch()}/table"
+    publish(spark.range(5).toDF("x"), path)
+    broken = spark.range(1000).select(F.raise_error(F.lit("lost")).cast("bigint").alias("x"))
+    with pytest.raises(Exception):
+        publish(broken, path)
+    assert spark.read.parquet(published(spark, path)).count() == 5 and len(published_versions(spark, path)) == 1
+
+
+def test_writers_at_the_same_time_do_not_clash(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"{_scratch()}/table"
+    sizes = [3, 5, 7, 11]
+    with ThreadPoolExecutor(4) as pool:
+        folders = list(pool.map(lambda n: publish(spark.range(n).toDF("x"), path), sizes))
+    assert len(set(folders)) == 4 and set(published_versions(spark, path)) == {f.rsplit("/", 1)[1] for f in folders}
+    current = published(spark, path)
+    assert current in folders and spark.read.parquet(current).count() == sizes[folders.index(current)]
