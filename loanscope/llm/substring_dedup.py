@@ -120,7 +120,7 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
                                       ["id", "version", "start", "anchor", "segment", "own", "offset"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, version int, start long, anchor long, segment long, own int, offset int")
+    return docs.mapInArrow(run, f"id {kind}, version long, start long, anchor long, segment long, own int, offset int")
 
 
 def repeated_starts(pieces: list[bytes], own: np.ndarray, length: int) -> np.ndarray:
@@ -198,7 +198,7 @@ def _crowded(parts: DataFrame, length: int) -> DataFrame:
                                   ["id", "version", "anchor", "n", "place", "h1", "h2", "start"])
 
     strings = parts.select("id", "version", "anchor", "n", "own", "offset", "start", "bytes").mapInArrow(
-        run, f"id {kind}, version int, anchor long, n long, place long, h1 long, h2 long, start long")
+        run, f"id {kind}, version long, anchor long, n long, place long, h1 long, h2 long, start long")
     key = ["anchor", "place", "h1", "h2"]
     # A table of its own, so that the join's sides are plain exchanges and a string that very many rows hold can be split.
     again = stored(strings.groupBy(*key).agg(F.count("*").alias("times")).filter("times > 1").select(*key), "repeated-strings")
@@ -215,7 +215,9 @@ def repeated_ranges(docs: DataFrame, *, length: int, gram: int = GRAM, most: int
     found = stored(occurrences(docs, length, gram), "segments")
     distinct = found.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min(F.struct("id", "version", "start")).alias("one"))
     anchors = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    whole = (found.join(distinct.filter("n > 1").select(*_KEY), _KEY, "left_semi")
+    # A table of its own, so that the join's sides are plain exchanges and a segment that very many rows hold can be split.
+    copied = stored(distinct.filter("n > 1").select(*_KEY), "repeated-segments")
+    whole = (found.join(copied, _KEY, "left_semi")
              .select("id", "version", F.col("start").alias("low"), (F.col("start") + F.col("own")).alias("high")))
     wanted = (distinct.join(anchors, "anchor").withColumn("crowded", F.col("kinds") > most)
               .select("one.*", *_KEY, "n", "crowded"))
@@ -225,7 +227,7 @@ def repeated_ranges(docs: DataFrame, *, length: int, gram: int = GRAM, most: int
     kind = docs.schema["id"].dataType.simpleString()
     sorted_ = (parts.filter(~F.col("crowded")).withColumn("shard", F.pmod("anchor", F.lit(shards)))
                .select("shard", "id", "version", "start", "own", "n", "bytes").groupBy("shard")
-               .applyInArrow(_sort_shard(length), f"id {kind}, version int, low long, high long"))
+               .applyInArrow(_sort_shard(length), f"id {kind}, version long, low long, high long"))
     return whole.unionByName(sorted_).unionByName(_crowded(parts.filter("crowded"), length))
 
 
@@ -249,9 +251,9 @@ def _cut(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame:
 
 
 def versioned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, version, text): the text's hash tells rows with equal ids apart."""
+    """(id, version, text): a 64-bit hash of the text and its length tells rows with equal ids apart."""
     text: Column = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.hash(text).alias("version"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.octet_length(text), text).alias("version"), text.alias("text"))
 
 
 def remove_repeats(docs: DataFrame, *, length: int, gram: int = GRAM, most: int = MOST, id_col: str = "doc_id",

@@ -89,3 +89,25 @@ def test_sliding_argmin():
     key = np.random.default_rng(1).integers(0, 50, 100).astype(np.uint64)
     for width in (1, 2, 7, 100):
         assert S.sliding_argmin(key, width).tolist() == [key[i:i + width].min() for i in range(101 - width)]
+
+
+def test_one_id_of_very_many_rows_keeps_texts_apart(spark):
+    """Rows without an id are told apart by 64 bits: 32 bits collide among 300,000 texts."""
+    from pyspark.sql import functions as F
+
+    shared = "".join(random.Random(4).choices("abcdefgh", k=40))
+    rows = spark.range(300_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(
+        F.when(F.col("id") % 2 == 0, F.lit(shared)).otherwise(F.lit("")), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+    versions = S.versioned(rows, "doc_id", "text")
+    assert versions.select("version").distinct().count() == 300_000
+    assert rows.select(F.hash("text").alias("h")).distinct().count() < 300_000
+    texts = [r.text for r in rows.limit(3000).collect()]
+    got = run(spark, [(None, t) for t in texts], length=30, gram=8)
+    assert got == brute([(None, t) for t in texts], 30)
+
+
+def test_a_segment_of_most_rows(spark):
+    """One passage that stands alone in very many documents: its segment is whole and repeated."""
+    passage = "".join(random.Random(6).choices("abcdefgh ", k=60))
+    texts = [(i, passage) for i in range(700)] + [(1000 + i, f"{i:04d}" * 4 + passage + f"{i:05d}" * 3) for i in range(200)]
+    assert run(spark, texts, length=30, gram=8) == brute(texts, 30)
