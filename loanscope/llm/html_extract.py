@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 
 from loanscope.llm import tree_model
 from loanscope.llm.html_tree import Node, parse
-from loanscope.llm.labelled_pages import MARK, Pages
+from loanscope.llm.labelled_pages import APART, MARK, Pages
 from loanscope.llm.shared import chunks
 
 # Pages of the table used for training at most, and composed layouts.
 SAMPLE = 200
-LAYOUTS = 600
+LAYOUTS = 1000
 SEED = 7
+# Levels above its block whose names a leaf sees.
+ABOVE = 3
 _NEVER_CONTENT = {"nav", "footer", "aside", "form"}
 
 
@@ -55,6 +57,12 @@ def node_features(nodes: list[Node]) -> list[list[str]]:
             end = "stop" if node.text[-1] in ".!?…" else "open"
             found = ["leaf", f"size={size}", f"link={link}", f"end={end}", f"in={up.tag}", f"size={size},in={up.tag}",
                      f"link={link},in={up.tag}", f"at={where}"] + [f"under={h}" for h in up.hints]
+            far = up
+            for _ in range(ABOVE):
+                if far.parent < 0:
+                    break
+                far = nodes[far.parent]
+                found += [f"above={h}" for h in far.hints]
             if "©" in node.text:
                 found.append("copyright")
         else:
@@ -99,12 +107,15 @@ def _leaves(nodes: list[Node]) -> list[Node]:
     return [n for n in nodes if n.tag == "#text"]
 
 
-def _ancestors(nodes: list[Node], node: Node) -> list[str]:
-    tags = []
+def _in_article(nodes: list[Node], node: Node) -> bool:
+    """Whether a leaf stands in an article, and in no part of it that is apart: comments, adverts, forms, share buttons."""
+    found = False
     while node.parent >= 0:
         node = nodes[node.parent]
-        tags.append(node.tag)
-    return tags
+        if node.tag in _NEVER_CONTENT or (node.tag != "article" and APART & set(node.hints)):
+            return False
+        found = found or node.tag == "article"
+    return found
 
 
 def labelled(pages: list[str], layouts: int, seed: int) -> list[tuple[list[Node], list[int]]]:
@@ -120,8 +131,7 @@ def labelled(pages: list[str], layouts: int, seed: int) -> list[tuple[list[Node]
         out.append((nodes, states(nodes, content)))
     for nodes in trees:
         if sum(n.tag == "article" for n in nodes) == 1:
-            up = [_ancestors(nodes, leaf) for leaf in _leaves(nodes)]
-            out.append((nodes, states(nodes, ["article" in u and not _NEVER_CONTENT & set(u) for u in up])))
+            out.append((nodes, states(nodes, [_in_article(nodes, leaf) for leaf in _leaves(nodes)])))
     return out
 
 

@@ -22,8 +22,11 @@ ADVERT = "ad ads advert advertisement sponsor sponsored promo promotion banner-a
 FORM = "form newsletter subscribe login search search-form signup contact-form register".split()
 COMMENT = "comments comment-list comment discussion replies responses reader-comments disqus respond comment-body user-comments reply".split()
 SHARE = "share social sharing social-share follow byline-tools tools print meta-links buttons".split()
-CONTENT = "content article post entry story post-content article-body entry-content main-content text body-text story-body article-content post-body".split()
+CONTENT = "content main article post entry story post-content article-body entry-content main-content text body-text story-body article-content post-body".split()
 WRAP = "wrapper container page site layout row inner outer wrap grid column col main-wrapper app root box".split()
+# Words in the names of parts that are no content wherever they stand, inside an article too.
+APART = set("""comment comments reply replies responses discussion disqus respond ad ads advert advertisement sponsor sponsored promo promotion
+adsense share social sharing newsletter subscribe signup login sidebar widget related recommended cookie consent gdpr popup modal""".split())
 INSIDE = "section lead intro body quote caption figure summary highlight first last".split()
 
 
@@ -97,7 +100,7 @@ class Pages:
         r, parts = self.random, []
         heading = f"<h1>{self.phrase(2, 12, True)}</h1>"
         parts.append(r.choice([heading, heading, "", f"<header>{heading}</header>", f"<h2>{self.phrase(2, 10, True)}</h2>"]))
-        for _ in range(r.choice([1, 1, 2, 3, 5, 8])):
+        for _ in range(r.choice([1, 1, 1, 2, 2, 3, 5, 8])):
             p = f"<p>{self.sentences(True)}" + r.choice(["</p>", "</p>", "</p>", ""])
             parts.append(r.choice([p, p, p, p, p, f"<p>{self.phrase(1, 4, True)}</p>", f"<h2>{self.phrase(1, 8, True)}</h2>" + p,
                                    f"<blockquote><p>{self.sentences(True)}</p></blockquote>",
@@ -108,8 +111,8 @@ class Pages:
                                    f"<pre>{self.phrase(3, 30, True)}</pre>", f"<div>{self.sentences(True)}</div>"]))
             if r.random() < 0.06:
                 parts.append(self.boilerplate(r.choice(["advert", "share", "side", "form", "notice"])))
-        if r.random() < 0.12:
-            parts.append(self.boilerplate(r.choice(["comment", "share"])))
+        if r.random() < 0.3:
+            parts.append(self.boilerplate(r.choice(["comment", "comment", "share", "advert", "side"])))
         inner = "".join(parts)
         kind = r.random()
         if kind < 0.55:
@@ -123,7 +126,8 @@ class Pages:
     def page(self) -> str:
         r = self.random
         before = [k for k in ("header", "menu", "notice", "advert", "side", "form") if r.random() < (0.55 if k in ("header", "menu") else 0.3)]
-        after = [k for k in ("comment", "side", "form", "advert", "notice", "share", "footer") if r.random() < (0.75 if k == "footer" else 0.3)]
+        after = [k for k in ("comment", "side", "form", "advert", "notice", "share", "footer")
+                 if r.random() < (0.75 if k == "footer" else 0.5 if k == "comment" else 0.3)]
         r.shuffle(before)
         body = "".join(map(self.boilerplate, before)) + self.content() + "".join(map(self.boilerplate, after))
         for _ in range(r.choice([0, 0, 1, 2])):
