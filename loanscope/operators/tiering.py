@@ -71,6 +71,25 @@ def tier_cuts(df: DataFrame, column: str = "utilization", k: int = 5, *, cap_at:
     return boundaries(_capped(df.select(column, tie), column, cap_at, "__capped"), keys, k, **select_kw)
 
 
+def uncapped_cuts(df: DataFrame, cuts: list[tuple], column: str = "utilization", k: int = 5, *, cap_at: float,
+                  tie: str = "loan_id", **select_kw) -> list[tuple]:
+    """Boundary rows of the tiers by the raw value, from those by the capped value.
+
+    A cap moves no row past another below it: a boundary below the cap is the same row in both orders, and only the
+    positions of the others are looked for, among the rows at or above the cap.
+    """
+    below = [c for c in cuts if c[0] is None or c[0] < cap_at]
+    if len(below) == len(cuts):
+        return list(cuts)
+    # NaN sorts above every number and is capped like one.
+    high = df.select(F.col(column).alias("__capped"), tie).filter(F.col(column) >= cap_at)
+    counted = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(column) >= cap_at).alias("high")).first()
+    starts = ntile_starts(counted["n"], k)[len(below):]
+    first = counted["n"] - counted["high"]
+    found = select_positions(high, [OrderKey("__capped"), OrderKey(tie)], [s - first for s in starts], n=counted["high"], **select_kw)
+    return below + [found[position] for position in sorted(found)]
+
+
 def tier(df: DataFrame, column: str = "utilization", k: int = 5, *, cap_at: float | None = 2.0,
          tie: str = "loan_id", capped: str = "utilization_capped", out: str = "risk_tier", **kw) -> DataFrame:
     """Cap the column (NULL stays NULL), then NTILE(k) on (capped, tie)."""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from loanscope.functions.expressions import TOTAL_LABEL, exact_mean, pct
 from loanscope.functions.segments import RATIO_BUCKETS
 from loanscope.plans import portfolio as P
-from loanscope.sources.sinks import write_table
+from loanscope.sources.sinks import write_clustered, write_table
 
 
 def mart_executive(clean: DataFrame) -> DataFrame:
@@ -65,6 +65,12 @@ def mart_borrower(clean: DataFrame, *, builtin: bool = False, cuts: list[tuple]
     )
 
 
+def write_borrower_clustered(clean: DataFrame, path: str, *, files: int = 64, cuts: list[tuple] | None = None) -> str:
+    """The borrower mart laid out by debt ratio and age (``read_clustered`` skips files by either)."""
+    ages = clean.select("loan_id", "age")
+    return write_clustered(mart_borrower(clean, cuts=cuts).join(ages, "loan_id"), path, ["debt_ratio", "age"], files=files)
+
+
 def write_marts(clean: DataFrame, folder: str, *, mode: str = "overwrite", cuts: list[tuple] | None = None) -> dict[str, str]:
     """Write the three marts below ``folder``; returns table -> path."""
     paths = {

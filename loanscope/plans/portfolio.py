@@ -165,8 +165,11 @@ def tie_audit(clean: DataFrame) -> DataFrame:
 def cap_effect(clean: DataFrame, *, builtin: bool = False, cuts: list[tuple] | None = None, **kw) -> DataFrame:
     """Rows whose tier changes when the cap is dropped (ties broken by id)."""
     base = clean.select("loan_id", "utilization")
-    a = tiered(base, builtin=builtin, cuts=cuts, out="tier_capped", **kw)
-    raw_cuts = None if builtin else tiering.tier_cuts(base, "utilization", TIERS, cap_at=None, **kw)
+    raw_cuts = None
+    if not builtin:
+        cuts = tiering.tier_cuts(base, "utilization", TIERS, cap_at=UTILIZATION_CAP, **kw) if cuts is None else cuts
+        raw_cuts = tiering.uncapped_cuts(base, cuts, "utilization", TIERS, cap_at=UTILIZATION_CAP, **kw)
+    a = tiered(base, builtin=builtin, cuts=cuts, out="tier_capped")
     b = tiering.tier(a, "utilization", TIERS, cap_at=None, capped="__raw_key", out="tier_raw", **_tier_form(builtin, raw_cuts))
     return b.agg(F.count(F.lit(1)).alias("borrowers"),
                  F.count(F.when(F.col("tier_capped") != F.col("tier_raw"), 1)).alias("tier_changes"))

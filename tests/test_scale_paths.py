@@ -324,3 +324,16 @@ def test_sketch_leaves_few_rows_around_a_position(spark):
     cuts = selection._sketch_cuts(df, order, state, [100_000])
     parts = selection._between(df.withColumn("__rid", F.lit(0)), order, [selection._Range(None, True, None, 0, 200_000, [100_000])], {0: cuts})
     assert len(parts) == 1 and parts[0].count < 0.02 * 200_000
+
+
+@pytest.mark.parametrize("expression,same", [("double(id * 7919 % 5003) / 3000", True), ("double(id * 7919 % 5003) / 1000", False),
+                                              ("if(id % 9 = 0, null, if(id % 7 = 0, double('NaN'), double(id % 13)))", False),
+                                              ("if(id % 3 = 0, 2.0D, double(id % 3))", False)])
+def test_uncapped_cuts_from_capped_ones(spark, expression, same):
+    df = spark.range(3000).selectExpr("id as loan_id", f"{expression} as utilization")
+    for knobs in ({}, KNOBS):
+        capped = tiering.tier_cuts(df, "utilization", 5, cap_at=2.0, **knobs)
+        raw = tiering.tier_cuts(df, "utilization", 5, cap_at=None, **knobs)
+        got = tiering.uncapped_cuts(df, capped, "utilization", 5, cap_at=2.0, **knobs)
+        assert [c[1] for c in got] == [c[1] for c in raw] and len(got) == 4
+    assert (capped == raw) >= same

@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from loanscope.plans import marts as M
 from loanscope.plans import portfolio as P
 from loanscope.sources import (
+    clustered_files,
     header_census,
     publish,
     published,
     published_versions,
+    read_clustered,
     read_loan_csv,
     read_table,
     remove_old_versions,
+    write_clustered,
     write_table,
 )
 from loanscope.sources.fixture import read_loan_book
@@ -213,3 +216,32 @@ def test_writers_at_the_same_time_do_not_clash(spark):
     assert len(set(folders)) == 4 and set(published_versions(spark, path)) == {f.rsplit("/", 1)[1] for f in folders}
     current = published(spark, path)
     assert current in folders and spark.read.parquet(current).count() == sizes[folders.index(current)]
+
+
+def test_clustered_files_are_skipped_by_each_column(spark):
+    path = f"{_scratch()}/clustered"
+    df = spark.range(40_000).selectExpr("id", "if(id % 500 = 0, null, double(id * 7919 % 40009) / 100) as ratio", "id * 104729 % 70 + 21 as age")
+    write_clustered(df, path, ["ratio", "age"], files=36)
+    everything = clustered_files(spark, path)
+    assert 30 <= len(everything) <= 36
+    for ranges, condition, most in (({"ratio": (10.0, 30.0)}, "ratio between 10 and 30", 0.4), ({"age": (40, 44)}, "age between 40 and 44", 0.5),
+                                    ({"ratio": (10.0, 30.0), "age": (40, None)}, "ratio between 10 and 30 and age >= 40", 0.35),
+                                    ({"ratio": (None, -1.0)}, "ratio <= -1", 0.0)):
+        files, found = clustered_files(spark, path, **ranges), read_clustered(spark, path, **ranges)
+        want = df.filter(condition)
+        assert found.count() == want.count() and found.exceptAll(want).count() == 0
+        assert len(files) <= most * len(everything)
+        if files:
+            assert len(found.inputFiles()) == len(files)                     # no other file is opened
+    assert read_clustered(spark, path).count() == 40_000
+
+
+@pytest.mark.skipif(not have("0.001"), reason="no sf0.001")
+def test_clustered_borrower_mart(spark):
+    d = _scratch()
+    clean = P.clean_table(read_loan_book(spark, sf_dir("0.001")))
+    path = M.write_borrower_clustered(clean, f"{d}/borrower", files=8)
+    assert read_clustered(spark, path).count() == 77
+    young = read_clustered(spark, path, age=(None, 30))
+    assert young.count() == M.mart_borrower(clean).join(clean.select("loan_id", "age"), "loan_id").filter("age <= 30").count() > 0
+    assert len(clustered_files(spark, path, debt_ratio=(None, 0.3))) < len(clustered_files(spark, path))
