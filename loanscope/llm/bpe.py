@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import itertools
 import struct
+import sys
 from array import array
 from collections.abc import Iterator
 
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 
 from loanscope.llm.shared import chunks
 
-# Units of text whose ids one task remembers before it clears its memory.
-CACHE = 1_000_000
+# Bytes that the remembered units of text and their ids may take in one task before they are forgotten.
+CACHE = 64 << 20
+# A remembered unit's place in the table, beside its text and ids.
+_SLOT = 104
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -116,7 +119,7 @@ class Codec:
                             for i in range(size)]
         self.whole = {p: i for i, p in enumerate(self.piece_bytes) if p}
         self.known: dict[str, bytes] = {}
-        self.cache = cache
+        self.cache, self.held = cache, 0
 
     def units(self, text: str) -> list[str]:
         """Pieces of the text that can be cut into pre-tokens one by one."""
@@ -147,11 +150,13 @@ class Codec:
         """Ids of each text."""
         cut = [self.units(t) for t in texts]
         seen = dict.fromkeys(itertools.chain.from_iterable(cut))
-        if len(self.known) + len(seen) > self.cache:
-            self.known.clear()
         if new := [u for u in seen if u not in self.known]:
             self._learn(new)
-        return [array("i", b"".join(map(self.known.__getitem__, units))) for units in cut]
+            self.held += sum(sys.getsizeof(u) + sys.getsizeof(self.known[u]) + _SLOT for u in new)
+        ids = [array("i", b"".join(map(self.known.__getitem__, units))) for units in cut]
+        if self.held > self.cache:                          # so one batch's units at most are held beyond the bound
+            self.known, self.held = {}, 0
+        return ids
 
     def decode(self, ids: array) -> bytes:
         return b"".join(map(self.piece_bytes.__getitem__, ids))

@@ -58,3 +58,13 @@ def test_table(spark):
             len(ids), sha(",".join(map(str, ids))), sha(text or ""))
     assert bpe.encode_decode(documents(spark, []), **args).count() == 0
     assert bpe.encode_decode(documents(spark, [(None, "x"), (None, "x")]), **args).count() == 2
+
+
+def test_memory_is_bounded_by_bytes():
+    _, codec = codecs()
+    small = bpe.Codec(bpe.serialise_model(bpe.read_ranks(PATH)), public_tokenizers.PATTERN, spaced_words=True, cache=200_000)
+    long = " ".join("x" * 5_000 + str(i) for i in range(60))                     # few units, many bytes
+    for i in range(30):
+        text = f"{long} {i} " + " ".join(f"unit{i}-{k}" for k in range(500))
+        assert small.encode([text])[0] == codec.encode([text])[0]
+        assert small.held <= 200_000 and (len(small.known) == 0) == (small.held == 0)
