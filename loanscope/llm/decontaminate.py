@@ -1,19 +1,21 @@
 """Benchmark decontamination: SimHash windows found by multi-index Hamming blocks.
 
 Words are runs of letters and digits, A-Z lower-cased; five of them make a
-shingle (an item of fewer words is one shingle).  Window sizes are a few per
-factor of two; an item takes the largest that fits it and the largest that fits
-half of it, and has the SimHash of its first, middle and last window of each.
-Every document is passed over with windows of the same sizes, one starting at
-each word.  The 64 bits are four blocks of 16; two fingerprints within ``radius`` bits
-agree in some block up to ``radius // 4`` bits, so a table per block that holds
-every 16-bit value within that distance of an item's block finds all of them.
-
-What makes the search complete are windows of one shingle, whose SimHash is the
-shingle's hash (radius 0).  A place that reaches ``similarity`` has at least that
-share of the item's shingles, so of one shingle more than may be missing one is
-there, whatever the edits and the item's length (``telling``; those that fewest
-items share are taken).  Every place whose window holds a hit is compared with
+shingle (an item of fewer words is one shingle).  An item has the SimHash of
+windows of its own size (first, middle and last place of the largest window size
+that fits it) and of smaller windows that tile it side by side: so many that legal
+edits, which keep ``similarity``, leave a tile untouched (``tile_size``).  Every
+document is passed over with windows of the same sizes, one starting at each word.
+The 64 bits are four blocks of 16; two fingerprints within ``radius`` bits agree
+in some block up to ``radius // 4`` bits, so a table per block that holds every
+16-bit value within that distance of an item's block finds all of them.  Tests
+measure what these windows find by themselves, at every item length.
+
+``complete`` (on by default) adds the completion, a look-up of single shingles that
+proves that nothing is missed: a place that reaches ``similarity`` has at least
+that share of the item's shingles, so of one shingle more than may be missing one
+is there, whatever the edits (``telling``; those that fewest items share are taken).
+Every place whose window holds a hit is compared with
 the item exactly, shingles weighted by how often they occur.
 
 The benchmark is the query set; it meets the documents in blocks of at most
@@ -50,6 +52,8 @@ BLOCK_BYTES = 8 << 20
 # Window starts handled at once: 64 counters each, for all window sizes.
 AT_ONCE = 1 << 13
 BLOCKS = 4
+# Sizes of the windows that tile an item.
+TILES = (16, 12, 8, 6, 4, 3, 2)
 _BLOCK_BITS = np.array([1, 2, 4, 8], np.uint8)
 
 
@@ -59,6 +63,30 @@ def window_size(shingles: int) -> int:
     return power + power // 2 if power > 1 and shingles >= power + power // 2 else power
 
 
+def tile_size(shingles: int, similarity: float) -> int:
+    """Largest of a few sizes whose tiles an item of so many shingles has more of than edits that keep ``similarity`` touch.
+
+    An edited copy of the item's length misses at most (1 - s) / (1 + s) of its shingles.  A changed, put in or left out
+    word takes four shingles in a row or more, which touch two tiles; at either end of the item it may take fewer.
+    A copy that is cut off misses at most 1 - s of them, in a row at one end.
+    """
+    missing = int(shingles * (1 - similarity) / (1 + similarity) + 1e-9)
+    cut_off = int(shingles * (1 - similarity) + 1e-9)
+    for size in TILES:
+        touched = max(min(missing, 2 * (missing // 4) + 2), -(-cut_off // size))
+        if shingles // size > touched:
+            return size
+    return 1
+
+
+def item_windows(shingles: int, similarity: float) -> dict[int, list[int]]:
+    """Window sizes of an item of so many shingles, and the windows' offsets in it."""
+    whole, tile = window_size(shingles), tile_size(shingles, similarity)
+    found = {tile: {*range(0, shingles - tile + 1, tile), shingles - tile}}
+    found.setdefault(whole, set()).update({0, (shingles - whole) // 2, shingles - whole})
+    return {size: sorted(offsets) for size, offsets in found.items()}
+
+
 def bit_sums(hashes: np.ndarray) -> np.ndarray:
     """How often each of the 64 bits is set before each place; counts wrap, their differences do not."""
     sums = np.zeros((len(hashes) + 1, 64), np.uint16)
@@ -119,7 +147,7 @@ def telling(hashes: np.ndarray, shared: Counter, similarity: float) -> list[int]
 class Finder:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[str], *, shingle: int, radius: int, similarity: float):
+    def __init__(self, items: list[str], *, shingle: int, radius: int, similarity: float, complete: bool = True):
         self.words, self.shingle, self.similarity = tokens.Words(), shingle, similarity
         self.items = [self._split(t) for t in items]
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
@@ -130,15 +158,13 @@ class Finder:
         for i, (k, hashes) in enumerate(zip(sizes_of, self.hashes)):
             if not len(hashes):
                 continue
-            for offset in telling(hashes, shared, similarity):
-                found.setdefault((k, 1), []).append((int(hashes[offset]), i, offset))
-            sizes = {window_size(len(hashes))}
-            if (half := (len(hashes) - shingle) // 2) >= 4:
-                sizes.add(window_size(half))
-            for size in sizes - {1}:
-                prints, last = simhashes(bit_sums(hashes), size, len(hashes)), len(hashes) - size
-                for offset in {0, last // 2, last}:
+            for size, offsets in item_windows(len(hashes), similarity).items():
+                prints = simhashes(bit_sums(hashes), size, len(hashes))
+                for offset in offsets:
                     found.setdefault((k, size), []).append((int(prints[offset]), i, offset))
+            if complete:
+                for offset in telling(hashes, shared, similarity):
+                    found.setdefault((k, 1), []).append((int(hashes[offset]), i, offset))
         self.queries = {key: Queries(*(np.array(c, t) for c, t in zip(zip(*rows), (np.uint64, np.int64, np.int64))),
                                      radius if key[1] > 1 else 0)
                         for key, rows in found.items()}
@@ -239,20 +265,20 @@ def _queries(items: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS,
-                         similarity: float = SIMILARITY, text_col: str = "text", item_col: str = "item_id",
+                         similarity: float = SIMILARITY, complete: bool = True, text_col: str = "text", item_col: str = "item_id",
                          item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is found; only the text goes through Python."""
     for _, texts in _item_blocks(_queries(items, item_col, item_text_col)):
-        found = _found(docs.sparkSession.sparkContext.broadcast(texts), shingle, radius, similarity)
+        found = _found(docs.sparkSession.sparkContext.broadcast(texts), shingle, radius, similarity, complete)
         docs = docs.filter(~found(F.coalesce(F.col(text_col), F.lit(""))))
     return docs
 
 
-def _found(shared, shingle: int, radius: int, similarity: float):
+def _found(shared, shingle: int, radius: int, similarity: float, complete: bool):
     """Function of a text column: whether any item of the broadcast block is in it."""
     @F.pandas_udf("boolean")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        finder = Finder(shared.value, shingle=shingle, radius=radius, similarity=similarity)
+        finder = Finder(shared.value, shingle=shingle, radius=radius, similarity=similarity, complete=complete)
         for column in batches:
             hit, at = np.zeros(len(column), bool), 0
             for part in chunks(iter([pa.record_batch([pa.array(column, pa.string())], ["text"])]), "text", 1 << 20):
@@ -265,7 +291,7 @@ def _found(shared, shingle: int, radius: int, similarity: float):
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS,
-                 similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
+                 similarity: float = SIMILARITY, complete: bool = True, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, similarity, first_word): each benchmark item found in each document, at its best place."""
     spark = docs.sparkSession
@@ -281,7 +307,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, shingle: int = SHINGLE, r
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, texts = shared.value
-            finder = Finder(texts, shingle=shingle, radius=radius, similarity=similarity)
+            finder = Finder(texts, shingle=shingle, radius=radius, similarity=similarity, complete=complete)
             for batch in chunks(batches, "text", 1 << 20):
                 hits = list(finder.texts(batch.column("text").to_pylist()))
                 rows = pa.array([h[0] for h in hits], pa.int64())

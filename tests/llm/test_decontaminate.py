@@ -161,3 +161,25 @@ def test_shared_and_repeated_shingles():
         want = {(t, i): (s, max(-p, 0)) for t, text in enumerate(texts) for i, item in enumerate(items)
                 for s, p in [best_place(item, text)] if s >= 0.8}
         assert got == want
+
+
+@pytest.mark.parametrize("lengths", [range(12, 18), range(18, 45, 3), (60, 90, 131, 200)])
+def test_windows_alone_find_copies_of_every_length(lengths):
+    """Recall of the SimHash windows without the completion, at each item length."""
+    rng = random.Random(11)
+    for n in lengths:
+        item = [f"{rng.choice(VOCABULARY)}{i % 50}" for i in range(n + 4)]              # n shingles
+        texts = [["left"] * (i % 3) + copy + ["right"] * (i % 2 * 9) for i, copy in enumerate(edits(item, rng))]
+        texts = [t for t in texts if best_place(item, t)[0] >= 0.8]
+        finder = decontaminate.Finder([" ".join(item)], shingle=5, radius=7, similarity=0.8, complete=False)
+        got = {text for text, *_ in finder.texts([" ".join(t) for t in texts])}
+        assert len(texts) > 3 and len(got) >= 0.9 * len(texts), (n, len(got), len(texts))
+
+
+def test_tiles_outnumber_those_that_legal_edits_touch():
+    for n in range(5, 400):
+        size = decontaminate.tile_size(n, 0.8)
+        missing, cut_off = int(n / 9), int(n * 0.2 + 1e-9)
+        assert n // size > max(min(missing, 2 * (missing // 4) + 2), -(-cut_off // size)) or size == 1
+        windows = decontaminate.item_windows(n, 0.8)
+        assert decontaminate.window_size(n) in windows and all(0 <= o <= n - s for s, found in windows.items() for o in found)
