@@ -144,7 +144,7 @@ def _placed(df: DataFrame, keys: list[OrderKey], sample: list[tuple], n: int, n_
     lies in the row's group (the first key)."""
     group = F.col(keys[0].name)
     order = TupleOrder(df, keys)
-    top = min(n_cuts, fan)
+    top = max(0, min(n_cuts, fan))                         # an empty table has no cut
     cuts = pick_cuts(sample, top)
     below = (n_cuts - top) // (top + 1)
     placed = with_position(df, order, cuts, "__range", keep_cuts="__cut", one_expression=True)
