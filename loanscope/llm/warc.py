@@ -1,21 +1,31 @@
 """WARC archives: write, read back, and resolve repeated payloads to revisit records.
 
-Archives are WARC/1.1 files, gzip as a whole, one record after the other: a
-header, an empty line, the payload as the record's block, and two line ends.
-Spark's text sink writes them (the two line ends are its line separator);
-reading cuts the records by their Content-Length, so a payload may hold any
-bytes, line ends and record headers included.
+Archives are WARC/1.1 files of gzip members, one member a record: a header, an
+empty line, the payload as the record's block, and two line ends.  Between the
+records stands an empty member with a comment of its own (``SEPARATOR``), which
+gzip readers pass over.  It is the line separator of Spark's text source, so
+Spark writes the files, splits them at any size, and reads one record a row: no
+task holds an archive.  The sink gets members in groups of ``GROUP_BYTES`` and
+starts a new file after ``FILE_BYTES`` (less than twice as many, and one member),
+whatever the number of records; a member longer than a group is followed by
+empty lines that count for the rest of it.
+Records are cut by their Content-Length, so a payload may hold any bytes, line
+ends and record headers included.  Archives of others, several records in a
+piece or not compressed, are read as well, a file at a time.
 
 Revisit resolution moves headers only: the smallest record of each payload
 digest is found by a grouped minimum (combined before the shuffle, so a payload
-that a third of all pages share costs a row a task), joined back to the headers
-by digest, and the payloads meet their decision by file and offset.
+that a third of all pages share costs a row a task) and joined back to the
+headers by digest.  The decisions then meet the compressed members by the
+record's key, unique for each; payloads are unpacked after that, and those of
+revisits not at all.
 
 Defined cases: a null payload is empty; a null url is an empty header value and
 line ends inside a url are percent-encoded; rows with a null id sort after all
-others when the original is chosen; of rows that tie on the smallest id one is
-the response, the others revisit it; an empty table gives no records.  Extra
-columns are left out by selecting the named ones.
+others when the original is chosen and are named by their key; of rows that tie
+on the smallest id one is the response, the others revisit it; an empty table
+gives no records; a payload of any length is one record, up to the 2 GB of a
+Spark value.  Extra columns are left out by selecting the named ones.
 """
 
 from __future__ import annotations
@@ -28,14 +38,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanscope.llm.shared import CHUNK_BYTES, scratch_path
+from loanscope.llm.shared import CHUNK_BYTES, scratch_path, stored
 
-# Records of one archive file at most; a further file takes the rest.
-RECORDS_PER_FILE = 20_000
+# Compressed bytes of one archive file, and of the groups of members that the sink gets.
+FILE_BYTES = 1 << 30
+GROUP_BYTES = 1 << 20
+# An empty gzip member whose header holds a comment.
+SEPARATOR = bytes([31, 139, 8, 16, 0, 0, 0, 0, 0, 255]) + b"end of record\0" + bytes([3, 0]) + bytes(8)
+TEXT = {"lineSep": SEPARATOR.decode("latin-1"), "encoding": "ISO-8859-1"}
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 RECORD = ("id long, kind string, url string, digest string, payload_bytes long, refers_to long, "
-          "file string, position long, payload binary")
+          "key string, payload binary")
+TYPES = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
 def _header(name: str, value: Column) -> Column:
@@ -43,14 +58,45 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
 
-def write_records(records: DataFrame, path: str, *, date: str = DATE) -> None:
+def member(record: bytes) -> bytes:
+    """One gzip member without the separator's bytes in it; strategies other than the usual are for those it would have."""
+    for strategy in (zlib.Z_DEFAULT_STRATEGY, zlib.Z_FIXED, zlib.Z_HUFFMAN_ONLY, zlib.Z_RLE):
+        packer = zlib.compressobj(6, zlib.DEFLATED, 31, 8, strategy)
+        data = packer.compress(record) + packer.flush()
+        if SEPARATOR not in data:
+            return data
+    raise ValueError("the record holds the separator in every form of compression")
+
+
+def _packed(records: DataFrame, group_bytes: int) -> DataFrame:
+    """(value): groups of members; one of ``n`` times ``group_bytes`` is followed by ``n - 1`` empty rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                data = member(record.as_py())
+                held.append(data)
+                size += len(data) + len(SEPARATOR)
+                if size >= group_bytes:
+                    yield pa.record_batch([pa.array([SEPARATOR.join(held)] + [b""] * (size // group_bytes - 1), pa.binary())], ["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.record_batch([pa.array([SEPARATOR.join(held)], pa.binary())], ["value"])
+
+    return records.mapInArrow(run, "value binary")
+
+
+def write_records(records: DataFrame, path: str, *, date: str = DATE, file_bytes: int = FILE_BYTES,
+                  group_bytes: int = GROUP_BYTES) -> None:
     """Write (id, kind, url, digest, payload_bytes, refers_to, payload) rows as archives under ``path``.
 
     A revisit record has no block; its payload's length and digest stay in the header.
     """
+    records = records.withColumn("key", F.uuid())
     block = F.when(F.col("kind") == "revisit", F.lit("")).otherwise(F.col("payload").cast("string"))
     url = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A")
-    urn = F.concat(F.lit("<urn:page:"), F.col("id").cast("string"), F.lit(">"))
+    urn = F.coalesce(F.concat(F.lit("<urn:page:"), F.col("id").cast("string"), F.lit(">")),
+                     F.concat(F.lit("<urn:uuid:"), F.col("key"), F.lit(">")))
     profile = F.when(F.col("kind") == "revisit", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     refers = F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))
     record = F.concat(
@@ -58,38 +104,38 @@ def write_records(records: DataFrame, path: str, *, date: str = DATE) -> None:
         _header("WARC-Date", F.lit(date)), _header("WARC-Target-URI", url), _header("WARC-Profile", profile),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         _header("WARC-Refers-To", F.when(F.col("kind") == "revisit", refers)),
+        _header("X-Record-Key", F.col("key")),
         _header("X-Payload-Length", F.col("payload_bytes").cast("string")),
         _header("Content-Type", F.lit("text/html")),
-        F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block)
-    (records.select(record).write.option("lineSep", END).option("compression", "gzip")
-     .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+        F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block, F.lit(END))
+    (_packed(records.select(record.cast("binary").alias("record")), group_bytes)
+     .select(F.col("value").cast("string")).write.options(**TEXT)
+     .option("maxRecordsPerFile", max(1, file_bytes // group_bytes)).text(path))
 
 
 class Records:
-    """Iterates over (position, header, block) of one archive's bytes, decompressed piece by piece."""
+    """Iterates over (position, header, block) of the records in some bytes, gzip members or plain, unpacked piece by piece."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.inflate, self.buffer = memoryview(data), 0, zlib.decompressobj(31), bytearray()
+        self.data, self.at, self.buffer = memoryview(data), 0, bytearray()
+        self.inflate = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else None
 
     def _more(self) -> bool:
-        if self.inflate.eof:                                # archives may consist of several gzip members
+        if self.inflate and self.inflate.eof:               # one gzip member after the other
             self.data, self.at, self.inflate = memoryview(self.inflate.unused_data + bytes(self.data[self.at:])), 0, zlib.decompressobj(31)
         if self.at >= len(self.data):
             return False
-        self.buffer += self.inflate.decompress(self.data[self.at:self.at + (1 << 18)])
+        piece = self.data[self.at:self.at + (1 << 18)]
+        self.buffer += self.inflate.decompress(piece) if self.inflate else piece
         self.at += 1 << 18
         return True
 
     def __iter__(self) -> Iterator[tuple[int, dict[str, str], bytes]]:
         position = 0
         while True:
-            while (end := self.buffer.find(b"\r\n\r\n")) < 0:
-                if not self._more():
-                    if self.buffer.strip():
-                        raise ValueError("archive ends inside a record's header")
-                    return
-            lines = self.buffer[:end].decode().split("\r\n")
-            header = dict(line.split(": ", 1) for line in lines[1:])
+            header, end = self.header()
+            if header is None:
+                return
             size = int(header["Content-Length"])
             while len(self.buffer) < end + 8 + size:
                 if not self._more():
@@ -98,9 +144,48 @@ class Records:
             del self.buffer[:end + 8 + size]
             position += end + 8 + size
 
+    def header(self) -> tuple[dict[str, str] | None, int]:
+        """The next record's header and where it ends, or None after the last record."""
+        while (end := self.buffer.find(b"\r\n\r\n")) < 0:
+            if not self._more():
+                if self.buffer.strip():
+                    raise ValueError("archive ends inside a record's header")
+                return None, 0
+        lines = self.buffer[:end].decode().split("\r\n")
+        return dict(line.split(": ", 1) for line in lines[1:]), end
+
 
 def _page(urn: str | None) -> int | None:
-    return int(urn[len("<urn:page:"):-1]) if urn else None
+    return int(urn[len("<urn:page:"):-1]) if urn and urn.startswith("<urn:page:") else None
+
+
+def _row(header: dict[str, str], block: bytes, payload: bool) -> tuple:
+    """A record as RECORD; the block of a full record must fit its digest."""
+    digest, kind = header["WARC-Payload-Digest"].removeprefix("sha256:"), header["WARC-Type"]
+    if kind != "revisit" and hashlib.sha256(block).hexdigest() != digest:
+        raise ValueError(f"payload of record {header.get('WARC-Record-ID')} does not fit its digest")
+    return (_page(header.get("WARC-Record-ID")), kind, header["WARC-Target-URI"], digest,
+            int(header.get("X-Payload-Length", len(block))), _page(header.get("WARC-Refers-To")),
+            header.get("X-Record-Key") or header["WARC-Record-ID"], block if payload else None)
+
+
+def _batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    """Record batches of about CHUNK_BYTES; a row's last value is the long one."""
+    names, types = zip(*(f.split() for f in schema.split(", ")))
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or b"") + 200
+        if size > CHUNK_BYTES:
+            yield pa.record_batch([pa.array(c, TYPES[t]) for c, t in zip(zip(*held), types)], names)
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, TYPES[t]) for c, t in zip(zip(*held), types)], names)
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(piece): the bytes between separators, for archives of ``write_records`` one record each."""
+    return spark.read.options(**TEXT).text(path).select(F.col("value").cast("binary").alias("piece")).filter(F.octet_length("piece") > 0)
 
 
 def read_records(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
@@ -108,56 +193,63 @@ def read_records(spark: SparkSession, path: str, *, payload: bool = True) -> Dat
 
     ``payload=False`` returns headers only.
     """
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-             .select("path", "content"))
-    schema = [f.split()[0] for f in RECORD.split(", ")]
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                name = batch.column(0)[i].as_py()
-                for position, header, block in Records(batch.column(1)[i].as_py()):
-                    digest, kind = header["WARC-Payload-Digest"].removeprefix("sha256:"), header["WARC-Type"]
-                    if kind != "revisit" and hashlib.sha256(block).hexdigest() != digest:
-                        raise ValueError(f"payload of record at {position} in {name} does not fit its digest")
-                    yield (_page(header.get("WARC-Record-ID")), kind, header["WARC-Target-URI"], digest,
-                           int(header["X-Payload-Length"]), _page(header.get("WARC-Refers-To")), name, position,
-                           block if payload else None)
+            for piece in batch.column(0):
+                for _, header, block in Records(piece.as_py()):
+                    yield _row(header, block, payload)
+
+    return _pieces(spark, path).mapInArrow(lambda batches: _batches(rows(batches), RECORD), RECORD)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-        held, size = [], 0
-        for row in rows(batches):
-            held.append(row)
-            size += len(row[-1] or b"") + 200
-            if size > CHUNK_BYTES:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), types)], schema)
-                held, size = [], 0
-        if held:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), types)], schema)
 
-    return files.mapInArrow(run, RECORD)
+def _keyed(spark: SparkSession, path: str) -> DataFrame:
+    """(key, member): the records of all archives, still compressed; only their headers are unpacked."""
+    schema = "key string, member binary"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for piece in batch.column(0):
+                data = piece.as_py()
+                header, _ = Records(data).header()
+                if "X-Record-Key" not in header:
+                    raise ValueError("archives of others are deduplicated after write_records(read_records(...))")
+                yield header["X-Record-Key"], data
+
+    return _pieces(spark, path).mapInArrow(lambda batches: _batches(rows(batches), schema), schema)
 
 
 def resolve(headers: DataFrame, *, least_bytes: int) -> DataFrame:
-    """(file, position, kind, refers_to) of each header: equal payloads of ``least_bytes`` or more keep one response."""
-    key = F.struct(F.col("id").isNull(), F.col("id"), F.col("file"), F.col("position"))
+    """(key, new_kind, original) of each header: equal payloads of ``least_bytes`` or more keep one response."""
+    place = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))
     long = headers.filter(F.col("payload_bytes") >= least_bytes)
-    originals = (long.groupBy("digest").agg(F.min(key).alias("first"), F.count("*").alias("n"))
+    originals = (long.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
                  .filter("n > 1").select("digest", "first"))
-    found = headers.select("file", "position", "digest", "payload_bytes").join(originals, "digest", "left")
-    again = (F.col("payload_bytes") >= least_bytes) & F.col("first").isNotNull() & ~(
-        (F.col("first.file") == F.col("file")) & (F.col("first.position") == F.col("position")))
-    return found.select("file", "position", F.when(again, "revisit").otherwise("response").alias("new_kind"),
+    found = headers.select("key", "digest", "payload_bytes").join(originals, "digest", "left")
+    again = (F.col("payload_bytes") >= least_bytes) & F.col("first").isNotNull() & (F.col("first.key") != F.col("key"))
+    return found.select("key", F.when(again, "revisit").otherwise("response").alias("new_kind"),
                         F.when(again, F.col("first.id")).alias("original"))
 
 
 def deduplicate(spark: SparkSession, source: str, target: str, *, least_bytes: int = 100) -> None:
-    """Read the archives under ``source`` and write them under ``target`` with revisit records for repeated payloads."""
-    decisions = resolve(read_records(spark, source, payload=False), least_bytes=least_bytes)
-    records = read_records(spark, source).drop("refers_to").join(decisions, ["file", "position"])
-    write_records(records.select("id", F.col("new_kind").alias("kind"), "url", "digest", "payload_bytes",
-                                 F.col("original").alias("refers_to"), "payload"), target)
+    """Read the archives under ``source`` (of ``write_records``) and write them under ``target``, repeated payloads as revisit records."""
+    headers = stored(read_records(spark, source, payload=False).drop("payload"), "warc-headers")
+    decided = _keyed(spark, source).join(resolve(headers, least_bytes=least_bytes), "key").select("new_kind", "original", "member")
+    schema = "id long, kind string, url string, digest string, payload_bytes long, refers_to long, payload binary"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for kind, original, packed in zip(*(batch.column(i) for i in range(3))):
+                found = Records(packed.as_py())
+                if kind.as_py() == "revisit":               # its payload was held against the digest when the headers were read
+                    header, _ = found.header()
+                    yield (_page(header["WARC-Record-ID"]), "revisit", header["WARC-Target-URI"],
+                           header["WARC-Payload-Digest"].removeprefix("sha256:"), int(header["X-Payload-Length"]), original.as_py(), b"")
+                else:
+                    [(_, header, block)] = found
+                    page, _, url, digest, size, _, _, _ = _row(header, block, False)
+                    yield page, "response", url, digest, size, None, block
+
+    write_records(decided.mapInArrow(lambda batches: _batches(rows(batches), schema), schema), target)
 
 
 def archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url",

@@ -1,4 +1,5 @@
 import gzip
+import random
 import zlib
 
 import pytest
@@ -55,3 +56,48 @@ def test_reader_takes_several_members_and_refuses_cut_archives():
         list(warc.Records(gzip.compress(one[:-6])))
     with pytest.raises((ValueError, zlib.error)):
         list(warc.Records(gzip.compress(one[:20])))
+
+
+def test_files_are_bounded_by_bytes_and_split_anywhere(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "u", rng.randbytes(rng.choice([0, 50, 3_000, 40_000])).hex()) for i in range(300)] + [(300, "u", rng.randbytes(400_000).hex())]
+    records = spark.createDataFrame([(i, "response", u, sha(h), len(h), None, h.encode()) for i, u, h in rows],
+                                    "id long, kind string, url string, digest string, payload_bytes long, refers_to long, payload binary")
+    path, least = str(tmp_path / "w"), "spark.sql.files.maxPartitionBytes"
+    warc.write_records(records.coalesce(1), path, file_bytes=200_000, group_bytes=20_000)
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "w").glob("part-*"))
+    assert len(sizes) > 12 and sizes[-2] < 2 * 200_000 + 45_000 and sizes[-1] < 2 * 200_000 + 450_000
+    before = spark.conf.get(least)
+    spark.conf.set(least, "30000")
+    try:
+        got = warc.read_records(spark, path).collect()
+    finally:
+        spark.conf.set(least, before)
+    assert sorted((r.id, bytes(r.payload).decode()) for r in got) == [(i, h) for i, _, h in rows]
+    assert len({r.key for r in got}) == len(rows)
+
+
+def test_separator_inside_a_payload():
+    for data in (warc.SEPARATOR, warc.SEPARATOR * 50 + random.Random(1).randbytes(5000)):
+        packed = warc.member(data)
+        assert warc.SEPARATOR not in packed and gzip.decompress(packed) == data
+    assert gzip.decompress(warc.SEPARATOR) == b""
+
+
+def test_archives_of_others(spark, tmp_path):
+    def record(i, body):
+        return (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Target-URI: u\r\n"
+                f"WARC-Payload-Digest: sha256:{sha(body)}\r\nContent-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+    folder = tmp_path / "others"
+    folder.mkdir()
+    (folder / "a.warc.gz").write_bytes(gzip.compress(record(1, b"x" * 9)) + gzip.compress(record(2, b"\n" * 9)))
+    (folder / "b.warc").write_bytes(record(3, b"") + record(4, b"\r\n\r\n"))
+    got = sorted((r.key[10:11], bytes(r.payload), r.payload_bytes, r.id) for r in warc.read_records(spark, str(folder)).collect())
+    assert got == [("1", b"x" * 9, 9, None), ("2", b"\n" * 9, 9, None), ("3", b"", 0, None), ("4", b"\r\n\r\n", 4, None)]
+    with pytest.raises(Exception, match="archives of others"):
+        warc.deduplicate(spark, str(folder), str(tmp_path / "out"))
+    one = tmp_path / "one"
+    warc.write_records(warc.read_records(spark, str(folder)), str(one))
+    warc.deduplicate(spark, str(one), str(tmp_path / "out"), least_bytes=4)
+    assert warc.read_records(spark, str(tmp_path / "out")).count() == 4
