@@ -16,9 +16,9 @@ piece or not compressed, are read as well, a file at a time.
 Revisit resolution moves headers only: the smallest record of each payload
 digest is found by a grouped minimum (combined before the shuffle, so a payload
 that a third of all pages share costs a row a task) and joined back to the
-headers by digest.  The decisions then meet the compressed members by the
+headers by digest.  The revisits found meet the compressed members by the
 record's key, unique for each; payloads are unpacked after that, and those of
-revisits not at all.
+revisits not at all.  A revisit record in the source stays one.
 
 Defined cases: a null payload is empty; a null url is an empty header value and
 line ends inside a url are percent-encoded; rows with a null id sort after all
@@ -219,35 +219,35 @@ def _keyed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve(headers: DataFrame, *, least_bytes: int) -> DataFrame:
-    """(key, new_kind, original) of each header: equal payloads of ``least_bytes`` or more keep one response."""
+    """(key, original, again): the records that become revisits; equal payloads of ``least_bytes`` or more keep one response."""
     place = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))
     long = headers.filter(F.col("payload_bytes") >= least_bytes)
     originals = (long.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n"))
                  .filter("n > 1").select("digest", "first"))
-    found = headers.select("key", "digest", "payload_bytes").join(originals, "digest", "left")
-    again = (F.col("payload_bytes") >= least_bytes) & F.col("first").isNotNull() & (F.col("first.key") != F.col("key"))
-    return found.select("key", F.when(again, "revisit").otherwise("response").alias("new_kind"),
-                        F.when(again, F.col("first.id")).alias("original"))
+    return (long.select("key", "digest").join(originals, "digest").filter(F.col("first.key") != F.col("key"))
+            .select("key", F.col("first.id").alias("original"), F.lit(True).alias("again")))
 
 
 def deduplicate(spark: SparkSession, source: str, target: str, *, least_bytes: int = 100) -> None:
     """Read the archives under ``source`` (of ``write_records``) and write them under ``target``, repeated payloads as revisit records."""
-    headers = stored(read_records(spark, source, payload=False).drop("payload"), "warc-headers")
-    decided = _keyed(spark, source).join(resolve(headers, least_bytes=least_bytes), "key").select("new_kind", "original", "member")
+    read = read_records(spark, source, payload=False)
+    headers = stored(read.filter("kind <> 'revisit'").select("id", F.unhex("digest").alias("digest"), "payload_bytes", "key"), "warc-headers")
+    revisits = resolve(headers, least_bytes=least_bytes)
+    decided = _keyed(spark, source).join(revisits, "key", "left").select("again", "original", "member")
     schema = "id long, kind string, url string, digest string, payload_bytes long, refers_to long, payload binary"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for kind, original, packed in zip(*(batch.column(i) for i in range(3))):
+            for again, original, packed in zip(*(batch.column(i) for i in range(3))):
                 found = Records(packed.as_py())
-                if kind.as_py() == "revisit":               # its payload was held against the digest when the headers were read
+                if again.as_py():                           # its payload was held against the digest when the headers were read
                     header, _ = found.header()
                     yield (_page(header["WARC-Record-ID"]), "revisit", header["WARC-Target-URI"],
                            header["WARC-Payload-Digest"].removeprefix("sha256:"), int(header["X-Payload-Length"]), original.as_py(), b"")
                 else:
                     [(_, header, block)] = found
-                    page, _, url, digest, size, _, _, _ = _row(header, block, False)
-                    yield page, "response", url, digest, size, None, block
+                    page, kind, url, digest, size, refers, _, _ = _row(header, block, False)
+                    yield page, kind, url, digest, size, refers, block
 
     write_records(decided.mapInArrow(lambda batches: _batches(rows(batches), schema), schema), target)
 

@@ -99,5 +99,14 @@ def test_archives_of_others(spark, tmp_path):
         warc.deduplicate(spark, str(folder), str(tmp_path / "out"))
     one = tmp_path / "one"
     warc.write_records(warc.read_records(spark, str(folder)), str(one))
-    warc.deduplicate(spark, str(one), str(tmp_path / "out"), least_bytes=4)
-    assert warc.read_records(spark, str(tmp_path / "out")).count() == 4
+    warc.deduplicate(spark, str(one), str(tmp_path / "done"), least_bytes=4)
+    assert warc.read_records(spark, str(tmp_path / "done")).count() == 4
+
+
+def test_revisits_of_the_source_stay(spark, tmp_path):
+    names = [str(tmp_path / n) for n in "abc"]
+    warc.archive(table(spark, PAGES), names[0])
+    for source, target in zip(names, names[1:]):
+        warc.deduplicate(spark, source, target)
+    once, twice = ([r.asDict() for r in warc.read_records(spark, n).drop("key").collect()] for n in names[1:])
+    assert sorted(once, key=str) == sorted(twice, key=str) and sum(r["kind"] == "revisit" for r in once) == 6       # three of BIG, one each of TRAP, z and w
