@@ -51,6 +51,20 @@ def test_ranges_cover_gaps(spark):
     assert all((rows[i].n_chars, rows[i].edited) == want[i][:2] for i, _ in texts)
 
 
+def test_tree_of_cuts(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "FAN", 4)
+    rng = random.Random(2)
+    ids = rng.sample(range(-500, 500), 200)
+    docs = documents(spark, [(i, f"t{i}") for i in ids] + [(None, "n")]).select("doc_id", "text")
+    cuts = sketch.range_cuts(docs, id_col="doc_id", ranges=16)
+    assert 8 < len(cuts) <= 16 and set(cuts) <= set(ids)
+    for fan in (2, 3, 4, 16):
+        got = {r.doc_id: r.code for r in sketch.with_range_code(docs, cuts, id_col="doc_id", fan=fan).collect()}
+        assert got == {None: 0} | {i: 2 * sum(c <= i for c in cuts) - (i in cuts) for i in ids}
+    rows, want = {r.doc_id: r.next.text for r in sketch.with_next(docs.withColumn("tie", F.lit(0)), ["text"], id_col="doc_id", ranges=16, fan=4).collect()}, sorted(ids)
+    assert all(rows[b] == f"t{a}" for a, b in zip(want, want[1:])) and rows[want[0]] == "n" and rows[None] == f"t{want[-1]}"
+
+
 def test_estimates_merge_and_stay_near_the_truth(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(5000)]
