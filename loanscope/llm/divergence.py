@@ -40,11 +40,14 @@ from loanscope.llm.shared import stored
 
 #: Shares are counted in this part.
 SCALE = 1_000_000_000
-# Text bytes whose counts a task holds at once.
+# Text bytes whose counts a task holds at once, and whose words it holds.
 TEXT_BYTES = 32 << 20
+PIECE_BYTES = 4 << 20
 # Rows of counts, and of compared pairs, that a task holds at once.
 ROWS_AT_ONCE = 400_000
 PAIRS_AT_ONCE = 2_000_000
+# Pairs of a document and a chunk that become rows of counts at once.
+COUNTS_AT_ONCE = 250_000
 
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 _COUNTED = pa.schema([("lang", pa.string()), ("item", pa.binary()), ("sources", pa.string()), ("numbers", pa.list_(pa.int64()))])
@@ -107,8 +110,12 @@ def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 
 def _count_chunks(least_docs: int):
-    """Arrow batches (text, lang, source, number) to counts of the white-space chunks."""
-    def pairs(text: pa.Array):
+    """Arrow batches (text, lang, source, number) to counts of the white-space chunks.
+
+    Words are held for a piece of the texts, then only (document, chunk, occurrences) in 32 bits each, and
+    rows of counts are made for some chunks at a time.
+    """
+    def piece_pairs(text: pa.Array):
         """(document, chunk, occurrences) of each distinct pair, and the chunks."""
         words = pc.ascii_split_whitespace(text)
         sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
@@ -125,35 +132,62 @@ def _count_chunks(least_docs: int):
         there = ~blank[chunk]
         return doc[there], chunk[there], n[there], names
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, chunk, n, chunks = pairs(batch.column(0))
+    def pairs(batch: pa.RecordBatch):
+        """The same, of all texts of the batch."""
+        docs, codes, times, names = [], [], [], []
+        rows = 0
+        for piece in sliced([batch], "text", PIECE_BYTES):
+            doc, chunk, n, found = piece_pairs(piece.column(0))
+            docs.append((doc + rows).astype(np.int32))
+            codes.append(chunk.astype(np.int32))
+            times.append(n.astype(np.int32))
+            names.append(found)
+            rows += piece.num_rows
+        common = pa.chunked_array(names, pa.binary()).dictionary_encode()   # one dictionary for all pieces
+        codes = [part.indices.to_numpy(zero_copy_only=False)[code] for part, code in zip(common.chunks, codes)]
+        return np.concatenate(docs), np.concatenate(codes), np.concatenate(times), common.chunk(0).dictionary
+
+    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        doc, chunk, n, chunks = pairs(batch)
         lang, langs = _codes(batch.column(1))
         source, sources = _codes(batch.column(2))
         sources = pa.array([_packed(name) for name in sources.to_pylist()], pa.string())
         number = batch.column(3).to_numpy(zero_copy_only=False)
-        keys, key = np.unique(lang[doc] * max(len(chunks), 1) + chunk, return_inverse=True)
-        of_lang, of_chunk = np.divmod(keys, max(len(chunks), 1))
-        return _counted(langs.take(pa.array(of_lang)), chunks.take(pa.array(of_chunk)), sources, key, source[doc], n,
-                        key, number[doc], least_docs)
+        order = chunk.astype(np.int64) << 32                                # pairs by chunk: chunk and place in one number
+        order |= np.arange(len(chunk))
+        del chunk
+        order.sort()
+        at = 0
+        while at < len(order):
+            last = order[min(at + COUNTS_AT_ONCE, len(order)) - 1] >> 32
+            stop = int(np.searchsorted(order, (last + 1) << 32))
+            place = order[at:stop] & 0xFFFFFFFF
+            of = doc[place]
+            keys, key = np.unique(lang[of] * len(chunks) + (order[at:stop] >> 32), return_inverse=True)
+            of_lang, of_chunk = np.divmod(keys, len(chunks))
+            yield _counted(langs.take(pa.array(of_lang)), chunks.take(pa.array(of_chunk)), sources, key, source[of], n[place].astype(np.int64),
+                           key, number[of], least_docs)
+            at = stop
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size = rows = 0
         for batch in batches:
             for part in sliced([batch], "text", TEXT_BYTES):
                 held.append(part)
                 size += pc.sum(pc.binary_length(part.column(0))).as_py() or 0
-                if size >= TEXT_BYTES:
+                rows += part.num_rows
+                if size >= TEXT_BYTES or rows >= ROWS_AT_ONCE:
                     yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    held, size = [], 0
-        if size:
+                    held, size, rows = [], 0, 0
+        if rows:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     def run(batches):
         for batch in parts(batches):
-            made = count(batch)
-            for at in range(0, made.num_rows, 20_000):
-                yield made.slice(at, 20_000)
+            for made in count(batch):
+                for at in range(0, made.num_rows, 20_000):
+                    yield made.slice(at, 20_000)
 
     return run
 
@@ -181,11 +215,12 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Rec
         while low < high:                                                   # first row of the last run
             mid = (low + high) // 2
             low, high = (low, mid) if key(whole, mid) == last else (mid + 1, high)
+        held, rows = [whole.slice(low)], rows - low
         if low:
             yield whole.slice(0, low)
-        held, rows = [whole.slice(low)], rows - low
     if rows:
-        yield joined()
+        held = [joined()]                                                   # what was joined is held once
+        yield held[0]
 
 
 def _parts(batch: pa.RecordBatch, least_docs: int):
@@ -215,23 +250,31 @@ def _tokenise(least_docs: int):
     def run(batches):
         for batch in _runs(batches, ["item"]):
             chunk, distinct = _codes(batch.column(1))
-            found = [terms_of(c) for c in distinct.to_pylist()]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            starts = np.cumsum(sizes) - sizes
-            term, terms = _codes(pa.array([t for f in found for t in f], pa.binary()))
+            found: list[bytes] = []
+            ends = [0]
+            for at in range(0, len(distinct), 20_000):
+                for item in distinct.slice(at, 20_000).to_pylist():
+                    found += terms_of(item)
+                    ends.append(len(found))
+            starts = np.array(ends[:-1], np.int64)
+            sizes = np.diff(np.array(ends, np.int64))
+            term, terms = _codes(pa.array(found, pa.binary()))
+            del found, ends, distinct
             if not len(terms):
                 continue
             lang, langs = _codes(batch.column(0))
             row, names, n, doc_row, doc = _parts(batch, least_docs)
             source, names = _codes(names)
             entry, slot = _spread(chunk[row], starts, sizes)
-            doc_entry, doc_slot = _spread(chunk[doc_row], starts, sizes)
-            code = lang[row][entry] * len(terms) + term[slot]
-            doc_code = lang[doc_row][doc_entry] * len(terms) + term[doc_slot]
-            keys, key = np.unique(code, return_inverse=True)
+            keys, key = np.unique(lang[row][entry] * len(terms) + term[slot], return_inverse=True)
+            source, n = source[entry], n[entry]
+            del row, entry, slot
+            entry, slot = _spread(chunk[doc_row], starts, sizes)
+            doc_key = np.searchsorted(keys, lang[doc_row][entry] * len(terms) + term[slot])
+            doc = doc[entry]
+            del doc_row, entry, slot, chunk, lang
             of_lang, of_term = np.divmod(keys, len(terms))
-            made = _counted(langs.take(pa.array(of_lang)), terms.take(pa.array(of_term)), names, key, source[entry], n[entry],
-                            np.searchsorted(keys, doc_code), doc[doc_entry], least_docs)
+            made = _counted(langs.take(pa.array(of_lang)), terms.take(pa.array(of_term)), names, key, source, n, doc_key, doc, least_docs)
             for at in range(0, made.num_rows, 20_000):
                 yield made.slice(at, 20_000)
 

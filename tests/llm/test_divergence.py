@@ -1,6 +1,9 @@
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 from helpers import LONG, TEXTS
 
 from loanscope.llm import divergence
@@ -74,3 +77,36 @@ def test_terms_are_kept_by_distinct_documents(spark):
     got = {r.term: (r.source, r.n) for r in divergence.term_counts(spark.createDataFrame(
         rows, "doc_id long, text string, lang string, source string")).collect() if r.source == "a"}
     assert got == {"trio": ("a", 2)}
+
+
+def test_pieces_and_ranges_of_chunks_do_not_matter(spark, monkeypatch):
+    """Words meet their counts from many pieces of the texts, and rows are made for a few chunks at a time."""
+    words = LONG.split()
+    rows = [(i, " ".join(words[i % 40:i % 40 + 15]) if i % 9 else (None, "", " ")[i % 3], ("en", "de")[i % 2], f"s{i % 7}") for i in range(300)]
+    monkeypatch.setattr(divergence, "PIECE_BYTES", 200)
+    monkeypatch.setattr(divergence, "COUNTS_AT_ONCE", 3)
+    assert run(spark, rows) == brute(rows)
+    blank = [(i, "  ", "en", f"s{i % 3}") for i in range(20)]
+    assert run(spark, blank) == brute(blank)
+
+
+def test_counting_takes_little_memory():
+    """A task that counts its full share of text holds six times that text at most, twelve when all words were held at once."""
+    rng = np.random.default_rng(3)
+    number = np.arange(2000)
+    text = [" ".join(map(str, rng.zipf(1.3, 2000) % 200_000)) for _ in number]
+    batch = pa.record_batch([pa.array(text), pa.array(["en"] * 2000), pa.array([f"s{i % 20}" for i in number]), pa.array(number)],
+                            ["text", "lang", "source", "number"])
+    size, usual = sum(map(len, text)), pa.default_memory_pool()
+    del text
+    pool = pa.proxy_memory_pool(usual)
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        rows = sum(made.num_rows for made in divergence._count_chunks(3)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1] + pool.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(usual)
+    assert rows == len({w for t in batch.column(0).to_pylist() for w in t.split()})
+    assert most < 8 * size, f"{most / size:.1f} times the text"
