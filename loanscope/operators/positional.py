@@ -46,8 +46,13 @@ MAX_CUTS = 4096
 FLAT_CUTS = 32
 
 
-def _sql_literal(v, dtype: T.DataType) -> str:
+def sql_literal(v, dtype: T.DataType) -> str:
     """Exact Spark SQL literal text for a Python value of a Spark type."""
+    if isinstance(dtype, T.StructType):
+        names = ["'" + f.name.replace("\\", "\\\\").replace("'", "\\'") + "'" for f in dtype]
+        values = [None if v is None else v[f.name] for f in dtype]
+        told = "named_struct(" + ", ".join(f"{n}, {sql_literal(x, f.dataType)}" for n, x, f in zip(names, values, dtype)) + ")"
+        return f"if({'TRUE' if v is None else 'FALSE'}, NULL, {told})"
     if v is None:
         return f"CAST(NULL AS {dtype.simpleString()})"
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
@@ -97,14 +102,14 @@ class TupleOrder:
         return [F.col(k.name) for k in self.keys]
 
     def literal(self, values: tuple) -> list[Column]:
-        return [F.expr(_sql_literal(v, t)) for v, t in zip(values, self.types)]
+        return [F.expr(sql_literal(v, t)) for v, t in zip(values, self.types)]
 
     def arrays(self, cuts: list[tuple]) -> list[Column]:
         """One array literal per key column (cut tuples transposed)."""
         cols = []
         for i, t in enumerate(self.types):
             vals = [c[i] for c in cuts] or [None]
-            cols.append(F.expr("array(" + ", ".join(_sql_literal(v, t) for v in vals) + ")"))
+            cols.append(F.expr("array(" + ", ".join(sql_literal(v, t) for v in vals) + ")"))
         return cols
 
     def lt(self, a: list[Column], b: list[Column]) -> Column:

@@ -25,18 +25,18 @@ range between two of them at most as many again, found by Spark in a sample and
 kept in a small table that joins by range.  The bucket-local ranks are written
 once; the first and last row of each (group, bucket) that a cut splits, two
 groups a bucket at most, give the offsets as prefix sums in a small table, which
-joins back to the rows.  A hot value is split by id, too.  One path runs at every
-size; ``strategy="builtin"`` is the plain window that tests and the bench compare
-with.
+joins back to the rows; beside few cuts (``FLAT_CUTS``) the offsets are literals, as
+the cuts are, and nothing is joined.  A hot value is split by id, too.
+``strategy="builtin"`` is the plain window that tests and the bench compare with.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from loanscope.functions.expressions import OrderKey
-from loanscope.operators.positional import TupleOrder, pick_cuts, sample_and_count, search, with_position
+from loanscope.operators.positional import FLAT_CUTS, TupleOrder, pick_cuts, sample_and_count, search, sql_literal, with_position
 from loanscope.session import spool
 
 # Least number of cells for each of the top n values, and of cells in all.
@@ -132,11 +132,12 @@ def ranked_peers(df: DataFrame, group: str, value: str, tie: str, carry: tuple[s
     size = max(rows_per_bucket or LEAST_BUCKET, -(-n // (fan * fan)))
     placed = _placed(df, keys, sample, n, -(-n // size) - 1, fan, per_cut, seed)
     local = _local_ranks(placed, group, value, tie, lead_cols)
-    offsets = None
     if n > size:                                     # else there is no cut, and nothing before or behind a bucket
         local = spool(local, "ranked")
-        offsets = F.broadcast(_offsets(local, group, value, lead_cols))      # two groups a bucket, fan squared buckets: bounded
-    return _with_offsets(local, offsets, df.columns, group, lead_cols, rank_name, next_prefix, dense_name)
+        offsets = _offsets(local, group, value, lead_cols)                   # two groups a bucket, fan squared buckets: bounded
+        cuts = -(-n // size) - 1
+        local = _told(local, offsets, group, cuts + 1) if cuts <= min(fan, FLAT_CUTS) else _joined(local, offsets, group)
+    return _with_offsets(local, n > size, df.columns, lead_cols, rank_name, next_prefix, dense_name)
 
 
 def _placed(df: DataFrame, keys: list[OrderKey], sample: list[tuple], n: int, n_cuts: int, fan: int, per_cut: int, seed: int) -> DataFrame:
@@ -222,11 +223,28 @@ def _offsets(local: DataFrame, group: str, value: str, lead_cols: list[str]) ->
                         F.lead("first").over(w).alias("first_of_next"))
 
 
-def _with_offsets(local: DataFrame, offsets: DataFrame | None, columns: list[str], group: str, lead_cols: list[str], rank_name: str,
-                  next_prefix: str, dense_name: str | None) -> DataFrame:
-    rows, rank, dense, following = local, F.col("__run"), F.col("__runs"), F.col("__next")
-    if offsets is not None:
-        rows = local.join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__bucket") == F.col("__b")), "left")
+def _joined(local: DataFrame, offsets: DataFrame, group: str) -> DataFrame:
+    """Rows with the offsets of their (group, bucket), if it has any."""
+    return local.join(F.broadcast(offsets), F.col(group).eqNullSafe(F.col("__g")) & (F.col("__bucket") == F.col("__b")), "left")
+
+
+def _told(local: DataFrame, offsets: DataFrame, group: str, buckets: int) -> DataFrame:
+    """The same by literals, an array entry a bucket: for the first group that has offsets in it, and for the second."""
+    found: list[list[Row]] = [[] for _ in range(buckets)]
+    for row in offsets.collect():
+        found[row["__b"]].append(row)
+    picked = F.lit(None).cast(offsets.schema)
+    for place in range(max(map(len, found)) - 1, -1, -1):
+        told = ", ".join(sql_literal(rows[place] if place < len(rows) else None, offsets.schema) for rows in found)
+        entry = F.get(F.expr(f"array({told})"), F.col("__bucket").cast("int"))
+        picked = F.when(entry.isNotNull() & entry["__g"].eqNullSafe(F.col(group)), entry).otherwise(picked)
+    return local.withColumn("__offsets", picked).select(*local.columns, "__offsets.*")
+
+
+def _with_offsets(rows: DataFrame, cut: bool, columns: list[str], lead_cols: list[str], rank_name: str, next_prefix: str,
+                  dense_name: str | None) -> DataFrame:
+    rank, dense, following = F.col("__run"), F.col("__runs"), F.col("__next")
+    if cut:
         goes_on = F.coalesce(F.col("continued"), F.lit(False))
         rank = F.when(goes_on & (rank == 1), F.col("run_start")).otherwise(F.coalesce("before", F.lit(0)) + rank)
         dense = F.coalesce("runs_before", F.lit(0)) + dense - goes_on.cast("bigint")

@@ -337,3 +337,17 @@ def test_uncapped_cuts_from_capped_ones(spark, expression, same):
         got = tiering.uncapped_cuts(df, capped, "utilization", 5, cap_at=2.0, **knobs)
         assert [c[1] for c in got] == [c[1] for c in raw] and len(got) == 4
     assert (capped == raw) >= same
+
+
+def test_ranked_peers_beside_few_cuts_joins_nothing(spark):
+    """Offsets as literals: null groups, quotes in names and values, values that sort oddly."""
+    values = (None, float("nan"), float("inf"), 1.5, -0.0, 0.0, 2.0)
+    rows = [(i, (None, "a'\\`b", "c")[i % 3 if i < 60 else 0], values[i * 5 % 7], ("x'y\\n", None)[i % 2]) for i in range(140)]
+    df = spark.createDataFrame(rows, "id long, grp string, v double, `odd na'me` string")
+    made = {}
+    for strategy, per in (("builtin", None), ("buckets", 9), ("buckets", 3)):
+        made[per] = ranking.ranked_peers(df, "grp", "v", "id", ("odd na'me",), dense_name="dense", strategy=strategy, rows_per_bucket=per, fan=64, per_cut=4)
+    told = {per: sorted(repr(sorted(r.asDict().items())) for r in m.collect()) for per, m in made.items()}
+    assert told[None] == told[9] == told[3]
+    plans = {per: m._jdf.queryExecution().executedPlan().toString() for per, m in made.items()}
+    assert "Join" not in plans[9] and "Join" in plans[3]        # 15 cuts are few, 46 are not
