@@ -111,3 +111,28 @@ def test_a_segment_of_most_rows(spark):
     passage = "".join(random.Random(6).choices("abcdefgh ", k=60))
     texts = [(i, passage) for i in range(700)] + [(1000 + i, f"{i:04d}" * 4 + passage + f"{i:05d}" * 3) for i in range(200)]
     assert run(spark, texts, length=30, gram=8) == brute(texts, 30)
+
+
+def test_texts_that_collide_under_a_rolling_hash(spark):
+    """Swapped Thue-Morse halves: hashes modulo 2**64 agree whatever the multiplier, yet no 400 bytes repeat."""
+    x = "'"
+    for _ in range(8):
+        x += x.translate(str.maketrans("'u", "u'"))
+    y = x.translate(str.maketrans("'u", "u'"))
+    rng = random.Random(29)
+    m, p = ("".join(rng.choices("abcdefgh ", k=k)) for k in (128, 30))
+    texts = [(1, p + x + m + y + p), (2, p + y + m + x + p), (3, p + x + m)]
+    assert run(spark, texts, length=400) == brute(texts, 400)
+    assert run(spark, texts[:2], length=400) == [(i, 700, 0, 0, t.encode()) for i, t in texts[:2]]
+
+
+def test_own_starts_and_offset_follow_from_a_segment():
+    """The digest alone names a segment: equal bytes have equal anchor, own starts and offset."""
+    texts = [t.encode() for _, t in mixed(3)]
+    data, limits = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    seen = {}
+    for anchor, h1, h2, first, own, offset in S.segments(data, limits, 30, 8, S.Rolling(S._BASE, S.PIECE + 30)):
+        for a, *digest, f, n, o in zip(anchor.tolist(), h1.to_pylist(), h2.to_pylist(), first.tolist(), own.tolist(), offset.tolist()):
+            piece = data[f:f + n + 29].tobytes()
+            assert seen.setdefault(tuple(digest), (piece, a, n, o)) == (piece, a, n, o)
+    assert len(seen) == len({piece for piece, *_ in seen.values()}) > 40
